@@ -13,6 +13,12 @@ def rounded(col: Column | str, places: int = 6) -> Column:
     return F.round(col, places) + F.lit(0.0)
 
 
+def rounded_off_tie(col: Column | str) -> Column:
+    """Round to 6 places after a small shift, for values such as means of prices that fall on ties."""
+    c = F.col(col) if isinstance(col, str) else col
+    return rounded(c + F.lit(137e-9))
+
+
 def lookup(col: Column, table: Mapping[str, object], default: Column | None = None) -> Column:
     """Look a value up in a small fixed table, as a literal map (no join)."""
     pairs = [F.lit(x) for kv in table.items() for x in kv]

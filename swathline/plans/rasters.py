@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from swathline.functions.scalars import rounded as r6
+from swathline.functions.scalars import rounded_off_tie as r6s
 from swathline.operators import indices as I
 from swathline.operators import neighbours as N
 from swathline.operators import points as P
@@ -147,10 +148,10 @@ STAT_SQL = {"max": "max(z)", "min": "min(z)", "mean": "avg(z)", "count": "cast(c
 
 
 def _gridding(stat: str):
-    @query(f"grid_points_{stat}", f"""SELECT 'dsm' AS raster_id, 'dsm' AS band, row, col, round({STAT_SQL[stat]}, 6) AS value
+    @query(f"grid_points_{stat}", f"""SELECT 'dsm' AS raster_id, 'dsm' AS band, row, col, round({STAT_SQL[stat]} + 137e-9, 6) AS value
       FROM ({TOUCH_SQL}) GROUP BY row, col""")
     def _(t: Tables):
-        return P.grid_points(cloud(t), SITE, stat, 50.0).withColumn("value", r6("value"))
+        return P.grid_points(cloud(t), SITE, stat, 50.0).withColumn("value", r6s("value"))
 
 
 for _s in STAT_SQL:
@@ -175,12 +176,12 @@ def _(t: Tables):
     return P.rgb_ortho(cloud(t), SITE, radius=50.0)
 
 
-@query("voxel_downsample", """SELECT vx, vy, vz, round(avg(x_cm), 6) AS x, round(avg(y_cm), 6) AS y, round(avg(z), 6) AS z, count(*) AS n FROM
+@query("voxel_downsample", """SELECT vx, vy, vz, round(avg(x_cm) + 137e-9, 6) AS x, round(avg(y_cm) + 137e-9, 6) AS y, round(avg(z) + 137e-9, 6) AS z, count(*) AS n FROM
   (SELECT cast(floor(x_cm / 500e0) AS BIGINT) AS vx, cast(floor(y_cm / 500e0) AS BIGINT) AS vy, cast(floor(z / 500e0) AS BIGINT) AS vz, *
   FROM {points}) GROUP BY vx, vy, vz""")
 def _(t: Tables):
     v = P.voxel_downsample(cloud(t), 500.0)
-    return v.select("vx", "vy", "vz", r6("x").alias("x"), r6("y").alias("y"), r6("z").alias("z"), "n")
+    return v.select("vx", "vy", "vz", r6s("x").alias("x"), r6s("y").alias("y"), r6s("z").alias("z"), "n")
 
 
 @query("edge_weight", """SELECT raster_id, band, row, col, cast(CASE WHEN value IS NULL THEN 0 ELSE least(
@@ -200,9 +201,9 @@ def eroded_sql(source: str, n: int) -> str:
             f"WHERE abs(dr) + abs(dc) <= {n} GROUP BY 1, 2 HAVING count(*) = {size}")
 
 
-@query("erode", f"SELECT 'dsm' AS raster_id, row, col FROM ({eroded_sql('{dsm}', 2)})")
+@query("erode", f"SELECT 'dsm' AS raster_id, row, col FROM ({eroded_sql('{wide_dsm}', 2)})")
 def _(t: Tables):
-    return N.erode(dsm(t).select("raster_id", "row", "col"), 2)
+    return N.erode(dsm(t, 100.0).select("raster_id", "row", "col"), 2)
 
 
 @query("coverage_mask", f"SELECT 'dsm' AS raster_id, row, col FROM (({eroded_sql('{wide_dsm}', 3)}) INTERSECT ({eroded_sql('{dsm}', 1)}))")
@@ -227,10 +228,10 @@ DIRECTIONS_SQL = "SELECT * FROM (VALUES (0,1),(0,-1),(1,0),(-1,0),(1,1),(-1,-1),
   k * k * (dr * dr + dc * dc) <= 36) h JOIN {{dsm}} v ON v.row = h.row + dr * k AND v.col = h.col + dc * k GROUP BY 1, 2, 3, 4),
   f AS (SELECT s.row, s.col, sum(v.value / (k * sqrt(cast(dr * dr + dc * dc AS DOUBLE)))) / sum(1 / (k * sqrt(cast(dr * dr + dc * dc AS DOUBLE)))) AS v
   FROM steps s JOIN {{dsm}} v ON v.row = s.row + dr * k AND v.col = s.col + dc * k GROUP BY 1, 2)
-  SELECT 'dsm' AS raster_id, 'dsm' AS band, a.row, a.col, a.value IS NULL AS was_hole, round(coalesce(a.value, f.v), 6) AS value
+  SELECT 'dsm' AS raster_id, 'dsm' AS band, a.row, a.col, a.value IS NULL AS was_hole, round(coalesce(a.value, f.v) + 137e-9, 6) AS value
   FROM {{dense}} a LEFT JOIN f ON a.row = f.row AND a.col = f.col""")
 def _(t: Tables):
-    return N.fill_holes(dense(t), max_distance=6).withColumn("value", r6("value"))
+    return N.fill_holes(dense(t), max_distance=6).withColumn("value", r6s("value"))
 
 
 def around_sql(source: str, last_row: int = 399, last_col: int = 399, keys: str = "", mirror: bool = False) -> str:
