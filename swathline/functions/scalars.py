@@ -74,6 +74,16 @@ def dms_to_dd(df: DataFrame, default_altitude: float = 100.0) -> DataFrame:
     })
 
 
+def settle(df: DataFrame, *cols: str) -> DataFrame:
+    """Compute ``cols`` once per row, ahead of a filter on them.
+
+    Spark moves a filter below the projection that makes its columns and repeats their expressions there;
+    long formulas then outgrow one generated method.  A one-element generator keeps the filter above.
+    """
+    rest = [c for c in df.columns if c not in cols]
+    return df.select(*rest, F.inline(F.array(F.struct(*cols))))
+
+
 def exact_sum(col: Column | str, places: int = 6) -> Column:
     """Order-free sum: add decimals, return double."""
     c = F.col(col) if isinstance(col, str) else col

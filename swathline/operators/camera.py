@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from swathline.functions import constants as K
+from swathline.functions.scalars import settle
 from swathline.operators.geodesy import Sim3, quat_to_rot, sim3_invert, utm_to_ecef
 from swathline.operators.grid import LINE, Grid
 
@@ -69,8 +70,9 @@ def project_pinhole(pairs: DataFrame, camera: Camera, model: str = "reference")
     x, y, r2 = F.col("_x"), F.col("_y"), F.col("_r2")
     xd = x * F.col("_k") + 2 * p1 * x * y + p2 * (r2 + 2 * x * x)
     yd = y * F.col("_k") + p1 * (r2 + 2 * y * y) + 2 * p2 * x * y
-    return df.withColumns({"u": camera.fx * xd + camera.cx, "v": camera.fy * yd + camera.cy}).drop(
+    df = df.withColumns({"u": camera.fx * xd + camera.cx, "v": camera.fy * yd + camera.cy}).drop(
         "_c0", "_c1", "_c2", "_x", "_y", "_r2", "_k")
+    return settle(df, "in_front", "u", "v")
 
 
 def in_frame(camera: Camera) -> Column:
@@ -107,7 +109,7 @@ def project_join(cells: DataFrame, poses: DataFrame, camera: Camera, model: str
         df = df.withColumns({f"_c{i}": F.col(f"r{i}0") * mid[0] + F.col(f"r{i}1") * mid[1] + F.col(f"r{i}2") * mid[2]
                              + F.col("t" + "xyz"[i]) for i in range(3)})
         dist = F.sqrt(F.col("_c0") * F.col("_c0") + F.col("_c1") * F.col("_c1") + F.col("_c2") * F.col("_c2"))
-        df = df.withColumn("_d", dist)
+        df = settle(df.withColumn("_d", dist), "_c2", "_d", "_rad")
         cone = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_c2") / F.col("_d"))))
         near = F.col("_d") <= F.col("_rad")
         hit = near | (cone <= half + F.asin(F.least(F.lit(1.0), F.col("_rad") / F.col("_d"))) + 1e-6)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from swathline.functions import constants as K
 from swathline.functions.ranking import exact_quantiles
-from swathline.functions.scalars import lookup
+from swathline.functions.scalars import lookup, settle
 from swathline.operators.geodesy import gps_to_utm, utm_to_gps
 from swathline.operators.grid import LINE, Grid
 
@@ -110,6 +110,7 @@ def warp_cells(images: DataFrame, grid: Grid) -> DataFrame:
     cells = cells.withColumns({
         "src_col": F.floor((dx * F.col("gt5") - dy * F.col("gt2")) / det).cast("int"),
         "src_row": F.floor((dy * F.col("gt1") - dx * F.col("gt4")) / det).cast("int")})
+    cells = settle(cells, "src_row", "src_col")
     return cells.where((F.col("src_col") >= 0) & (F.col("src_col") < F.col("width"))
                        & (F.col("src_row") >= 0) & (F.col("src_row") < F.col("height"))).select(
         "raster_id", "row", "col", "src_row", "src_col")

@@ -91,11 +91,9 @@ def camera_signal(raster: DataFrame, meta: DataFrame) -> DataFrame:
 def reflectance(raster: DataFrame, meta: DataFrame, clip: bool = True) -> DataFrame:
     """Signal over irradiance (put on the same exposure and gain), clipped to 0..1."""
     m = meta.select(*LINE, "sensor_gain_adjustment", "irradiance", "irradiance_exposure", "irradiance_gain")
-    value = _reflectance(F.col("value"))
-    if clip:
-        value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
-    return raster.join(m, LINE).select(
-        *LINE, "row", "col", F.when(F.col("value").isNotNull(), value).alias("value"))
+    raw = _reflectance(F.col("value"))
+    value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)) if clip else raw
+    return raster.join(m, LINE).select(*LINE, "row", "col", F.when(raw.isNotNull(), value).alias("value"))
 
 
 def calibrate(raster: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["business", "rasters"]
+MODULES = ["business", "rasters", "imaging"]
 
 
 def load() -> None:

@@ -161,6 +161,64 @@ VIEWS: dict[str, str | dict[str, str]] = {
     "poses": """SELECT capture_id AS image_id, flight AS scene, cast(capture_id AS BIGINT) AS ordinal,
         cos(yaw / 36e1) AS qw, 0e0 AS qx, 0e0 AS qy, sin(yaw / 36e1) AS qz,
         (lat - 41) * 1e5 AS tx, (lon + 37e-1) * 1e5 AS ty, alt / 10 AS tz, lat, lon, alt FROM {captures}""",
+    "camera_meta": """SELECT capture_id, lat, lon, 8 AS width, 6 AS height,
+        CASE WHEN capture_id % 4 = 0 THEN -(capture_id % 50) * 1e0 END AS relative_altitude,
+        CASE WHEN capture_id % 3 = 0 THEN 2e2 + capture_id % 60 END AS absolute_altitude,
+        CASE WHEN capture_id % 5 <> 0 THEN 19e1 + capture_id % 70 END AS exif_altitude,
+        CASE WHEN capture_id % 11 = 0 THEN 1 ELSE 0 END AS exif_altitude_ref,
+        CASE WHEN capture_id % 6 = 0 THEN (capture_id % 13) * 1e0 END AS focal_px,
+        CASE WHEN capture_id % 7 = 0 THEN 45e-1 END AS focal_mm,
+        CASE WHEN capture_id % 14 = 0 THEN 2e1 END AS plane_resolution,
+        CASE WHEN capture_id % 28 = 0 THEN 3 END AS plane_unit,
+        CASE WHEN capture_id % 5 = 0 THEN 24e0 END AS focal_35mm,
+        CASE capture_id % 9 WHEN 0 THEN 'M3M' WHEN 1 THEN 'P4M' WHEN 2 THEN 'X9' END AS drone_model,
+        CASE WHEN capture_id % 2 = 0 THEN yaw END AS flight_yaw,
+        CASE WHEN capture_id % 3 = 0 THEN yaw + 1 END AS gimbal_yaw FROM {captures}""",
+    "scenes": """SELECT raster_id, 8 AS width, 8 AS height, g.c * 1e0 AS gt0, cos(a) * 7e-1 AS gt1, -sin(a) * 7e-1 AS gt2,
+        g.r * 1e0 AS gt3, sin(a) * 7e-1 AS gt4, cos(a) * 7e-1 AS gt5 FROM (SELECT DISTINCT raster_id, capture * 37 % 90 AS c,
+        capture * 53 % 90 AS r, (capture % 60) / 1e1 AS a FROM {cells}) g""",
+    "counts": "SELECT raster_id, band, row, col, capture, floor(coalesce(value, 0) * 65535) AS value FROM {cells}",
+    "sensor_meta": """SELECT raster_id, band, capture, 8 AS width, 8 AS height, 1 + (capture % 4) / 2e0 AS sensor_gain,
+        5e2 + capture % 9 * 100 AS exposure_time_us, 32e2 AS black_level, 9e-1 + (capture % 3) / 1e1 AS sensor_gain_adjustment,
+        CASE WHEN capture % 23 = 7 THEN NULL ELSE 2e3 + capture % 500 END AS irradiance, 11e-1 AS irradiance_exposure,
+        1e0 AS irradiance_gain, 16 AS bit_depth, CASE WHEN capture % 2 = 0 THEN 41e-1 END AS centre_x,
+        CASE WHEN capture % 2 = 0 THEN 39e-1 END AS centre_y FROM (SELECT DISTINCT raster_id, band, capture FROM {cells})""",
+    "coarse": """SELECT cast(floor(y_cm / 400) AS INT) AS row, cast(floor(x_cm / 400) AS INT) AS col, max(z) AS z
+        FROM {points} GROUP BY 1, 2""",
+    "site_poses": """SELECT image_id, 0e0 AS qw, a AS qx, b AS qy, 0e0 AS qz, -((1 - 2 * b * b) * cx + 2 * a * b * cy) AS tx,
+        -(2 * a * b * cx + (1 - 2 * a * a) * cy) AS ty, cz AS tz, 1 - 2 * b * b AS r00, 2 * a * b AS r01,
+        1 - 2 * a * a AS r11, cx, cy, cz FROM (SELECT s_suppkey AS image_id, cos(s_suppkey % 31 / 1e1) AS a, sin(s_suppkey % 31 / 1e1) AS b,
+        (s_suppkey * 7919 % 197) * 1e0 AS cx, (s_suppkey * 104729 % 199) * 1e0 AS cy, 13e1 + s_suppkey % 20 AS cz FROM {supplier})""",
+    "mark_lines": """SELECT line_no, CASE k WHEN 0 THEN concat(n, ' 454400.746373 [2323] -40,N -15,E 83,V ', la, ',Lat ', lo, ',Lon ', al, ',Ellh')
+        WHEN 1 THEN concat(n, ' 2024/07/19 08:43:15 ', la, ' ', lo, ' ', al) WHEN 2 THEN concat('  ', n, ' 2024/07/19T08:43:15  ', la, ' ', lo, ' ', al, ' x')
+        WHEN 3 THEN concat('# ', n, ' 1 ', la, ' ', lo, ' ', al) WHEN 4 THEN '   ' WHEN 5 THEN concat(n, ' t ', la, ' bad ', al)
+        ELSE concat('; ', la) END AS value, k, n, cast(la AS DOUBLE) AS lat, cast(lo AS DOUBLE) AS lon, cast(al AS DOUBLE) AS alt
+        FROM (SELECT event_id AS line_no, event_id % 7 AS k, cast(event_id * 13 % 3000 + 1 AS STRING) AS n,
+        concat('41.', lpad(cast(event_id AS STRING), 8, '0')) AS la, concat('23.', lpad(cast(event_id * 3 AS STRING), 8, '0')) AS lo,
+        concat(cast(event_id % 100 AS STRING), '.5') AS al FROM {events})""",
+    "pose_lines": """SELECT event_id AS line_no, CASE WHEN event_id % 10 = 0 THEN '# image qw qx qy qz tx ty tz' WHEN event_id % 10 = 1 THEN '1 2 3'
+        ELSE concat(cast(event_id AS STRING), ' img', cast(event_id AS STRING), '.jpg 1.0 0.0 0.5 -0.25  ', cast(event_id % 100 AS STRING), '.5 ',
+        cast(event_id % 7 AS STRING), ' -', cast(event_id % 9 AS STRING), '.25 camera') END AS value, event_id FROM {events}""",
+    "control": """SELECT s_suppkey AS line_no, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE cast(s_suppkey % 60 AS STRING) END AS id,
+        CASE WHEN s_suppkey % 8 = 0 THEN NULL ELSE concat('p', cast(s_suppkey % 30 AS STRING)) END AS point_id, s_name AS name,
+        cast(s_acctbal AS STRING) AS x, cast(s_suppkey AS STRING) AS y, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '7.5' END AS z FROM {supplier}""",
+    "spectra": """SELECT o_orderkey AS line_no, cast(o_orderkey AS STRING) AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'bad' ELSE cast(o_orderkey % 97 / 1e2 AS STRING) END AS Red,
+        CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE cast(o_orderkey % 89 / 1e2 AS STRING) END AS Green, cast(o_orderkey % 83 / 1e2 AS STRING) AS NIR FROM {orders}""",
+    "measured": """SELECT o_orderkey AS line_no, cast(o_orderkey AS STRING) AS id, CASE WHEN o_orderkey % 6 = 0 THEN 'n/a' ELSE cast((o_orderkey % 97 + o_orderkey % 3) / 1e2 AS STRING) END AS Red,
+        cast((o_orderkey % 89 - o_orderkey % 4) / 1e2 AS STRING) AS Green, cast(o_orderkey % 41 / 1e2 AS STRING) AS NIR FROM {orders}""",
+    "stat_docs": """SELECT o_orderkey AS doc_id, concat('{"outputs": {"orthomosaic.tif": {"width": ', cast(o_orderkey % 900 AS STRING), ', "height": 80, "crs": "EPSG:32630", "size_mb": 1.5, "bands": ',
+        cast(o_orderkey % 5 AS STRING), ', "geotransform": [0, ', cast(o_orderkey % 40 / 1e3 AS STRING), ', 0, 0, 0, -1]}, "dsm.tif": {"width": 7}}}') AS doc FROM {orders}""".replace('{"outputs', '{{"outputs').replace('{"orthomosaic', '{{"orthomosaic').replace('{"width', '{{"width').replace('-1]}, ', '-1]}}, ').replace('7}}}', '7}}}}}}'),
+    "classified": """SELECT dataset_id, concat('set/', lpad(cast(image_id AS STRING), 9, '0'), '_', cast(batch_id AS STRING), '_', cast(file_size AS STRING)) AS file_path,
+        CASE WHEN dataset_id % 4 = 0 THEN 'rgb' ELSE CASE image_id % 4 WHEN 0 THEN 'rgb' WHEN 1 THEN 'red' WHEN 2 THEN 'nir' ELSE 'unknown' END END AS band,
+        CASE batch_id % 3 WHEN 0 THEN 'dji' WHEN 1 THEN 'micasense' ELSE 'unknown' END AS manufacturer, CASE batch_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'M3M' ELSE 'Altum' END AS drone_model,
+        CASE WHEN status = 'FAILED' THEN 'unreadable' END AS error, batch_id AS folder_no,
+        CASE status WHEN 'FAILED' THEN 'failed' WHEN 'PROCESSING' THEN 'calibrated' ELSE 'reflectance' END AS state FROM {images}""",
+    "image_names": """SELECT l_orderkey AS k, l_linenumber AS ln, l_partkey AS pk, concat('DJI_', cast(l_orderkey AS STRING), CASE l_partkey % 12 WHEN 0 THEN '_D.JPG' WHEN 1 THEN '_ms_g.TIF' WHEN 2 THEN '_MS_NIR.TIF'
+        WHEN 3 THEN '_NIR.tif' WHEN 4 THEN '_RGB.jpg' WHEN 5 THEN '_T.jpg' WHEN 6 THEN '_TIR.jpg' WHEN 7 THEN '_MS_RE.TIF' WHEN 8 THEN '_MS_R.TIF' ELSE '.png' END) AS file_name,
+        CASE l_suppkey % 6 WHEN 0 THEN 'Red Edge' WHEN 1 THEN 'Panchro' WHEN 2 THEN ' near-infrared ' WHEN 3 THEN 'odd' ELSE NULL END AS band_name,
+        CASE l_partkey % 5 WHEN 0 THEN 'DJI' WHEN 1 THEN 'MicaSense' WHEN 2 THEN 'Parrot' ELSE NULL END AS make, CASE l_partkey % 3 WHEN 0 THEN 'RedEdge-M' END AS model,
+        cast(NULL AS STRING) AS software, CASE l_suppkey % 7 WHEN 0 THEN 'DJI Mavic 3M' WHEN 1 THEN ' Altum-PT ' WHEN 2 THEN 'P4 RTK' WHEN 3 THEN 'Sequoia' END AS drone_model,
+        CASE l_suppkey % 4 WHEN 0 THEN 'RGB' WHEN 1 THEN 'L' END AS colour_mode FROM {lineitem}""",
     "observations": """SELECT l_partkey AS point_id, l_orderkey AS image_id, l_discount * 10 AS error FROM {lineitem}""",
 }
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from swathline.functions import constants as K
 from swathline.functions.scalars import lookup
@@ -95,57 +95,54 @@ def stage_durations(events: DataFrame, slot: str = "day") -> DataFrame:
 
 
 def stage_machine(events: DataFrame) -> DataFrame:
-    """Current state per job after all its stage events: the newest event decides.
+    """Current state per job after all its stage events.
 
-    start -> running at that stage; complete -> at the next stage (completed after the last); fail -> failed.
+    Status: the newest start (running), failure (failed) or completion of the last stage (completed) decides.
+    Stage and progress: the newest start gives its stage, the newest completion the stage that follows.
     """
-    rec = F.max(F.struct("ts", "event_id", "action", "stage")).alias("r")
-    # a failure keeps the stage of the newest start or completion
-    moved = F.max(F.when(F.col("action") != "fail", F.struct("ts", "event_id", "action", "stage"))).alias("m")
-    per = events.groupBy("job_id").agg(rec, moved)
-    follow = next_stage(F.col("m.stage"))
-    at = F.when(F.col("m.action") == "start", F.col("m.stage")).otherwise(follow)
-    ended = (F.col("m.action") == "complete") & (follow == "completed")
-    status = F.when(F.col("r.action") == "fail", "failed").when(ended, "completed").otherwise("running")
+    rec = F.struct("ts", "event_id", "action", "stage")
+    ending = (F.col("action") == "complete") & (next_stage(F.col("stage")) == "completed")
+    decisive = F.max(F.when((F.col("action") != "complete") | ending, rec)).alias("d")
+    moved = F.max(F.when(F.col("action") != "fail", rec)).alias("m")
+    per = events.groupBy("job_id").agg(F.max("ts").alias("updated_at"), decisive, moved)
+    at = F.when(F.col("m.action") == "start", F.col("m.stage")).otherwise(next_stage(F.col("m.stage")))
+    status = (F.when(F.col("d.action") == "fail", "failed").when(F.col("d.action") == "start", "running")
+              .when(F.col("d.action") == "complete", "completed").otherwise("pending"))
     return per.select("job_id", status.alias("status"), at.alias("current_stage"),
-                      lookup(at, K.STAGE_PROGRESS).alias("progress"), F.col("r.ts").alias("updated_at"))
+                      lookup(at, K.STAGE_PROGRESS).alias("progress"), "updated_at")
 
 
-class StageMachine(StatefulProcessor):
-    """Per job: the newest start of each stage, with an expiry; emits a row per completed stage."""
+def _advance(ttl_ms: int):
+    """Per job and stage: keep the newest start, emit a row per completion, lapse after the expiry."""
 
-    def __init__(self, ttl_hours: int = K.STATE_TTL_HOURS):
-        self._ttl = ttl_hours * 3600 * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._starts = handle.getMapState("starts", "stage string", "started long", ttlDurationMs=self._ttl)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = [f for f in rows if len(f)]
-        if not frames:
+    def work(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
             return
-        pdf = pd.concat(frames).sort_values(["ts", "event_id"])
-        out = []
-        for event, ts, stage, action in zip(pdf["event_id"], pdf["ts"], pdf["stage"], pdf["action"]):
-            micros = pd.Timestamp(ts).value // 1000
-            if action == "start":
-                self._starts.updateValue((stage,), (micros,))
-            elif action == "complete":
-                began = self._starts.getValue((stage,))
-                took = (micros - began[0]) / 1e6 if began is not None else None
-                out.append((int(event), key[0], stage, took))
-        if out:
-            yield pd.DataFrame(out, columns=["event_id", "job_id", "stage", "duration_seconds"])
-
-    def close(self) -> None:
-        pass
-
-
-def stage_machine_stream(events: DataFrame, ttl_hours: int = K.STATE_TTL_HOURS) -> DataFrame:
-    """Streaming twin of ``stage_durations``; needs the RocksDB state store."""
-    return events.groupBy("job_id").transformWithStateInPandas(
-        StageMachine(ttl_hours), "event_id long, job_id long, stage string, duration_seconds double",
-        outputMode="Append", timeMode="ProcessingTime")
+        began = state.get[0] if state.exists else None
+        # one micro-batch of one stage of one job; the source's rate limit bounds it
+        pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        micros = pdf["ts"].astype("datetime64[us]").astype("int64")
+        starts = micros.where(pdf["action"] == "start").ffill()
+        if began is not None:
+            starts = starts.fillna(began)
+        done = pdf["action"] == "complete"
+        out = pd.DataFrame({"event_id": pdf["event_id"][done], "job_id": key[0], "stage": key[1],
+                            "duration_seconds": (micros[done] - starts[done]) / 1e6})
+        if pd.notna(starts.iloc[-1]):
+            state.update((int(starts.iloc[-1]),))
+            state.setTimeoutTimestamp(max(int(micros.iloc[-1]) // 1000, state.getCurrentWatermarkMs()) + ttl_ms)
+        yield out
+
+    return work
+
+
+def stage_machine_stream(events: DataFrame, ttl_hours: int = K.STATE_TTL_HOURS, delay: str = "1 hour") -> DataFrame:
+    """Streaming twin of ``stage_durations``; state lapses ``ttl_hours`` of event time after the last write."""
+    timed = events.select("event_id", "job_id", F.col("ts").cast("timestamp").alias("ts"), "stage", "action")
+    return timed.withWatermark("ts", delay).groupBy("job_id", "stage").applyInPandasWithState(
+        _advance(ttl_hours * 3600 * 1000), "event_id long, job_id long, stage string, duration_seconds double",
+        "started long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def dedupe_product(uploads: DataFrame) -> DataFrame:
