@@ -98,9 +98,9 @@ def ratio_match(descriptors: DataFrame, pairs: DataFrame, max_ratio: float = 0.7
     left = tasks.join(keyed.withColumnsRenamed({"image_id": "from_id", "blk": "fb"}), ["from_id", "fb"]).select(
         "pair", "side", "fb", "tb", "desc_id", "vec")
     right = tasks.join(keyed.withColumnsRenamed({"image_id": "to_id", "blk": "tb"}), ["to_id", "tb"]).select(
-        "pair", "side", "fb", "tb", "desc_id", "vec")
+        *[F.col(c).alias(f"r_{c}") for c in ("pair", "side", "fb", "tb")], "desc_id", "vec")
     group = ["pair", "side", "fb", "tb"]
-    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(
+    found = left.groupBy(*group).cogroup(right.groupBy(*[f"r_{c}" for c in group])).applyInPandas(
         _two_best(block), "pair string, side string, q long, m long, dot double")
     # the two best of all blocks; Spark trims each group to two rows before the shuffle
     top = top_per_group(found, ["pair", "side", "q"], [F.desc("dot"), F.asc("m")], 2)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["business", "rasters", "imaging"]
+MODULES = ["business", "rasters", "imaging", "survey", "streams"]
 
 
 def load() -> None:

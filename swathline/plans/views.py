@@ -206,8 +206,10 @@ VIEWS: dict[str, str | dict[str, str]] = {
         CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE cast(o_orderkey % 89 / 1e2 AS STRING) END AS Green, cast(o_orderkey % 83 / 1e2 AS STRING) AS NIR FROM {orders}""",
     "measured": """SELECT o_orderkey AS line_no, cast(o_orderkey AS STRING) AS id, CASE WHEN o_orderkey % 6 = 0 THEN 'n/a' ELSE cast((o_orderkey % 97 + o_orderkey % 3) / 1e2 AS STRING) END AS Red,
         cast((o_orderkey % 89 - o_orderkey % 4) / 1e2 AS STRING) AS Green, cast(o_orderkey % 41 / 1e2 AS STRING) AS NIR FROM {orders}""",
-    "stat_docs": """SELECT o_orderkey AS doc_id, concat('{"outputs": {"orthomosaic.tif": {"width": ', cast(o_orderkey % 900 AS STRING), ', "height": 80, "crs": "EPSG:32630", "size_mb": 1.5, "bands": ',
-        cast(o_orderkey % 5 AS STRING), ', "geotransform": [0, ', cast(o_orderkey % 40 / 1e3 AS STRING), ', 0, 0, 0, -1]}, "dsm.tif": {"width": 7}}}') AS doc FROM {orders}""".replace('{"outputs', '{{"outputs').replace('{"orthomosaic', '{{"orthomosaic').replace('{"width', '{{"width').replace('-1]}, ', '-1]}}, ').replace('7}}}', '7}}}}}}'),
+    "stat_docs": """SELECT o_orderkey AS doc_id, replace(replace(concat('<"outputs": <"orthomosaic.tif": <"width": ',
+        cast(o_orderkey % 900 AS STRING), ', "height": 80, "crs": "EPSG:32630", "size_mb": 1.5, "bands": ', cast(o_orderkey % 5 AS STRING),
+        ', "geotransform": [0, ', cast(o_orderkey % 40 / 1e3 AS STRING), ', 0, 0, 0, -1]>, "dsm.tif": <"width": 7>>>'),
+        '<', chr(123)), '>', chr(125)) AS doc FROM {orders}""",
     "classified": """SELECT dataset_id, concat('set/', lpad(cast(image_id AS STRING), 9, '0'), '_', cast(batch_id AS STRING), '_', cast(file_size AS STRING)) AS file_path,
         CASE WHEN dataset_id % 4 = 0 THEN 'rgb' ELSE CASE image_id % 4 WHEN 0 THEN 'rgb' WHEN 1 THEN 'red' WHEN 2 THEN 'nir' ELSE 'unknown' END END AS band,
         CASE batch_id % 3 WHEN 0 THEN 'dji' WHEN 1 THEN 'micasense' ELSE 'unknown' END AS manufacturer, CASE batch_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'M3M' ELSE 'Altum' END AS drone_model,

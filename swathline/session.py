@@ -24,20 +24,27 @@ def build_session(app: str = "swathline", master: str | None = None, **extra: st
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    Used where a small table is read by two branches that must agree to the last bit (floating
-    sums may differ when a lost task is run again).  The folder is the one the cluster names in
-    ``spark.checkpoint.dir``; a folder of our own is made only in local mode where none is set.
+    A folder of our own is made only in local mode where none is set.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="swathline-cp-")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="swathline-cp-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and go on from there.
+
+    Used where a small table is read by two branches that must agree to the last bit (floating
+    sums may differ when a lost task is run again).
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
