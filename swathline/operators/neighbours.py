@@ -1,7 +1,9 @@
 """Neighbourhood work on rasters: stencils, distances along lines, erosion, hole filling.
 
 Windows run along one raster line (a row, a column or a diagonal), never over a whole raster, so a
-task holds one line at a time.
+task holds one line at a time.  What follows a cell is read with the line in falling order: a frame that
+starts at the line's first row is kept up to date row by row, one that ends at its last row is computed
+anew for every cell.
 """
 
 from __future__ import annotations
@@ -84,9 +86,9 @@ def erode(mask: DataFrame, n: int) -> DataFrame:
     df = _runs(mask.select("raster_id", "row", "col"), [*key, "col"], "row", "_u", "_d", "_iv")
     df = df.withColumn("_g", F.least("_u", "_d")).drop("_u", "_d", "_iv")
     df = _runs(df, [*key, "row"], "col", "_l", "_r", "_ih")
-    run = W.partitionBy(*key, "row", "_ih").orderBy("col")
-    before = F.min(F.col("_g") - F.col("col")).over(run.rowsBetween(W.unboundedPreceding, 0)) + F.col("col")
-    after = F.min(F.col("_g") + F.col("col")).over(run.rowsBetween(0, W.unboundedFollowing)) - F.col("col")
+    run = W.partitionBy(*key, "row", "_ih").rowsBetween(W.unboundedPreceding, 0)
+    before = F.min(F.col("_g") - F.col("col")).over(run.orderBy("col")) + F.col("col")
+    after = F.min(F.col("_g") + F.col("col")).over(run.orderBy(F.desc("col"))) - F.col("col")
     df = df.withColumn("_dist", F.least("_l", "_r", before, after))
     return df.where(F.col("_dist") > n).select("raster_id", "row", "col")
 
@@ -109,11 +111,11 @@ def nearest_valid(raster: DataFrame, max_distance: int) -> DataFrame:
     Ties go to the smaller row, then column.  Along each row every cell learns the closest valid cell on
     either side; a hole then compares at most 2 * max_distance + 1 rows of its own column.
     """
-    across = W.partitionBy(*LINE, "row").orderBy("col")
+    across = W.partitionBy(*LINE, "row").rowsBetween(W.unboundedPreceding, 0)
     here = F.when(F.col("value").isNotNull(), F.struct("col", "value"))
     sides = raster.withColumns({
-        "_l": F.last(here, ignorenulls=True).over(across.rowsBetween(W.unboundedPreceding, 0)),
-        "_r": F.first(here, ignorenulls=True).over(across.rowsBetween(0, W.unboundedFollowing))})
+        "_l": F.last(here, ignorenulls=True).over(across.orderBy("col")),
+        "_r": F.last(here, ignorenulls=True).over(across.orderBy(F.desc("col")))})
     found = sides.select(*LINE, F.col("row").alias("row2"), "col", "_l", "_r").where(
         "_l IS NOT NULL OR _r IS NOT NULL")
     holes = raster.where(F.col("value").isNull()).select(
@@ -146,10 +148,9 @@ def fill_holes(raster: DataFrame, max_distance: int = 100, smooth: int = 0) -> D
     lines = {"h": ([*LINE, "row"], "col"), "v": ([*LINE, "col"], "row"),
              "d": ([*LINE, F.col("row") - F.col("col")], "row"), "a": ([*LINE, F.col("row") + F.col("col")], "row")}
     for name, (keys, order) in lines.items():
-        win = W.partitionBy(*keys).orderBy(order)
-        df = df.withColumns({
-            f"_{name}0": F.last("_v", ignorenulls=True).over(win.rowsBetween(W.unboundedPreceding, -1)),
-            f"_{name}1": F.first("_v", ignorenulls=True).over(win.rowsBetween(1, W.unboundedFollowing))})
+        win = W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+        df = df.withColumns({f"_{name}0": F.last("_v", ignorenulls=True).over(win.orderBy(order)),
+                             f"_{name}1": F.last("_v", ignorenulls=True).over(win.orderBy(F.desc(order)))})
     num, den = F.lit(0.0), F.lit(0.0)
     for name in lines:
         for k in "01":

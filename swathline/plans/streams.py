@@ -150,6 +150,13 @@ def _(t: Tables):
     return hours(run_to_end(W.hourly_counter(errors(streamed(t))), "complete"))
 
 
+@query("stream_alarm", ALARM_SQL)
+def _(t: Tables):
+    live = streamed(t).events.select(F.col("event_type").alias("metric"), "ts", "value")
+    out = run_to_end(W.alarm_stream(live, 10.0), "complete")
+    return out.select("metric", F.col("start").cast("timestamp_ntz").alias("start"), r6("mean").alias("mean"))
+
+
 @query("stream_stage_machine", f"SELECT event_id, job_id, stage, duration_seconds FROM ({DURATION_SQL})")
 def _(t: Tables):
     return run_to_end(C.stage_machine_stream(streamed(t).stage_events), "append").withColumn("duration_seconds", r6("duration_seconds"))

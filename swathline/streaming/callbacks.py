@@ -70,7 +70,7 @@ def running_status(events: DataFrame) -> DataFrame:
         "job_id", F.col("r.stage").alias("last_stage"), F.col("r.ts").alias("finished_at"))
 
 
-def stage_durations(events: DataFrame, slot: str = "day") -> DataFrame:
+def stage_durations(events: DataFrame, slot: str = "hour") -> DataFrame:
     """One row per completion (event_id, job_id, ts, stage, action): seconds since the newest start of that
     job and stage, and the stage that follows.
 
