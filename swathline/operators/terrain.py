@@ -20,10 +20,14 @@ def sobel_y() -> Column:
 
 
 def _completed(around: DataFrame) -> DataFrame:
-    """Missing neighbours: carried on in a straight line through the centre, else the centre itself."""
-    opposite = {"nw": "se", "n": "s", "ne": "sw", "w": "e", "e": "w", "sw": "ne", "s": "n", "se": "nw"}
-    return around.withColumns({
-        side: F.coalesce(F.col(side), 2 * F.col("c") - F.col(other), F.col("c")) for side, other in opposite.items()})
+    """Missing neighbours: carried on in a straight line through the centre; failing that a side takes the
+    centre's value and a corner the plane through the centre and its two sides."""
+    sides = {"n": "s", "s": "n", "w": "e", "e": "w"}
+    df = around.withColumns({a: F.coalesce(F.col(a), 2 * F.col("c") - F.col(b), F.col("c")) for a, b in sides.items()})
+    corners = {"nw": "se", "ne": "sw", "sw": "ne", "se": "nw"}
+    return df.withColumns({
+        a: F.coalesce(F.col(a), 2 * F.col("c") - F.col(b), F.col(a[0]) + F.col(a[1]) - F.col("c"))
+        for a, b in corners.items()})
 
 
 def hillshade(raster: DataFrame, res: float, azimuth: float = 315.0, altitude: float = 45.0,

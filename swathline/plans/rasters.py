@@ -247,14 +247,15 @@ def around_sql(source: str, last_row: int = 399, last_col: int = 399, keys: str
             f"ON b.row = {r} AND b.col = {c}{on} GROUP BY {ks}a.row, a.col")
 
 
-OPPOSITE = {"nw": "se", "n": "s", "ne": "sw", "w": "e", "e": "w", "sw": "ne", "s": "n", "se": "nw"}
-DONE_SQL = "SELECT row, col, c, " + ", ".join(f"coalesce({a}, 2 * c - {b}, c) AS {a}" for a, b in OPPOSITE.items())
+SIDES_SQL = "(SELECT * REPLACE (coalesce(n, 2 * c - s, c) AS n, coalesce(s, 2 * c - n, c) AS s, coalesce(w, 2 * c - e, c) AS w, coalesce(e, 2 * c - w, c) AS e) FROM ({src}))"
+DONE_SQL = ("SELECT * REPLACE (coalesce(nw, 2 * c - se, n + w - c) AS nw, coalesce(ne, 2 * c - sw, n + e - c) AS ne, "
+            "coalesce(sw, 2 * c - ne, s + w - c) AS sw, coalesce(se, 2 * c - nw, s + e - c) AS se) FROM ")
 GX, GY = "((ne + 2 * e + se) - (nw + 2 * w + sw))", "((sw + 2 * s + se) - (nw + 2 * n + ne))"
 
 
 @query("hillshade", f"""SELECT 'dsm' AS raster_id, 'dsm' AS band, row, col, round(CASE WHEN g <= 0 THEN 1e0 ELSE 1 + 254 * g END, 6) AS value
   FROM (SELECT row, col, (sin(radians(45)) - cos(radians(45)) * sqrt(x * x + y * y) * sin(atan2(y, x) - radians(315))) / sqrt(1 + x * x + y * y) AS g
-  FROM (SELECT row, col, -{GX} / 4e0 AS x, -{GX} * 0 + {GY} / 4e0 AS y FROM ({DONE_SQL} FROM ({around_sql('{dense}')}) WHERE c IS NOT NULL)))""")
+  FROM (SELECT row, col, -{GX} / 4e0 AS x, -{GX} * 0 + {GY} / 4e0 AS y FROM ({DONE_SQL + SIDES_SQL.replace('{src}', around_sql('{dense}'))} WHERE c IS NOT NULL)))""")
 def _(t: Tables):
     h = T.hillshade(dense(t), res=0.5)
     return h.where("value IS NOT NULL").withColumn("value", r6("value"))
