@@ -29,72 +29,95 @@ def bucketed_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
             .drop("_bucket", "_before", "_inner"))
 
 
+SLOTS = 65536
+SUBSLOTS = 4096
+
+
+def _scaled(v: Column) -> tuple[Column, Column]:
+    """Exponent of |v| and |v| over that power of two, less one."""
+    size = F.abs(v)
+    e = F.greatest(F.lit(-1000.0), F.least(F.lit(1023.0), F.floor(F.log2(size)).cast("double")))
+    return e, size / F.pow(F.lit(2.0), e) - 1.0
+
+
+def value_slot(v: Column) -> Column:
+    """A whole number that never falls as ``v`` rises: exponent and the leading 16 bits of the mantissa.
+
+    It depends on the value alone, so it needs no pass for the extremes, and every task gives a value the
+    same slot.
+    """
+    e, frac = _scaled(v)
+    inner = (e + 1100) * SLOTS + F.floor(frac * SLOTS)
+    slot = F.when(v == 0, 0.0).when(F.abs(v) == float("inf"), 3000.0 * SLOTS).otherwise(inner)
+    return (F.signum(v) * slot).cast("long")
+
+
+def _subslot(v: Column) -> Column:
+    _, frac = _scaled(v)
+    part = frac * SLOTS - F.floor(frac * SLOTS)
+    rank = F.floor(part * SUBSLOTS)
+    return F.coalesce(F.when(v < 0, -rank).otherwise(rank), F.lit(0)).cast("long")
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                    weight: str | None = None, bins: int = 1024, levels: int = 2) -> DataFrame:
+                    weight: str | None = None, fine: bool = False) -> DataFrame:
     """Linearly interpolated quantiles per group, exact, as one column per entry of ``probs``.
 
-    Equal values are merged first, so a value shared by a third of the rows is one row.  Then each
-    round histograms the rows that may still hold a wanted rank and keeps only the bins that do; the
-    final ranking sees about 1/bins**levels of a group.  min, max and counts are exact in any order,
-    so both readers of a bin agree even when a lost task is run again.
+    Two passes over the input.  The first counts values per (group, slot) inside the map tasks and finds the
+    slots that hold the wanted ranks.  The second keeps only the rows of those slots, merges equal values and
+    ranks what is left, some 1/20000 of a group.  ``fine`` cuts a slot into 4096 parts before ranking, for
+    groups so large that even a slot should not be sorted in one task.
     """
     n = F.col(weight) if weight else F.lit(1)
-    rows = (df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-            .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-            .agg(F.sum(n).cast("long").alias("_n")))
-    all_keys = list(keys) or ["_all"]
+    named = list(keys) or ["_all"]
+    v = F.col(value).cast("double")
+    base = df.where(v.isNotNull() & ~F.isnan(v))
     if not keys:
-        rows = rows.withColumn("_all", F.lit(0))
-    total = rows.groupBy(*all_keys).agg(
-        F.sum("_n").alias("_total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    wanted_pairs = []
+        base = base.withColumn("_all", F.lit(0))
+    rows = base.select(*named, v.alias("_v"), n.cast("long").alias("_n"), value_slot(v).alias("_slot"))
+
+    hist = rows.groupBy(*named, "_slot").agg(F.sum("_n").alias("_m"))
+    line = W.partitionBy(*named)
+    hist = hist.withColumns({
+        "_end": F.sum("_m").over(line.orderBy("_slot").rowsBetween(W.unboundedPreceding, W.currentRow)),
+        "_total": F.sum("_m").over(line)})
+    wanted = []
     for label, q in probs.items():
         at = F.lit(float(q)) * (F.col("_total") - 1)
-        wanted_pairs.append(F.struct(F.lit(label).alias("label"), F.lit("lo").alias("side"),
-                                     F.floor(at).cast("long").alias("rank"),
-                                     (at - F.floor(at)).alias("frac")))
-        wanted_pairs.append(F.struct(F.lit(label).alias("label"), F.lit("hi").alias("side"),
-                                     F.ceil(at).cast("long").alias("rank"),
-                                     (at - F.floor(at)).alias("frac")))
-    targets = (total.select(*all_keys, F.explode(F.array(*wanted_pairs)).alias("_t"))
-               .select(*all_keys, "_t.*"))
-    # each round: targets carry (path, lo, hi, base) of the bin that holds their rank
-    spans = total.select(*all_keys, F.lit("").alias("_path"), "_lo", "_hi",
-                         F.lit(0).cast("long").alias("_base"))
-    live = rows.join(spans, all_keys)
-    for _ in range(levels):
-        slot = F.when(F.col("_hi") > F.col("_lo"), F.least(
-            F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins),
-            F.lit(bins - 1))).otherwise(F.lit(0)).cast("long")
-        live = live.withColumn("_slot", slot)
-        hist = (live.groupBy(*all_keys, "_path", "_base", "_slot")
-                .agg(F.sum("_n").alias("_m"), F.min("_v").alias("_nlo"), F.max("_v").alias("_nhi")))
-        run = F.sum("_m").over(W.partitionBy(*all_keys, "_path", "_base").orderBy("_slot")
-                               .rowsBetween(W.unboundedPreceding, W.currentRow))
-        hist = hist.withColumn("_end", F.col("_base") + run)
-        hist = hist.withColumn("_start", F.col("_end") - F.col("_m"))
-        # a bin survives when it holds at least one wanted rank
-        keep = (hist.join(targets.groupBy(*all_keys).agg(F.collect_set("rank").alias("_ranks")), all_keys)
-                .where(F.exists("_ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_end"))))
-                .select(*all_keys, "_path", "_base", "_slot", "_nlo", "_nhi", "_start"))
-        live = (live.drop("_lo", "_hi")
-                .join(keep, [*all_keys, "_path", "_base", "_slot"])
-                .select(*all_keys, F.concat_ws("/", F.col("_path"), F.col("_slot")).alias("_path"), "_v", "_n",
-                        F.col("_nlo").alias("_lo"), F.col("_nhi").alias("_hi"),
-                        F.col("_start").alias("_base")))
-    cum = F.sum("_n").over(W.partitionBy(*all_keys, "_path", "_base").orderBy("_v")
-                           .rowsBetween(W.unboundedPreceding, W.currentRow))
-    ranked = live.withColumn("_end", F.col("_base") + cum).withColumn(
-        "_start", F.col("_end") - F.col("_n"))
-    hit = (ranked.join(targets, all_keys)
-           .where((F.col("rank") >= F.col("_start")) & (F.col("rank") < F.col("_end"))))
+        for side, edge in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            wanted.append(F.struct(F.lit(label).alias("label"), F.lit(side).alias("side"),
+                                   edge.cast("long").alias("rank"), (at - F.floor(at)).alias("frac")))
+    held = F.filter(F.array(*wanted), lambda t: (t["rank"] >= F.col("_end") - F.col("_m")) & (t["rank"] < F.col("_end")))
+    spots = (hist.withColumn("_want", held).where(F.size("_want") > 0)
+             .select(*named, "_slot", (F.col("_end") - F.col("_m")).alias("_base"), "_want"))
+
+    where = [*named, "_slot"]
+    # a slot has one base and one list of wanted ranks, so any row of it carries them
+    live = rows.join(spots, where).groupBy(*where, "_base", "_v").agg(
+        F.sum("_n").alias("_n"), F.first("_want").alias("_want"))
+    part = where
+    if fine:
+        live = live.withColumn("_sub", _subslot(F.col("_v")))
+        part = [*where, "_sub"]
+        subs = live.groupBy(*part).agg(F.sum("_n").alias("_m"))
+        before = F.sum("_m").over(W.partitionBy(*where).orderBy("_sub").rowsBetween(W.unboundedPreceding, -1))
+        live = live.join(subs.select(*part, F.coalesce(before, F.lit(0)).alias("_before")), part)
+    else:
+        live = live.withColumn("_before", F.lit(0))
+    run = F.sum("_n").over(W.partitionBy(*part).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = live.withColumn("_run", run)
+    end = F.col("_base") + F.col("_before") + F.col("_run")
+    hit = (ranked.withColumn("_hi", end).withColumn("_lo", F.col("_hi") - F.col("_n"))
+           .withColumn("_t", F.explode(F.filter("_want", lambda t: (t["rank"] >= F.col("_lo")) & (t["rank"] < F.col("_hi"))))))
     out = []
     for label in probs:
-        lo = F.max(F.when((F.col("label") == label) & (F.col("side") == "lo"), F.col("_v")))
-        hi = F.max(F.when((F.col("label") == label) & (F.col("side") == "hi"), F.col("_v")))
-        frac = F.max(F.when(F.col("label") == label, F.col("frac")))
-        out.append((lo + (hi - lo) * frac).alias(label))
-    result = hit.groupBy(*all_keys).agg(*out)
+        mine = F.col("_t.label") == label
+        lo = F.max(F.when(mine & (F.col("_t.side") == "lo"), F.col("_v")))
+        hi = F.max(F.when(mine & (F.col("_t.side") == "hi"), F.col("_v")))
+        frac = F.max(F.when(mine, F.col("_t.frac")))
+        # equal ends first: an interpolation between infinities is not a number
+        out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * frac).alias(label))
+    result = hit.groupBy(*named).agg(*out)
     return result if keys else result.drop("_all")
 
 

@@ -5,6 +5,7 @@ A raster in long form has raster_id, band, row, col, value, with NULL for nodata
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,17 +50,19 @@ class Grid:
         return F.col("row").between(0, self.height - 1) & F.col("col").between(0, self.width - 1)
 
 
-def densify(raster: DataFrame, grid: Grid) -> DataFrame:
+def densify(raster: DataFrame, grid: Grid, bands: Sequence[str] | None = None) -> DataFrame:
     """Add the missing cells of one raster as nodata, for every band it has.
 
-    The band list is at most the handful of bands a sensor has, found by a partial aggregate.
+    Without ``bands`` the handful of band names is found first by a partial aggregate.
     """
     have = raster.select("band", "row", "col", "value")
-    empty = grid.cells(raster.sparkSession)
-    names = F.array_sort(F.collect_set("band"))
-    listed = raster.agg(names.alias("bands")).withColumn("_k", F.lit(0))
-    spread = (empty.withColumn("_k", F.lit(0)).join(F.broadcast(listed), "_k")  # one row: the band names
-              .select(F.explode("bands").alias("band"), "row", "col"))
+    cells = grid.cells(raster.sparkSession)
+    if bands:
+        spread = cells.select(F.explode(F.array(*[F.lit(b) for b in bands])).alias("band"), "row", "col")
+    else:
+        listed = raster.agg(F.collect_set("band").alias("bands")).withColumn("_k", F.lit(0))
+        spread = (cells.withColumn("_k", F.lit(0)).join(F.broadcast(listed), "_k")  # one row: the band names
+                  .select(F.explode("bands").alias("band"), "row", "col"))
     return (spread.join(have, ["band", "row", "col"], "left")
             .select(F.lit(grid.raster_id).alias("raster_id"), "band", "row", "col", "value"))
 

@@ -17,11 +17,12 @@ from swathline.operators.grid import LINE
 SIDES = ["nw", "n", "ne", "w", "c", "e", "sw", "s", "se"]
 
 
-def stencil(raster: DataFrame, border: str = "null") -> DataFrame:
+def stencil(raster: DataFrame, border: str = "null", keep: tuple[str, ...] = ()) -> DataFrame:
     """Dense raster -> each cell with its 3x3 neighbourhood as columns nw .. se.
 
     Two passes: the row gives (w, c, e), then the column carries that triple up and down.  ``border``
-    outside the grid: "null", or "mirror" (the cell one step inside, without repeating the edge).
+    outside the grid: "null", or "mirror" (the cell one step inside, without repeating the edge).  Columns
+    named in ``keep`` pass through.
     """
     across = W.partitionBy(*LINE, "row").orderBy("col")
     down = W.partitionBy(*LINE, "col").orderBy("row")
@@ -44,7 +45,7 @@ def stencil(raster: DataFrame, border: str = "null") -> DataFrame:
         df = df.withColumns({"_n": F.when(F.col("_first"), F.col("_s")).otherwise(F.col("_n")),
                              "_s": F.when(F.col("_last"), F.col("_n")).otherwise(F.col("_s"))})
     return df.select(
-        *LINE, "row", "col", "value",
+        *LINE, "row", "col", "value", *keep,
         F.col("_n.w").alias("nw"), F.col("_n.c").alias("n"), F.col("_n.e").alias("ne"), "w",
         F.col("value").alias("c"), "e", F.col("_s.w").alias("sw"), F.col("_s.c").alias("s"),
         F.col("_s.e").alias("se"))
@@ -120,7 +121,8 @@ def nearest_valid(raster: DataFrame, max_distance: int) -> DataFrame:
         "_l IS NOT NULL OR _r IS NOT NULL")
     holes = raster.where(F.col("value").isNull()).select(
         *LINE, "row", "col", F.explode(F.sequence(F.lit(-max_distance), F.lit(max_distance))).alias("_dr"))
-    near = holes.withColumn("row2", F.col("row") + F.col("_dr")).join(found, [*LINE, "row2", "col"])
+    # every hole stays, also one that no valid cell is near to
+    near = holes.withColumn("row2", F.col("row") + F.col("_dr")).join(found, [*LINE, "row2", "col"], "left")
 
     def candidate(side: str) -> Column:
         dc = F.col("col") - F.col(f"{side}.col")
@@ -131,10 +133,9 @@ def nearest_valid(raster: DataFrame, max_distance: int) -> DataFrame:
 
     best = near.withColumn("_b", F.least(candidate("_l"), candidate("_r"))).groupBy(*LINE, "row", "col").agg(
         F.min("_b").alias("_b"))
-    filled = best.select(*LINE, "row", "col", F.col("_b.v").alias("_fill"))
-    return (raster.join(filled, [*LINE, "row", "col"], "left")
-            .select(*LINE, "row", "col", F.coalesce("value", "_fill").alias("value"),
-                    F.col("value").isNull().alias("was_hole")))
+    filled = best.select(*LINE, "row", "col", F.col("_b.v").alias("value"), F.lit(True).alias("was_hole"))
+    kept = raster.where(F.col("value").isNotNull()).select(*LINE, "row", "col", "value", F.lit(False).alias("was_hole"))
+    return kept.unionByName(filled)
 
 
 def fill_holes(raster: DataFrame, max_distance: int = 100, smooth: int = 0) -> DataFrame:

@@ -45,9 +45,7 @@ def hillshade(raster: DataFrame, res: float, azimuth: float = 315.0, altitude: f
 def hillshade_view(raster: DataFrame, res: float, azimuth: float = 315.0, altitude: float = 45.0,
                    vert_exag: float = 1.5) -> DataFrame:
     """Display shade 0..1: central differences on nearest-filled holes, stretched to the raster's range."""
-    filled = nearest_valid(raster, 2).select(
-        *LINE, "row", "col", "value", "was_hole")
-    around = stencil(filled.drop("was_hole"))
+    around = stencil(nearest_valid(raster, 2), keep=("was_hole",))
     az, alt = math.radians(90 - azimuth), math.radians(altitude)
 
     def slope(lo: str, hi: str) -> Column:
@@ -58,8 +56,7 @@ def hillshade_view(raster: DataFrame, res: float, azimuth: float = 315.0, altitu
     gx, gy = slope("w", "e"), -slope("n", "s")
     light = (-gx * (math.cos(az) * math.cos(alt)) - gy * (math.sin(az) * math.cos(alt)) + math.sin(alt)) \
         / F.sqrt(gx * gx + gy * gy + 1)
-    shaded = around.select(*LINE, "row", "col", light.alias("light")).join(
-        raster.where(F.col("value").isNotNull()).select(*LINE, "row", "col"), [*LINE, "row", "col"], "left_semi")
+    shaded = around.where(~F.col("was_hole")).select(*LINE, "row", "col", light.alias("light"))
     span = shaded.groupBy(*LINE).agg(F.min("light").alias("lo"), F.max("light").alias("hi"))
     scaled = F.when(F.col("hi") - F.col("lo") > 1e-6, (F.col("light") - F.col("lo")) / (F.col("hi") - F.col("lo"))
                     ).otherwise(F.col("light"))
@@ -72,12 +69,10 @@ def slope(raster: DataFrame, res: float) -> DataFrame:
 
     Only holes beside a valid cell matter for a 3x3 gradient, so a search of two cells is exact.
     """
-    filled = nearest_valid(raster, 2)
-    around = stencil(filled.drop("was_hole"), border="mirror")
+    around = stencil(nearest_valid(raster, 2), border="mirror", keep=("was_hole",))
     gx, gy = sobel_x() / (8 * res), sobel_y() / (8 * res)
-    keep = raster.where(F.col("value").isNotNull()).select(*LINE, "row", "col")
-    return around.select(*LINE, "row", "col", F.degrees(F.atan(F.sqrt(gx * gx + gy * gy))).alias("value")).join(
-        keep, [*LINE, "row", "col"], "left_semi")
+    steep = F.degrees(F.atan(F.sqrt(gx * gx + gy * gy)))
+    return around.where(~F.col("was_hole")).select(*LINE, "row", "col", steep.alias("value"))
 
 
 def laplacian(raster: DataFrame) -> DataFrame:

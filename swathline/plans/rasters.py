@@ -28,7 +28,7 @@ def dsm(t: Tables, radius: float = 50.0):
 
 
 def dense(t: Tables):
-    return densify(dsm(t), SITE)
+    return densify(dsm(t), SITE, ["dsm"])
 
 
 def ratio_sql(a: str, b: str) -> str:

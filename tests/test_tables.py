@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from swathline.functions.ranking import bucketed_row_number, exact_quantiles
+from swathline.functions.ranking import bucketed_row_number, exact_quantiles, value_slot
 from swathline.operators import matching, validate
 from swathline.plans.views import Tables
 from swathline.sources import images, stores, tables
@@ -19,14 +19,15 @@ from swathline.streaming import callbacks, windows
 from .conftest import FOLDER
 
 
-def test_quantiles_on_a_hot_group(spark):
+@pytest.mark.parametrize("fine", [False, True])
+def test_quantiles_on_a_hot_group(spark, fine):
     """A third of the rows share one value, one group has outliers of another scale."""
     rng = np.random.default_rng(0)
     a = np.concatenate([np.full(3000, 0.5), rng.normal(0, 1, 6000), [1e9, -1e9]])
     b = rng.random(7)
     rows = [("a", float(v)) for v in a] + [("b", float(v)) for v in b] + [("c", None)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", {"p1": .01, "q": .25, "m": .5, "p99": .99}, bins=64).collect()}
+    got = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", {"p1": .01, "q": .25, "m": .5, "p99": .99}, fine=fine).collect()}
     for g, arr in (("a", a), ("b", b)):
         want = np.percentile(arr, [1, 25, 50, 99])
         assert np.allclose([got[g][k] for k in ("p1", "q", "m", "p99")], want)
@@ -39,6 +40,14 @@ def test_quantiles_without_keys_and_with_weights(spark):
     assert got["m"] == np.median([1, 1, 1, 2, 10, 10, 10, 10]) and got["x"] == 10
 
 
+def test_slots_follow_the_values(spark):
+    rng = np.random.default_rng(1)
+    v = np.sort(np.concatenate([rng.normal(0, 10.0 ** rng.integers(-12, 12, 4000)), 2.0 ** np.arange(-20, 20), [0, np.inf, -np.inf, 1e-310]]))
+    rows = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i int, v double")
+    got = [r["s"] for r in rows.select("i", value_slot(F.col("v")).alias("s")).orderBy("i").collect()]
+    assert got == sorted(got)
+
+
 def test_row_numbers_across_buckets(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id"))
     got = bucketed_row_number(df, ["k"], ["id"], F.floor(F.col("id") / 37))
