@@ -98,7 +98,10 @@ def warp_cells(images: DataFrame, grid: Grid) -> DataFrame:
     lo_r, hi_r = F.greatest(F.floor("r0") - 1, F.lit(0)), F.least(F.ceil("r1") + 1, F.lit(grid.height - 1))
     lo_c, hi_c = F.greatest(F.floor("c0") - 1, F.lit(0)), F.least(F.ceil("c1") + 1, F.lit(grid.width - 1))
     inside = box.where((lo_r <= hi_r) & (lo_c <= hi_c))
-    cells = inside.withColumn("row", F.explode(F.sequence(lo_r.cast("int"), hi_r.cast("int")))).withColumn(
+    lines = inside.withColumn("row", F.explode(F.sequence(lo_r.cast("int"), hi_r.cast("int"))))
+    # a few images open out into very many cells: deal the rows over all tasks before the cells are made
+    parts = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = lines.repartition(parts, "raster_id", "row").withColumn(
         "col", F.explode(F.sequence(lo_c.cast("int"), hi_c.cast("int"))))
     cells = cells.withColumns({"east": grid.centre_x(F.col("col")), "north": grid.centre_y(F.col("row"))})
     if grid.epsg is None:

@@ -63,6 +63,22 @@ def normalised_difference(raster: DataFrame, index: str = "ndvi", mode: str = "p
                                             value.alias("value"))
 
 
+def available_indices(raster: DataFrame) -> DataFrame:
+    """Which indices each raster can give: both bands of an index must be present."""
+    have = raster.groupBy("raster_id").agg(*[
+        F.coalesce(F.bool_or(F.col("band") == b), F.lit(False)).alias(b) for b in K.SPECTRAL_BANDS])
+    return have.select("raster_id", *[(F.col(a) & F.col(b)).alias(n) for n, (a, b) in K.INDEX_DEFS.items()])
+
+
+def stretch_u8(raster: DataFrame) -> DataFrame:
+    """Valid pixels stretched to whole numbers 0..255 between the 2nd and 98th percentile; nodata becomes 0."""
+    q = exact_quantiles(raster, LINE, "value", {"lo": 0.02, "hi": 0.98})
+    scaled = (F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * 255
+    clipped = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), scaled)))
+    return raster.join(q, LINE, "left").select(
+        *LINE, "row", "col", F.coalesce(F.when(scaled.isNotNull(), clipped), F.lit(0)).cast("int").alias("value"))
+
+
 def image_mean(raster: DataFrame) -> DataFrame:
     """Mean of valid pixels per image and band; images with no valid pixel or mean <= 0 are dropped."""
     return (raster.groupBy(*LINE).agg(F.avg("value").alias("mean"), F.count("value").alias("valid"))

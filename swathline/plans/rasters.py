@@ -86,6 +86,18 @@ def _(t: Tables):
     return I.pair_pixels(t.cells, "nir", "red").withColumns({"a": r6("a"), "b": r6("b")})
 
 
+@query("available_indices", """SELECT raster_id, bool_or(band = 'nir') AND bool_or(band = 'red') AS ndvi, bool_or(band = 'nir') AND bool_or(band = 'red_edge') AS ndre,
+  bool_or(band = 'nir') AND bool_or(band = 'green') AS gndvi FROM {cells} WHERE NOT (capture % 3 = 0 AND band = 'red') AND NOT (capture % 7 = 0 AND band = 'nir') GROUP BY 1""")
+def _(t: Tables):
+    return I.available_indices(t.cells.where("NOT (capture % 3 = 0 AND band = 'red') AND NOT (capture % 7 = 0 AND band = 'nir')"))
+
+
+@query("stretch_u8", """SELECT row, col, cast(CASE WHEN value IS NULL THEN 0 ELSE floor(greatest(0e0, least(255e0, (value - lo) / (hi - lo) * 255))) END AS INT) AS value FROM {dense} CROSS JOIN
+  (SELECT quantile_cont(value, 2e-2) AS lo, quantile_cont(value, 98e-2) AS hi FROM {dsm})""")
+def _(t: Tables):
+    return I.stretch_u8(dense(t)).select("row", "col", "value")
+
+
 @query("image_mean", """SELECT raster_id, band, round(avg(value), 6) AS mean, count(value) AS valid FROM {cells} GROUP BY 1, 2
   HAVING avg(value) > 0""")
 def _(t: Tables):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from swathline.functions import constants as K
@@ -19,6 +21,7 @@ from swathline.operators import validate as V
 from swathline.plans.rasters import dense
 from swathline.plans.registry import query
 from swathline.plans.views import Tables
+from swathline.session import shared_folder
 from swathline.sources import images as SI
 from swathline.sources import stores as SS
 from swathline.sources import tables as ST
@@ -207,6 +210,33 @@ def _(t: Tables):
     return tiles.select("raster_id", "band", "level", "tr", "tc", F.size("data").cast("long").alias("pixels"), r6(total).alias("total"))
 
 
+def kept(t: Tables, name: str) -> str:
+    return f"{shared_folder(t.spark)}/{name}/{uuid.uuid4().hex}"
+
+
+@query("tiles_write", """SELECT raster_id, band, row, col, round(value, 6) AS value FROM {cells} WHERE value IS NOT NULL AND band IN ('nir', 'red') AND row BETWEEN 2 AND 6 AND col BETWEEN 1 AND 5""")
+def _(t: Tables):
+    path = kept(t, "tiles")
+    SS.tiles_write(t.cells.withColumn("raster_id", F.lit("all")).withColumn("row", F.col("row") + F.col("capture") * 8).drop("capture"), path, block=64)
+    back = SS.tiles_read(t.spark, path, bands=["nir", "red"], level=1, bbox=(0, 1, 2**30, 5), block=64)
+    back = back.withColumns({"raster_id": F.concat(F.lit("c"), F.floor(F.col("row") / 8).cast("string")), "row": (F.col("row") % 8).cast("int")})
+    return back.where("row BETWEEN 2 AND 6").select("raster_id", "band", "row", "col", r6("value").alias("value"))
+
+
+@query("manifest_write", "SELECT band, dataset_id, file_path, manufacturer FROM {classified}")
+def _(t: Tables):
+    path = kept(t, "manifest")
+    SS.manifest_write(t.classified, path)
+    return SS.manifest_read(t.spark, path).select("band", "dataset_id", "file_path", "manufacturer")
+
+
+@query("report_write", """SELECT stage, count(*) AS total_runs, count(*) FILTER (success) AS successful_runs, round(count(*) FILTER (success) / count(*), 6) AS success_rate FROM {runs} GROUP BY stage""")
+def _(t: Tables):
+    path = kept(t, "report")
+    SS.report_write(A.bench_summary(t.runs), path)
+    return t.spark.read.json(path).select("stage", "total_runs", "successful_runs", r6("success_rate").alias("success_rate"))
+
+
 # --- captures and matching ---------------------------------------------------------------------------------------
 
 @query("capture_pair", """WITH n AS (SELECT DISTINCT event_id % 4 AS b, lpad(cast(event_id % 10000 AS STRING), 4, '0') AS seq, event_id % 3 AS s FROM {events}) SELECT seq, concat('b', cast(b AS STRING)) AS band, concat('X_', seq, '_MS_', cast(b AS STRING), '_reflectance.tif') AS file_name,
