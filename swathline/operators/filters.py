@@ -150,7 +150,8 @@ def product_display(df: DataFrame) -> DataFrame:
 
 
 def seconds_between(end: Column, start: Column) -> Column:
-    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6
+    """Elapsed seconds with the fraction; as an interval, so the session's time zone plays no part."""
+    return (end - start).cast("interval second").cast("decimal(20,6)").cast("double")
 
 
 def job_duration(jobs: DataFrame, detail: bool = False) -> DataFrame:

@@ -40,17 +40,19 @@ def points_in_radius(points: DataFrame, grid: Grid, radius: float) -> DataFrame:
         points = points.repartitionByRange(
             F.floor(F.col("y") / (ay * side)), F.floor(F.col("x") / (ax * side)), "y", "x")
 
-    def span(value: Column, origin: float, step: float, last: int) -> Column:
-        a = (value - radius - origin) / step
-        b = (value + radius - origin) / step
-        lo, hi = F.floor(F.least(a, b)), F.floor(F.greatest(a, b))
-        lo, hi = F.greatest(lo, F.lit(0)).cast("int"), F.least(hi, F.lit(last)).cast("int")
+    def span(value: Column, half: Column, origin: float, step: float, last: int) -> Column:
+        """Cells along one axis whose centres lie within ``half`` of the value (a hair more for rounding)."""
+        a, b = (value - half - origin) / step - 0.5, (value + half - origin) / step - 0.5
+        lo = F.greatest(F.ceil(F.least(a, b) - 1e-9), F.lit(0)).cast("int")
+        hi = F.least(F.floor(F.greatest(a, b) + 1e-9), F.lit(last)).cast("int")
         return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
 
-    rows = points.withColumn("row", F.explode(span(F.col("y"), grid.y0, grid.dy, grid.height - 1)))
-    cells = rows.withColumn("col", F.explode(span(F.col("x"), grid.x0, grid.dx, grid.width - 1)))
-    ex = F.col("x") - grid.centre_x(F.col("col"))
+    reach = F.lit(float(radius))
+    rows = points.withColumn("row", F.explode(span(F.col("y"), reach, grid.y0, grid.dy, grid.height - 1)))
     ey = F.col("y") - grid.centre_y(F.col("row"))
+    half = F.sqrt(F.greatest(reach * reach - ey * ey, F.lit(0.0)))
+    cells = rows.withColumn("col", F.explode(span(F.col("x"), half, grid.x0, grid.dx, grid.width - 1)))
+    ex = F.col("x") - grid.centre_x(F.col("col"))
     d2 = ex * ex + ey * ey
     return cells.withColumn("dist2", d2).where(F.col("dist2") <= radius * radius).withColumn(
         "dist", F.sqrt("dist2")).drop("dist2")

@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from swathline.functions import constants as K
 from swathline.functions.scalars import lookup
-from swathline.operators.filters import next_stage
+from swathline.operators.filters import next_stage, seconds_between
 
 KNOWN_TYPES = ["progress", "complete", "error", "upload_status"]
 
@@ -89,7 +89,7 @@ def stage_durations(events: DataFrame, slot: str = "hour") -> DataFrame:
                                 .rowsBetween(W.unboundedPreceding, 0))
     df = ev.withColumn("_inner", inner).join(before, [*keys, "_slot"])
     df = df.withColumn("_start", F.coalesce("_inner", "_carry"))
-    took = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_start").cast("timestamp"))) / 1e6
+    took = seconds_between(F.col("ts"), F.col("_start"))
     return df.where("action = 'complete'").select(
         "event_id", "job_id", "stage", "ts", took.alias("duration_seconds"), next_stage(F.col("stage")).alias("next_stage"))
 
