@@ -32,21 +32,23 @@ def product_summary(products: DataFrame) -> DataFrame:
 def dataset_stats(images: DataFrame) -> DataFrame:
     """Per dataset: images, bytes, megabytes, and maps of counts by file type and content type.
 
-    The maps are built from rows already grouped by (dataset, type): as many entries as there are types.
+    Images are read once into rows per (dataset, file type, content type); everything else adds those up.
     """
+    base = images.groupBy(
+        "dataset_id", F.coalesce("file_type", F.lit("UNKNOWN")).alias("file_type"),
+        F.coalesce("content_type", F.lit("unknown")).alias("content_type")).agg(
+        F.count("*").alias("n"), F.sum("file_size").alias("size"))
 
-    def counted(col: str, missing: str) -> DataFrame:
-        kind = F.coalesce(F.col(col), F.lit(missing))
-        grouped = images.groupBy("dataset_id", kind.alias("kind")).agg(F.count("*").alias("n"))
+    def counted(col: str) -> DataFrame:
+        grouped = base.groupBy("dataset_id", F.col(col).alias("kind")).agg(F.sum("n").alias("n"))
         pairs = F.sort_array(F.collect_list(F.struct("kind", "n")))
         return grouped.groupBy("dataset_id").agg(F.map_from_entries(pairs).alias(f"by_{col}"))
 
-    totals = images.groupBy("dataset_id").agg(
-        F.count("*").alias("image_count"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("total_size"))
+    totals = base.groupBy("dataset_id").agg(
+        F.sum("n").alias("image_count"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"))
     return (totals
             .withColumn("total_size_mb", F.round(F.col("total_size") / (1024 * 1024), 2))
-            .join(counted("file_type", "UNKNOWN"), "dataset_id")
-            .join(counted("content_type", "unknown"), "dataset_id"))
+            .join(counted("file_type"), "dataset_id").join(counted("content_type"), "dataset_id"))
 
 
 def dataset_status(datasets: DataFrame, images: DataFrame) -> DataFrame:
@@ -182,20 +184,23 @@ def manifest_group(classified: DataFrame) -> DataFrame:
     Ties go to the value met first in path order.  ``classified`` has dataset_id, file_path, band,
     manufacturer, drone_model and error (NULL when the image could be read).
     """
-    good = classified.where(F.col("error").isNull())
+    base = classified.groupBy("dataset_id", "band", "manufacturer", "drone_model",
+                              F.col("error").isNotNull().alias("bad")).agg(
+        F.count("*").alias("n"), F.min("file_path").alias("first"))
+    good = base.where(~F.col("bad"))
 
     def most(col: str) -> DataFrame:
         per = good.where(F.col(col).isNotNull()).groupBy("dataset_id", col).agg(
-            F.count("*").alias("n"), F.min("file_path").alias("first"))
+            F.sum("n").alias("n"), F.min("first").alias("first"))
         best = F.min_by(col, F.struct((-F.col("n")).alias("n"), "first"))
         return per.groupBy("dataset_id").agg(best.alias(col))
 
-    bands = good.groupBy("dataset_id", "band").agg(F.count("*").alias("n"))
+    bands = good.groupBy("dataset_id", "band").agg(F.sum("n").alias("n"))
     per_band = bands.groupBy("dataset_id").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("band", "n")))).alias("band_counts"),
         F.max((~F.col("band").isin("rgb", "unknown")).cast("int")).cast("boolean").alias("is_multispectral"))
-    totals = classified.groupBy("dataset_id").agg(
-        F.count("*").alias("total_images"), F.count("error").alias("n_errors"))
+    totals = base.groupBy("dataset_id").agg(
+        F.sum("n").alias("total_images"), F.coalesce(F.sum(F.when(F.col("bad"), F.col("n"))), F.lit(0)).alias("n_errors"))
     return (totals.join(per_band, "dataset_id", "left").join(most("manufacturer"), "dataset_id", "left")
             .join(most("drone_model"), "dataset_id", "left")
             .withColumns({"manufacturer": F.coalesce("manufacturer", F.lit("unknown")),

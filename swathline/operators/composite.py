@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from swathline.functions import constants as K
 from swathline.functions.ranking import exact_quantiles
-from swathline.operators.neighbours import edge_weight
+from swathline.operators.neighbours import valid_weights
 from swathline.session import cut
 
 SLOT_M = 0.05
@@ -92,9 +92,11 @@ def feather_composite(raster: DataFrame, gains: DataFrame, mask: DataFrame | Non
 
     ``raster``: raster_id (image), band, row, col, value on the common grid.  ``gains``: raster_id, gain.
     """
-    weights = edge_weight(raster) if weights is None else weights
-    df = (raster.where(F.col("value").isNotNull()).join(weights, ["raster_id", "band", "row", "col"])
-          .join(gains, "raster_id", "left"))
+    if weights is None:
+        df = valid_weights(raster)
+    else:
+        df = raster.where(F.col("value").isNotNull()).join(weights, ["raster_id", "band", "row", "col"])
+    df = df.join(gains, "raster_id", "left")
     lit = F.col("value") * F.coalesce("gain", F.lit(1.0))
     out = df.groupBy("band", "row", "col").agg(
         F.sum(lit * F.col("weight")).alias("_s"), F.sum("weight").alias("_w"))

@@ -124,12 +124,14 @@ def ratio_match(descriptors: DataFrame, pairs: DataFrame, max_ratio: float = 0.7
 
 
 def _phase(max_shift: int):
-    def work(frames: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        pdf = frames
-        h, w = int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1
+    def work(lines: pd.DataFrame) -> pd.DataFrame:
+        """All lines of one band of one capture; each holds its columns, values and reference values."""
+        rows = np.repeat(lines["row"].to_numpy(), lines["cols"].map(len).to_numpy())
+        cols = np.concatenate(lines["cols"].to_numpy())
+        h, w = int(rows.max()) + 1, int(cols.max()) + 1
         ref, mov = np.full((h, w), np.nan), np.full((h, w), np.nan)
-        ref[pdf["row"], pdf["col"]] = pdf["ref"].to_numpy(dtype=float)
-        mov[pdf["row"], pdf["col"]] = pdf["value"].to_numpy(dtype=float)
+        ref[rows, cols] = np.concatenate(lines["refs"].to_numpy()).astype(float)
+        mov[rows, cols] = np.concatenate(lines["values"].to_numpy()).astype(float)
         dy = dx = 0
         if np.isfinite(ref).any() and np.isfinite(mov).any():
             spectrum = np.fft.fft2(np.nan_to_num(ref - np.nanmean(ref))) * np.conj(
@@ -139,7 +141,8 @@ def _phase(max_shift: int):
             dy, dx = (int(p - n) if p > n // 2 else int(p) for p, n in ((py, h), (px, w)))
             if max(abs(dy), abs(dx)) > max_shift:
                 dy = dx = 0
-        return pd.DataFrame({"raster_id": [pdf["raster_id"].iloc[0]], "band": [pdf["band"].iloc[0]], "dy": [dy], "dx": [dx]})
+        return pd.DataFrame({"raster_id": [lines["raster_id"].iloc[0]], "band": [lines["band"].iloc[0]],
+                             "dy": [dy], "dx": [dx]})
 
     return work
 
@@ -157,12 +160,17 @@ def with_reference(raster: DataFrame, order: list[str] = K.REFERENCE_BAND_ORDER)
 def band_register(raster: DataFrame, max_shift: int = 40, method: str = "phase", min_overlap: float = 0.5) -> DataFrame:
     """Whole-pixel shift (dy, dx) that lays each band on its capture's reference band.
 
-    phase: one capture band at a time goes through a Fourier transform (a group is one image of the sensor).
+    phase: one band of a capture at a time goes through a Fourier transform (a group is one image of the sensor).
     search: every shift is scored by correlation in plain columns; at least ``min_overlap`` of the pixels must meet.
     """
     both = with_reference(raster)
     if method == "phase":
-        return both.groupBy(*LINE).applyInPandas(_phase(max_shift), "raster_id string, band string, dy int, dx int")
+        # pixels travel to Python as one row per image line, not with their keys on every pixel
+        px = F.collect_list(F.struct("col", F.coalesce("value", F.lit(float("nan"))).alias("value"),
+                                     F.coalesce("ref", F.lit(float("nan"))).alias("ref")))
+        lines = both.groupBy(*LINE, "row").agg(px.alias("px")).select(
+            *LINE, "row", F.col("px.col").alias("cols"), F.col("px.value").alias("values"), F.col("px.ref").alias("refs"))
+        return lines.groupBy(*LINE).applyInPandas(_phase(max_shift), "raster_id string, band string, dy int, dx int")
     span = F.sequence(F.lit(-max_shift), F.lit(max_shift))
     size = both.groupBy(*LINE).agg(F.count("*").alias("_size"))
     mov = both.select(*LINE, "row", "col", "value").where("value IS NOT NULL")

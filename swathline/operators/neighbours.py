@@ -62,17 +62,19 @@ def _runs(df: DataFrame, keys: list[str], along: str, left: str, right: str, isl
     return df.withColumn(right, F.col("_size") - F.col(left) + 1).drop("_size")
 
 
-def edge_weight(raster: DataFrame) -> DataFrame:
-    """Blend weight: the least distance to nodata or the border, left, right, up and down; 0 on nodata.
-
-    Only valid cells are windowed; a gap in the column numbers is where nodata or the border starts.
-    """
-    valid = raster.where(F.col("value").isNotNull()).select(*LINE, "row", "col")
+def valid_weights(raster: DataFrame) -> DataFrame:
+    """Valid cells with their value and blend weight: the least distance to nodata or the border, left,
+    right, up and down.  A gap in the row or column numbers is where nodata or the border starts."""
+    valid = raster.where(F.col("value").isNotNull()).select(*LINE, "row", "col", "value")
     df = _runs(valid, [*LINE, "row"], "col", "_l", "_r", "_ih").drop("_ih")
     df = _runs(df, [*LINE, "col"], "row", "_u", "_d", "_iv").drop("_iv")
-    weights = df.select(*LINE, "row", "col", F.least("_l", "_r", "_u", "_d").cast("double").alias("weight"))
+    return df.select(*LINE, "row", "col", "value", F.least("_l", "_r", "_u", "_d").cast("double").alias("weight"))
+
+
+def edge_weight(raster: DataFrame) -> DataFrame:
+    """Blend weight of every cell; 0 on nodata."""
     holes = raster.where(F.col("value").isNull()).select(*LINE, "row", "col", F.lit(0.0).alias("weight"))
-    return weights.unionByName(holes)
+    return valid_weights(raster).drop("value").unionByName(holes)
 
 
 def erode(mask: DataFrame, n: int) -> DataFrame:

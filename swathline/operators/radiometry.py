@@ -111,7 +111,12 @@ def calibrate(raster: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]
     spectral = raster.join(good.select(*LINE), LINE, "left_semi")
     lens = undistort(vignetting(spectral, good), good, pixels=spectral)
     steps = homography_align(lens, good, pixels=spectral)
-    done = reflectance(camera_signal(steps, good), good)
+    # the last two steps share one lookup of the metadata
+    raw = _reflectance(_signal(F.col("value")))
+    m = good.select(*LINE, "bit_depth", "black_level", "sensor_gain", "exposure_time_us", "sensor_gain_adjustment",
+                    "irradiance", "irradiance_exposure", "irradiance_gain")
+    done = steps.join(m, LINE).select(*LINE, "row", "col", F.when(
+        raw.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))).alias("value"))
     plain = raster.where(F.col("band") == "rgb").select(*LINE, "row", "col", "value")
     return done.unionByName(plain), outcome
 

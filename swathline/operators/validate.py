@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathline.operators.grid import LINE
 from swathline.operators.neighbours import SIDES, stencil
 from swathline.operators.relations import gcp_match
-from swathline.operators.terrain import laplacian, sobel
+from swathline.operators.terrain import laplacian, sobel, sobel_x, sobel_y
 
 RGB = ["red", "green", "blue"]
 
@@ -30,10 +28,10 @@ def checkpoint_rmse(gcp: DataFrame, est: DataFrame, h: float = 0.10, v: float =
         "passed_vertical": F.coalesce(F.col("rmse_vertical") <= v, F.lit(True))})
 
 
-def _skill(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """1 - SSres / SStot from one pass of moments about the reference mean."""
+def _skill(pairs: DataFrame) -> DataFrame:
+    """1 - SSres / SStot per band and pooled ('overall'), from one pass of moments about the reference mean."""
     ref, got = F.col("reference"), F.col("measured")
-    sums = pairs.groupBy(*keys).agg(
+    sums = pairs.rollup("band").agg(
         F.count("*").alias("n"), F.sum((ref - got) * (ref - got)).alias("res"),
         (F.var_pop("reference") * F.count("*")).alias("tot"),
         (F.max("reference") == F.min("reference")).alias("_flat"))
@@ -41,7 +39,7 @@ def _skill(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     r2 = (F.when(F.col("n") < 2, 0.0)
           .when(flat, F.when(F.col("res") == 0, 1.0).otherwise(0.0))
           .otherwise(1 - F.col("res") / F.col("tot")))
-    return sums.select(*keys, "n", r2.alias("r2"))
+    return sums.select(F.coalesce("band", F.lit("overall")).alias("band"), "n", r2.alias("r2"))
 
 
 def r2_skill(pairs: DataFrame, threshold: float, finite_only: bool = False) -> DataFrame:
@@ -49,8 +47,7 @@ def r2_skill(pairs: DataFrame, threshold: float, finite_only: bool = False) -> D
     if finite_only:
         pairs = pairs.where(~F.isnan("reference") & ~F.isnan("measured") & F.col("reference").isNotNull()
                             & F.col("measured").isNotNull())
-    pooled = _skill(pairs.withColumn("band", F.lit("overall")), ["band"])
-    return _skill(pairs, ["band"]).unionByName(pooled).withColumn("passed", F.col("r2") >= threshold)
+    return _skill(pairs).withColumn("passed", F.col("r2") >= threshold)
 
 
 def index_sample(raster: DataFrame, n: int = 10000, seed: int = 42) -> DataFrame:
@@ -173,11 +170,18 @@ def visual_seams(raster: DataFrame, weak: float = 50.0, strong: float = 150.0) -
         "flagged", F.col("seams") < 0.5)
 
 
-def visual_qa(raster: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The four scores and their mean."""
-    parts = [visual_coverage(raster), visual_blur(raster), visual_color(raster), visual_seams(raster)]
-    out = parts[0].drop("flagged")
-    for p in parts[1:]:
-        out = out.join(p.drop("flagged"), "raster_id")
+def visual_qa(raster: DataFrame, threshold: float = 0.7, weak: float = 50.0, strong: float = 150.0) -> DataFrame:
+    """The four scores and their mean; blur and seams come from one neighbourhood pass."""
+    around = stencil(stretched(raster), border="mirror")
+    lap = F.col("n") + F.col("s") + F.col("w") + F.col("e") - 4 * F.col("c")
+    size = F.abs(sobel_x()) + F.abs(sobel_y())
+    mag = around.select(*LINE, "row", "col", lap.alias("lap"), size.alias("value"))
+    near = F.greatest(*[F.coalesce(F.col(s), F.lit(0.0)) for s in SIDES])
+    edge = (F.col("value") >= strong) | ((F.col("value") >= weak) & (near >= strong))
+    texture = stencil(mag, keep=("lap",)).groupBy("raster_id").agg(
+        F.least(F.var_pop("lap") / 500.0, F.lit(1.0)).alias("blur"),
+        F.greatest(F.lit(0.0), 1 - 10 * F.avg(edge.cast("double"))).alias("seams"))
+    out = (visual_coverage(raster).drop("flagged").join(texture, "raster_id")
+           .join(visual_color(raster).drop("flagged"), "raster_id"))
     score = (F.col("coverage") + F.col("blur") + F.col("color") + F.col("seams")) / 4
     return out.withColumn("score", score).withColumn("passed", F.col("score") >= threshold)
