@@ -18,7 +18,7 @@ from swathline.operators import matching as X
 from swathline.operators import relations as R
 from swathline.operators import surfaces as U
 from swathline.operators import validate as V
-from swathline.plans.rasters import dense
+from swathline.plans.rasters import STACK_SQL, dense, ratio_sql
 from swathline.plans.registry import query
 from swathline.plans.views import Tables
 from swathline.session import shared_folder
@@ -304,7 +304,17 @@ def _(t: Tables):
     return X.band_register(t.cells, max_shift=2, method="search").select("raster_id", "band", F.col("dy").cast("int").alias("dy"), F.col("dx").cast("int").alias("dx"))
 
 
-@query("band_register_phase")
+PHASE_SQL = """WITH r AS (SELECT raster_id, row, col, value AS ref FROM {cells} WHERE band = 'nir'), p AS (SELECT c.raster_id, c.band, c.row, c.col, coalesce(ref - avg(ref) OVER w, 0) AS a,
+  coalesce(value - avg(value) OVER w, 0) AS b FROM {cells} c JOIN r ON c.raster_id = r.raster_id AND c.row = r.row AND c.col = r.col WHERE band <> 'nir' WINDOW w AS (PARTITION BY c.raster_id, c.band)),
+  f AS (SELECT raster_id, band, u.i AS u, v.i AS v, sum(a * cos(t)) AS ar, -sum(a * sin(t)) AS ai, sum(b * cos(t)) AS br, -sum(b * sin(t)) AS bi FROM (SELECT p.*, u.i AS ui, v.i AS vi, 2 * pi() * (u.i * row + v.i * col) / 8 AS t
+  FROM p CROSS JOIN range(8) AS u(i) CROSS JOIN range(8) AS v(i)) q JOIN range(8) AS u(i) ON u.i = ui JOIN range(8) AS v(i) ON v.i = vi GROUP BY 1, 2, 3, 4),
+  x AS (SELECT raster_id, band, u, v, re / (sqrt(re * re + im * im) + 1e-12) AS re, im / (sqrt(re * re + im * im) + 1e-12) AS im FROM (SELECT *, ar * br + ai * bi AS re, ai * br - ar * bi AS im FROM f)),
+  k AS (SELECT raster_id, band, y.i AS y, z.i AS z, sum(re * cos(2 * pi() * (u * y.i + v * z.i) / 8) - im * sin(2 * pi() * (u * y.i + v * z.i) / 8)) AS s FROM x CROSS JOIN range(8) AS y(i) CROSS JOIN range(8) AS z(i) GROUP BY 1, 2, 3, 4),
+  m AS (SELECT raster_id, band, CASE WHEN y > 4 THEN y - 8 ELSE y END AS dy, CASE WHEN z > 4 THEN z - 8 ELSE z END AS dx FROM (SELECT *, row_number() OVER (PARTITION BY raster_id, band ORDER BY round(s, 7) DESC, y, z) AS rn FROM k) WHERE rn = 1)
+  SELECT raster_id, band, cast(CASE WHEN greatest(abs(dy), abs(dx)) > 3 THEN 0 ELSE dy END AS INT) AS dy, cast(CASE WHEN greatest(abs(dy), abs(dx)) > 3 THEN 0 ELSE dx END AS INT) AS dx FROM m"""
+
+
+@query("band_register_phase", PHASE_SQL)
 def _(t: Tables):
     return X.band_register(t.cells, max_shift=3)
 
@@ -346,9 +356,10 @@ def _(t: Tables):
     return V.reproducibility(p).withColumn("correlation", r6("correlation"))
 
 
-@query("index_sample")
+@query("index_sample", f"""SELECT raster_id, band, row, col, round(value, 6) + 0 AS value FROM (SELECT raster_id, 'ndvi' AS band, row, col, {ratio_sql('nir', 'red')} AS value FROM ({STACK_SQL})) WHERE value BETWEEN -1 AND 1
+  ORDER BY md5(concat('42|', raster_id, '|', band, '|', cast(row AS STRING), '|', cast(col AS STRING))) LIMIT 1000""")
 def _(t: Tables):
-    return V.index_sample(I.normalised_difference(t.cells, "ndvi"), n=1000)
+    return V.index_sample(I.normalised_difference(t.cells, "ndvi"), n=1000).withColumn("value", r6("value"))
 
 
 @query("surface_fit", """WITH d AS (SELECT (col - (c0 + c1) / 2e0) AS x, (row - (r0 + r1) / 2e0) AS y, value AS z FROM {dsm} CROSS JOIN (SELECT min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM {dsm})),
@@ -358,7 +369,22 @@ def _(t: Tables):
     return U.surface_fit(dense(t), 1).select("cells", r6("explained").alias("explained"), r6("residual_std").alias("residual_std"))
 
 
-@query("surface_fit_quadratic")
+def quadratic_sql() -> str:
+    """Share explained by five terms made orthogonal one after another."""
+    names = ["t1", "t2", "t3", "t4", "t5"]
+    raw = ["x", "y", "x * x", "x * y", "y * y"]
+    parts = ["g AS (SELECT (col - 2e2) / 2e2 AS x, (row - 2e2) / 2e2 AS y, value AS z FROM {dsm})",
+             "d0 AS MATERIALIZED (SELECT z - avg(z) OVER () AS z, " + ", ".join(f"{e} - avg({e}) OVER () AS {n}" for n, e in zip(names, raw)) + " FROM g)"]
+    for k in range(1, 5):
+        base = names[k - 1]
+        cols = names[:k] + [f"{n} - {base} * (SELECT sum({n} * {base}) / sum({base} * {base}) FROM d{k - 1}) AS {n}" for n in names[k:]]
+        parts.append(f"d{k} AS MATERIALIZED (SELECT z, {', '.join(cols)} FROM d{k - 1})")
+    share = " + ".join(f"sum({n} * z) ** 2 / sum({n} * {n})" for n in names)
+    return (f"WITH {', '.join(parts)}, e AS (SELECT count(*) AS n, sum(z * z) AS zz, {share} AS fit FROM d4) "
+            "SELECT n AS cells, round(fit / zz, 6) AS explained, round(sqrt((zz - fit) / n), 6) AS residual_std FROM e")
+
+
+@query("surface_fit_quadratic", quadratic_sql())
 def _(t: Tables):
     return U.surface_fit(dense(t), 2).select("cells", r6("explained").alias("explained"), r6("residual_std").alias("residual_std"))
 
