@@ -63,6 +63,15 @@ def normalised_difference(raster: DataFrame, index: str = "ndvi", mode: str = "p
                                             value.alias("value"))
 
 
+def all_indices(raster: DataFrame, mode: str = "production") -> DataFrame:
+    """Every index from one grouping of the pixels, as rasters named by the index."""
+    px = _bands(raster, sorted({b for pair in K.INDEX_DEFS.values() for b in pair}))
+    made = F.array(*[F.struct(F.lit(n).alias("band"), F.when(
+        F.col(a).isNotNull() & F.col(b).isNotNull(), difference_ratio(F.col(a), F.col(b), mode)).alias("value"))
+        for n, (a, b) in K.INDEX_DEFS.items()])
+    return px.select(*PIXEL, F.inline(made)).select(*LINE, "row", "col", "value")
+
+
 def available_indices(raster: DataFrame) -> DataFrame:
     """Which indices each raster can give: both bands of an index must be present."""
     have = raster.groupBy("raster_id").agg(*[

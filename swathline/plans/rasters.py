@@ -66,6 +66,12 @@ _index("ndre", "nir", "red_edge")
 _index("gndvi", "nir", "green")
 
 
+@query("normalised_difference", " UNION ALL ".join(f"SELECT raster_id, '{n}' AS band, row, col, round({ratio_sql(a, b)}, 6) + 0 AS value FROM ({STACK_SQL})"
+                                                    for n, a, b in (("ndvi", "nir", "red"), ("ndre", "nir", "red_edge"), ("gndvi", "nir", "green"))))
+def _(t: Tables):
+    return I.all_indices(t.cells).withColumn("value", r6("value"))
+
+
 @query("index_modes", f"""SELECT raster_id, row, col, CASE WHEN nir + red = 0 THEN 'zero' ELSE
   cast(round((nir - red) / (nir + red) + 2, 4) AS STRING) END AS validation, round(greatest(-1e0, least(1e0, (nir - red) /
   (nir + red + 1e-10))), 6) + 0 AS calibrator FROM (SELECT raster_id, row, col, floor(nir * 4) AS nir, floor(red * 4 - 1) AS red

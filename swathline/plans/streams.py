@@ -162,7 +162,7 @@ def _(t: Tables):
     return run_to_end(C.stage_machine_stream(streamed(t).stage_events), "append").withColumn("duration_seconds", r6("duration_seconds"))
 
 
-@query("stream_webhook", """SELECT event_id, hook_id, url, event_type FROM {events} JOIN (SELECT hook_id, url, unnest(string_split(event_list, ',')) AS et FROM {hooks} WHERE active) ON event_type = et""")
+@query("webhook_stream", """SELECT event_id, hook_id, url, event_type FROM {events} JOIN (SELECT hook_id, url, unnest(string_split(event_list, ',')) AS et FROM {hooks} WHERE active) ON event_type = et""")
 def _(t: Tables):
     hooks = t.hooks.withColumn("events", F.split("event_list", ","))
     live = streamed(t).events.select("event_id", "event_type")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from swathline.functions import constants as K
 from swathline.functions.ranking import bucketed_row_number
-from swathline.functions.scalars import dms_to_dd
+from swathline.functions.scalars import capture_seq, dms_to_dd, float_list, number, positive
 from swathline.functions.scalars import rounded as r6
 from swathline.functions.text import xmp_extract
 from swathline.operators import aggregates as A
@@ -32,9 +32,9 @@ EXT_SQL = "lower(regexp_extract(path, '[^/]\\.([^./]*)$', 1))"
 NAME_SQL = "regexp_extract(path, '[^/]*$')"
 
 
-@query("scan_filter", f"SELECT file_id, path FROM {{files}} WHERE {EXT_SQL} IN ('jpg', 'jpeg', 'png', 'tif', 'tiff', 'dng')")
+@query("scan_images", f"SELECT file_id, path FROM {{files}} WHERE {EXT_SQL} IN ('jpg', 'jpeg', 'png', 'tif', 'tiff', 'dng')")
 def _(t: Tables):
-    return t.files.where(SI.extension(F.col("path")).isin(K.IMAGE_EXTENSIONS)).select("file_id", "path")
+    return SI.select_images(t.files).select("file_id", "path")
 
 
 @query("classify_files", f"""SELECT file_id, CASE WHEN {EXT_SQL} IN ('jpg', 'tif', 'dng') THEN 'IMAGE' ELSE 'METADATA' END AS file_type,
@@ -150,6 +150,35 @@ def _(t: Tables):
     return dms_to_dd(df).select("l_orderkey", "l_linenumber", r6("lat").alias("lat"), r6("lon").alias("lon"), "altitude")
 
 
+@query("numeric_parse", """SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 12.5e0 WHEN 1 THEN -3e0 END AS plain, CASE WHEN o_orderkey % 4 = 0 THEN 12.5e0 ELSE 1e0 END AS positive,
+  CASE o_orderkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 0 END AS listed, CASE o_orderkey % 3 WHEN 0 THEN 6.5e0 WHEN 1 THEN 5e0 ELSE 0e0 END AS total FROM {orders}""")
+def _(t: Tables):
+    k = F.col("o_orderkey")
+    df = t.orders.select(k.alias("k"), F.when(k % 4 == 0, " 12.5 ").when(k % 4 == 1, "-3").when(k % 4 == 2, "n/a").alias("a"),
+                         F.when(k % 3 == 0, "1, 2 ,3.5").when(k % 3 == 1, "2  3").otherwise("4,x").alias("b"))
+    return df.select("k", number("a").alias("plain"), positive("a", 1.0).alias("positive"), F.size(float_list("b")).alias("listed"),
+                     F.aggregate(float_list("b"), F.lit(0.0), lambda s, v: s + v).alias("total"))
+
+
+@query("string_keys", """SELECT capture_id, lpad(cast(capture_id % 10000 AS STRING), 4, '0') AS seq, regexp_replace(file_name, '\\.[^.]*$', '') AS stem, lower(file_name) AS folded FROM {captures}""")
+def _(t: Tables):
+    return t.captures.select("capture_id", capture_seq("file_name").alias("seq"), F.regexp_replace("file_name", r"\.[^.]*$", "").alias("stem"),
+                             F.lower("file_name").alias("folded"))
+
+
+@query("time_parts", """SELECT job_id, date_trunc('month', created_at) AS month, date_trunc('hour', updated_at) AS hour, CASE WHEN job_id % 3 <> 0 THEN date_trunc('second', updated_at) END AS parsed FROM {jobs}""")
+def _(t: Tables):
+    text = F.when(F.col("job_id") % 3 != 0, F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss")).otherwise("yesterday")
+    return t.jobs.select("job_id", F.date_trunc("month", "created_at").cast("timestamp_ntz").alias("month"), F.date_trunc("hour", "updated_at").cast("timestamp_ntz").alias("hour"),
+                         text.try_cast("timestamp_ntz").alias("parsed"))
+
+
+@query("json_fields", "SELECT event_id, cast(json_extract_string(props, '$.k') AS INT) AS k, NULL::INT AS missing FROM {events}")
+def _(t: Tables):
+    doc = F.from_json("props", "k int, missing int")
+    return t.events.select("event_id", doc["k"].alias("k"), doc["missing"].alias("missing"))
+
+
 # --- bands and manifests -----------------------------------------------------------------------------------------
 
 BAND_SQL = """SELECT *, CASE WHEN make = 'DJI' OR drone_model = 'DJI Mavic 3M' THEN 'dji' WHEN make = 'MicaSense' OR model = 'RedEdge-M' THEN 'micasense' WHEN make = 'Parrot' THEN 'parrot' ELSE 'unknown' END AS manufacturer,
@@ -214,7 +243,7 @@ def kept(t: Tables, name: str) -> str:
     return f"{shared_folder(t.spark)}/{name}/{uuid.uuid4().hex}"
 
 
-@query("tiles_write", """SELECT raster_id, band, row, col, round(value, 6) AS value FROM {cells} WHERE value IS NOT NULL AND band IN ('nir', 'red') AND row BETWEEN 2 AND 6 AND col BETWEEN 1 AND 5""")
+@query("tiles_read", """SELECT raster_id, band, row, col, round(value, 6) AS value FROM {cells} WHERE value IS NOT NULL AND band IN ('nir', 'red') AND row BETWEEN 2 AND 6 AND col BETWEEN 1 AND 5""")
 def _(t: Tables):
     path = kept(t, "tiles")
     SS.tiles_write(t.cells.withColumn("raster_id", F.lit("all")).withColumn("row", F.col("row") + F.col("capture") * 8).drop("capture"), path, block=64)
@@ -223,6 +252,16 @@ def _(t: Tables):
     return back.where("row BETWEEN 2 AND 6").select("raster_id", "band", "row", "col", r6("value").alias("value"))
 
 
+@query("tiles_write", "SELECT raster_id, band, row, col, round(value, 6) AS value FROM {cells} WHERE value IS NOT NULL")
+def _(t: Tables):
+    path = kept(t, "tiles")
+    mosaic = t.cells.withColumns({"raster_id": F.lit("all"), "row": F.col("row") + F.col("capture") * 8}).drop("capture")
+    SS.tiles_write(mosaic, path, block=64)
+    back = SS.tiles_read(t.spark, path, block=64)
+    return back.select(F.concat(F.lit("c"), F.floor(F.col("row") / 8).cast("string")).alias("raster_id"), "band",
+                       (F.col("row") % 8).cast("int").alias("row"), "col", r6("value").alias("value"))
+
+
 @query("manifest_write", "SELECT band, dataset_id, file_path, manufacturer FROM {classified}")
 def _(t: Tables):
     path = kept(t, "manifest")
@@ -314,7 +353,7 @@ PHASE_SQL = """WITH r AS (SELECT raster_id, row, col, value AS ref FROM {cells}
   SELECT raster_id, band, cast(CASE WHEN greatest(abs(dy), abs(dx)) > 3 THEN 0 ELSE dy END AS INT) AS dy, cast(CASE WHEN greatest(abs(dy), abs(dx)) > 3 THEN 0 ELSE dx END AS INT) AS dx FROM m"""
 
 
-@query("band_register_phase", PHASE_SQL)
+@query("band_register", PHASE_SQL)
 def _(t: Tables):
     return X.band_register(t.cells, max_shift=3)
 

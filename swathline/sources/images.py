@@ -21,11 +21,16 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(file_name(path), r".\.([^.]*)$", 1))
 
 
+def select_images(catalogue: DataFrame) -> DataFrame:
+    """Files with an image extension, sorted by path."""
+    return catalogue.where(extension(F.col("path")).isin(K.IMAGE_EXTENSIONS)).orderBy("path")
+
+
 def scan_images(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """Image files under ``root``, sorted by path; only names and sizes are read, not contents."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
              .select("path", "length", "modificationTime"))
-    return files.where(extension(F.col("path")).isin(K.IMAGE_EXTENSIONS)).orderBy("path")
+    return select_images(files)
 
 
 def classify_files(catalogue: DataFrame) -> DataFrame:
