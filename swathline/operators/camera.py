@@ -56,7 +56,7 @@ def cells_to_local(cells: DataFrame, grid: Grid, sim: Sim3) -> DataFrame:
     return sim3_invert(utm_to_ecef(df, grid.epsg), sim).drop("east", "north", "height", "ex", "ey", "ez")
 
 
-def project_pinhole(pairs: DataFrame, camera: Camera, model: str = "reference") -> DataFrame:
+def project_pinhole(pairs: DataFrame, camera: Camera, model: str = "polynomial") -> DataFrame:
     """Rows with a point (x, y, z) and a pose (r00 .. r22, tx, ty, tz) -> u, v, in_front."""
     p = [F.col(c) for c in "xyz"]
     df = pairs.withColumns({f"_c{i}": F.col(f"r{i}0") * p[0] + F.col(f"r{i}1") * p[1] + F.col(f"r{i}2") * p[2]
@@ -80,7 +80,7 @@ def in_frame(camera: Camera) -> Column:
             & (F.col("v") >= 0) & (F.col("v") < camera.height))
 
 
-def project_join(cells: DataFrame, poses: DataFrame, camera: Camera, model: str = "reference",
+def project_join(cells: DataFrame, poses: DataFrame, camera: Camera, model: str = "polynomial",
                  tile: int = 64) -> DataFrame:
     """Every (cell, image) where the cell falls inside the image, with its pixel u, v.
 
@@ -201,7 +201,7 @@ def bilinear_zero(raster: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def pose_composite(cells: DataFrame, poses: DataFrame, camera: Camera, raster: DataFrame, geometry: DataFrame,
-                   feather: float = K.FEATHER_FRACTION, model: str = "reference") -> DataFrame:
+                   feather: float = K.FEATHER_FRACTION, model: str = "polynomial") -> DataFrame:
     """Band values per ground cell, blended over the images that see it.
 
     The weight falls towards the frame's edge and is shared by the bands; a sampled 0 is nodata.

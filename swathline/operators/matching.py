@@ -19,13 +19,13 @@ def image_pairs(images: DataFrame, mode: str = "sequential", overlap: int = 25,
     """Pairs of images worth matching.
 
     sequential: each image (flight, ordinal, image_id) with the next ``overlap`` ones and, with ``quadratic``,
-    those at power-of-two steps up to 2^overlap; the offsets are exploded and looked up, so pairs grow with the
+    those at power-of-two steps below 2^overlap; the offsets are exploded and looked up, so pairs grow with the
     images.  spatial: images (image_id, x, y in metres) within ``radius``, met through square buckets.
     """
     if mode == "sequential":
         steps = list(range(1, overlap + 1))
         if quadratic:
-            steps = sorted(set(steps) | {2 ** k for k in range(overlap + 1)})
+            steps = sorted(set(steps) | {2 ** k for k in range(overlap)})
         ends = images.groupBy("flight").agg(F.max("ordinal").alias("_max"))
         a = images.join(ends, "flight").select(
             "flight", F.col("image_id").alias("image_a"), F.col("ordinal").alias("_o"), "_max")

@@ -308,7 +308,7 @@ def _(t: Tables):
 
 
 @query("image_pairs", """WITH n AS (SELECT flight, capture_id, row_number() OVER (PARTITION BY flight ORDER BY ts, capture_id) AS o FROM {captures}) SELECT a.flight, a.capture_id AS image_a, b.capture_id AS image_b, cast(b.o - a.o AS INT) AS step FROM n a JOIN n b
-  ON a.flight = b.flight AND b.o > a.o AND (b.o - a.o <= 5 OR b.o - a.o IN (8, 16, 32))""")
+  ON a.flight = b.flight AND b.o > a.o AND (b.o - a.o <= 5 OR b.o - a.o IN (8, 16))""")
 def _(t: Tables):
     n = X.numbered(t.captures.select("flight", "ts", "capture_id"), "flight", ["ts", "capture_id"])
     return X.image_pairs(n.withColumnRenamed("capture_id", "image_id"), overlap=5)
