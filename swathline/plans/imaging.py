@@ -113,12 +113,12 @@ STRIPS_SQL = """WITH b AS (SELECT flight, avg(lat) AS mlat, avg(lon) AS mlon, va
   g AS (SELECT *, proj - lag(proj) OVER (PARTITION BY flight ORDER BY proj) AS gap FROM p),
   t AS (SELECT flight, greatest(6 * median(gap), 5e0) AS lim FROM g GROUP BY flight)
   SELECT capture_id, g.flight, cast(sum(CASE WHEN gap > lim THEN 1 ELSE 0 END) OVER (PARTITION BY g.flight ORDER BY proj, capture_id
-  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS strip, round(proj, 4) AS proj FROM g JOIN t ON g.flight = t.flight"""
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS strip, round(proj, 2) AS proj FROM g JOIN t ON g.flight = t.flight"""
 
 
 @query("flight_strips", STRIPS_SQL)
 def _(t: Tables):
-    return M.flight_strips(t.captures).select("capture_id", "flight", "strip", r6("proj", 4).alias("proj"))
+    return M.flight_strips(t.captures).select("capture_id", "flight", "strip", r6("proj", 2).alias("proj"))
 
 
 MEANS_SQL = """SELECT flight, capture_id AS image_id, true_strip AS strip, band, CASE WHEN (capture_id + k) % 29 = 0 THEN 0e0 ELSE band_mean * k + capture_id % 7 END AS mean

@@ -333,7 +333,7 @@ def _(t: Tables):
     d = t.embeddings.withColumn("_n", norm).select(F.col("label").alias("image_id"), F.col("vec_id").alias("desc_id"),
                                                    F.transform("embedding", lambda x: x.cast("double") / F.col("_n")).alias("vec"))
     pairs = d.select("image_id").distinct().select(F.col("image_id").alias("image_a"), (F.col("image_id") + 1).alias("image_b"))
-    return X.ratio_match(d, pairs, max_ratio=0.99, max_distance=1.6, block=64).select("desc_a", "desc_b", r6("distance").alias("distance"))
+    return X.ratio_match(d, pairs, max_ratio=0.99, max_distance=1.6, block=256).select("desc_a", "desc_b", r6("distance").alias("distance"))
 
 
 @query("band_register_search", """WITH r AS (SELECT raster_id, row, col, value AS ref FROM {cells} WHERE band = 'nir' AND value IS NOT NULL), s AS (SELECT c.raster_id, c.band, dy, dx, count(*) AS n, corr(value, ref) AS k FROM {cells} c CROSS JOIN (SELECT a.i - 2 AS dy, b.i - 2 AS dx
