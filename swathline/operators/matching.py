@@ -80,18 +80,18 @@ def ratio_match(descriptors: DataFrame, pairs: DataFrame, max_ratio: float = 0.7
     back only the two nearest per descriptor, and the blocks' winners are merged by a top-2.  A descriptor is
     matched when the nearest is close enough and clearly nearer than the second, both ways when cross-checked.
     """
-    sizes = descriptors.groupBy("image_id").agg(F.count("*").alias("_n"))
-    desc = descriptors.join(sizes, "image_id").withColumn(
-        "blk", F.pmod(F.xxhash64("desc_id"), F.ceil(F.col("_n") / block)).cast("int"))
-    desc = desc.withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).drop("_n")
-    counts = desc.groupBy("image_id").agg(F.max("_blocks").alias("_blocks"))
-    listed = pairs.withColumn("pair", F.concat_ws("|", F.col("image_a").cast("string"), F.col("image_b").cast("string")))
-    both = listed.select("pair", F.lit("ab").alias("side"), F.col("image_a").alias("from_id"), F.col("image_b").alias("to_id"))
-    if cross_check:
-        both = both.unionByName(listed.select("pair", F.lit("ba").alias("side"), F.col("image_b").alias("from_id"),
-                                              F.col("image_a").alias("to_id")))
-    tasks = (both.join(counts.select(F.col("image_id").alias("from_id"), F.col("_blocks").alias("_fb")), "from_id")
-             .join(counts.select(F.col("image_id").alias("to_id"), F.col("_blocks").alias("_tb")), "to_id"))
+    blocks = descriptors.groupBy("image_id").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    desc = descriptors.join(blocks, "image_id").withColumn(
+        "blk", F.pmod(F.xxhash64("desc_id"), F.col("_blocks")).cast("int"))
+    pair = F.concat_ws("|", F.col("image_a").cast("string"), F.col("image_b").cast("string")).alias("pair")
+
+    def way(side: str, a: str, b: str) -> Column:
+        return F.struct(F.lit(side).alias("side"), F.col(a).alias("from_id"), F.col(b).alias("to_id"))
+
+    ways = [way("ab", "image_a", "image_b")] + ([way("ba", "image_b", "image_a")] if cross_check else [])
+    both = pairs.select(pair, F.inline(F.array(*ways)))
+    tasks = (both.join(blocks.select(F.col("image_id").alias("from_id"), F.col("_blocks").alias("_fb")), "from_id")
+             .join(blocks.select(F.col("image_id").alias("to_id"), F.col("_blocks").alias("_tb")), "to_id"))
     tasks = tasks.withColumn("fb", F.explode(F.sequence(F.lit(0), F.col("_fb") - 1))).withColumn(
         "tb", F.explode(F.sequence(F.lit(0), F.col("_tb") - 1))).drop("_fb", "_tb")
     keyed = desc.select("image_id", "blk", "desc_id", "vec")
@@ -113,14 +113,13 @@ def ratio_match(descriptors: DataFrame, pairs: DataFrame, max_ratio: float = 0.7
 
     good = merged.withColumns({"d1": angle(F.col("b1")), "d2": angle(F.col("b2"))})
     good = good.where((F.col("d1") <= max_distance)
-                      & (F.col("d2").isNull() | (F.col("d1") < max_ratio * F.col("d2")))).select(
-        "pair", "side", "q", F.col("b1.m").alias("m"), "d1")
-    forward = good.where("side = 'ab'").select("pair", F.col("q").alias("desc_a"), F.col("m").alias("desc_b"),
-                                               F.col("d1").alias("distance"))
-    if not cross_check:
-        return forward
-    back = good.where("side = 'ba'").select("pair", F.col("m").alias("desc_a"), F.col("q").alias("desc_b"))
-    return forward.join(back, ["pair", "desc_a", "desc_b"], "left_semi")
+                      & (F.col("d2").isNull() | (F.col("d1") < max_ratio * F.col("d2"))))
+    # both directions name the match the same way, so it counts when it is met once per direction
+    forth = F.col("side") == "ab"
+    met = good.select("pair", F.when(forth, F.col("q")).otherwise(F.col("b1.m")).alias("desc_a"),
+                      F.when(forth, F.col("b1.m")).otherwise(F.col("q")).alias("desc_b"), "d1")
+    out = met.groupBy("pair", "desc_a", "desc_b").agg(F.count("*").alias("_n"), F.max("d1").alias("distance"))
+    return out.where(F.col("_n") == len(ways)).drop("_n")
 
 
 def _phase(max_shift: int):
