@@ -311,9 +311,9 @@ def reconstruction_stats(cameras: DataFrame, images: DataFrame, observations: Da
     # joins of one-row aggregates
     return (points.withColumn("_k", k).join(seen.withColumn("_k", k), "_k").join(n_cam, "_k").join(n_img, "_k")
             .select("cameras", "images", "registered", "points",
-                    (F.col("observations") / F.col("points")).alias("mean_track_length"),
-                    (F.col("observations") / F.col("registered")).alias("mean_observations"),
-                    (F.col("err") / F.col("observations")).alias("mean_error")))
+                    (F.col("observations") / F.nullif(F.col("points"), F.lit(0))).alias("mean_track_length"),
+                    (F.col("observations") / F.nullif(F.col("registered"), F.lit(0))).alias("mean_observations"),
+                    (F.col("err") / F.nullif(F.col("observations"), F.lit(0))).alias("mean_error")))
 
 
 def dense_sparse_ratio(dense: DataFrame, sparse: DataFrame) -> DataFrame:

@@ -149,31 +149,39 @@ def band_pixel(proj: DataFrame, geometry: DataFrame) -> DataFrame:
     inv = invert3(geometry, "h", "_h").where("_h0 IS NOT NULL").drop("h")
     df = proj.join(inv, "image_id")
     u, v = F.col("u"), F.col("v")
-    df = df.withColumn("_w", F.col("_h6") * u + F.col("_h7") * v + F.col("_h8"))
+    df = df.withColumn("_w", F.nullif(F.col("_h6") * u + F.col("_h7") * v + F.col("_h8"), F.lit(0.0)))
     return df.withColumns({
         "ub": (F.col("_h0") * u + F.col("_h1") * v + F.col("_h2")) / F.col("_w") - F.coalesce("off_x", F.lit(0.0)),
         "vb": (F.col("_h3") * u + F.col("_h4") * v + F.col("_h5")) / F.col("_w") - F.coalesce("off_y", F.lit(0.0)),
     }).drop("_w", "off_x", "off_y", *[f"_h{i}" for i in range(9)])
 
 
+def _quads(raster: DataFrame) -> DataFrame:
+    """Each pixel with its right, lower and lower-right neighbours (NULL where there is none)."""
+    across, down = W.partitionBy(*LINE, "row").orderBy("col"), W.partitionBy(*LINE, "col").orderBy("row")
+    quad = raster.select(*LINE, "row", "col", "value").withColumn(
+        "_r", F.when(F.lead("col").over(across) == F.col("col") + 1, F.lead("value").over(across)))
+    quad = quad.withColumn("_b", F.struct("value", "_r"))
+    quad = quad.withColumn("_n", F.when(F.lead("row").over(down) == F.col("row") + 1, F.lead("_b").over(down)))
+    return quad.select(*LINE, F.col("row").alias("_y"), F.col("col").alias("_x"), F.col("value").alias("_q00"),
+                       F.col("_r").alias("_q01"), F.col("_n.value").alias("_q10"), F.col("_n._r").alias("_q11"))
+
+
+def _whole(c: str) -> Column:
+    """Lower whole number; far-off positions are held at a distance no image reaches."""
+    return F.floor(F.greatest(F.lit(-1e8), F.least(F.lit(1e8), F.col(c)))).cast("int")
+
+
 def bilinear_gather(raster: DataFrame, samples: DataFrame, nodata: float | None = None) -> DataFrame:
     """Add ``value`` sampled at fractional (ub, vb) = (column, row) of raster_id, band.
 
     All four pixels must exist, so the last row and column give nothing.  Each pixel first takes its right
     and lower neighbours along; a sample then needs one lookup.  ``nodata`` stands in for missing values.
     """
-    src = raster.select(*LINE, "row", "col", "value")
-    if nodata is not None:
-        src = src.withColumn("value", F.coalesce("value", F.lit(nodata)))
-    at = samples.withColumns({"_x0": F.floor("ub").cast("int"), "_y0": F.floor("vb").cast("int")})
-    across, down = W.partitionBy(*LINE, "row").orderBy("col"), W.partitionBy(*LINE, "col").orderBy("row")
-    quad = src.withColumn("_r", F.when(F.lead("col").over(across) == F.col("col") + 1, F.lead("value").over(across)))
-    quad = quad.withColumn("_b", F.struct("value", "_r"))
-    quad = quad.withColumn("_n", F.when(F.lead("row").over(down) == F.col("row") + 1, F.lead("_b").over(down)))
-    quad = quad.select(*LINE, F.col("row").alias("_y0"), F.col("col").alias("_x0"), F.col("value").alias("_q00"),
-                       F.col("_r").alias("_q01"), F.col("_n.value").alias("_q10"), F.col("_n._r").alias("_q11"))
-    hit = at.join(quad, [*LINE, "_y0", "_x0"])
-    fx, fy = F.col("ub") - F.col("_x0"), F.col("vb") - F.col("_y0")
+    src = raster if nodata is None else raster.withColumn("value", F.coalesce("value", F.lit(nodata)))
+    at = samples.withColumns({"_x": _whole("ub"), "_y": _whole("vb")})
+    hit = at.join(_quads(src), [*LINE, "_y", "_x"])
+    fx, fy = F.col("ub") - F.col("_x"), F.col("vb") - F.col("_y")
     value = (F.col("_q00") * (1 - fx) * (1 - fy) + F.col("_q01") * fx * (1 - fy)
              + F.col("_q10") * (1 - fx) * fy + F.col("_q11") * fx * fy)
     return hit.withColumn("value", value).where(F.col("value").isNotNull()).select(*samples.columns, "value")
@@ -182,22 +190,23 @@ def bilinear_gather(raster: DataFrame, samples: DataFrame, nodata: float | None
 def bilinear_zero(raster: DataFrame, targets: DataFrame) -> DataFrame:
     """Raster resampled to ``targets`` (raster_id, band, row, col, ub, vb, moved); pixels outside count as 0.
 
-    Only corners with a weight are looked up, so a target on a pixel centre costs one row.
+    One lookup per target.  Just outside the first column or row only the right or lower pixel counts: the
+    lookup then goes to that pixel, which takes the weight.  Targets not ``moved`` keep their pixel as it is.
     """
-    x0, y0 = F.floor("ub").cast("int"), F.floor("vb").cast("int")
-    at = targets.withColumns({"_x0": x0, "_y0": y0}).withColumns(
-        {"_fx": F.col("ub") - F.col("_x0"), "_fy": F.col("vb") - F.col("_y0")})
-    fx, fy = F.col("_fx"), F.col("_fy")
-    weights = {(0, 0): (1 - fx) * (1 - fy), (0, 1): fx * (1 - fy), (1, 0): (1 - fx) * fy, (1, 1): fx * fy}
-    corners = F.array(*[F.struct((F.col("_y0") + i).alias("r"), (F.col("_x0") + j).alias("c"), w.alias("w"))
-                        for (i, j), w in weights.items()])
-    one = at.select(*LINE, "row", "col", "moved", F.explode(F.filter(corners, lambda k: k["w"] != 0)).alias("_k"))
-    one = one.select(*LINE, "row", "col", "moved", F.col("_k.r").alias("_r"), F.col("_k.c").alias("_c"), F.col("_k.w").alias("_w"))
-    src = raster.select(*LINE, F.col("row").alias("_r"), F.col("col").alias("_c"), "value")
-    got = one.join(src, [*LINE, "_r", "_c"], "left").groupBy(*LINE, "row", "col").agg(
-        F.sum(F.col("value") * F.col("_w")).alias("value"), F.bool_or("moved").alias("moved"))
-    return got.select(*LINE, "row", "col",
-                      F.when(F.col("moved"), F.coalesce("value", F.lit(0.0))).otherwise(F.col("value")).alias("value"))
+    at = targets.withColumns({"_x0": _whole("ub"), "_y0": _whole("vb")})
+    fx, fy = F.col("ub") - F.col("_x0"), F.col("vb") - F.col("_y0")
+    left, top = F.col("_x0") == -1, F.col("_y0") == -1
+    at = at.withColumns({
+        "_x": F.when(left, 0).otherwise(F.col("_x0")), "_y": F.when(top, 0).otherwise(F.col("_y0")),
+        "_wl": F.when(left, fx).otherwise(1 - fx), "_wr": F.when(left, 0.0).otherwise(fx),
+        "_wt": F.when(top, fy).otherwise(1 - fy), "_wb": F.when(top, 0.0).otherwise(fy)})
+    got = at.join(_quads(raster), [*LINE, "_y", "_x"], "left")
+
+    def part(q: str, a: str, b: str) -> Column:
+        return F.coalesce(F.col(q), F.lit(0.0)) * F.col(a) * F.col(b)
+
+    value = part("_q00", "_wl", "_wt") + part("_q01", "_wr", "_wt") + part("_q10", "_wl", "_wb") + part("_q11", "_wr", "_wb")
+    return got.select(*LINE, "row", "col", F.when(F.col("moved"), value).otherwise(F.col("_q00")).alias("value"))
 
 
 def pose_composite(cells: DataFrame, poses: DataFrame, camera: Camera, raster: DataFrame, geometry: DataFrame,

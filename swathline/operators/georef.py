@@ -153,4 +153,4 @@ def heading_groups(captures: DataFrame) -> DataFrame:
     tagged = captures.withColumn("heading", F.when((turn < 90) | (turn >= 270), "out").otherwise("back"))
     per = tagged.groupBy("flight", "heading").agg(
         F.count("*").alias("images"), F.avg("mean").alias("mean"), F.stddev_pop("mean").alias("std"))
-    return per.withColumn("cv", F.col("std") / F.col("mean"))
+    return per.withColumn("cv", F.col("std") / F.nullif(F.col("mean"), F.lit(0.0)))

@@ -65,11 +65,14 @@ def homography_align(raster: DataFrame, meta: DataFrame, pixels: DataFrame | Non
     m = invert3(meta.select(*LINE, whole.alias("_hm")), "_hm", "_h").drop("_hm")
     px = (raster if pixels is None else pixels).select(*LINE, "row", "col").join(m, LINE)
     u, v = F.col("col"), F.col("row")
-    px = px.withColumns({"_w": F.col("_h6") * u + F.col("_h7") * v + F.col("_h8"), "moved": F.col("_h0").isNotNull()})
+    px = px.withColumns({"_w": F.nullif(F.col("_h6") * u + F.col("_h7") * v + F.col("_h8"), F.lit(0.0)),
+                         "moved": F.col("_h0").isNotNull()})
+    far = F.lit(1e8)  # a point at infinity lies outside every image
+    ub = F.coalesce((F.col("_h0") * u + F.col("_h1") * v + F.col("_h2")) / F.col("_w"), far)
+    vb = F.coalesce((F.col("_h3") * u + F.col("_h4") * v + F.col("_h5")) / F.col("_w"), far)
     return bilinear_zero(raster, px.select(
-        *LINE, "row", "col", "moved",
-        F.coalesce((F.col("_h0") * u + F.col("_h1") * v + F.col("_h2")) / F.col("_w"), u.cast("double")).alias("ub"),
-        F.coalesce((F.col("_h3") * u + F.col("_h4") * v + F.col("_h5")) / F.col("_w"), v.cast("double")).alias("vb")))
+        *LINE, "row", "col", "moved", F.when(F.col("moved"), ub).otherwise(u.cast("double")).alias("ub"),
+        F.when(F.col("moved"), vb).otherwise(v.cast("double")).alias("vb")))
 
 
 def _signal(value: Column) -> Column:

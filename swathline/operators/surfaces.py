@@ -50,5 +50,5 @@ def highpass_corr(raster: DataFrame, a: str, b: str, box: int = 15) -> DataFrame
     both = per.where("res_a IS NOT NULL AND res_b IS NOT NULL")
     return both.groupBy("raster_id").agg(
         F.corr("res_a", "res_b").alias("corr"),
-        (F.stddev_pop("res_a") / F.avg("value_a")).alias("noise_a"),
-        (F.stddev_pop("res_b") / F.avg("value_b")).alias("noise_b"))
+        (F.stddev_pop("res_a") / F.nullif(F.avg("value_a"), F.lit(0.0))).alias("noise_a"),
+        (F.stddev_pop("res_b") / F.nullif(F.avg("value_b"), F.lit(0.0))).alias("noise_b"))
