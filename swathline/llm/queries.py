@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathline.llm import packing, simhash, topk, urls
+from swathline.llm import fingerprints, language, packing, ppm, secrets, simhash, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,6 +48,64 @@ def _(spark, folder):
     return found.withColumnRenamed("desc_id", "vec_id")
 
 
+# --- 4 ------------------------------------------------------------------------------------------------------------
+
+
+def messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as jobs with error messages."""
+    return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("error_message"))
+
+
+@query("op4_secret_spans")
+def _(spark, folder):
+    jobs = messages(spark, folder)
+    model = secrets.character_model(secrets.labelled_samples(jobs))
+    found = secrets.secret_spans(jobs, model)
+
+    def of_kind(k: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    return found.select(F.col("id").alias("doc_id"), of_kind(0).alias("n_assign"), of_kind(1).alias("n_access"), of_kind(2).alias("n_hex"),
+                        F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), of_kind(3).alias("n_random"))
+
+
+# --- 5 ------------------------------------------------------------------------------------------------------------
+
+
+def fold(column: str, parts: int):
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(parts)), F.lit(0))
+
+
+@query("op5_score_notes")
+def _(spark, folder):
+    known = notes(spark, folder).withColumn("trained", fold("id", 10) != 0)
+    found = ppm.score_notes(known)
+    return found.select(F.col("id").alias("doc_id"), (fold("id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+# --- 6 ------------------------------------------------------------------------------------------------------------
+
+
+@query("op6_notes_language")
+def _(spark, folder):
+    known = notes(spark, folder)
+    labelled = table(spark, folder, "documents").where(fold("doc_id", 4) != 2).select(
+        F.col("doc_id").alias("id"), F.col("text").alias("notes"), F.col("lang").alias("language"))
+    found = language.notes_language(known, language.fit_language_network(labelled))
+    return found.select(F.col("id").alias("doc_id"), (fold("id", 4) == 2).alias("held_out"), F.col("language").alias("lang_pred"), "score")
+
+
+# --- 7 ------------------------------------------------------------------------------------------------------------
+
+
+@query("op7_notes_fingerprints")
+def _(spark, folder):
+    found = fingerprints.edited_fingerprints(notes(spark, folder))
+    return found.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.as_text(F.col("print")).alias("fingerprint"),
+                        fingerprints.as_text(F.col("edited_print")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 # --- 8 ------------------------------------------------------------------------------------------------------------
 
 
