@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -14,39 +15,57 @@ from pyspark.sql import functions as F
 
 from swathline.llm.common import cut
 
-#: A task's store of words already encoded: so many words, none longer than so many characters.
-STORE, LONGEST = 200_000, 48
+#: Bounds of a task's stores of words already encoded: so many, none longer than so many characters.
+STORE, LONGEST = 300_000, 48
+#: Letters of ASCII and Latin-1 between marks without an apostrophe: the tokenizer lower-cases them and takes the
+#: marks before, the letters and the marks after as three words.
+PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _encoders: dict[str, WordEncoder] = {}
 
 
-class WordEncoder:
-    """Token ids of whole texts, a word at a time.
+class WordEncoder(dict):
+    """Token ids (little-endian unsigned 32-bit) of whole texts, a word at a time.
 
-    The tokenizer's pieces never span a blank or a line feed, so a text's ids are those of what stands between them;
-    words met before come from a bounded store.
+    The tokenizer's words never span a blank or a line feed, so a text's ids are those of what stands between them.
+    Plain words go straight to the tokenizer's merging model, all others through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
-        self.store: dict[str, bytes] = {"": b""}
+        self.model, self.letters = self.tokenizer.model, {}
+        alphabet = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in alphabet]
+        #: the byte-level alphabet: a printable character for each byte
+        self.byte = {**{b: chr(b) for b in alphabet}, **{b: chr(256 + i) for i, b in enumerate(others)}}
 
     def ids(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        words = (text or "").replace("\n", " ").split(" ")
-        store = self.store
-        missing = list({w for w in words if w not in store})
-        extra: dict[str, bytes] = {}
-        if missing:
-            if len(store) + len(missing) > STORE:
-                self.store = store = {"": b""}
-                missing = list({w for w in words if w})
-            got = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            for w, e in zip(missing, got, strict=True):
-                (store if len(w) <= LONGEST and len(store) < STORE else extra)[w] = np.array(e.ids, "<u4").tobytes()
-        if extra:
-            return b"".join([store[w] if w in store else extra[w] for w in words])
-        return b"".join(map(store.__getitem__, words))
+        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
+
+    def __missing__(self, word: str) -> bytes:
+        plain = PLAIN.fullmatch(word)
+        if plain and "<|" not in word:
+            got = b"".join([self.merged(x.lower()) for x in plain.groups() if x])
+        else:
+            got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(word) <= LONGEST:
+            if len(self) > STORE:
+                self.clear()
+                self[""] = b""
+            self[word] = got
+        return got
+
+    def merged(self, part: str) -> bytes:
+        got = self.letters.get(part)
+        if got is None:
+            spelled = part if part.isascii() else "".join([self.byte[b] for b in part.encode()])
+            got = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+            if len(part) <= LONGEST:
+                if len(self.letters) > STORE:
+                    self.letters.clear()
+                self.letters[part] = got
+        return got
 
 
 def encoder(path: str) -> WordEncoder:
