@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathline.llm import fingerprints, language, packing, ppm, secrets, simhash, topk, urls
+from swathline.llm import fingerprints, language, licenses, packing, pieces, ppm, secrets, simhash, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,30 @@ def notes(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("notes"))
 
 
+# --- 1 ------------------------------------------------------------------------------------------------------------
+
+
+@query("op1_license_scan")
+def _(spark, folder):
+    # a shelf of a hundred documents is a directory, its first document the directory's notice
+    shelf = F.format_string("%s/%s/%d", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.expr("doc_id div 100"))
+    name = F.when(F.col("doc_id") % 100 == 0, F.lit("NOTICE")).otherwise(F.format_string("%d.txt", "doc_id"))
+    images = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.concat(shelf, F.lit("/"), name).alias("s3_key"), F.col("text").alias("exif"))
+    return licenses.license_scan(images).withColumnRenamed("id", "doc_id")
+
+
+# --- 2 ------------------------------------------------------------------------------------------------------------
+
+
+@query("op2_piece_round_trip")
+def _(spark, folder):
+    import public_tokenizers
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    done = pieces.decode_notes(pieces.encode_notes(notes(spark, folder), model), model)
+    return done.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("notes", F.lit(""))).alias("round_trip"))
+
+
 # --- 3 ------------------------------------------------------------------------------------------------------------
 
 TOPK_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
