@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,10 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def table(texts: Iterable[str], numbers: Iterable[int], text: str, number: str) -> pd.DataFrame:
+    return pd.DataFrame({text: np.array([*texts], object), number: np.array([*numbers], np.int64)})
+
+
 def token_counts(datasets: DataFrame, held: int = 200_000) -> DataFrame:
     """``datasets`` (notes, trained) -> (word, known): every word of all notes and its number in the trained ones.
 
@@ -34,7 +38,7 @@ def token_counts(datasets: DataFrame, held: int = 200_000) -> DataFrame:
         found: Counter[bytes] = Counter()
 
         def rows() -> pd.DataFrame:
-            out = pd.DataFrame({"word": [w.decode("latin-1") for w in found], "known": list(found.values())})
+            out = table([w.decode("latin-1") for w in found], found.values(), "word", "known")
             found.clear()
             return out
 
@@ -67,9 +71,10 @@ def longest_contexts(words: DataFrame, order: int, held: int = 200_000) -> DataF
                 for i in range(1, len(s)):
                     found[s[max(0, i - order):i + 1]] += known
                     if len(found) > held:
-                        yield pd.DataFrame({"gram": list(found), "n": list(found.values())})
+                        yield table(found, found.values(), "gram", "n")
                         found.clear()
-        yield pd.DataFrame({"gram": list(found), "n": list(found.values())})
+        if found:
+            yield table(found, found.values(), "gram", "n")
 
     return words.mapInPandas(grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -137,6 +142,8 @@ def _summed(table, order: int):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, values = table.value
         for batch in batches:
+            if not len(batch):
+                continue
             raw = [(START + w + END).encode("latin-1") for w in batch["word"]]
             flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
             sizes = np.array([len(r) for r in raw], np.int64)
@@ -151,7 +158,7 @@ def _summed(table, order: int):
             at = np.minimum(np.searchsorted(keys, code), max(len(keys) - 1, 0))
             hit = (keys[at] == code) & (place > 0) if len(keys) else np.zeros(len(flat), bool)
             gained = np.where(hit, values[at], 0.0) if len(keys) else np.zeros(len(flat))
-            sums = np.add.reduceat(gained, begins) if len(raw) else np.zeros(0)
+            sums = np.add.reduceat(gained, begins)
             yield pd.DataFrame({"word": batch["word"], "known": batch["known"], "score": sums})
 
     return score
@@ -178,10 +185,10 @@ def score_notes(datasets: DataFrame, order: int = 5, head: int = 50_000) -> Data
     floor = 0.1 * (v + 1) + n
     common = scored.orderBy(F.col("known").desc(), "word").limit(head).collect()
     known = {r["word"].encode("latin-1"): (math.log10((r["known"] + 0.1) / floor), r["score"], r["known"] > 0) for r in common}
-    table = datasets.sparkSession.sparkContext.broadcast(known)
+    near_words = datasets.sparkSession.sparkContext.broadcast(known)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near = table.value
+        near = near_words.value
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.iloc[lo:lo + 500]

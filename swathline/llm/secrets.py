@@ -80,27 +80,28 @@ def labelled_samples(jobs: DataFrame, notes: int = 4000) -> DataFrame:
     return random.union(plain.where(F.length("sample") >= 4))
 
 
-def character_model(samples: DataFrame, smooth: float = 0.5) -> list[float]:
+def character_model(samples: DataFrame, smooth: float = 4.0) -> list[float]:
     """``samples`` (sample, random) -> log-likelihood ratio of each pair of ASCII characters, at 128 * first + second.
 
-    Two first-order models, one of the random strings and one of the ordinary ones, smoothed alike, so that a pair
-    after a character that neither has seen counts nothing.  The table has 16,384 numbers, whatever the samples.
+    Two first-order models, one of the random strings and one of the ordinary ones.  What a character is followed by is
+    smoothed by ``smooth`` draws from how often characters occur at all, so a pair that was never seen still tells
+    by its second character.  Without samples of both kinds nothing looks random.  The table has 16,384 numbers,
+    whatever the samples.
     """
     clean = samples.where("sample IS NOT NULL AND random IS NOT NULL AND sample RLIKE '^[\\\\x21-\\\\x7e]{2,}$'")
     pair = F.expr("explode(transform(sequence(1, length(sample) - 1), i -> substring(sample, i, 2)))")
-    counts = clean.select("random", pair.alias("pair")).groupBy("random", "pair").count().collect()
-    size, seen = 64.0, {True: {}, False: {}}
-    start = {True: [0.0] * ALPHABET, False: [0.0] * ALPHABET}
-    for r in counts:
-        a, b = map(ord, r["pair"])
-        seen[r["random"]][a, b] = r["count"]
-        start[r["random"]][a] += r["count"]
-    out = [0.0] * (ALPHABET * ALPHABET)
-    for a in range(ALPHABET):
-        for b in range(ALPHABET):
-            p, q = ((seen[k].get((a, b), 0) + smooth) / (start[k][a] + smooth * size) for k in (True, False))
-            out[a * ALPHABET + b] = math.log(p / q)
-    return out
+    seen = {kind: [[0.0] * ALPHABET for _ in range(ALPHABET)] for kind in (True, False)}
+    for r in clean.select("random", pair.alias("pair")).groupBy("random", "pair").count().collect():
+        seen[r["random"]][ord(r["pair"][0])][ord(r["pair"][1])] = float(r["count"])
+    if not all(any(map(any, table)) for table in seen.values()):
+        return [0.0] * (ALPHABET * ALPHABET)
+
+    def logs(table: list[list[float]]) -> list[float]:
+        ends = [sum(row[b] for row in table) + 0.5 for b in range(ALPHABET)]
+        total = sum(ends)
+        return [math.log((row[b] + smooth * ends[b] / total) / (sum(row) + smooth)) for row in table for b in range(ALPHABET)]
+
+    return [p - q for p, q in zip(logs(seen[True]), logs(seen[False]), strict=True)]
 
 
 def likelihood_ratio(word: Column, model: list[float]) -> Column:

@@ -79,7 +79,7 @@ def _events(rules: DataFrame) -> DataFrame:
     shorter prefixes.  Where nothing encloses, the end carries a rule without a verdict.  No text has the byte
     FF, so a key and FF come after all that begins with the key.
     """
-    own = rules.select("key", F.struct(F.length("key").alias("length"), "host", "path", "verdict").cast(ACTIVE).alias("active"))
+    own = rules.select("key", F.struct((F.length("host") + F.length("path") + 1).alias("length"), "host", "path", "verdict").cast(ACTIVE).alias("active"))
     shorter = rules.where("length(key) > 1").select(
         F.col("key").alias("inner"), F.expr("explode(transform(sequence(1, length(key) - 1), n -> substring(key, 1, n)))").alias("key"))
     outer = shorter.join(own, "key").groupBy("inner").agg(F.max("active").alias("outer"))
