@@ -89,7 +89,7 @@ def as_text(print_: Column) -> Column:
     return F.array_join(F.transform(print_, lambda h: F.coalesce(F.lower(F.lpad(F.hex(h), 16, "0")), F.lit("-" * 16))), "")
 
 
-def edited_fingerprints(datasets: DataFrame, slices: int = 256, **method: int) -> DataFrame:
+def edited_fingerprints(datasets: DataFrame, slices: int | None = None, **method: int) -> DataFrame:
     """``datasets`` (id long, notes) -> (id, n_chars, edited, print, edited_print, near_edited, near_next), a row for each row given.
 
     The next note is the one with the next smaller id; after the last comes the first.  ``edited`` is the note
@@ -98,28 +98,33 @@ def edited_fingerprints(datasets: DataFrame, slices: int = 256, **method: int) -
     count as empty; an empty note's fingerprint is empty.  Of equal ids the note with the lower hash comes
     later in the order; a null id comes last of all.  An only row is its own next.  Other columns are not looked at.
 
-    Ids are cut into ranges of about equal numbers of rows (bounds from one approximate quantile, at most
-    ``slices`` numbers); the next note is found inside a range, and the highest row of each range is also
-    sent to the range above as a guest, so one shuffle of the texts is enough.
+    Ids are cut into ``slices`` ranges of about equal numbers of rows (four for each shuffle partition, 256 at least;
+    the bounds come from one approximate quantile).  The next note is found inside a range, and the highest row
+    of each range is also sent to the range above as a guest, so one shuffle of the texts is enough.
     """
+    slices = slices or max(256, 4 * int(datasets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce("notes", F.lit(""))
     rows = datasets.select(F.col("id").cast("long").alias("id"), text.alias("notes"), order_minhash(text, **method).alias("print"))
     ids = datasets.select(F.col("id").cast("long").alias("id"), F.xxhash64(text).alias("_tie"))
-    marks = ids.agg(F.percentile_approx("id", [i / slices for i in range(1, slices)], 10000).alias("b")).first()["b"] or []
-    bounds = sorted(set(marks))
-    slice_of = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b < F.col("id"))))
-    top = F.max(F.struct(F.col("id").isNotNull().alias("ok"), "id", "_tie"))
-    highest = {r["s"]: (r["t"]["id"], r["t"]["_tie"]) for r in ids.groupBy(slice_of.alias("s")).agg(top.alias("t")).collect()}
+    marks = ids.agg(F.percentile_approx("id", [i / slices for i in range(1, slices)], max(10_000, 10 * slices)).alias("b")).first()["b"]
+    bounds = sorted(set(marks or []))
+    # range 0 is the rows without an id; the others are found by halving
+    steps = [1 << b for b in range(len(bounds).bit_length() - 1, -1, -1)] or [1]
+    edges = F.lit(bounds).cast("array<bigint>")
+    below = F.aggregate(F.lit(steps), F.lit(0), lambda lo, step: F.when(F.get(edges, lo + step - 1) < F.col("id"), lo + step).otherwise(lo))
+    slice_of = F.when(F.col("id").isNull(), 0).otherwise(below + 1)
+    top = F.max(F.struct("id", "_tie"))
+    highest = {r["s"]: r["t"] for r in ids.groupBy(slice_of.alias("s")).agg(top.alias("t")).collect()}
     known = sorted(highest)
-    above = {s: known[(i + 1) % len(known)] for i, s in enumerate(known)}
+    above = dict(zip(known, known[1:] + known[:1], strict=True))
+    places = range(len(bounds) + 2)
+    top_id = F.lit([(highest[s]["id"] if s in highest else 0) or 0 for s in places]).cast("array<bigint>")
+    top_tie = F.lit([highest[s]["_tie"] if s in highest else 0 for s in places]).cast("array<bigint>")
+    to = F.get(F.lit([above.get(s, 0) for s in places]), F.col("_slice"))
     tagged = rows.withColumns({"_slice": slice_of, "_tie": F.xxhash64("notes")})
-    guest = F.lit(None).cast("int")
-    for s in known:
-        own_id, tie = highest[s]
-        guest = F.when((F.col("_slice") == s) & F.col("id").eqNullSafe(F.lit(own_id)) & (F.col("_tie") == tie), F.lit(above[s])).otherwise(guest)
-    homes = F.filter(F.array(F.struct(F.col("_slice").alias("home"), F.lit(False).alias("guest")),
-                             F.struct(guest.alias("home"), F.lit(True).alias("guest"))), lambda h: h["home"].isNotNull())
-    dealt = tagged.select("id", "notes", "print", "_tie", F.inline(homes))
+    is_top = (F.col("_tie") == F.get(top_tie, F.col("_slice"))) & ((F.col("_slice") == 0) | (F.col("id") == F.get(top_id, F.col("_slice"))))
+    own, guest = F.struct(F.col("_slice").alias("home"), F.lit(False).alias("guest")), F.struct(to.alias("home"), F.lit(True).alias("guest"))
+    dealt = tagged.select("id", "notes", "print", "_tie", F.inline(F.when(is_top, F.array(own, guest)).otherwise(F.array(own))))
     order = W.partitionBy("home").orderBy("guest", F.col("id").desc_nulls_last(), F.col("_tie").desc())
     following = dealt.withColumns({"_text": F.lead("notes").over(order), "_print": F.lead("print").over(order)}).where("NOT guest")
     length = F.length("notes")

@@ -1,0 +1,66 @@
+"""The pipeline's stages and whole run against brute force."""
+
+from __future__ import annotations
+
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from swathline.llm.queries import word_tokenizer
+from tests.conftest import FOLDER
+from tests.llm.test_messages import base_spans
+from tests.llm.test_notes import jaccard_keepers
+
+STAGE = dict(corpus_pipeline.STAGES)
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    own = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    secret = [(5000, "a note with token=abcdefgh12 inside and then more words of the text", "en", "s", 66)]
+    odd = [(5001, None, None, None, None), (5002, "", "en", None, 0), (5003, "12 34 !", "en", "s", 7)]
+    return own.unionByName(spark.createDataFrame(secret + odd, COLUMNS))
+
+
+def test_stages_keep_the_columns_of_documents(spark, docs):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        wider = docs.limit(40).withColumns({"id": F.lit("x"), "notes": F.lit(1), "error_message": F.lit(2.0), "_language": F.lit(3), "_row": F.lit(4)})
+        got = stage(spark, wider, FOLDER)
+        assert got.columns == wider.columns and got.where("id != 'x' OR notes != 1 OR error_message != 2").count() == 0, name
+        assert stage(spark, docs.limit(0), FOLDER).collect() == []
+
+
+def test_run_against_brute_force(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.text and any(map(str.isalpha, r.text))]
+    keep = jaccard_keepers(rows)
+    tokenizer = Tokenizer.from_file(word_tokenizer())
+    want = Counter()
+    for i, text in rows:
+        if i not in keep:
+            continue
+        for start, _, end in reversed(base_spans(text)):
+            text = text[:start] + "[secret]" + text[end:]
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [1]
+        for k in range(0, len(ids), 4096):
+            part = ids[k:k + 4096]
+            want[i, k // 4096, k, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+
+
+def test_nulls_and_letterless_documents_go(spark, docs):
+    kept = {r.doc_id for r in STAGE["language_id"](spark, docs, FOLDER).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.collect()} - {5001, 5002, 5003}
+
+
+def test_secrets_are_redacted_and_counted(spark, docs):
+    got = {r.doc_id: r for r in STAGE["secret_scan"](spark, docs, FOLDER).collect()}
+    assert got[5000].text == "a note with [secret] inside and then more words of the text" and got[5000].n_chars == len(got[5000].text)
+    assert got[5001].text is None and len(got) == docs.count()
