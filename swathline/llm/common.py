@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,6 +28,13 @@ def words_lower(text: Column) -> Column:
     return F.filter(F.split(low, SPACE), lambda w: w != "")
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the shuffle files of steps that are done be deleted now: Spark does so when the driver's JVM collects the
+    garbage that refers to them, which on a quiet driver may be long after the disks are full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (a long, b long) -> (node, component), component being the smallest node reachable.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from swathline.llm.common import connected_components, cut, fresh
+from swathline.llm.common import connected_components, cut, fresh, release
 
 #: BITS[b, j]: bit j of the byte b.
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -97,29 +99,60 @@ def near_duplicate_notes(datasets: DataFrame, words: int = 3) -> DataFrame:
 
 # --- similar notes: several bands, checked by the shingles themselves ---------------------------------------------
 
-BANDS, BAND_BITS = 10, 24
-SKETCH = "struct<class:long,bands:array<int>,rest:long>"
 
+@dataclass(frozen=True)
+class Bands:
+    """How SimHashes are cut into bands: ``count`` bands of ``bits`` bits, each with its ball of radius 1.
+
+    ``apart``: the share of bits in which notes of the wanted similarity differ.
+    """
+
+    count: int
+    bits: int
+    apart: float
+
+    def far(self, bits: int) -> int:
+        """The distance over ``bits`` bits that notes of the wanted similarity pass once in ten thousand times or less."""
+        return math.ceil(bits * self.apart + 4 * math.sqrt(bits * self.apart * (1 - self.apart)))
+
+
+def plan_bands(notes: int, similarity: float, recall: float = 0.95) -> Bands:
+    """Bands for so many different notes.
+
+    Shingle sets of Jaccard similarity s have the cosine 2s / (1 + s), and so differ in acos(cosine) / pi of
+    their SimHash bits.  A band is as wide as keeps its places sparse (64 for each note at least, never under 24 bits), and there are as
+    many bands as let two notes of that similarity meet in some band with a probability of ``recall`` or more.
+    """
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = max(24, math.ceil(math.log2(max(notes, 1))) + 6)
+    near = sum(math.comb(bits, d) * apart ** d * (1 - apart) ** (bits - d) for d in range(3))
+    return Bands(math.ceil(math.log(1 - recall) / math.log(1 - near)) if near < 1 else 1, bits, apart)
+
+
+def word_class(text: str | None) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
 
-def sketch_udf(words: int):
-    """Text -> its class (64-bit hash of its words), ten 24-bit SimHash bands and 64 bits to compare by."""
 
-    @F.pandas_udf(SKETCH)
-    def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def bands_udf(words: int, bands: Bands):
+    """Text -> its class (a 64-bit hash of its words), the SimHash of its distinct shingles cut into bands, and 64 of its bits to compare by."""
+    total = bands.count * bands.bits
+    width = -(-max(total, 64) // 128) * 16
+    powers = np.int64(1) << np.arange(bands.bits)
+
+    @F.pandas_udf("class long, bands array<long>, rest long")
+    def cut_bands(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            classes, bands, rest = np.zeros(len(batch), "<u8"), [], np.zeros(len(batch), "<u8")
+            values, rest = [], np.zeros(len(batch), "<u8")
+            classes = np.array([word_class(t) for t in batch], "<u8").view("<i8")
             for i, text in enumerate(batch):
                 own = set(shingles(text, words))
-                raw = b"".join(xxhash.xxh3_128_digest(s) + xxhash.xxh3_128_digest(s, 1) for s in own)
-                bits = majority(np.frombuffer(raw, np.uint8).reshape(-1, 32)) if own else np.zeros(32, np.uint8)
-                wide = np.zeros((BANDS, 4), np.uint8)
-                wide[:, :3] = bits[:30].reshape(BANDS, 3)
-                bands.append(wide.view("<i4").ravel())
-                rest[i] = bits[24:].view("<u8")[0]
-                classes[i] = xxhash.xxh3_64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
-            yield pd.DataFrame({"class": classes.view("<i8"), "bands": bands, "rest": rest.view("<i8")})
+                raw = b"".join([xxhash.xxh3_128_digest(s, seed) for s in own for seed in range(width // 16)])
+                bits = majority(np.frombuffer(raw, np.uint8).reshape(-1, width)) if own else np.zeros(width, np.uint8)
+                values.append(np.unpackbits(bits, bitorder="little")[:total].reshape(bands.count, bands.bits) @ powers)
+                rest[i] = bits[-8:].view("<u8")[0]
+            yield pd.DataFrame({"class": classes, "bands": values, "rest": rest.view("<i8")})
 
-    return sketch
+    return cut_bands
 
 
 def shingle_set_udf(words: int):
@@ -134,66 +167,68 @@ def shingle_set_udf(words: int):
     return shingle_set
 
 
-def similar_notes(datasets: DataFrame, words: int = 5, similarity: float = 0.8, most_bits: int = 20) -> DataFrame:
-    """``datasets`` (key long, notes) -> (class, component): the groups of notes whose shingle sets have a Jaccard
-    similarity of ``similarity`` or more, by chains; ``class`` stands for all notes with the same words, and is
-    in the result only if it is linked with another class.
+def sketch_notes(datasets: DataFrame, words: int, bands: Bands) -> DataFrame:
+    """``datasets`` (row, notes and any other columns) -> the same without notes, with class, bands and rest."""
+    others = [F.col(f"`{c}`") for c in datasets.columns if c != "notes"]
+    return datasets.select(*others, bands_udf(words, bands)("notes").alias("s")).select(*others, "s.*")
+
+
+def similar_notes(sketches: DataFrame, texts: DataFrame, bands: Bands, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``sketches`` (row long, class, bands, rest) and ``texts`` (row, notes) -> (class, component): groups of notes whose
+    shingle sets have a Jaccard similarity of ``similarity`` or more, by chains.
 
-    A similarity of 0.8 makes two SimHashes differ in about 15 of 100 bits, far beyond the radius of one ball
-    over 64 bits.  So ten bands of 24 bits each are dealt to their balls of radius 1 (250 places a note); in
-    one band two such notes meet with probability 0.27, in some band with 0.96, and at a similarity of 0.9
-    with 0.9996.  At each place a note is compared with the one before it (in the order of 64 further bits, so
-    that like stands by like) and with the first, hence as many pairs as notes.  Pairs that differ in over
-    ``most_bits`` of the 64 bits are let go; the others are kept once and checked by their shingle sets.
+    ``row`` tells rows apart (rows that are equal may share one), ``class`` is the hash of a note's words; a class is in
+    the result only if it is linked with another.  A similarity of 0.8 makes two SimHashes differ in about 15 of 100 bits,
+    far beyond the radius of one ball over 64 bits.  So bands of the SimHash are dealt to their balls of radius 1 (see
+    ``plan_bands``).  At each place a note is compared with the one before it (in the order of 64 bits, so that like
+    stands by like) and with the first: as many pairs as notes.  Pairs whose SimHashes are farther apart than
+    similar notes ever are, are let go.  The others are kept once and checked by their shingle sets.
     """
-    notes = datasets.select(sketch_udf(words)("notes").alias("s")).select("s.*")
-    classes = cut(notes.groupBy("class").agg(F.first("bands").alias("bands"), F.first("rest").alias("rest")))
-    places = classes.select("class", "rest", F.posexplode("bands").alias("band", "value")).select(
-        "class", "rest", F.explode(ball(F.col("band").cast("long") * (1 << BAND_BITS) + F.col("value"), BAND_BITS)).alias("place"))
+    spark = sketches.sparkSession
+    classes = cut(sketches.groupBy("class").agg(F.min("row").alias("row"), F.first("bands").alias("bands"), F.first("rest").alias("rest")))
+    places = classes.select("class", "rest", F.posexplode("bands").alias("band", "value")).select("class", "rest", F.explode(
+        ball(F.shiftleft(F.col("band").cast("long"), bands.bits).bitwiseOR(F.col("value")), bands.bits)).alias("place"))
     order = W.partitionBy("place").orderBy("rest", "class")
     me = F.struct("class", "rest")
     beside = places.withColumns({"before": F.lag(me).over(order), "start": F.first(me).over(order)}).where("before IS NOT NULL")
-    pairs = beside.select("class", "rest", F.explode(F.array("before", "start")).alias("o")).where(
-        hamming(F.col("rest"), F.col("o.rest")) <= most_bits).select(
-        F.least("class", "o.class").alias("a"), F.greatest("class", "o.class").alias("b"))
-    pairs = cut(pairs.where("a != b").distinct())
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    sets = cut(datasets.select(sketch_class_udf()("notes").alias("class"), "notes").join(wanted, "class", "left_semi")
-               .dropDuplicates(["class"]).select("class", shingle_set_udf(words)("notes").alias("shingles")))
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("of_a")), "a").join(
+    met = beside.select("class", "rest", F.explode(F.array("before", "start")).alias("o")).where(
+        (F.col("class") != F.col("o.class")) & (hamming(F.col("rest"), F.col("o.rest")) <= bands.far(64)))
+    pairs = cut(met.select(F.least("class", "o.class").alias("a"), F.greatest("class", "o.class").alias("b")).distinct())
+    release(spark)
+    wide = pairs.join(classes.select(F.col("class").alias("a"), F.col("bands").alias("of_a")), "a").join(
+        classes.select(F.col("class").alias("b"), F.col("bands").alias("of_b")), "b")
+    apart = F.aggregate(F.zip_with("of_a", "of_b", hamming), F.lit(0), lambda s, x: s + x)
+    near = cut(wide.where(apart <= bands.far(bands.count * bands.bits)).select("a", "b"))
+    wanted = near.select(F.col("a").alias("class")).union(near.select("b")).distinct()
+    rows = cut(classes.join(wanted, "class", "left_semi").select("row", "class"))
+    found = texts.select("row", "notes").join(rows, "row").dropDuplicates(["class"])
+    sets = cut(found.select("class", shingle_set_udf(words)("notes").alias("shingles")))
+    release(spark)
+    both = near.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("of_a")), "a").join(
         sets.select(F.col("class").alias("b"), F.col("shingles").alias("of_b")), "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    alike = both.where(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
+    alike = cut(both.where(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b"))
     return connected_components(alike).select(F.col("node").alias("class"), "component")
 
 
-def sketch_class_udf():
-    """Text -> its class: a 64-bit hash of its words."""
-
-    @F.pandas_udf("long")
-    def class_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series(np.array([xxhash.xxh3_64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()))
-                                      for t in batch], "<u8").view("<i8"))
-
-    return class_of
-
-
 def one_of_each(datasets: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``datasets`` (id, notes and any other columns) less all but one of each group of similar notes.
 
     The row with the smallest id stays (rows with a null id only if all have none; of rows with that id the one
     whose columns hash lowest; of rows that are equal in every column one).  Blank and null notes are one group.
     """
-    row, kind = fresh(datasets, "_row"), fresh(datasets, "_class")
-    plain = F.xxhash64(*[F.col(f"`{c}`") for c in datasets.columns])
-    tagged = datasets.withColumns({row: plain, kind: sketch_class_udf()("notes")})
-    groups = similar_notes(datasets.select("notes"), words, similarity).select(F.col("class").alias(kind), "component")
-    small = tagged.select(F.col("id"), F.col(row).alias("row"), F.col(kind))
-    first = F.struct(F.col("id").isNull(), "id", "row")
-    keep = cut(small.join(groups, kind, "left").groupBy(F.coalesce("component", kind).alias("group")).agg(
-        F.min(first).alias("k")).select(F.col("k.row").bitwiseXOR(F.lit(0)).alias(row)))
-    kept = tagged.drop(kind).join(keep, row, "left_semi")
-    times = small.join(keep.withColumnRenamed(row, "row"), "row", "left_semi").groupBy("row").count().where("count > 1")
-    again = cut(times.select(F.col("row").bitwiseXOR(F.lit(0)).alias(row)))
+    row = fresh(datasets, "_row")
+    tagged = datasets.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in datasets.columns]))
+    known = tagged.select("id", F.col(row).alias("row"), "notes")
+    bands = plan_bands(known.agg(F.approx_count_distinct(F.xxhash64("notes"))).first()[0], similarity)
+    small = cut(sketch_notes(known, words, bands))
+    groups = similar_notes(small, known, bands, words, similarity)
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    keep = small.join(groups, "class", "left").groupBy(F.coalesce("component", "class").alias("group")).agg(F.min(first).alias("k"))
+    keep = cut(keep.select(F.col("k.row").alias("row")))
+    release(datasets.sparkSession)
+    again = cut(small.join(keep, "row", "left_semi").groupBy("row").count().where("count > 1").select(F.col("row").alias(row)))
+    kept = tagged.join(keep.withColumnRenamed("row", row), row, "left_semi")
+    if again.isEmpty():
+        return kept.drop(row)
     return kept.join(again, row, "left_anti").unionByName(kept.join(again, row, "left_semi").dropDuplicates([row])).drop(row)
