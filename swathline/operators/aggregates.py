@@ -87,6 +87,7 @@ def latest_archive(images: DataFrame, statuses: DataFrame) -> DataFrame:
 def user_dataset_stats(datasets: DataFrame, images: DataFrame, user: int) -> DataFrame:
     mine = datasets.where(F.col("user_id") == user).dropDuplicates(["dataset_id"])
     archive = F.col("file_type") == "ARCHIVE"
+    images = images.join(mine.select("dataset_id"), "dataset_id", "left_semi")
     per = images.groupBy("dataset_id").agg(
         F.count_if(F.col("file_type") == "IMAGE").alias("total_files"),
         F.sum(F.when(archive, F.col("file_size"))).alias("total_size"),

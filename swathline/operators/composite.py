@@ -23,6 +23,8 @@ def flight_strips(captures: DataFrame, k: float = 6.0, min_gap_m: float = 5.0) -
     one task.  A strip ends where a gap exceeds both ``min_gap_m`` and k times the flight's median gap;
     such a gap always lies between slots, so strips are numbered on the slot rows.
     """
+    if min_gap_m < SLOT_M:
+        raise ValueError(f"min_gap_m must be at least {SLOT_M}: nearer positions share a slot")
     m = K.METRES_PER_DEGREE
     base = captures.groupBy("flight").agg(
         F.count("*").alias("_count"), F.avg("lat").alias("_mlat"), F.avg("lon").alias("_mlon"),

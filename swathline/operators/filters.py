@@ -115,7 +115,7 @@ def dataset_filter(datasets: DataFrame, images: DataFrame, org: int, search: str
         df = df.where(any_of)
     df = _between(df, "created_at", *created)
     df = _between(df, "capture_start", *captured)
-    out = dataset_status(df, images)
+    out = dataset_status(df, images.join(df.select("dataset_id").distinct(), "dataset_id", "left_semi"))
     states = [s.upper() for s in _listed(status)]
     return out.where(F.col("status").isin(states)) if states else out
 

@@ -189,12 +189,12 @@ def sim3_fit(local: DataFrame, ecef: DataFrame, max_error: float = 3.0, rounds:
     """Least-squares similarity from local (name, x, y, z) to ECEF (name, ex, ey, ez).
 
     Each round is one aggregate of moments over the matched cameras; only those 17 numbers reach the
-    driver, where the 3x3 problem is solved.  Cameras farther than the bound are left out of the next
+    driver, where the 3x3 problem is solved.  ``converged`` in the report is false when ``rounds`` ended first.  Cameras farther than the bound are left out of the next
     round; the bound falls to ``max_error``.
     """
     pairs = local.select("name", "x", "y", "z").join(ecef.select("name", "ex", "ey", "ez"), "name").persist()
     src, dst = ["x", "y", "z"], ["ex", "ey", "ez"]
-    sim, bound, last = None, None, None
+    sim, bound, last, converged = None, None, None, False
     try:
         for _ in range(rounds):
             kept = pairs
@@ -219,6 +219,7 @@ def sim3_fit(local: DataFrame, ecef: DataFrame, max_error: float = 3.0, rounds:
             rmse = err.agg(F.sqrt(F.avg(F.col("_err") * F.col("_err"))).alias("r")).first()["r"]
             state = (row["n"], bound)
             if bound == max_error and last == state:
+                converged = True
                 break
             last = state
             bound = max(max_error, rmse) if bound is None or bound > max_error else max_error
@@ -227,7 +228,7 @@ def sim3_fit(local: DataFrame, ecef: DataFrame, max_error: float = 3.0, rounds:
             F.sqrt(F.avg(F.when(F.col("_err") <= max_error, F.col("_err") * F.col("_err")))).alias("rmse")).first()
     finally:
         pairs.unpersist()
-    report = {"cameras": total["n"], "inliers": total["inliers"], "rmse": total["rmse"],
+    report = {"converged": converged, "cameras": total["n"], "inliers": total["inliers"], "rmse": total["rmse"],
               "scale_warning": abs(sim.scale - 1.0) > 0.10, "rmse_warning": total["rmse"] > 5.0 * max_error}
     return sim, report
 

@@ -17,6 +17,18 @@ LINE = ["raster_id", "band"]
 CELL = ["raster_id", "band", "row", "col"]
 
 
+def finite(v: Column) -> Column:
+    """True for a number that is neither NULL, NaN nor infinite."""
+    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+
+
+def clean(raster: DataFrame, nodata: float | None = K.NODATA, value: str = "value") -> DataFrame:
+    """Declared nodata and values that are not finite become NULL; every raster operator begins with this."""
+    v = F.col(value).cast("double")
+    good = finite(v) if nodata is None else finite(v) & (v != nodata)
+    return raster.withColumn(value, F.when(good, F.col(value)))
+
+
 @dataclass(frozen=True)
 class Grid:
     """Axis-aligned grid; row = floor((y - y0) / dy), so ``dy`` is negative for north-up rasters."""

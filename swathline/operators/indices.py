@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from swathline.functions import constants as K
 from swathline.functions.ranking import exact_quantiles
-from swathline.operators.grid import LINE
+from swathline.operators.grid import LINE, clean
 
 PIXEL = ["raster_id", "row", "col"]
 TINY = 1e-10
@@ -17,7 +17,7 @@ TINY = 1e-10
 
 def _bands(raster: DataFrame, bands: Sequence[str]) -> DataFrame:
     """One row per pixel with a column per band: a single grouping on the pixel."""
-    wanted = raster.where(F.col("band").isin(list(bands)))
+    wanted = clean(raster.where(F.col("band").isin(list(bands))))
     return wanted.groupBy(*PIXEL).agg(
         *[F.max(F.when(F.col("band") == b, F.col("value"))).alias(b) for b in bands])
 
@@ -81,6 +81,7 @@ def available_indices(raster: DataFrame) -> DataFrame:
 
 def stretch_u8(raster: DataFrame) -> DataFrame:
     """Valid pixels stretched to whole numbers 0..255 between the 2nd and 98th percentile; nodata becomes 0."""
+    raster = clean(raster)
     q = exact_quantiles(raster, LINE, "value", {"lo": 0.02, "hi": 0.98})
     scaled = (F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * 255
     clipped = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), scaled)))
@@ -90,14 +91,14 @@ def stretch_u8(raster: DataFrame) -> DataFrame:
 
 def image_mean(raster: DataFrame) -> DataFrame:
     """Mean of valid pixels per image and band; images with no valid pixel or mean <= 0 are dropped."""
-    return (raster.groupBy(*LINE).agg(F.avg("value").alias("mean"), F.count("value").alias("valid"))
+    return (clean(raster).groupBy(*LINE).agg(F.avg("value").alias("mean"), F.count("value").alias("valid"))
             .where(F.col("mean") > 0))
 
 
 def overviews(raster: DataFrame, levels: Sequence[int] = K.OVERVIEW_LEVELS) -> DataFrame:
     """Block averages of the valid pixels at each level; every level is summed from the one before."""
     out = None
-    have = raster.select(*LINE, "row", "col", F.col("value").alias("s"),
+    have = clean(raster).select(*LINE, "row", "col", F.col("value").alias("s"),
                          F.col("value").isNotNull().cast("long").alias("n"))
     done = 1
     for level in levels:
@@ -138,7 +139,7 @@ def _shrink(df: DataFrame, axis: str, factor: int, size: Column) -> DataFrame:
 
 def multires(raster: DataFrame, width: int, height: int, factors: Sequence[int] = K.MULTIRES_FACTORS) -> DataFrame:
     """Cubic downsampling by each factor, columns first and then rows; nodata carries no weight."""
-    base = raster.where(F.col("value").isNotNull()).select(
+    base = clean(raster).where(F.col("value").isNotNull()).select(
         *LINE, "row", "col", F.col("value").alias("num"), F.lit(1.0).alias("den"))
     out = None
     for f in factors:
@@ -155,6 +156,7 @@ PERCENTILES = {"p1": 0.01, "p2": 0.02, "median": 0.5, "p98": 0.98, "p99": 0.99}
 
 def raster_stats(raster: DataFrame, exact: bool = True) -> DataFrame:
     """Per raster and band: extremes, mean, population deviation, valid share and percentiles."""
+    raster = clean(raster)
     base = raster.groupBy(*LINE).agg(
         F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"),
         F.stddev_pop("value").alias("std"), (F.count("value") / F.count("*") * 100).alias("valid_pct"))
@@ -168,6 +170,7 @@ def raster_stats(raster: DataFrame, exact: bool = True) -> DataFrame:
 
 def raster_histogram(raster: DataFrame, bins: int = 120) -> DataFrame:
     """Counts in equal bins between the 1st and 99th percentile; the last bin holds its upper edge."""
+    raster = clean(raster)
     q = exact_quantiles(raster, LINE, "value", {"lo": 0.01, "hi": 0.99})
     v = raster.where(F.col("value").isNotNull()).join(q, LINE).where(
         F.col("value").between(F.col("lo"), F.col("hi")))
@@ -178,10 +181,9 @@ def raster_histogram(raster: DataFrame, bins: int = 120) -> DataFrame:
 
 def reflectance_diag(raster: DataFrame) -> DataFrame:
     """Median and 99th percentile after clipping to 0..1, and the shares that clipping touched."""
-    finite = raster.where(F.col("value").isNotNull() & ~F.isnan("value")
-                          & (F.abs(F.col("value")) < float("inf")))
-    shares = finite.groupBy(*LINE).agg(
+    valid = clean(raster).where(F.col("value").isNotNull())
+    shares = valid.groupBy(*LINE).agg(
         F.avg((F.col("value") > 1).cast("double")).alias("clip_high"),
         F.avg((F.col("value") < 0).cast("double")).alias("clip_low"))
-    clipped = finite.withColumn("value", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value"))))
+    clipped = valid.withColumn("value", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value"))))
     return shares.join(exact_quantiles(clipped, LINE, "value", {"median": 0.5, "p99": 0.99}), LINE)

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from swathline.operators.grid import LINE
+from swathline.operators.grid import LINE, clean
+from swathline.session import cut
 
 SIDES = ["nw", "n", "ne", "w", "c", "e", "sw", "s", "se"]
 
@@ -24,6 +25,7 @@ def stencil(raster: DataFrame, border: str = "null", keep: tuple[str, ...] = ())
     outside the grid: "null", or "mirror" (the cell one step inside, without repeating the edge).  Columns
     named in ``keep`` pass through.
     """
+    raster = clean(raster)
     across = W.partitionBy(*LINE, "row").orderBy("col")
     down = W.partitionBy(*LINE, "col").orderBy("row")
 
@@ -65,7 +67,7 @@ def _runs(df: DataFrame, keys: list[str], along: str, left: str, right: str, isl
 def valid_weights(raster: DataFrame) -> DataFrame:
     """Valid cells with their value and blend weight: the least distance to nodata or the border, left,
     right, up and down.  A gap in the row or column numbers is where nodata or the border starts."""
-    valid = raster.where(F.col("value").isNotNull()).select(*LINE, "row", "col", "value")
+    valid = clean(raster).where(F.col("value").isNotNull()).select(*LINE, "row", "col", "value")
     df = _runs(valid, [*LINE, "row"], "col", "_l", "_r", "_ih").drop("_ih")
     df = _runs(df, [*LINE, "col"], "row", "_u", "_d", "_iv").drop("_iv")
     return df.select(*LINE, "row", "col", "value", F.least("_l", "_r", "_u", "_d").cast("double").alias("weight"))
@@ -73,7 +75,7 @@ def valid_weights(raster: DataFrame) -> DataFrame:
 
 def edge_weight(raster: DataFrame) -> DataFrame:
     """Blend weight of every cell; 0 on nodata."""
-    holes = raster.where(F.col("value").isNull()).select(*LINE, "row", "col", F.lit(0.0).alias("weight"))
+    holes = clean(raster).where(F.col("value").isNull()).select(*LINE, "row", "col", F.lit(0.0).alias("weight"))
     return valid_weights(raster).drop("value").unionByName(holes)
 
 
@@ -100,7 +102,7 @@ def coverage_mask(dsm: DataFrame, unfilled: DataFrame | None = None, passes: tup
     """Cells with an elevation, eroded; cut to the eroded unfilled coverage where that is known."""
 
     def valid(r: DataFrame) -> DataFrame:
-        return r.where(F.col("value").isNotNull() & ~F.isnan("value")).select("raster_id", "row", "col")
+        return clean(r).where(F.col("value").isNotNull()).select("raster_id", "row", "col")
 
     mask = erode(valid(dsm), passes[0])
     if unfilled is None:
@@ -108,34 +110,51 @@ def coverage_mask(dsm: DataFrame, unfilled: DataFrame | None = None, passes: tup
     return mask.join(erode(valid(unfilled), passes[1]), ["raster_id", "row", "col"], "left_semi")
 
 
-def nearest_valid(raster: DataFrame, max_distance: int) -> DataFrame:
-    """Dense raster -> holes take the value of the nearest valid cell up to ``max_distance`` away.
+def nearest_valid(raster: DataFrame, max_distance: int | None = None) -> DataFrame:
+    """Dense raster -> holes take the value of the nearest valid cell, however far (or up to ``max_distance`` away).
 
     Ties go to the smaller row, then column.  Along each row every cell learns the closest valid cell on
-    either side; a hole then compares at most 2 * max_distance + 1 rows of its own column.
+    either side.  A hole then needs only rows of its own column that are nearer than the best found so far: it
+    looks at rows up to 3, 7, 15, ... away, and a hole is done when its best is no farther than the rows it has seen, or
+    when there are no rows left.  Each round has fewer holes; the rows looked at are in proportion to the distance that a
+    hole really has.  A raster without a valid cell keeps its holes.
     """
+    raster = clean(raster)
     across = W.partitionBy(*LINE, "row").rowsBetween(W.unboundedPreceding, 0)
     here = F.when(F.col("value").isNotNull(), F.struct("col", "value"))
     sides = raster.withColumns({
         "_l": F.last(here, ignorenulls=True).over(across.orderBy("col")),
         "_r": F.last(here, ignorenulls=True).over(across.orderBy(F.desc("col")))})
-    found = sides.select(*LINE, F.col("row").alias("row2"), "col", "_l", "_r").where(
-        "_l IS NOT NULL OR _r IS NOT NULL")
-    holes = raster.where(F.col("value").isNull()).select(
-        *LINE, "row", "col", F.explode(F.sequence(F.lit(-max_distance), F.lit(max_distance))).alias("_dr"))
-    # every hole stays, also one that no valid cell is near to
-    near = holes.withColumn("row2", F.col("row") + F.col("_dr")).join(found, [*LINE, "row2", "col"], "left")
+    found = sides.select(*LINE, F.col("row").alias("row2"), "col", "_l", "_r").where("_l IS NOT NULL OR _r IS NOT NULL")
+    seen = found.groupBy(*LINE).agg(F.min("row2").alias("_top"), F.max("row2").alias("_bottom"))
+    none = F.lit(None).cast("struct<d2:bigint,r:int,c:int,v:double>")
+    holes = raster.where(F.col("value").isNull()).join(seen, LINE, "left").select(*LINE, "row", "col", "_top", "_bottom", none.alias("_b"))
 
     def candidate(side: str) -> Column:
-        dc = F.col("col") - F.col(f"{side}.col")
-        d2 = F.col("_dr") * F.col("_dr") + dc * dc
-        return F.when(F.col(side).isNotNull() & (d2 <= max_distance * max_distance),
-                      F.struct(d2.alias("d2"), F.col("row2").alias("r"), F.col(f"{side}.col").alias("c"),
-                               F.col(f"{side}.value").alias("v")))
-
-    best = near.withColumn("_b", F.least(candidate("_l"), candidate("_r"))).groupBy(*LINE, "row", "col").agg(
-        F.min("_b").alias("_b"))
-    filled = best.select(*LINE, "row", "col", F.col("_b.v").alias("value"), F.lit(True).alias("was_hole"))
+        dr, dc = (F.col("row") - F.col("row2")).cast("bigint"), (F.col("col") - F.col(f"{side}.col")).cast("bigint")
+        return F.when(F.col(side).isNotNull(), F.struct((dr * dr + dc * dc).alias("d2"), F.col("row2").cast("int").alias("r"),
+                                                        F.col(f"{side}.col").cast("int").alias("c"), F.col(f"{side}.value").cast("double").alias("v")))
+
+    lo, hi, finished, left = 0, 4, None, cut(holes)
+    while True:
+        reach = F.concat(F.sequence(F.lit(-hi + 1), F.lit(-lo)), F.sequence(F.lit(lo), F.lit(hi - 1)))
+        asked = left.withColumn("_dr", F.explode(F.array_distinct(reach))).withColumn("row2", F.col("row") + F.col("_dr"))
+        near = asked.join(found, [*LINE, "row2", "col"], "left").withColumn("_c", F.least(candidate("_l"), candidate("_r")))
+        best = near.groupBy(*LINE, "row", "col").agg(F.min("_c").alias("_c"), F.first("_b").alias("_b"), F.first("_top").alias("_top"), F.first("_bottom").alias("_bottom"))
+        best = best.select(*LINE, "row", "col", "_top", "_bottom", F.least("_b", "_c").alias("_b"))
+        over = F.col("_top").isNull() | ((F.col("row") - hi < F.col("_top")) & (F.col("row") + hi > F.col("_bottom")))
+        if max_distance is not None:
+            over = over | F.lit(hi > max_distance)
+        done = over | F.coalesce(F.col("_b.d2") <= (hi - 1) * (hi - 1), F.lit(False))
+        step = cut(best.withColumn("_done", done))
+        part = step.where("_done").drop("_done", "_top", "_bottom")
+        finished = part if finished is None else finished.unionByName(part)
+        left = step.where("NOT _done").drop("_done")
+        if left.isEmpty():
+            break
+        lo, hi = hi, hi * 2
+    value = F.col("_b.v") if max_distance is None else F.when(F.col("_b.d2") <= max_distance * max_distance, F.col("_b.v"))
+    filled = finished.select(*LINE, "row", "col", value.alias("value"), F.lit(True).alias("was_hole"))
     kept = raster.where(F.col("value").isNotNull()).select(*LINE, "row", "col", "value", F.lit(False).alias("was_hole"))
     return kept.unionByName(filled)
 
@@ -146,6 +165,7 @@ def fill_holes(raster: DataFrame, max_distance: int = 100, smooth: int = 0) -> D
     The directions are along the row, the column and both diagonals, each up to ``max_distance`` pixels.
     ``smooth`` passes of a 3x3 mean follow on the filled cells.
     """
+    raster = clean(raster)
     v = F.when(F.col("value").isNotNull(), F.struct(F.col("row").alias("r"), F.col("col").alias("c"), "value"))
     df = raster.withColumn("_v", v)
     lines = {"h": ([*LINE, "row"], "col"), "v": ([*LINE, "col"], "row"),
@@ -181,6 +201,7 @@ def fill_holes(raster: DataFrame, max_distance: int = 100, smooth: int = 0) -> D
 def box_mean(raster: DataFrame, size: int = 15) -> DataFrame:
     """Mean of the valid cells in a square of ``size`` cells, rows first and then columns."""
     h = size // 2
+    raster = clean(raster)
     across = W.partitionBy(*LINE, "row").orderBy("col").rangeBetween(-h, h)
     down = W.partitionBy(*LINE, "col").orderBy("row").rangeBetween(-h, h)
     df = raster.withColumns({"_s": F.sum("value").over(across), "_n": F.count("value").over(across)})

@@ -89,10 +89,8 @@ def rgb_ortho(points: DataFrame, grid: Grid, radius: float = 0.5, window: int =
         for c in channels])
 
 
-def voxel_downsample(points: DataFrame, size: float = 0.01, min_points: int = 0) -> DataFrame:
-    """Average the points of each cube of side ``size``; clouds up to ``min_points`` are left as they are."""
-    if min_points and points.count() <= min_points:
-        return points
+def voxel_downsample(points: DataFrame, size: float = 0.01) -> DataFrame:
+    """Average the points of each cube of side ``size``."""
     cube = [F.floor(F.col(c) / size).alias(f"v{c}") for c in "xyz"]
     carried = [c for c in ("x", "y", "z", "red", "green", "blue") if c in points.columns]
     return (points.groupBy(*cube).agg(*[F.avg(c).alias(c) for c in carried], F.count("*").alias("n")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swathline.operators.grid import LINE
+from swathline.operators.grid import LINE, finite
 from swathline.operators.neighbours import SIDES, stencil
 from swathline.operators.relations import gcp_match
 from swathline.operators.terrain import laplacian, sobel, sobel_x, sobel_y
@@ -45,9 +45,9 @@ def _skill(pairs: DataFrame) -> DataFrame:
 def r2_skill(pairs: DataFrame, threshold: float, finite_only: bool = False) -> DataFrame:
     """Skill per band and pooled (band 'overall'); ``pairs`` has band, reference, measured."""
     if finite_only:
-        pairs = pairs.where(~F.isnan("reference") & ~F.isnan("measured") & F.col("reference").isNotNull()
-                            & F.col("measured").isNotNull())
-    return _skill(pairs).withColumn("passed", F.col("r2") >= threshold)
+        pairs = pairs.where(finite(F.col("reference")) & finite(F.col("measured")))
+    # NaN sorts above every number, so it has to be told apart
+    return _skill(pairs).withColumn("passed", ~F.isnan("r2") & (F.col("r2") >= threshold))
 
 
 def index_sample(raster: DataFrame, n: int = 10000, seed: int = 42) -> DataFrame:
@@ -107,7 +107,7 @@ def reproducibility(pixels: DataFrame, threshold: float = 0.99) -> DataFrame:
     out = n.join(total, "group_id").withColumn("pairs", (F.col("runs") * (F.col("runs") - 1) / 2).cast("long"))
     out = out.withColumn("correlation", F.when(F.col("pairs") > 0, F.col("total") / F.col("pairs")))
     return out.select("group_id", "runs", "pairs", "correlation",
-                      F.coalesce(F.col("correlation") >= threshold, F.lit(False)).alias("reproducible"))
+                      F.coalesce(~F.isnan("correlation") & (F.col("correlation") >= threshold), F.lit(False)).alias("reproducible"))
 
 
 def grey(raster: DataFrame) -> DataFrame:

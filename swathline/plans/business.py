@@ -107,13 +107,12 @@ def _(t: Tables):
     return O.job_duration(t.jobs).select("job_id", "duration_seconds")
 
 
-@query("job_duration_detail", """SELECT job_id, s AS duration_seconds, concat(cast(s // 3600 AS STRING), 'h ',
-  cast((s % 3600) // 60 AS STRING), 'm ', cast(s % 60 AS STRING), 's') AS duration_text FROM (SELECT job_id,
+@query("job_duration_detail", """SELECT job_id, s AS duration_seconds, concat(cast(floor(s / 3600e0) AS BIGINT), 'h ',
+  cast(floor(((s % 3600 + 3600) % 3600) / 60e0) AS BIGINT), 'm ', (s % 60 + 60) % 60, 's') AS duration_text FROM (SELECT job_id,
   date_diff('second', coalesce(started_at, created_at), coalesce(CASE WHEN status IN ('completed', 'failed')
-  THEN completed_at END, updated_at)) AS s FROM {jobs}) WHERE s >= 0""")
+  THEN completed_at END, updated_at)) AS s FROM {jobs})""")
 def _(t: Tables):
-    return O.job_duration(t.jobs, detail=True).where("duration_seconds >= 0").select(
-        "job_id", "duration_seconds", "duration_text")
+    return O.job_duration(t.jobs, detail=True).select("job_id", "duration_seconds", "duration_text")
 
 
 @query("retry_eligible", """SELECT job_id, ok AS retry_ok, CASE WHEN ok AND stage NOT IN ('queued', 'completed') THEN stage END

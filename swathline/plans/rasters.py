@@ -73,17 +73,47 @@ def _(t: Tables):
 
 
 @query("index_modes", f"""SELECT raster_id, row, col, CASE WHEN nir + red = 0 THEN 'zero' ELSE
-  cast(round((nir - red) / (nir + red) + 2, 4) AS STRING) END AS validation, round(greatest(-1e0, least(1e0, (nir - red) /
-  (nir + red + 1e-10))), 6) + 0 AS calibrator FROM (SELECT raster_id, row, col, floor(nir * 4) AS nir, floor(red * 4 - 1) AS red
-  FROM ({STACK_SQL})) WHERE nir IS NOT NULL AND red IS NOT NULL AND nir + red <> 0""")
+  cast(round((nir - red) / (nir + red) + 2, 4) AS STRING) END AS validation, CASE WHEN nir IS NOT NULL THEN round(greatest(-1e0, least(1e0, (nir - red) /
+  (nir + red + 1e-10))), 6) + 0 END AS calibrator, CASE WHEN nir IS NOT NULL THEN round(greatest(-1e0, least(1e0, (nir - red) / CASE WHEN nir + red = 0 THEN 1e-10 ELSE nir + red END)), 6) + 0 END AS production
+  FROM (SELECT raster_id, row, col, CASE WHEN red IS NOT NULL THEN floor(nir * 4) END AS nir, CASE WHEN nir IS NOT NULL THEN floor(red * 4 - 1) END AS red
+  FROM ({STACK_SQL}))""")
 def _(t: Tables):
-    r = t.cells.where("band IN ('nir', 'red')").withColumn(
+    r = t.cells.where("band IN ('nir', 'red', 'green', 'red_edge')").withColumn(
         "value", F.when(F.col("band") == "nir", F.floor(F.col("value") * 4)).otherwise(
             F.floor(F.col("value") * 4 - 1)).cast("double"))
-    a = I.normalised_difference(r, "ndvi", "validation").select("raster_id", "row", "col", F.col("value").alias("v"))
-    b = I.normalised_difference(r, "ndvi", "calibrator").select("raster_id", "row", "col", r6("value").alias("calibrator"))
-    return (a.where("v IS NOT NULL AND NOT isnan(v)").join(b, ["raster_id", "row", "col"])
-            .select("raster_id", "row", "col", F.round(F.col("v") + 2, 4).cast("string").alias("validation"), "calibrator"))
+
+    def mode(name: str):
+        return I.normalised_difference(r, "ndvi", name).select("raster_id", "row", "col", F.col("value").alias(name))
+
+    key = ["raster_id", "row", "col"]
+    v = F.col("validation")
+    text = F.when(F.isnan(v), "zero").otherwise(F.round(v + 2, 4).cast("string"))
+    return mode("validation").join(mode("calibrator"), key).join(mode("production"), key).select(
+        *key, text.alias("validation"), r6("calibrator").alias("calibrator"), r6("production").alias("production"))
+
+
+# pixels as they come from files: declared nodata, NaN and infinities among them
+SPOILT_SQL = """SELECT capture, raster_id, band, row, col, CASE (capture * 7 + row * 8 + col + length(band)) % 23 WHEN 0 THEN -9999e0 WHEN 1 THEN cast('NaN' AS DOUBLE)
+  WHEN 2 THEN cast('Infinity' AS DOUBLE) WHEN 3 THEN cast('-Infinity' AS DOUBLE) ELSE value END AS value FROM {cells}"""
+SPARED_SQL = """SELECT capture, raster_id, band, row, col, CASE WHEN (capture * 7 + row * 8 + col + length(band)) % 23 > 3 THEN value END AS value FROM {cells}"""
+
+
+def spoilt(t: Tables):
+    return t.cells.withColumn("value", F.expr("""CASE (capture * 7 + row * 8 + col + length(band)) % 23 WHEN 0 THEN -9999D WHEN 1 THEN double('NaN')
+        WHEN 2 THEN double('Infinity') WHEN 3 THEN double('-Infinity') ELSE value END"""))
+
+
+@query("spoilt_ndvi", f"""SELECT raster_id, row, col, round({ratio_sql('nir', 'red')}, 6) + 0 AS value FROM ({STACK_SQL.replace('{cells}', '(' + SPARED_SQL + ')')})""")
+def _(t: Tables):
+    have = I.pair_pixels(spoilt(t), "nir", "red").select("raster_id", "row", "col")
+    every = I.stack_bands(spoilt(t), ["green", "red", "red_edge", "nir"]).select("raster_id", "row", "col")
+    found = I.normalised_difference(spoilt(t), "ndvi").select("raster_id", "row", "col", r6("value").alias("value"))
+    return every.join(have, ["raster_id", "row", "col"], "left").join(found, ["raster_id", "row", "col"], "left")
+
+
+@query("spoilt_means", f"""SELECT raster_id, band, round(mean, 6) AS mean, valid FROM (SELECT raster_id, band, avg(value) AS mean, count(value) AS valid FROM ({SPARED_SQL}) GROUP BY 1, 2) WHERE mean > 0""")
+def _(t: Tables):
+    return I.image_mean(spoilt(t)).select("raster_id", "band", r6("mean").alias("mean"), "valid")
 
 
 @query("pair_pixels", f"""SELECT raster_id, row, col, round(CASE WHEN red IS NOT NULL THEN nir END, 6) AS a,

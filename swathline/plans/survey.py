@@ -77,11 +77,12 @@ def _(t: Tables):
     return xmp_extract(t.pages, "html", ["lang", "charset", "class", "SensorGain"]).select("page_id", "lang", "charset", "class", "SensorGain")
 
 
-@query("xmp_forms", """SELECT k, CASE m WHEN 0 THEN 'a' || k WHEN 1 THEN 'e' || k WHEN 2 THEN 'c' || k WHEN 3 THEN 'b' || k END AS "Irradiance" FROM (SELECT o_orderkey AS k, o_orderkey % 5 AS m FROM {orders})""")
+@query("xmp_forms", """SELECT k, CASE m WHEN 0 THEN 'a' || k WHEN 1 THEN 'e' || k WHEN 2 THEN 'c' || k WHEN 3 THEN 'b' || k WHEN 5 THEN 'm' || k END AS "Irradiance" FROM (SELECT o_orderkey AS k, o_orderkey % 6 AS m FROM {orders})""")
 def _(t: Tables):
     k = F.col("o_orderkey").cast("string")
-    m = F.col("o_orderkey") % 5
-    text = (F.when(m == 0, F.concat(F.lit('<x Irradiance="no" drone-dji:Irradiance="a'), k, F.lit('"/><drone-dji:Irradiance>z</drone-dji:Irradiance>')))
+    m = F.col("o_orderkey") % 6
+    text = (F.when(m == 5, F.concat(F.lit('<x/><exif:Irradiance rdf:type="n">m'), k, F.lit('</exif:Irradiance>')))
+            .when(m == 0, F.concat(F.lit('<x Irradiance="no" drone-dji:Irradiance="a'), k, F.lit('"/><drone-dji:Irradiance>z</drone-dji:Irradiance>')))
             .when(m == 1, F.concat(F.lit('<x Irradiance="no"/><drone-dji:Irradiance> e'), k, F.lit('</drone-dji:Irradiance>')))
             .when(m == 2, F.concat(F.lit('<x tiff:Irradiance="no" Camera:Irradiance="c'), k, F.lit('"/>')))
             .when(m == 3, F.concat(F.lit('<x tiff:Irradiance="b'), k, F.lit('"/>'))).otherwise(F.lit("<x/>")))

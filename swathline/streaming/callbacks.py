@@ -30,14 +30,17 @@ def _bad_upload() -> Column:
     return (F.col("type") == "upload_status") & (F.col("failed_types") != "")
 
 
-def callback_fold(events: DataFrame) -> DataFrame:
+def callback_fold(events: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
     """Final state of each job from its callbacks (event_id, job_id, ts, type, progress, current_stage,
     stage_progress, error_message, failed_types as a comma list).
 
     Every field is the newest write to it, so one ordered-maximum aggregate replaces the sequential fold;
-    NULL means the field was never written.  Works on a stream in update mode.
+    NULL means the field was never written.  A progress callback without a number leaves the progress as it was.
+    With ``jobs`` (job_id), callbacks of other jobs are left out (see ``callback_rejects``).  Works on a stream in update mode.
     """
     known = events.where(F.col("type").isin(KNOWN_TYPES))
+    if jobs is not None:
+        known = known.join(jobs.select("job_id").distinct(), "job_id", "left_semi")
     kind = F.col("type")
     prog, done, err, bad = kind == "progress", kind == "complete", kind == "error", _bad_upload()
     valid = prog & F.col("current_stage").isin(K.STAGES)
@@ -46,7 +49,7 @@ def callback_fold(events: DataFrame) -> DataFrame:
     names = F.concat(F.lit("Failed to upload products: "), F.regexp_replace("failed_types", ",", ", "))
     return known.groupBy("job_id").agg(
         F.count("*").alias("events"),
-        _last(F.when(done, F.lit(100)).otherwise(F.col("progress")), prog | done).alias("progress"),
+        _last(F.when(done, F.lit(100)).otherwise(F.col("progress")), (prog & F.col("progress").isNotNull()) | done).alias("progress"),
         _last(F.when(done, "completed").when(prog, F.col("current_stage")).otherwise("failed"),
               valid | done | err | bad).alias("stage"),
         _last(F.when(done, "completed").otherwise("failed"), done | err | bad).alias("status"),
@@ -56,9 +59,13 @@ def callback_fold(events: DataFrame) -> DataFrame:
         _last(F.col("ts"), done | err).alias("completed_at"))
 
 
-def callback_rejects(events: DataFrame) -> DataFrame:
-    """Callbacks of an unknown type."""
-    return events.where(~F.coalesce(F.col("type").isin(KNOWN_TYPES), F.lit(False)))
+def callback_rejects(events: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
+    """Callbacks of an unknown type, and with ``jobs`` (job_id) those of a job that isn't there."""
+    strange = events.where(~F.coalesce(F.col("type").isin(KNOWN_TYPES), F.lit(False)))
+    if jobs is None:
+        return strange
+    lost = events.where(F.col("type").isin(KNOWN_TYPES)).join(jobs.select("job_id").distinct(), "job_id", "left_anti")
+    return strange.unionByName(lost.select(*strange.columns))
 
 
 def running_status(events: DataFrame) -> DataFrame:
@@ -113,7 +120,11 @@ def stage_machine(events: DataFrame) -> DataFrame:
 
 
 def _advance(ttl_ms: int):
-    """Per job and stage: keep the newest start, emit a row per completion, lapse after the expiry."""
+    """Per job and stage: keep the newest start, emit a row per completion, lapse after the expiry.
+
+    An event may come late: a completion counts from the newest start that isn't after it, and an older start
+    never replaces a newer one.
+    """
 
     def work(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -125,12 +136,14 @@ def _advance(ttl_ms: int):
         micros = pdf["ts"].astype("datetime64[us]").astype("int64")
         starts = micros.where(pdf["action"] == "start").ffill()
         if began is not None:
-            starts = starts.fillna(began)
+            earlier = pd.Series(began, index=starts.index, dtype="float64").where(micros >= began)
+            starts = starts.combine(earlier, lambda a, b: b if pd.isna(a) else a if pd.isna(b) else max(a, b))
         done = pdf["action"] == "complete"
         out = pd.DataFrame({"event_id": pdf["event_id"][done], "job_id": key[0], "stage": key[1],
                             "duration_seconds": (micros[done] - starts[done]) / 1e6})
-        if pd.notna(starts.iloc[-1]):
-            state.update((int(starts.iloc[-1]),))
+        newest = max([x for x in (began, starts.max()) if pd.notna(x)], default=None)
+        if newest is not None:
+            state.update((int(newest),))
             state.setTimeoutTimestamp(max(int(micros.iloc[-1]) // 1000, state.getCurrentWatermarkMs()) + ttl_ms)
         yield out
 

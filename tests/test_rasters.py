@@ -218,3 +218,38 @@ def test_warp_to_utm(spark, make_raster):
     grid = Grid("g", 9, 9, centre["east"] - 4.5, centre["north"] + 4.5, 1.0, -1.0, epsg=32630)
     got = to_array(georef.warp_nearest(make_raster({"b": arr}), images, grid), (9, 9))
     assert np.array_equal(got, arr[6:15, 6:15])
+
+
+def test_values_that_are_not_finite_are_nodata(make_raster, spark):
+    bad = [np.inf, -np.inf, -9999.0]
+    raster = make_raster({"nir": np.array([[0.8, 0.6, 0.5, 0.7]]), "red": np.array([[0.2, *bad]])})
+    spoilt = raster.unionByName(spark.createDataFrame([("r", "nir", 0, 4, float("nan")), ("r", "red", 0, 4, 0.5)], raster.schema))
+    got = {r["col"]: r["value"] for r in indices.normalised_difference(spoilt, "ndvi").collect()}
+    assert got == {0: pytest.approx(0.6), 1: None, 2: None, 3: None, 4: None}
+    mean = {r["band"]: (r["mean"], r["valid"]) for r in indices.image_mean(spoilt).collect()}
+    assert mean == {"nir": (pytest.approx(0.65), 4), "red": (pytest.approx(0.35), 2)}
+    weights = {(r["band"], r["col"]) for r in neighbours.valid_weights(spoilt).collect()}
+    assert weights == {("nir", 0), ("nir", 1), ("nir", 2), ("nir", 3), ("red", 0), ("red", 4)}
+
+
+def test_nearest_valid_has_no_limit(make_raster):
+    rng = np.random.default_rng(3)
+    arr = np.full((23, 31), np.nan)
+    for r, c in zip(rng.integers(0, 6, 8), rng.integers(0, 9, 8), strict=True):
+        arr[r, c] = rng.random()
+    arr[22, 30] = 2.0
+    rows = np.argwhere(~np.isnan(arr))
+    want = arr.copy()
+    for r, c in np.argwhere(np.isnan(arr)):
+        best = min(((r - a) ** 2 + (c - b) ** 2, a, b) for a, b in rows)
+        want[r, c] = arr[best[1], best[2]]
+    got = to_array(neighbours.nearest_valid(make_raster({"b": arr})), arr.shape)
+    assert np.array_equal(got, want)
+    empty = neighbours.nearest_valid(make_raster({"b": np.full((2, 3), np.nan)})).collect()
+    assert len(empty) == 6 and all(r["value"] is None and r["was_hole"] for r in empty)
+
+
+def test_flight_strips_refuse_a_gap_below_the_slot(spark):
+    df = spark.createDataFrame([(1, 1, 0.0, 0.0)], "flight int, capture_id int, lat double, lon double")
+    with pytest.raises(ValueError):
+        composite.flight_strips(df, min_gap_m=0.01)

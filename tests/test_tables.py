@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import os
 import uuid
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from swathline.functions.ranking import bucketed_row_number, exact_quantiles, value_slot
-from swathline.operators import matching, validate
+from swathline.functions.text import xmp_extract
+from swathline.operators import matching, relations, validate
 from swathline.plans.views import Tables
 from swathline.sources import images, stores, tables
 from swathline.streaming import callbacks, windows
@@ -179,3 +182,89 @@ def test_checkpoints_without_match(spark):
     schema = "id string, x double, y double, z double"
     got = validate.checkpoint_rmse(spark.createDataFrame([("a", 1.0, 1.0, 1.0)], schema), spark.createDataFrame([("b", 1.0, 1.0, 1.0)], schema)).first()
     assert got["rmse_horizontal"] == float("inf") and not got["passed_horizontal"] and got["passed_vertical"]
+
+
+class State:
+    """A group's state outside of a stream."""
+
+    def __init__(self):
+        self.value, self.exists, self.hasTimedOut = None, False, False
+
+    @property
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.exists = value, True
+
+    def remove(self):
+        self.value, self.exists = None, False
+
+    def setTimeoutTimestamp(self, at):
+        self.until = at
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+
+def _batch(*events):
+    return pd.DataFrame([(i, pd.Timestamp(f"2024-01-01 {at}"), action) for i, at, action in events], columns=["event_id", "ts", "action"])
+
+
+def test_late_starts_do_not_replace_newer_ones():
+    work, state = callbacks._advance(1000), State()
+
+    def seconds(*events):
+        return {r.event_id: r.duration_seconds for out in work((1, "queued"), iter([_batch(*events)]), state) for r in out.itertuples()}
+
+    assert seconds((1, "10:30", "start")) == {}
+    assert seconds((2, "10:10", "start"), (3, "10:40", "complete")) == {3: 600.0}
+    assert seconds((4, "10:35", "start"), (5, "10:36", "complete")) == {5: 60.0}
+    late = seconds((6, "10:20", "complete"))
+    assert list(late) == [6] and np.isnan(late[6])
+
+
+def test_progress_without_a_number_keeps_the_progress(spark):
+    cols = "event_id long, job_id long, ts timestamp, type string, progress int, current_stage string, stage_progress int, error_message string, failed_types string"
+    at = [dt.datetime(2024, 1, 1, 10, m) for m in range(4)]
+    events = spark.createDataFrame([(1, 1, at[0], "progress", 40, "queued", 10, None, None), (2, 1, at[1], "progress", None, None, None, None, None),
+                                    (3, 9, at[2], "progress", 70, None, None, None, None), (4, 9, at[3], "odd", None, None, None, None, None)], cols)
+    jobs = spark.createDataFrame([(1,)], "job_id long")
+    assert {r["job_id"]: r["progress"] for r in callbacks.callback_fold(events).collect()} == {1: 40, 9: 70}
+    assert [r["job_id"] for r in callbacks.callback_fold(events, jobs).collect()] == [1]
+    assert sorted(r["event_id"] for r in callbacks.callback_rejects(events, jobs).collect()) == [3, 4]
+
+
+def test_skill_with_infinities(spark):
+    pairs = spark.createDataFrame([("red", 1.0, 1.1), ("red", 2.0, 2.0), ("red", 3.0, float("inf")), ("red", float("nan"), 1.0)],
+                                  "band string, reference double, measured double")
+    got = {r["band"]: r for r in validate.r2_skill(pairs, 0.5, finite_only=True).collect()}
+    assert got["red"]["n"] == 2 and got["red"]["passed"]
+    loose = validate.r2_skill(pairs.where("reference = 3 OR reference < 3"), 0.5).collect()
+    assert not any(r["passed"] for r in loose)
+
+
+def test_element_properties_of_any_namespace(spark):
+    texts = ["<MicaSense:CaptureId>abc</MicaSense:CaptureId>", '<rdf:x other:CaptureId="q"/>', "<other:CaptureId rdf:a='b'>e</other:CaptureId>",
+             'CaptureId="bare"', '<a other:CaptureId="no"/><MicaSense:CaptureId>yes</MicaSense:CaptureId>', "<NotCaptureId>n</NotCaptureId>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, xmp string")
+    got = [r["CaptureId"] for r in xmp_extract(df, props=["CaptureId"]).orderBy("k").collect()]
+    assert got == ["abc", "q", "e", "bare", "yes", None]
+
+
+def test_exposures_pair_within_their_dataset(spark):
+    files = [(1, "green", "DJI_0001_MS_G.tif"), (2, "green", "DJI_0001_MS_G.tif")]
+    images = spark.createDataFrame([(d, b, f.replace(".tif", "_reflectance.tif")) for d, b, f in files], "dataset_id int, band string, file_name string")
+    raws = spark.createDataFrame([(1, "green", "X_0001_MS_G.tif"), (2, "green", "Y_0001_MS_G.tif")], "dataset_id int, band string, file_name string")
+    got = {r["dataset_id"]: r["raw_name"] for r in relations.capture_pair(images, raws).collect()}
+    assert got == {1: "X_0001_MS_G.tif", 2: "Y_0001_MS_G.tif"}
+    marks = spark.createDataFrame([(1, "0001", 1.0, 1.0, 1.0), (2, "0001", 2.0, 2.0, 2.0)], "dataset_id int, seq string, lat double, lon double, alt double")
+    shots = spark.createDataFrame([(d, "DJI_0001_D.JPG", 0.0, 0.0, 0.0) for d in (1, 2, 3)], "dataset_id int, file_name string, lat double, lon double, alt double")
+    assert {r["dataset_id"]: r["lat"] for r in relations.ppk_upgrade(shots, marks).collect()} == {1: 1.0, 2: 2.0, 3: 0.0}
+
+
+def test_events_go_to_their_organisation(spark):
+    events = spark.createDataFrame([(1, 7, "done"), (2, 8, "done")], "event_id int, org_id int, event_type string")
+    hooks = spark.createDataFrame([(10, 7, "u", ["done"], True), (11, 8, "v", ["done", "done"], True), (12, 8, "w", ["done"], False)],
+                                  "hook_id int, org_id int, url string, events array<string>, active boolean")
+    assert sorted((r["event_id"], r["hook_id"]) for r in relations.webhook_fanout(events, hooks).collect()) == [(1, 10), (2, 11)]
