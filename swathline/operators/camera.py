@@ -15,6 +15,7 @@ from swathline.functions import constants as K
 from swathline.functions.scalars import settle
 from swathline.operators.geodesy import Sim3, quat_to_rot, sim3_invert, utm_to_ecef
 from swathline.operators.grid import LINE, Grid
+from swathline.session import cut
 
 POSE = [f"r{i}{j}" for i in range(3) for j in range(3)] + ["tx", "ty", "tz"]
 
@@ -91,8 +92,9 @@ def project_join(cells: DataFrame, poses: DataFrame, camera: Camera, model: str
     """
     rot = quat_to_rot(poses).select("image_id", *POSE)
     tiled = cells.withColumns({"tr": F.floor(F.col("row") / tile), "tc": F.floor(F.col("col") / tile)})
-    blocks = tiled.groupBy("tr", "tc").agg(
-        *[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+    # the cells are read once for the blocks' boxes and once for the pairs; all levels come from this small table
+    blocks = cut(tiled.groupBy("tr", "tc").agg(
+        *[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]))
     top = blocks.agg(F.max(F.greatest("tr", "tc")).alias("m")).first()["m"]  # one number: the depth of the tree
     depth = 0 if not top else math.ceil(math.log2(top + 1))
     half = camera.half_angle(model)
@@ -115,12 +117,12 @@ def project_join(cells: DataFrame, poses: DataFrame, camera: Camera, model: str
         hit = near | (cone <= half + F.asin(F.least(F.lit(1.0), F.col("_rad") / F.col("_d"))) + 1e-6)
         return df.where(hit).select("image_id", *POSE, "br", "bc")
 
-    live = rot.withColumns({"br": F.lit(0).cast("long"), "bc": F.lit(0).cast("long")})
+    # the root is one block, or none without cells
+    live = seen(rot.crossJoin(F.broadcast(at(depth))))
     two = F.array(F.lit(0), F.lit(1))
-    for level in range(depth, -1, -1):
-        if level < depth:
-            live = (live.withColumn("_i", F.explode(two)).withColumn("_j", F.explode(two))
-                    .withColumns({"br": F.col("br") * 2 + F.col("_i"), "bc": F.col("bc") * 2 + F.col("_j")}).drop("_i", "_j"))
+    for level in range(depth - 1, -1, -1):
+        live = (live.withColumn("_i", F.explode(two)).withColumn("_j", F.explode(two))
+                .withColumns({"br": F.col("br") * 2 + F.col("_i"), "bc": F.col("bc") * 2 + F.col("_j")}).drop("_i", "_j"))
         live = seen(live.join(at(level), ["br", "bc"]))
     pairs = live.join(tiled.withColumnsRenamed({"tr": "br", "tc": "bc"}), ["br", "bc"]).drop("br", "bc")
     return project_pinhole(pairs, camera, model).where(in_frame(camera)).drop(*POSE, "in_front")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from swathline.functions import constants as K
 from swathline.functions.ranking import exact_quantiles
+from swathline.operators.grid import clean
 from swathline.operators.neighbours import valid_weights
 from swathline.session import cut
 
@@ -109,9 +110,8 @@ def feather_composite(raster: DataFrame, gains: DataFrame, mask: DataFrame | Non
 
 
 def median_composite(raster: DataFrame, mask: DataFrame | None = None) -> DataFrame:
-    """Median of the overlapping images per band and cell; a cell holds as many values as images see it."""
-    out = raster.where(F.col("value").isNotNull()).groupBy("band", "row", "col").agg(
-        F.percentile("value", 0.5).alias("value"))
+    """Median of the overlapping images per band and cell, in two counting passes: no task holds a cell's values."""
+    out = exact_quantiles(clean(raster), ["band", "row", "col"], "value", {"value": 0.5})
     if mask is not None:
         out = out.join(mask.select("row", "col"), ["row", "col"], "left_semi")
     return out

@@ -94,10 +94,16 @@ def _(t: Tables):
     return W.rolling_hours(hours(W.hourly_counter(errors(t))))
 
 
-@query("throughput_window", """SELECT s AS start, s + INTERVAL '24' HOUR AS "end", count(*) FILTER (type = 'complete') AS completed, count(*) FILTER (type = 'error') AS failed FROM (SELECT type, date_trunc('hour', ts) - INTERVAL '1' HOUR * k AS s FROM {callbacks}
-  CROSS JOIN range(24) AS t(k)) GROUP BY s""")
+THROUGHPUT_SQL = """SELECT s AS start, s + INTERVAL '24' HOUR AS "end", count(*) FILTER (type = 'complete') AS completed, count(*) FILTER (type = 'error') AS failed FROM (SELECT type, date_trunc('hour', ts) - INTERVAL '1' HOUR * k AS s FROM {callbacks}
+  CROSS JOIN range(24) AS t(k)) GROUP BY s"""
+
+
+@query("throughput_window", THROUGHPUT_SQL)
 def _(t: Tables):
-    w = W.throughput_window(t.callbacks)
+    return spans(W.throughput_window(t.callbacks))
+
+
+def spans(w: DataFrame) -> DataFrame:
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "completed", "failed")
 
 
@@ -127,27 +133,38 @@ def streamed(t: Tables) -> Tables:
     return live
 
 
-def run_to_end(df: DataFrame, mode: str) -> DataFrame:
-    """Write a stream to the shared folder until its input is used up, and read the result back."""
+def run_to_end(df: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Write a stream to the shared folder until its input is used up, and read the result back.
+
+    In update mode every batch appends the rows that have changed, under its number, and the newest row of each of the
+    ``keys`` is read back; a batch that is run again appends the same rows.
+    """
     spark = df.sparkSession
     base = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
         running = writer.format("parquet").option("path", f"{base}/out").start()
+    elif mode == "update":
+        running = writer.foreachBatch(lambda part, batch: part.withColumn("_batch", F.lit(batch)).write.mode("append").parquet(f"{base}/out")).start()
     else:
         running = writer.foreachBatch(lambda part, _: part.write.mode("overwrite").parquet(f"{base}/out")).start()
     running.awaitTermination()
+    if mode == "update":
+        rest = [c for c in df.columns if c not in keys]
+        columns = ", ".join(f"`{c}` {kind}" for c, kind in [*df.dtypes, ("_batch", "bigint")])
+        log = spark.read.schema(columns).parquet(f"{base}/out")
+        return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(*keys, "r.*").select(*df.columns)
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
 @query("stream_callback_fold", FOLD_SQL)
 def _(t: Tables):
-    return run_to_end(C.callback_fold(streamed(t).callbacks), "complete")
+    return run_to_end(C.callback_fold(streamed(t).callbacks), "update", ("job_id",))
 
 
 @query("stream_hourly_counter", HOUR_SQL)
 def _(t: Tables):
-    return hours(run_to_end(W.hourly_counter(errors(streamed(t))), "complete"))
+    return hours(run_to_end(W.hourly_counter(errors(streamed(t))), "update", ("hour",)))
 
 
 @query("stream_alarm", ALARM_SQL)
@@ -167,3 +184,8 @@ def _(t: Tables):
     hooks = t.hooks.withColumn("events", F.split("event_list", ","))
     live = streamed(t).events.select("event_id", "event_type")
     return run_to_end(W.webhook_stream(live, hooks).select("event_id", "hook_id", "url", "event_type"), "append")
+
+
+@query("stream_throughput_window", THROUGHPUT_SQL)
+def _(t: Tables):
+    return spans(run_to_end(W.throughput_window(streamed(t).callbacks.select("ts", "type")), "update", ("start", "end")))

@@ -59,9 +59,13 @@ def from_tiles(tiles: DataFrame, block: int = K.TILE) -> DataFrame:
 
 
 def tiles_write(raster: DataFrame, path: str, block: int = K.TILE) -> None:
-    """Tiles as Parquet, one folder per raster, band and level, sorted by tile for range pruning."""
-    (to_tiles(raster, block).repartitionByRange(*LINE, "level", "tr", "tc").sortWithinPartitions(*LINE, "level", "tr", "tc")
-     .write.mode("overwrite").partitionBy(*LINE, "level").parquet(path))
+    """Tiles as Parquet, one folder per band and level, sorted by raster and tile for range pruning.
+
+    Rasters share folders: there may be as many as there are images.
+    """
+    order = ["band", "level", "raster_id", "tr", "tc"]
+    (to_tiles(raster, block).repartitionByRange(*order).sortWithinPartitions(*order)
+     .write.mode("overwrite").partitionBy("band", "level").parquet(path))
 
 
 def tiles_read(spark: SparkSession, path: str, bands: Sequence[str] | None = None, level: int | None = None,
