@@ -164,7 +164,23 @@ def _summed(table, order: int):
     return score
 
 
-def score_notes(datasets: DataFrame, order: int = 5, head: int = 50_000) -> DataFrame:
+def frequent_words(words: DataFrame, most: int) -> DataFrame:
+    """The words at or above the lowest count (in quarter steps of a power of two) that leaves ``most`` of them or fewer.
+
+    Only the number of words in each step comes to the driver, a few hundred numbers at most.
+    """
+    step = F.floor(4 * F.log2(F.col("known") + 1))
+    sizes = {r["step"]: r["count"] for r in words.where("known > 0").groupBy(step.alias("step")).count().collect()}
+    lowest, total = None, 0
+    for at in sorted(sizes, reverse=True):
+        total += sizes[at]
+        if total > most:
+            break
+        lowest = at
+    return words.where(F.lit(False)) if lowest is None else words.where(F.col("known") > 0).where(step >= lowest)
+
+
+def score_notes(datasets: DataFrame, order: int = 5, head: int = 100_000) -> DataFrame:
     """``datasets`` (id, notes, trained) -> (id, n_tokens, n_known, train_tokens, base_score, score), one row for each row given.
 
     Learns from the rows with ``trained`` true and scores all.  Tokens are words (A-Z in lower case) and one end.
@@ -172,8 +188,7 @@ def score_notes(datasets: DataFrame, order: int = 5, head: int = 50_000) -> Data
     tokens under the byte-context trie (``order`` bytes at most, back to the start of the word; every word ends with an
     end-of-word symbol, and the end of the note is the empty word).  ``n_known``: tokens with a count.
 
-    A word's code length depends on the word alone, so it is worked out once for each distinct word.  The ``head`` most
-    frequent words go to the tasks with their scores; the others meet theirs in a join.  Null notes are empty: one token.
+    A word's code length depends on the word alone, so it is worked out once for each distinct word.  The most frequent words (``head`` at most) go to the tasks with their scores; the others meet theirs in a join.  Null notes are empty: one token.
     Untrained corpora give every symbol the same share.  Repeated rows come out as often as they go in; an
     empty table gives no rows.  Other columns are not looked at.  ``order`` is 6 at most.
     """
@@ -183,7 +198,7 @@ def score_notes(datasets: DataFrame, order: int = 5, head: int = 50_000) -> Data
     scores = gram_scores(cut(longest_contexts(words, order)))
     scored = cut(word_scores(words, scores, order))
     floor = 0.1 * (v + 1) + n
-    common = scored.orderBy(F.col("known").desc(), "word").limit(head).collect()
+    common = frequent_words(scored, head).collect()
     known = {r["word"].encode("latin-1"): (math.log10((r["known"] + 0.1) / floor), r["score"], r["known"] > 0) for r in common}
     near_words = datasets.sparkSession.sparkContext.broadcast(known)
 
