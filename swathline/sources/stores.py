@@ -12,8 +12,9 @@ from swathline.operators.grid import LINE, tile_of
 
 
 def manifest_write(images: DataFrame, path: str) -> None:
-    """Images under one folder per band, one JSON line each."""
+    """Images under one folder per band, one JSON line each; beside them ``_manifest``, a JSON line per band with its number of images."""
     images.write.mode("overwrite").partitionBy("band").json(path)
+    images.groupBy("band").agg(F.count("*").alias("images")).write.mode("overwrite").json(f"{path}/_manifest")
 
 
 def manifest_read(spark: SparkSession, path: str) -> DataFrame:

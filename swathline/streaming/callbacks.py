@@ -81,6 +81,7 @@ def stage_durations(events: DataFrame, slot: str = "hour") -> DataFrame:
     """One row per completion (event_id, job_id, ts, stage, action): seconds since the newest start of that
     job and stage, and the stage that follows.
 
+    An array column ``skipped`` of the events names stages that are passed over.
     The newest start before an event is a running maximum.  It runs inside (job, stage, time slot); what
     earlier slots contribute comes from one row per slot, so a job with very many events is not sorted whole.
     """
@@ -98,21 +99,28 @@ def stage_durations(events: DataFrame, slot: str = "hour") -> DataFrame:
     df = df.withColumn("_start", F.coalesce("_inner", "_carry"))
     took = seconds_between(F.col("ts"), F.col("_start"))
     return df.where("action = 'complete'").select(
-        "event_id", "job_id", "stage", "ts", took.alias("duration_seconds"), next_stage(F.col("stage")).alias("next_stage"))
+        "event_id", "job_id", "stage", "ts", took.alias("duration_seconds"), _following(events).alias("next_stage"))
+
+
+def _following(events: DataFrame) -> Column:
+    """The stage after an event's, passing over those in its ``skipped`` where it has that column."""
+    return next_stage(F.col("stage"), F.coalesce("skipped", F.array().cast("array<string>")) if "skipped" in events.columns else None)
 
 
 def stage_machine(events: DataFrame) -> DataFrame:
     """Current state per job after all its stage events.
 
     Status: the newest start (running), failure (failed) or completion of the last stage (completed) decides.
-    Stage and progress: the newest start gives its stage, the newest completion the stage that follows.
+    Stage and progress: the newest start gives its stage, the newest completion the stage that follows (passing over
+    those in an array column ``skipped``).
     """
-    rec = F.struct("ts", "event_id", "action", "stage")
-    ending = (F.col("action") == "complete") & (next_stage(F.col("stage")) == "completed")
+    events = events.withColumn("_next", _following(events))
+    rec = F.struct("ts", "event_id", "action", "stage", "_next")
+    ending = (F.col("action") == "complete") & (F.col("_next") == "completed")
     decisive = F.max(F.when((F.col("action") != "complete") | ending, rec)).alias("d")
     moved = F.max(F.when(F.col("action") != "fail", rec)).alias("m")
     per = events.groupBy("job_id").agg(F.max("ts").alias("updated_at"), decisive, moved)
-    at = F.when(F.col("m.action") == "start", F.col("m.stage")).otherwise(next_stage(F.col("m.stage")))
+    at = F.when(F.col("m.action") == "start", F.col("m.stage")).otherwise(F.col("m._next"))
     status = (F.when(F.col("d.action") == "fail", "failed").when(F.col("d.action") == "start", "running")
               .when(F.col("d.action") == "complete", "completed").otherwise("pending"))
     return per.select("job_id", status.alias("status"), at.alias("current_stage"),

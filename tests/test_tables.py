@@ -268,3 +268,13 @@ def test_events_go_to_their_organisation(spark):
     hooks = spark.createDataFrame([(10, 7, "u", ["done"], True), (11, 8, "v", ["done", "done"], True), (12, 8, "w", ["done"], False)],
                                   "hook_id int, org_id int, url string, events array<string>, active boolean")
     assert sorted((r["event_id"], r["hook_id"]) for r in relations.webhook_fanout(events, hooks).collect()) == [(1, 10), (2, 11)]
+
+
+def test_skipped_stages_are_passed_over(spark):
+    cols = "event_id long, job_id long, ts timestamp, stage string, action string, skipped array<string>"
+    at = [dt.datetime(2024, 1, 1, 10, m) for m in range(3)]
+    events = spark.createDataFrame([(1, 1, at[0], "sfm", "start", None), (2, 1, at[1], "sfm", "complete", ["orthomosaic"]),
+                                    (3, 2, at[0], "uploading", "complete", ["publishing"]), (4, 3, at[0], "sfm", "complete", None)], cols)
+    assert {r["event_id"]: r["next_stage"] for r in callbacks.stage_durations(events).collect()} == {2: "uploading", 3: "completed", 4: "orthomosaic"}
+    state = {r["job_id"]: (r["status"], r["current_stage"]) for r in callbacks.stage_machine(events).collect()}
+    assert state == {1: ("running", "uploading"), 2: ("completed", "completed"), 3: ("pending", "orthomosaic")}
