@@ -34,7 +34,34 @@ def notes(spark: SparkSession, folder: str) -> DataFrame:
 # --- 1 ------------------------------------------------------------------------------------------------------------
 
 
-@query("op1_license_scan")
+def _values(rows: list[tuple[str, str]]) -> str:
+    return ", ".join("('{}', '{}')".format(*[v.replace("'", "''") for v in r]) for r in rows)
+
+
+TERMS_SQL = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')"
+LICENSE_SQL = f"""WITH f AS (SELECT doc_id, coalesce(text, '') AS t, concat(coalesce(source, 'none'), '/', coalesce(lang, 'none'), '/', doc_id // 100) AS folder,
+  CASE WHEN doc_id % 100 = 0 THEN 'NOTICE' ELSE doc_id || '.txt' END AS name FROM documents),
+tp(license, body) AS (VALUES {_values(licenses.TEMPLATES)}),
+tt AS (SELECT license, body, w, count(*) AS c FROM (SELECT license, body, unnest({TERMS_SQL.format("body")}) AS w FROM tp) GROUP BY ALL),
+df AS (SELECT w, count(*) AS d FROM (SELECT doc_id, unnest(list_distinct({TERMS_SQL.format("t")})) AS w FROM f) WHERE w IN (SELECT w FROM tt) GROUP BY w),
+n AS (SELECT count(*) AS n FROM f),
+idf AS (SELECT w, ln((1 + n) / (1 + coalesce(d, 0))) + 1 AS idf FROM (SELECT DISTINCT w FROM tt) LEFT JOIN df USING (w), n),
+tv AS (SELECT license, body, w, c * idf AS x, sqrt(sum((c * idf) ** 2) OVER (PARTITION BY body)) AS norm FROM tt JOIN idf USING (w)),
+u AS (SELECT doc_id, unit, unit = t AS whole FROM (SELECT doc_id, t, unnest(list_distinct([t] || string_split(t, chr(10)) || regexp_split_to_array(t, '\\n[ \\t\\r]*\\n'))) AS unit FROM f)),
+uw AS (SELECT doc_id, unit, whole, w, count(*) AS c FROM (SELECT *, unnest({TERMS_SQL.format("unit")}) AS w FROM u) GROUP BY ALL),
+ux AS (SELECT doc_id, unit, whole, w, c * coalesce(idf, ln(1 + n) + 1) AS x FROM uw LEFT JOIN idf USING (w), n),
+un AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY doc_id, unit)) AS unorm FROM ux),
+cs AS (SELECT doc_id, whole, license, round(score, 6) AS score FROM (SELECT doc_id, unit, whole, license, sum(un.x * tv.x / norm) / any_value(unorm) AS score
+  FROM un JOIN tv USING (w) GROUP BY doc_id, unit, whole, license, body) WHERE round(score, 6) >= 0.7),
+own AS (SELECT doc_id, min(struct_pack(below := -score, license := license)) AS b, bool_or(whole) AS whole FROM cs GROUP BY doc_id),
+held AS (SELECT folder AS above, min(b).license AS license FROM f JOIN own USING (doc_id) WHERE whole OR name = 'NOTICE' GROUP BY folder),
+up AS (SELECT folder, k, array_to_string(string_split(folder, '/')[1:k], '/') AS above FROM (SELECT DISTINCT folder FROM f), range(0, 20) AS r(k) WHERE k <= len(string_split(folder, '/'))),
+near AS (SELECT folder, arg_max(above, k) AS above, arg_max(license, k) AS license FROM up JOIN held USING (above) GROUP BY folder)
+SELECT doc_id, concat(f.folder, '/', name) AS s3_key, b.license AS own_license, -b.below AS score, coalesce(b.license, near.license) AS license,
+  CASE WHEN b IS NULL THEN near.above END AS inherited_from FROM f LEFT JOIN own USING (doc_id) LEFT JOIN near ON near.folder = f.folder"""
+
+
+@query("op1_license_scan", LICENSE_SQL)
 def _(spark, folder):
     # a shelf of a hundred documents is a directory, its first document the directory's notice
     shelf = F.format_string("%s/%s/%d", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.expr("doc_id div 100"))
