@@ -122,26 +122,34 @@ def ratio_match(descriptors: DataFrame, pairs: DataFrame, max_ratio: float = 0.7
     return out.where(F.col("_n") == len(ways)).drop("_n")
 
 
+def _signed_peak(surface: np.ndarray) -> tuple[int, int]:
+    """Place of the highest value, counted from the origin in the shorter direction around."""
+    at = np.unravel_index(surface.argmax(), surface.shape)
+    return tuple(int((p + (n - 1) // 2) % n - (n - 1) // 2) for p, n in zip(at, surface.shape, strict=True))
+
+
 def _phase(max_shift: int):
     def work(lines: pd.DataFrame) -> pd.DataFrame:
-        """All lines of one band of one capture; each holds its columns, values and reference values."""
-        rows = np.repeat(lines["row"].to_numpy(), lines["cols"].map(len).to_numpy())
-        cols = np.concatenate(lines["cols"].to_numpy())
-        h, w = int(rows.max()) + 1, int(cols.max()) + 1
-        ref, mov = np.full((h, w), np.nan), np.full((h, w), np.nan)
-        ref[rows, cols] = np.concatenate(lines["refs"].to_numpy()).astype(float)
-        mov[rows, cols] = np.concatenate(lines["values"].to_numpy()).astype(float)
-        dy = dx = 0
-        if np.isfinite(ref).any() and np.isfinite(mov).any():
-            spectrum = np.fft.fft2(np.nan_to_num(ref - np.nanmean(ref))) * np.conj(
-                np.fft.fft2(np.nan_to_num(mov - np.nanmean(mov))))
-            surface = np.fft.ifft2(spectrum / (np.abs(spectrum) + 1e-12)).real
-            py, px = np.unravel_index(int(np.argmax(surface)), surface.shape)
-            dy, dx = (int(p - n) if p > n // 2 else int(p) for p, n in ((py, h), (px, w)))
-            if max(abs(dy), abs(dx)) > max_shift:
-                dy = dx = 0
-        return pd.DataFrame({"raster_id": [lines["raster_id"].iloc[0]], "band": [lines["band"].iloc[0]],
-                             "dy": [dy], "dx": [dx]})
+        """All lines of one band of one capture; each holds its columns, values and reference values.
+
+        The planes span the image's own rows and columns, wherever on the grid it lies.
+        """
+        row = np.repeat(lines["row"].to_numpy(), lines["cols"].str.len())
+        col = np.concatenate(lines["cols"].to_numpy())
+        place = row - row.min(), col - col.min()
+        planes = np.zeros((2, place[0].max() + 1, place[1].max() + 1), np.float32)
+        shift = (0, 0)
+        for plane, name in zip(planes, ("refs", "values"), strict=True):
+            v = np.concatenate(lines[name].to_numpy()).astype(np.float64)
+            good = np.isfinite(v)
+            plane[place] = np.where(good, v - v[good].mean(), 0) if good.any() else 0
+        if planes.any(axis=(1, 2)).all():
+            fixed, moving = np.fft.rfft2(planes)
+            both = fixed * moving.conj()
+            both /= np.maximum(np.abs(both), np.float32(1e-12))
+            found = _signed_peak(np.fft.irfft2(both, s=planes.shape[1:]))
+            shift = found if max(map(abs, found)) <= max_shift else shift
+        return pd.DataFrame([(lines["raster_id"].iloc[0], lines["band"].iloc[0], *shift)], columns=["raster_id", "band", "dy", "dx"])
 
     return work
 

@@ -253,3 +253,12 @@ def test_flight_strips_refuse_a_gap_below_the_slot(spark):
     df = spark.createDataFrame([(1, 1, 0.0, 0.0)], "flight int, capture_id int, lat double, lon double")
     with pytest.raises(ValueError):
         composite.flight_strips(df, min_gap_m=0.01)
+
+
+def test_registration_far_from_the_origin(spark):
+    rng = np.random.default_rng(0)
+    ref = rng.random((64, 64))
+    moved = np.roll(ref, (5, -3), axis=(0, 1))
+    cells = [("r", b, r + 900_000, c + 700_000, float(a[r, c])) for b, a in (("nir", ref), ("red", moved)) for r in range(64) for c in range(64)]
+    df = spark.createDataFrame(cells, "raster_id string, band string, row int, col int, value double")
+    assert [(r["dy"], r["dx"]) for r in matching.band_register(df).collect()] == [(-5, 3)]
