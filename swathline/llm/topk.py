@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swathline.llm.common import cut
 
 PACKED = "block int, ids array<long>, vecs array<long>, away array<double>"
 
@@ -41,7 +40,7 @@ def top_descriptors(queries: DataFrame, descriptors: DataFrame, k: int = 20, piv
     base = descriptors.select("desc_id", "vec").where("desc_id IS NOT NULL AND vec IS NOT NULL")
     asked = queries.select("desc_id", "vec").where("desc_id IS NOT NULL AND vec IS NOT NULL")
     norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    sizes = base.agg(F.count("*").alias("n"), F.max(norm).alias("far"), F.max(F.transform("vec", F.abs)).alias("_")).first()
+    sizes = base.agg(F.count("*").alias("n"), F.max(norm).alias("far")).first()
     chosen = base.orderBy(F.xxhash64("desc_id"), "desc_id", "vec").limit(pivots).collect()
     if not chosen:
         return base.limit(0).select(F.col("desc_id").alias("query_id"), F.lit(0).alias("rank"), "desc_id", F.lit(0).cast("long").alias("score"))
@@ -66,9 +65,8 @@ def _packed(rows: DataFrame, blocks: int, table: np.ndarray, far: float, long: b
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         whole = np.stack(group["vec"].to_numpy()).astype(np.int64)
-        vecs, n2 = whole.astype(np.float64), None
-        n2 = (vecs ** 2).sum(1)
-        p2 = (table ** 2).sum(1)
+        vecs = whole.astype(np.float64)
+        n2, p2 = (vecs ** 2).sum(1), (table ** 2).sum(1)
         extra = np.sqrt(np.maximum(far - n2, 0)) if long else np.zeros(len(vecs))
         d2 = n2[:, None] + extra[:, None] ** 2 + far - 2 * (vecs @ table.T + extra[:, None] * np.sqrt(np.maximum(far - p2, 0)))
         return pd.DataFrame({"block": [int(group["block"].iloc[0])], "ids": [group["desc_id"].to_numpy()],
