@@ -20,10 +20,11 @@ VALUE = r"""(?i:^(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["
 #: length is part of these two patterns.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-#: What the Markov models judge: runs of identifier characters with a digit, or of mixed case.
-WORD = r"[A-Za-z0-9_+/=-]{12,}"
+#: What the Markov models judge: runs of identifier characters with a letter and a digit.
+RUN = "[A-Za-z0-9_+/=-]"
+WORD = f"(?<!{RUN})(?={RUN}*?[0-9])(?={RUN}*?[A-Za-z]){RUN}{{12,}}"
 KINDS = ("assign", "access", "hex", "random")
-SPAN = "array<struct<start:int,kind:int,end:int>>"
+FOUND = "cast(array() AS array<struct<start:int,kind:int,end:int,found:string>>)"
 ALPHABET = 128
 
 
@@ -35,7 +36,7 @@ def spans_of(text: Column, pattern: str, kind: int) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sizes = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() AS array<struct<start:int,kind:int,end:int,found:string>>)").alias("out"))
+    state = F.struct(F.lit(0).alias("at"), F.expr(FOUND).alias("out"))
 
     def step(s: Column, pair: Column) -> Column:
         start = s["at"] + pair["gap"]
@@ -44,7 +45,7 @@ def spans_of(text: Column, pattern: str, kind: int) -> Column:
         return F.struct(end.alias("at"), F.concat(s["out"], F.array(span)).alias("out"))
 
     pairs = F.zip_with(found, F.slice(sizes, 1, F.size(found)), lambda f, g: F.struct(g.alias("gap"), f.alias("found")))
-    none = F.expr("cast(array() AS array<struct<start:int,kind:int,end:int,found:string>>)")
+    none = F.expr(FOUND)
     return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pairs, state, step, lambda s: s["out"]))
 
 
@@ -113,9 +114,8 @@ def likelihood_ratio(word: Column, model: list[float]) -> Column:
 
 
 def random_spans(text: Column, model: list[float], per_pair: float = 0.6) -> Column:
-    """Runs that look random: the ratio is above ``per_pair`` for each pair of characters, and there is a digit."""
-    words = F.filter(spans_of(text, WORD, 3), lambda s: s["found"].rlike("[0-9]") & s["found"].rlike("[A-Za-z]"))
-    return F.filter(words, lambda s: likelihood_ratio(s["found"], model) > per_pair * (F.length(s["found"]) - 1))
+    """Runs of ``WORD`` that look random: the ratio is above ``per_pair`` for each pair of characters."""
+    return F.filter(spans_of(text, WORD, 3), lambda s: likelihood_ratio(s["found"], model) > per_pair * (F.length(s["found"]) - 1))
 
 
 def spans_column(text: Column, model: list[float]) -> Column:
@@ -125,9 +125,9 @@ def spans_column(text: Column, model: list[float]) -> Column:
     """
     whole = F.coalesce(text, F.lit(""))
     likely = whole.rlike(f"{ASSIGN}|{ACCESS}|{HEX}")
-    base = F.when(likely, base_spans(whole)).otherwise(F.expr("cast(array() AS array<struct<start:int,kind:int,end:int,found:string>>)"))
-    added = F.when(whole.rlike(r"[0-9]") & whole.rlike(WORD), random_spans(whole, model)).otherwise(
-        F.expr("cast(array() AS array<struct<start:int,kind:int,end:int,found:string>>)"))
+    base = F.when(likely, base_spans(whole)).otherwise(F.expr(FOUND))
+    added = F.when(whole.rlike(WORD), random_spans(whole, model)).otherwise(
+        F.expr(FOUND))
     both = F.transform(F.array(F.struct(base.alias("b"), added.alias("a"))), lambda x: F.concat(
         x["b"], F.filter(x["a"], lambda s: ~F.exists(x["b"], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))))[0]
     return F.array_sort(F.transform(both, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
