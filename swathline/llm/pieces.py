@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
 #: Bounds of a task's stores: segments already encoded, the longest that is kept, and pairs of pieces already tried.
-SEGMENTS, LONGEST, PAIRS = 200_000, 48, 400_000
+SEGMENTS, LONGEST, PAIRS = 150_000, 48, 800_000
 _machines: dict[str, Machine] = {}
 
 
@@ -50,7 +51,8 @@ class Machine:
                         else " ⁇ ".encode() if p.type == UNKNOWN else b"" for p in model.pieces]
         inside = re.compile(f"[^{BLANK}]{BLANK}")
         self.split = not any(inside.search(p) for p in self.ids) and not any("\n" in p for p in self.ids)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.names = [p.piece for p in model.pieces]
+        self.pairs: dict[int, bool] = {}
         self.after_blank, self.bare = Store(self, BLANK), Store(self, "")
 
     def merged(self, s: str) -> list[str]:
@@ -66,37 +68,42 @@ class Machine:
                 return parts
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
-    def may_follow(self, a: str, b: str) -> bool:
-        known = self.pairs.get((a, b))
+    def may_follow(self, a: int, b: int) -> bool:
+        """Whether piece ``b`` may stand after piece ``a``; -1: at the start, or after a character that is no piece."""
+        key = a * len(self.spelled) + b
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == [x for x in (a, b) if x]
+            both = [self.names[x] for x in (a, b) if x >= 0]
+            known = self.pairs[key] = self.merged("".join(both)) == both
         return known
 
     def shortest(self, s: str) -> list[int]:
         """Ids along the shortest path through the composition of ``s`` with the machine."""
-        cost, last = [0.0] + [float("inf")] * len(s), [""] * (len(s) + 1)
+        ids, merges = self.ids, self.merges
+        # for each place: the cost of reaching it, the piece that ends there (-1: none, or a character's bytes), and where that began
+        cost, last, begun = [0.0] + [math.inf] * len(s), [-1] * (len(s) + 1), [0] * (len(s) + 1)
         for i in range(1, len(s) + 1):
             for j in range(max(0, i - self.longest), i):
-                piece = s[j:i]
-                if piece not in self.ids:
+                piece = ids.get(s[j:i])
+                if piece is None:
                     continue
-                if self.merges:
+                if merges:
                     # every prefix has one path, so the first piece that may follow is the piece
-                    if self.may_follow(last[j] if j else "", piece):
-                        cost[i], last[i] = 0.0, piece
+                    if self.may_follow(last[j], piece):
+                        cost[i], last[i], begun[i] = 0.0, piece, j
                         break
-                elif cost[j] + self.weight[piece] < cost[i]:
-                    cost[i], last[i] = cost[j] + self.weight[piece], piece
-            if s[i - 1] not in self.ids and (not last[i] or cost[i - 1] + self.unknown < cost[i]):
-                cost[i], last[i] = (0.0 if self.merges else cost[i - 1] + self.unknown), s[i - 1]
+                elif cost[j] + self.weight[s[j:i]] < cost[i]:
+                    cost[i], last[i], begun[i] = cost[j] + self.weight[s[j:i]], piece, j
+            if s[i - 1] not in ids and cost[i - 1] + (0.0 if merges else self.unknown) < cost[i]:
+                cost[i], last[i], begun[i] = (0.0 if merges else cost[i - 1] + self.unknown), -1, i - 1
         out: list[int] = []
         i = len(s)
         while i:
-            piece = last[i]
-            out += [self.ids[piece]] if piece in self.ids else [self.bytes[b] for b in reversed(piece.encode("utf-8", "surrogatepass"))]
-            i -= len(piece)
+            j = begun[i]
+            out += [last[i]] if last[i] >= 0 else [self.bytes[b] for b in reversed(s[j:i].encode("utf-8", "surrogatepass"))]
+            i = j
         return out[::-1]
 
     def encode(self, text: str | None) -> bytes:
@@ -124,19 +131,23 @@ class Machine:
 
 
 class Store(dict):
-    """Encoded segments; each has ``before`` in front of its key."""
+    """Encoded segments; each has ``before`` in front of its key.
+
+    When it is full it becomes the older half, from which what is asked for again comes back.
+    """
 
     def __init__(self, machine: Machine, before: str):
-        super().__init__({"": b""} if not before else {})
-        self.machine, self.before = machine, before
+        super().__init__()
+        self.machine, self.before, self.older = machine, before, {}
 
     def __missing__(self, key: str) -> bytes:
-        got = np.array(self.machine.shortest(self.before + key), "<i4").tobytes()
+        got = self.older.get(key)
+        if got is None:
+            got = np.array(self.machine.shortest(self.before + key), "<i4").tobytes()
         if len(key) <= LONGEST:
-            if len(self) > SEGMENTS:
+            if len(self) >= SEGMENTS:
+                self.older = dict(self)
                 self.clear()
-                if not self.before:
-                    self[""] = b""
             self[key] = got
         return got
 

@@ -187,7 +187,7 @@ def test_unigram_path_is_the_cheapest():
     m = pieces.Machine.__new__(pieces.Machine)
     m.merges, m.ids = False, {"a": 0, "b": 1, "ab": 2, "ba": 3, "aba": 4}
     m.weight = {"a": 1.0, "b": 1.0, "ab": 1.5, "ba": 0.2, "aba": 2.0}
-    m.bytes, m.unknown, m.longest = {x: 10 + x for x in range(256)}, 11.0, 3
+    m.bytes, m.unknown, m.longest, m.spelled, m.names = {x: 10 + x for x in range(256)}, 11.0, 3, [b""] * 5, []
     assert m.shortest("aba") == [0, 3] and m.shortest("abab") == [0, 3, 1] and m.shortest("c") == [10 + ord("c")]
 
 
