@@ -191,8 +191,8 @@ def similar_notes(sketches: DataFrame, texts: DataFrame, bands: Bands, words: in
     order = W.partitionBy("place").orderBy("rest", "class")
     me = F.struct("class", "rest")
     beside = places.withColumns({"before": F.lag(me).over(order), "start": F.first(me).over(order)}).where("before IS NOT NULL")
-    met = beside.select("class", "rest", F.explode(F.array("before", "start")).alias("o")).where(
-        (F.col("class") != F.col("o.class")) & (hamming(F.col("rest"), F.col("o.rest")) <= bands.far(64)))
+    near_by = F.filter(F.array("before", "start"), lambda o: (F.col("class") != o["class"]) & (hamming(F.col("rest"), o["rest"]) <= bands.far(64)))
+    met = beside.select("class", F.explode(F.array_distinct(near_by)).alias("o"))
     pairs = cut(met.select(F.least("class", "o.class").alias("a"), F.greatest("class", "o.class").alias("b")).distinct())
     release(spark)
     wide = pairs.join(classes.select(F.col("class").alias("a"), F.col("bands").alias("of_a")), "a").join(
