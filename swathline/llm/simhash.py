@@ -173,15 +173,16 @@ def sketch_notes(datasets: DataFrame, words: int, bands: Bands) -> DataFrame:
     return datasets.select(*others, bands_udf(words, bands)("notes").alias("s")).select(*others, "s.*")
 
 
-def similar_notes(sketches: DataFrame, texts: DataFrame, bands: Bands, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_notes(sketches: DataFrame, texts: DataFrame, bands: Bands, words: int = 5, similarity: float = 0.8, few: int = 8) -> DataFrame:
     """``sketches`` (row long, class, bands, rest) and ``texts`` (row, notes) -> (class, component): groups of notes whose
     shingle sets have a Jaccard similarity of ``similarity`` or more, by chains.
 
     ``row`` tells rows apart (rows that are equal may share one), ``class`` is the hash of a note's words; a class is in
     the result only if it is linked with another.  A similarity of 0.8 makes two SimHashes differ in about 15 of 100 bits,
     far beyond the radius of one ball over 64 bits.  So bands of the SimHash are dealt to their balls of radius 1 (see
-    ``plan_bands``).  At each place a note is compared with the one before it (in the order of 64 bits, so that like
-    stands by like) and with the first: as many pairs as notes.  Pairs whose SimHashes are farther apart than
+    ``plan_bands``).  At a place of ``few`` notes or fewer all are compared.  At a crowded one a note is compared with the one before it
+    (in the order of 64 bits, so that like stands by like) and with the first, and what that does not link is found exactly by
+    ``crowded_links`` over the notes of all crowded places.  Pairs whose SimHashes are farther apart than
     similar notes ever are, are let go.  The others are kept once and checked by their shingle sets.
     """
     spark = sketches.sparkSession
@@ -190,25 +191,70 @@ def similar_notes(sketches: DataFrame, texts: DataFrame, bands: Bands, words: in
         ball(F.shiftleft(F.col("band").cast("long"), bands.bits).bitwiseOR(F.col("value")), bands.bits)).alias("place"))
     order = W.partitionBy("place").orderBy("rest", "class")
     me = F.struct("class", "rest")
-    beside = places.withColumns({"before": F.lag(me).over(order), "start": F.first(me).over(order)}).where("before IS NOT NULL")
-    near_by = F.filter(F.array("before", "start"), lambda o: (F.col("class") != o["class"]) & (hamming(F.col("rest"), o["rest"]) <= bands.far(64)))
-    met = beside.select("class", F.explode(F.array_distinct(near_by)).alias("o"))
-    pairs = cut(met.select(F.least("class", "o.class").alias("a"), F.greatest("class", "o.class").alias("b")).distinct())
+    beside = places.withColumns({
+        "here": F.count("*").over(W.partitionBy("place")), "before": F.lag(me).over(order), "start": F.first(me).over(order),
+        "others": F.collect_list(me).over(order.rowsBetween(1 - few, -1))}).where("here > 1")
+    crowd = F.col("here") > few
+    partners = F.when(crowd, F.array_distinct(F.filter(F.array("before", "start"), lambda o: o.isNotNull()))).otherwise(F.col("others"))
+    near_by = F.filter(partners, lambda o: (F.col("class") != o["class"]) & (hamming(F.col("rest"), o["rest"]) <= bands.far(64)))
+    # a note of a crowded place is its own partner there
+    met = beside.select("class", F.explode(F.when(crowd, F.concat(near_by, F.array(me))).otherwise(near_by)).alias("o"))
+    found = cut(met.select(F.least("class", "o.class").alias("a"), F.greatest("class", "o.class").alias("b")).distinct())
+    crowded = found.where("a = b").select(F.col("a").alias("class"))
+    pairs = found.where("a != b")
     release(spark)
     wide = pairs.join(classes.select(F.col("class").alias("a"), F.col("bands").alias("of_a")), "a").join(
         classes.select(F.col("class").alias("b"), F.col("bands").alias("of_b")), "b")
     apart = F.aggregate(F.zip_with("of_a", "of_b", hamming), F.lit(0), lambda s, x: s + x)
     near = cut(wide.where(apart <= bands.far(bands.count * bands.bits)).select("a", "b"))
-    wanted = near.select(F.col("a").alias("class")).union(near.select("b")).distinct()
+    wanted = near.select(F.col("a").alias("class")).union(near.select("b")).union(crowded).distinct()
     rows = cut(classes.join(wanted, "class", "left_semi").select("row", "class"))
-    found = texts.select("row", "notes").join(rows, "row").dropDuplicates(["class"])
-    sets = cut(found.select("class", shingle_set_udf(words)("notes").alias("shingles")))
+    known = texts.select("row", "notes").join(rows, "row").dropDuplicates(["class"])
+    sets = cut(known.select("class", shingle_set_udf(words)("notes").alias("shingles")))
     release(spark)
     both = near.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("of_a")), "a").join(
         sets.select(F.col("class").alias("b"), F.col("shingles").alias("of_b")), "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     alike = cut(both.where(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b"))
-    return connected_components(alike).select(F.col("node").alias("class"), "component")
+    groups = connected_components(alike).select(F.col("node").alias("class"), "component")
+    if crowded.isEmpty():
+        return groups
+    more = crowded_links(sets.join(crowded, "class", "left_semi"), cut(groups), similarity)
+    return connected_components(alike.union(more)).select(F.col("node").alias("class"), "component")
+
+
+def crowded_links(sets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """``sets`` (class, shingles) -> (a, b): every pair of a similarity of ``similarity`` or more whose notes are not in one of
+    ``groups`` (class, component) already.
+
+    An exact prefix-filter join.  With shingles ordered from rare to common, two such sets share one of the first shingles of
+    the smaller (so many as a partner of its own size or more may lack, and one) and of the larger (so many as any partner may lack,
+    and one).  What a whole family of less similar texts shares comes after these.  A shingle whose notes are all in one
+    group asks for nothing, and no two notes of a shingle's largest group are paired: so a group of copies makes no pairs.
+    """
+    tokens = sets.select("class", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
+    # the sums with 0 give the joins exchanges of their own, which adaptive execution can split
+    times = tokens.groupBy("token").agg(F.count("*").alias("n")).select((F.col("token") + F.lit(0)).alias("token"), "n")
+    ranked = tokens.join(times, "token").groupBy("class", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked"))
+    least = F.lit(2 * similarity / (1 + similarity))
+    lead = F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1
+    reach = (F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1).cast("int")
+    entries = ranked.select("class", "size", lead.alias("lead"), F.posexplode(F.slice("ranked", F.lit(1), reach)).alias("at", "t")).where("t.n > 1")
+    grouped = groups.select((F.col("class") + F.lit(0)).alias("class"), "component")
+    entries = cut(entries.join(grouped, "class", "left").select(
+        "class", "size", F.coalesce("component", "class").alias("group"), (F.col("at") < F.col("lead")).alias("leads"), F.col("t.token").alias("token")))
+    parts = entries.groupBy("token", "group").count().groupBy("token").agg(F.max(F.struct("count", "group")).alias("m"), F.count("*").alias("groups"))
+    lists = parts.where("groups > 1").select((F.col("token") + F.lit(0)).alias("token"), F.col("m.group").alias("largest"))
+    live = cut(entries.join(lists, "token"))
+    one = live.where("group != largest").drop("largest").alias("x")
+    fits = F.expr(f"(x.leads AND x.size <= y.size AND x.size >= {similarity} * y.size - 1e-9D) OR (y.leads AND y.size <= x.size AND y.size >= {similarity} * x.size - 1e-9D)")
+    met = one.join(live.alias("y"), F.col("x.token") == F.col("y.token")).where(F.col("x.group") != F.col("y.group")).where(fits)
+    pairs = cut(met.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct())
+    release(sets.sparkSession)
+    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("of_a")), "a").join(
+        sets.select(F.col("class").alias("b"), F.col("shingles").alias("of_b")), "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return cut(both.where(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b"))
 
 
 def one_of_each(datasets: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -108,6 +109,37 @@ def test_one_of_each_group_stays(spark, documents):
     assert simhash.one_of_each(df.limit(0)).collect() == []
 
 
+def test_similar_notes_inside_a_family_of_thousands(spark):
+    """2,000 texts of one template (Jaccard 0.6 of five-word shingles to each other) with 200 near copies (0.8 and more) among them."""
+    rnd = random.Random(11)
+    template = [f"t{k}" for k in range(300)]
+    word = lambda: f"w{rnd.getrandbits(48):x}"
+    family = []
+    for _ in range(2000):
+        words = list(template)
+        for at in rnd.sample(range(0, 300, 5), 8):
+            words[at] = word()
+        family.append(words)
+    copies = [[*words[:274], *[word() for _ in range(22)], *words[296:]] for words in family[:200]]
+    data = [(i, " ".join(words)) for i, words in enumerate(family + copies)]
+    got = {r.id for r in simhash.one_of_each(spark.createDataFrame(data, NOTES)).select("id").collect()}
+    sets = [set(simhash.shingles(t, 5)) for _, t in data]
+    near = [i for i in range(200) if len(sets[i] & sets[2000 + i]) >= 0.8 * len(sets[i] | sets[2000 + i])]
+    assert len(near) == 200 and set(range(2000)) <= got
+    assert sum(2000 + i not in got for i in near) >= 0.95 * len(near)
+
+
+def test_crowded_links_are_all_pairs_between_groups(spark):
+    rnd = random.Random(12)
+    sets = [sorted({*range(60), *rnd.sample(range(100, 130), rnd.randint(2, 25))} - set(rnd.sample(range(60), 3))) for _ in range(250)]
+    groups = [(c, c - c % 2) for c in range(0, 60)]
+    of = dict(groups)
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and of.get(i, i) != of.get(j, j)
+            and len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))}
+    found = simhash.crowded_links(spark.createDataFrame(list(enumerate(sets)), "class long, shingles array<int>"), spark.createDataFrame(groups, "class long, component long"), 0.8)
+    assert want and Counter((r.a, r.b) for r in found.collect()) == Counter(want)
+
+
 def test_packing_is_exact_gapless_and_tight(spark, documents):
     tokenizer = Tokenizer.from_file(WORDS)
     data = documents + ODD + [(1010, "<|endoftext|> İÉß don't ½ 中文\x1cx"), (1011, "many words " * 9000)]
