@@ -301,6 +301,27 @@ def test_licenses_against_brute_force(spark):
     assert sorted((tuple(r) for r in licenses.license_scan(df).collect()), key=str) == sorted(brute_licenses(docs, licenses.TEMPLATES, 0.7), key=str)
 
 
+def test_every_notice_in_the_documents_gets_its_license(spark):
+    notices = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "Proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+               "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("s3_key"), F.col("text").alias("exif"))
+    want = {r.id: {notices[x] for x in r.exif.split("\n") if x in notices} for r in docs.where(F.arrays_overlap(F.split("exif", "\n"), F.lit([*notices]))).collect()}
+    got = {r.id: r.own_license for r in licenses.license_scan(docs).where("own_license IS NOT NULL").collect()}
+    assert len(want) > 300 and all(got.get(i) in names for i, names in want.items())
+
+
+def test_titles_and_paragraphs_of_license_texts(spark):
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and t.endswith("conditions:"))
+    texts = [("MIT", "MIT License"), ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2024 Jane Roe\n\n" + mit), ("MIT", mit.replace(", including", ",\nincluding")),
+             ("Apache-2.0", " " * 30 + "Apache License\n" + " " * 25 + "Version 2.0, January 2004\n" + " " * 20 + "http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS"),
+             ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n Preamble"), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991"),
+             ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("Proprietary", "All rights reserved."),
+             ("BSD-3-Clause", "All rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1.")]
+    files = [(i, f"{i}/f", t) for i, (_, t) in enumerate(texts)] + [(100 + i, f"p/{i}", "the field and the flight of the day") for i in range(50)]
+    got = {r.id: r.own_license for r in licenses.license_scan(spark.createDataFrame(files, "id long, s3_key string, exif string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [n for n, _ in texts] and all(got[100 + i] is None for i in range(50))
+
+
 def test_licenses_without_templates_or_rows(spark):
     df = spark.createDataFrame([(1, "a/b", "Released under the MIT License")], "id long, s3_key string, exif string")
     assert [tuple(r) for r in licenses.license_scan(df, templates=[]).collect()] == [(1, "a/b", None, None, None, None)]
