@@ -18,21 +18,21 @@ from swathline.llm.common import fresh
 from swathline.llm.queries import fold, word_tokenizer
 from swathline.session import shared_folder
 
-#: A document goes when no language has this much of the network's belief (an even split over four gives 0.25).
-LEAST_SCORE = 0.3
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a letter and a language that the network believes in; all columns stay.
+    """Documents whose text has a letter and is in one of the learned languages; all columns stay.
 
+    The network names the nearest language; a text with fewer known trigrams than that language's learned windows have goes
+    (``known_trigrams``: foreign languages, gibberish).
     The network learns from labelled documents of this stage's own input, held-out ones (see ``op6_``) left out.  Null and
     letterless texts go.  With no labelled document nothing can be recognised, and every document goes.
     """
     labelled = docs.where(fold("doc_id", 4) != 2).select(F.col("doc_id").alias("id"), F.col("text").alias("notes"), F.col("lang").alias("language"))
-    net = language.fit_language_network(labelled)
+    rows = language.learned_windows(labelled)
+    net, known = language.network_of(rows), language.known_trigrams(rows)
     name = fresh(docs, "_language")
-    found = docs.withColumn(name, language.language_udf(net)("text"))
-    return found.where((F.col(f"{name}.language") != language.UNKNOWN) & (F.col(f"{name}.score") >= LEAST_SCORE)).drop(name)
+    found = docs.withColumn(name, language.language_udf(net, known=known)("text"))
+    return found.where(F.col(f"{name}.language") != language.UNKNOWN).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

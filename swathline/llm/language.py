@@ -139,7 +139,14 @@ def fit_language_network(datasets: DataFrame, size: int = 192, most: int = 1024,
     What comes to the driver is bounded by ``most`` notes and ``per_note`` windows of ``size`` bytes for each language.  Without
     any labelled note the network knows no language, and every prediction is ``und``.
     """
-    rows = sorted((r.language, bytes(r.window)) for r in training_windows(datasets, size, most, per_note).collect())
+    return network_of(learned_windows(datasets, size, most, per_note), size, rounds)
+
+
+def learned_windows(datasets: DataFrame, size: int = 192, most: int = 1024, per_note: int = 2) -> list[tuple[str, bytes]]:
+    return sorted((r.language, bytes(r.window)) for r in training_windows(datasets, size, most, per_note).collect())
+
+
+def network_of(rows: list[tuple[str, bytes]], size: int = 192, rounds: int = 12) -> ByteNetwork:
     languages = sorted({r[0] for r in rows})
     if not rows:
         return ByteNetwork([], [], [], np.zeros((0, 0)), np.zeros(0))
@@ -148,11 +155,71 @@ def fit_language_network(datasets: DataFrame, size: int = 192, most: int = 1024,
     return train_network(windows, labels, languages, rounds)
 
 
-def language_udf(net: ByteNetwork, size: int = 192):
-    """Text -> (language, score): the mean of the windows' probabilities, each window with its share of the bytes."""
+#: Bytes for trigrams: a to z and the bytes of other alphabets are told apart, all others are one.
+FOLDED = np.array([b - 96 if 97 <= b <= 122 else b - 101 if b >= 128 else 0 for b in range(256)], np.int32)
+RADIX = 155
+
+
+def trigrams(raw: bytes) -> np.ndarray:
+    """A number for every three bytes in a row of which two are letters or more."""
+    x = FOLDED[np.frombuffer(raw, np.uint8)]
+    if len(x) < 3:
+        return np.zeros(0, np.int32)
+    some = (x[:-2] > 0).astype(np.int8) + (x[1:-1] > 0) + (x[2:] > 0)
+    return ((x[:-2] * RADIX + x[1:-1]) * RADIX + x[2:])[some >= 2]
+
+
+@dataclass
+class KnownTrigrams:
+    """The trigrams of all learned windows, and for each language the share of them that a text of it has (``usual``) and needs (``needed``)."""
+
+    numbers: np.ndarray
+    usual: dict[str, float]
+    needed: dict[str, float]
+
+    def table(self) -> np.ndarray:
+        out = np.zeros(RADIX ** 3, bool)
+        out[self.numbers] = True
+        return out
+
+    def fits(self, raw: bytes, language: str, table: np.ndarray) -> bool:
+        """Whether ``raw`` has no fewer known trigrams than needed, less what chance (four standard deviations) takes from a short text."""
+        own = trigrams(raw)
+        usual = self.usual[language]
+        return not len(own) or table[own].mean() >= self.needed[language] - 4 * np.sqrt(usual * (1 - usual) / len(own))
+
+
+def known_trigrams(rows: list[tuple[str, bytes]], low: float = 0.01) -> KnownTrigrams:
+    """Calibrated on the learned windows (language, window) themselves, each judged by the trigrams of all the others.
+
+    What is usual in a language is the ``low`` quantile of its windows' shares.  Windows with their bytes shuffled stand for what is
+    not language: a text may fall a third of the way to their median (secrets, addresses and junk in it), not more.  So the rule
+    depends neither on the number of languages nor on the network.
+    """
+    own = [np.unique(trigrams(w)) for _, w in rows]
+    numbers, windows = np.unique(np.concatenate([*own, np.zeros(0, np.int32)]), return_counts=True)
+    known, elsewhere = np.zeros((2, RADIX ** 3), bool)
+    known[numbers], elsewhere[numbers[windows > 1]] = True, True
+    rng = np.random.default_rng(7)
+    usual, needed = {}, {}
+    for language in sorted({r[0] for r in rows}):
+        own_windows = [w for name, w in rows if name == language]
+        right = [elsewhere[t].mean() for t in map(trigrams, own_windows) if len(t)]
+        mixed = [known[t].mean() for t in (trigrams(rng.permutation(np.frombuffer(w, np.uint8)).tobytes()) for w in own_windows) if len(t)]
+        usual[language] = float(np.quantile(right, low)) if right else 0.0
+        needed[language] = usual[language] - max(0.0, usual[language] - float(np.median(mixed or [0.0]))) / 3
+    return KnownTrigrams(numbers, usual, needed)
+
+
+def language_udf(net: ByteNetwork, size: int = 192, known: KnownTrigrams | None = None):
+    """Text -> (language, score): the mean of the windows' probabilities, each window with its share of the bytes.
+
+    With ``known``, a text that has too few known trigrams for the language of its highest score is ``und`` with score 0.
+    """
 
     @F.pandas_udf("language string, score double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        table = known.table() if known else None
         for batch in texts:
             names, scores = [], []
             for lo in range(0, len(batch), 256):
@@ -160,8 +227,11 @@ def language_udf(net: ByteNetwork, size: int = 192):
                         for t in batch.iloc[lo:lo + 256]]
                 sums = _pooled(net, raws, size)
                 for raw, row in zip(raws, sums, strict=True):
-                    names.append(net.languages[int(row.argmax())] if raw else UNKNOWN)
-                    scores.append(float(min(1.0, row.max())) if raw else 0.0)
+                    name = net.languages[int(row.argmax())] if raw else UNKNOWN
+                    if raw and known and not known.fits(raw, name, table):
+                        name = UNKNOWN
+                    names.append(name)
+                    scores.append(float(min(1.0, row.max())) if name != UNKNOWN else 0.0)
             yield pd.DataFrame({"language": names, "score": scores})
 
     return predict

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter
 
@@ -60,6 +61,18 @@ def test_nulls_and_letterless_documents_go(spark, docs):
     assert kept == {r.doc_id for r in docs.collect()} - {5001, 5002, 5003}
 
 
+def test_foreign_and_gibberish_documents_go(spark):
+    clean = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rnd = random.Random(5)
+    junk = [" ".join("".join(rnd.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(60)),
+            "Il gatto nero dorme sul divano mentre la pioggia cade sulla città e nessuno cammina per le strade vuote della periferia. " * 3,
+            "Kot czarny śpi na kanapie podczas gdy deszcz pada na miasto i nikt nie chodzi po pustych ulicach przedmieścia. " * 3,
+            "Быстрая коричневая лиса перепрыгивает через ленивую собаку и бежит дальше в тёмный лес. " * 3]
+    planted = spark.createDataFrame([(900_000 + i, t, None, "s", len(t)) for i, t in enumerate(junk)], COLUMNS)
+    kept = {r.doc_id for r in STAGE["language_id"](spark, clean.unionByName(planted), FOLDER).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in clean.collect() if r.text and any(map(str.isalpha, r.text))}
+
+
 def test_secrets_are_redacted_and_counted(spark, docs):
     got = {r.doc_id: r for r in STAGE["secret_scan"](spark, docs, FOLDER).collect()}
     assert got[5000].text == "a note with [secret] inside and then more words of the text" and got[5000].n_chars == len(got[5000].text)
