@@ -180,26 +180,116 @@ def frequent_words(words: DataFrame, most: int) -> DataFrame:
     return words.where(F.lit(False)) if lowest is None else words.where(F.col("known") > 0).where(step >= lowest)
 
 
-def score_notes(datasets: DataFrame, order: int = 5, head: int = 100_000) -> DataFrame:
+def streams(text: str | None, across: bool) -> list[bytes]:
+    """The symbols of a note: every word with its end, and the empty word.  ``across``: one stream for the note, else one for each word."""
+    words = [*words_of(text), b""]
+    start, end = START.encode("latin-1"), END.encode("latin-1")
+    return [start + end.join(words) + end] if across else [start + w + end for w in words]
+
+
+def gram_codes(raws: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each symbol of ``raws`` with up to ``order`` before it as a number (``packed_gram``), and which of ``raws`` it stands in."""
+    flat = np.frombuffer(b"".join(raws), np.uint8).astype(np.int64)
+    sizes = np.array([len(r) for r in raws], np.int64)
+    owner = np.repeat(np.arange(len(raws)), sizes)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    code, bits = flat.copy(), np.full(len(flat), 8, np.int64)
+    for back in range(1, order + 1):
+        at = np.nonzero(place >= back)[0]
+        code[at] |= flat[at - back] << (8 * back)
+        bits[at] += 8
+    code |= np.int64(1) << bits
+    return code[place > 0], owner[place > 0]
+
+
+def gram_counts(datasets: DataFrame, order: int, across: bool, held: int = 1_000_000) -> DataFrame:
+    """``datasets`` (notes, trained) -> (gram, n): every gram of all notes and its number in the trained ones.
+
+    A task adds up as it reads and hands on whenever it holds ``held`` grams.
+    """
+
+    def merged(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(codes, return_inverse=True)
+        return keys, np.bincount(at, times, len(keys)).astype(np.int64)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys = sums = np.zeros(0, np.int64)
+        for batch in batches:
+            for lo in range(0, len(batch), 200):
+                part = batch.iloc[lo:lo + 200]
+                own = [streams(t, across) for t in part["notes"]]
+                learn = np.repeat([1 if t else 0 for t in part["trained"]], [len(x) for x in own])
+                codes, owner = gram_codes([r for x in own for r in x], order)
+                some, times = merged(codes, learn[owner])
+                keys, sums = merged(np.concatenate([keys, some]), np.concatenate([sums, times]))
+                if len(keys) > held:
+                    yield pd.DataFrame({"code": keys, "n": sums})
+                    keys = sums = np.zeros(0, np.int64)
+        yield pd.DataFrame({"code": keys, "n": sums})
+
+    found = datasets.select("notes", "trained").mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    gram = F.decode(F.unhex(F.substring(F.hex("code"), 2, 14)), "iso-8859-1")
+    return found.select(gram.alias("gram"), "n")
+
+
+def spelling_scores(rows: DataFrame, grams: DataFrame, order: int, across: bool, head: int) -> DataFrame:
+    """``rows`` (id, tie, notes) and ``grams`` (gram, n) -> (id, tie, score), in parts to be added up for each (id, tie).
+
+    The most frequent grams (``head`` at most, however large the corpus) go to the tasks; a note's others are counted and meet their scores in a join.
+    """
+    pack = F.conv(F.concat(F.lit("1"), F.hex(F.encode("gram", "iso-8859-1"))), 16, 10).cast("long")
+    scored = cut(gram_scores(grams).join(grams, "gram").select(pack.alias("code"), "score", F.col("n").alias("known")))
+    common = frequent_words(scored, head).select("code", "score").toArrow()  # ``head`` pairs of numbers at most
+    keys = common["code"].to_numpy().astype(np.int64)
+    rank = np.argsort(keys)
+    near = rows.sparkSession.sparkContext.broadcast((keys[rank], common["score"].to_numpy()[rank]))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, values = near.value
+        for batch in batches:
+            for lo in range(0, len(batch), 200):
+                part = batch.iloc[lo:lo + 200].reset_index(drop=True)
+                own = [streams(t, across) for t in part["notes"]]
+                codes, owner = gram_codes([r for x in own for r in x], order)
+                note = np.repeat(np.arange(len(own)), [len(x) for x in own])[owner]
+                at = np.minimum(np.searchsorted(keys, codes), max(len(keys) - 1, 0))
+                hit = keys[at] == codes if len(keys) else np.zeros(len(codes), bool)
+                sums = np.bincount(note[hit], values[at[hit]], len(own)) if hit.any() else np.zeros(len(own))
+                far = np.stack([note[~hit], codes[~hit]])
+                (notes, rest), times = np.unique(far, axis=1, return_counts=True) if far.size else (far, np.zeros(0, np.int64))
+                rows_of = np.concatenate([np.arange(len(own)), notes])
+                # no gram has a code below 256: a note's own row meets nothing in the join, and spreads over its partitions
+                yield pd.DataFrame({
+                    "id": part["id"].iloc[rows_of].array, "tie": part["tie"].to_numpy()[rows_of],
+                    "code": np.concatenate([-1 - np.abs(part["tie"].to_numpy() // 2), rest]),
+                    "times": np.concatenate([np.zeros(len(own), np.int64), times]), "score": np.concatenate([sums, np.zeros(len(rest))])})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    parts = rows.mapInPandas(split, f"id {kind}, tie long, code long, times long, score double")
+    own = scored.select("code", F.col("score").alias("of_gram"))
+    return parts.join(own, "code", "left").select("id", "tie", F.when(F.col("times") == 0, F.col("score")).otherwise(F.col("times") * F.col("of_gram")).alias("score"))
+
+
+def score_notes(datasets: DataFrame, order: int = 5, head: int = 100_000, across: bool = False, head_grams: int = 500_000) -> DataFrame:
     """``datasets`` (id, notes, trained) -> (id, n_tokens, n_known, train_tokens, base_score, score), one row for each row given.
 
     Learns from the rows with ``trained`` true and scores all.  Tokens are words (A-Z in lower case) and one end.
     ``base_score``: unigram log10 probability with 0.1 added to every count.  ``score``: log10 probability of the note's
-    tokens under the byte-context trie (``order`` bytes at most, back to the start of the word; every word ends with an
-    end-of-word symbol, and the end of the note is the empty word).  ``n_known``: tokens with a count.
+    tokens under the byte-context trie (``order`` bytes at most; every word ends with an end-of-word symbol, and the end of the
+    note is the empty word).  Contexts run over the ends of words into the words before with ``across``, else back to the
+    start of the word only.  ``n_known``: tokens with a count.
 
-    A word's code length depends on the word alone, so it is worked out once for each distinct word.  The most frequent words (``head`` at most) go to the tasks with their scores; the others meet theirs in a join.  Null notes are empty: one token.
+    The most frequent words and grams (``head`` and ``head_grams`` at most) go to the tasks; the others are counted for each note and meet theirs in a join.  Null notes are empty: one token.
     Untrained corpora give every symbol the same share.  Repeated rows come out as often as they go in; an
     empty table gives no rows.  Other columns are not looked at.  ``order`` is 6 at most.
     """
     words = cut(token_counts(datasets))
     totals = words.agg(F.sum("known").alias("n"), F.count_if(F.col("known") > 0).alias("v")).first()
     n, v = totals["n"] or 0, totals["v"] or 0
-    scores = gram_scores(cut(longest_contexts(words, order)))
-    scored = cut(word_scores(words, scores, order))
+    grams = cut(gram_counts(datasets, order, across))
     floor = 0.1 * (v + 1) + n
-    common = frequent_words(scored, head).collect()
-    known = {r["word"].encode("latin-1"): (math.log10((r["known"] + 0.1) / floor), r["score"], r["known"] > 0) for r in common}
+    common = frequent_words(words, head).collect()
+    known = {r["word"].encode("latin-1"): (math.log10((r["known"] + 0.1) / floor), r["known"] > 0) for r in common}
     near_words = datasets.sparkSession.sparkContext.broadcast(known)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,32 +299,34 @@ def score_notes(datasets: DataFrame, order: int = 5, head: int = 100_000) -> Dat
                 part = batch.iloc[lo:lo + 500]
                 out: list[tuple] = []
                 for key, tie, text in zip(part["id"], part["tie"], part["notes"], strict=True):
-                    base = score = 0.0
+                    base = 0.0
                     hits, tokens = 0, words_of(text)
                     tokens.append(b"")
                     for w, times in Counter(tokens).items():
                         if w in near:
-                            b, s, k = near[w]
+                            b, k = near[w]
                             base += times * b
-                            score += times * s
                             hits += times * k
                         else:
-                            out.append((key, tie, w.decode("latin-1"), times, 0.0, 0.0, 0))
+                            out.append((key, tie, w.decode("latin-1"), times, 0.0, 0))
                     # no word begins with END: such a row meets nothing in the join, and spreads over its partitions
-                    out.append((key, tie, END + str(tie), len(tokens), base, score, hits))
-                yield pd.DataFrame(out, columns=["id", "tie", "word", "times", "base", "score", "hits"])
+                    out.append((key, tie, END + str(tie), len(tokens), base, hits))
+                yield pd.DataFrame(out, columns=["id", "tie", "word", "times", "base", "hits"])
 
     kind = datasets.schema["id"].dataType.simpleString()
-    rows = datasets.select("id", F.xxhash64(F.coalesce("notes", F.lit(""))).alias("tie"), "notes").mapInPandas(
-        split, f"id {kind}, tie long, word string, times long, base double, score double, hits long")
-    own = scored.select("word", F.col("known").alias("c"), F.col("score").alias("of_word"))
+    tied = datasets.select("id", F.xxhash64(F.coalesce("notes", F.lit(""))).alias("tie"), "notes")
+    rows = tied.mapInPandas(split, f"id {kind}, tie long, word string, times long, base double, hits long")
+    own = words.select("word", F.col("known").alias("c"))
     whole, times = F.col("c").isNull(), F.col("times")
     met = rows.join(own, "word", "left").select(
         "id", "tie", whole.cast("long").alias("whole"), F.when(whole, times).otherwise(0).alias("tokens"),
         F.when(whole, F.col("base")).otherwise(times * F.log10((F.col("c") + 0.1) / F.lit(floor))).alias("base"),
-        F.when(whole, F.col("score")).otherwise(times * F.col("of_word")).alias("score"),
+        F.lit(0.0).alias("score"),
         F.when(whole, F.col("hits")).when(F.col("c") > 0, times).otherwise(0).alias("hits"))
-    sums = met.groupBy("id", "tie").agg(*[F.sum(c).alias(c) for c in ("whole", "tokens", "base", "score", "hits")])
+    none = F.lit(0).cast("long")
+    spelled = spelling_scores(tied, grams, order, across, head_grams).select(
+        "id", "tie", none.alias("whole"), none.alias("tokens"), F.lit(0.0).alias("base"), "score", none.alias("hits"))
+    sums = met.union(spelled).groupBy("id", "tie").agg(*[F.sum(c).alias(c) for c in ("whole", "tokens", "base", "score", "hits")])
     # rows with the same id and notes were added together: each gets its share
     each = sums.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole"))))
     return each.select("id", F.expr("tokens div whole").alias("n_tokens"), F.expr("hits div whole").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),

@@ -131,7 +131,7 @@ def fold(column: str, parts: int):
 @query("op5_score_notes")
 def _(spark, folder):
     known = notes(spark, folder).withColumn("trained", fold("id", 10) != 0)
-    found = ppm.score_notes(known)
+    found = ppm.score_notes(known, across=True)
     return found.select(F.col("id").alias("doc_id"), (fold("id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from swathline.llm import fingerprints, licenses, ppm, secrets
+from swathline.llm.queries import QUERIES
 from tests.conftest import FOLDER
 
 NOTES = "id long, notes string"
@@ -222,6 +223,54 @@ def test_scores_against_brute_force(spark, order, head):
     same_scores(ppm.score_notes(df, order=order, head=head).collect(), brute_scores(data, order))
 
 
+def brute_scores_across(data, order):
+    """log10 probability of each note, contexts over the whole note."""
+    notes = [(i, b"\xfe" + b"\xff".join([*(t or "").encode().lower().split(), b""]) + b"\xff", trained) for i, t, trained in data]
+    trie = defaultdict(Counter)
+    for _, s, trained in notes:
+        for i in range(1, len(s) if trained else 0):
+            for j in range(min(order, i) + 1):
+                trie[s[i - j:i]][s[i]] += 1
+    out = []
+    for key, s, _ in notes:
+        total = 0.0
+        for i in range(1, len(s)):
+            gone = set()
+            for j in range(min(order, i), -1, -1):
+                left = {k: x for k, x in trie.get(s[i - j:i], {}).items() if k not in gone}
+                if left and s[i] in left:
+                    total += math.log10(left[s[i]] / (sum(left.values()) + len(left)))
+                    break
+                if left:
+                    total += math.log10(len(left) / (sum(left.values()) + len(left)))
+                    gone |= set(left)
+            else:
+                total -= math.log10(255 - len(gone))
+        out.append((key, total))
+    return out
+
+
+@pytest.mark.parametrize(("order", "head"), [(5, 300), (6, 0)])
+def test_scores_across_words_against_brute_force(spark, order, head):
+    data = [(r.doc_id, r.text[:600], r.doc_id % 3 > 0) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").where("text IS NOT NULL").select("doc_id", "text").limit(50).collect()]
+    data += [(1001, None, True), (1002, "", False), (1003, "zzz\x00q neverseen", False), (1005, "y" * 300, None), (1006, "the the", False), (1006, "the the", False)]
+    df = spark.createDataFrame(data, NOTES + ", trained boolean").repartition(3)
+    found = sorted((r.id, r.score) for r in ppm.score_notes(df, order=order, head=head, across=True, head_grams=head).collect())
+    want = sorted(brute_scores_across(data, order))
+    assert [i for i, _ in found] == [i for i, _ in want] and [x for _, x in found] == pytest.approx([x for _, x in want], rel=1e-9)
+
+
+def test_query_scores_real_order_above_shuffled_order(spark, tmp_path):
+    rnd = random.Random(3)
+    words = [f"w{chr(97 + k)}{k}" for k in range(20)]
+    real = [" ".join(words[(at + k) % 20] for k in range(40)) for at in range(20)]
+    mixed = [" ".join(rnd.sample(t.split(), 40)) for t in real]
+    rows = [(i, t) for i, t in enumerate(real * 3)] + [(1000 + i, t) for i, t in enumerate(mixed)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.score for r in QUERIES["op5_score_notes"](spark, str(tmp_path)).collect()}
+    assert all(got[i] > got[1000 + i] for i in range(20))
+
+
 def test_scores_in_shards(spark):
     words = spark.createDataFrame([("abcabc", 3), ("abd", 2), ("", 1), ("zab", 0)], "word string, known long")
     scores = ppm.gram_scores(ppm.longest_contexts(words, 4))
