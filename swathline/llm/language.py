@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -158,6 +159,7 @@ def network_of(rows: list[tuple[str, bytes]], size: int = 192, rounds: int = 12)
 #: Bytes for trigrams: a to z and the bytes of other alphabets are told apart, all others are one.
 FOLDED = np.array([b - 96 if 97 <= b <= 122 else b - 101 if b >= 128 else 0 for b in range(256)], np.int32)
 RADIX = 155
+DIGIT = re.compile(rb"[0-9]")
 
 
 def trigrams(raw: bytes) -> np.ndarray:
@@ -183,10 +185,17 @@ class KnownTrigrams:
         return out
 
     def fits(self, raw: bytes, language: str, table: np.ndarray) -> bool:
-        """Whether ``raw`` has no fewer known trigrams than needed, less what chance (four standard deviations) takes from a short text."""
+        """Whether ``raw`` has no fewer known trigrams than needed, less what chance (four standard deviations) takes from a short text.
+
+        A text that fails is judged again without its words with digits (keys, numbers, addresses).
+        """
         own = trigrams(raw)
+        return not len(own) or self._enough(own, language, table) or self._enough(
+            trigrams(b" ".join(w for w in raw.split() if not DIGIT.search(w))), language, table)
+
+    def _enough(self, own: np.ndarray, language: str, table: np.ndarray) -> bool:
         usual = self.usual[language]
-        return not len(own) or table[own].mean() >= self.needed[language] - 4 * np.sqrt(usual * (1 - usual) / len(own))
+        return len(own) > 0 and table[own].mean() >= self.needed[language] - 4 * np.sqrt(usual * (1 - usual) / len(own))
 
 
 def known_trigrams(rows: list[tuple[str, bytes]], low: float = 0.01) -> KnownTrigrams:
