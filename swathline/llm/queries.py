@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathline.llm import fingerprints, language, licenses, packing, pieces, ppm, secrets, simhash, topk, urls
+from swathline.llm import audit, fingerprints, language, licenses, packing, pieces, ppm, ranked, secrets, simhash, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -195,3 +195,64 @@ def _(spark, folder):
     hooks = table(spark, folder, "pages").select(F.col("page_id").alias("id"), "url")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return urls.judge_webhooks(hooks, rules).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+# --- 11 -----------------------------------------------------------------------------------------------------------
+
+
+@query("op11_notes_toxicity")
+def _(spark, folder):
+    known = notes(spark, folder)
+    labels = table(spark, folder, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
+    labelled = known.where(fold("id", 3) != 1).join(labels, "id", "left")
+    found = toxicity.notes_toxicity(known, toxicity.fit_toxicity(labelled))
+    return found.select(F.col("id").alias("doc_id"), (fold("id", 3) == 1).alias("held_out"), "score", F.col("toxic").alias("predicted"))
+
+
+# --- 12 -----------------------------------------------------------------------------------------------------------
+
+AUDIT_SQL = r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+  min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CAST(len(ws) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT)
+  + 4 * CAST(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+  + 16 * CAST(coalesce(doc_id, 9223372036854775807) > coalesce(first, 9223372036854775807) AS INT) AS m FROM d LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, m),
+x(x, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT concat(p.x, q.x, r.x, s.x, t.x) AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits FROM x p, x q, x r, x s, x t
+  WHERE len(list_distinct([p.b, q.b, r.b, s.b, t.b])) = 5),
+s AS (SELECT filter_order, CAST(step AS INT) AS step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INT) AS before FROM o, range(1, 6) AS u(step)),
+c AS (SELECT part, filter_order, step, sum(CASE WHEN m & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN m & before = 0 AND m & bit <> 0 THEN n ELSE 0 END) AS removed, sum(CASE WHEN m & before <> 0 AND m & bit <> 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN m = bit THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN m & before = 0 AND m & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN m & before = 0 AND m & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost FROM g, s GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM c"""
+
+
+@query("op12_filter_audit", AUDIT_SQL)
+def _(spark, folder):
+    datasets = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("org_id"), F.col("text").alias("notes"))
+    reviews = table(spark, folder, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("good"), "toxic")
+    return audit.filter_audit(datasets, reviews).withColumnRenamed("org_id", "part")
+
+
+# --- 13 -----------------------------------------------------------------------------------------------------------
+
+RANKED_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{term}') AS ws FROM documents),
+k AS (SELECT count(*) AS n, sum(len(ws)) AS l FROM d WHERE len(ws) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{term}')) AS w FROM benchmark),
+t AS (SELECT r, doc_id, size, w, count(*) AS tf FROM (SELECT r, doc_id, len(ws) AS size, unnest(ws) AS w FROM d) GROUP BY ALL),
+f AS (SELECT w, count(*) AS df FROM t WHERE w IN (SELECT w FROM q) GROUP BY w),
+s AS (SELECT item_id, r, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 20 * (50 + CAST(50 * size * n AS BIGINT) // CAST(l AS BIGINT))))) AS BIGINT) AS score
+  FROM q JOIN t USING (w) JOIN f USING (w), k GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 50""".replace("{term}", ranked.TERM)
+
+
+@query("op13_ranked_search", RANKED_SQL)
+def _(spark, folder):
+    searches = table(spark, folder, "benchmark").select(F.col("item_id").cast("long").alias("search_id"), F.col("text").alias("search"))
+    found = ranked.ranked_datasets(notes(spark, folder), searches, k=50)
+    return found.select(F.col("search_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
