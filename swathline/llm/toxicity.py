@@ -96,34 +96,34 @@ def risk(margin_p: np.ndarray, margin_u: np.ndarray, prior: float) -> tuple[floa
     return positive, np.logaddexp(0, margin_u).mean() - prior * np.logaddexp(0, margin_p).mean()
 
 
-def train_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 60, batches: int = 8, rate: float = 0.02,
-               decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
-    """A linear classifier by Adam on the non-negative PU risk: where a batch's negative part falls below zero, the step goes up that
-    part instead, so that the classifier can't gain by memorising unlabelled positives."""
-    rng = np.random.default_rng(seed)
-    theta, mean, square, t = np.zeros(xp.shape[1] + 1), np.zeros(xp.shape[1] + 1), np.zeros(xp.shape[1] + 1), 0
-    for _ in range(rounds):
-        p_parts, u_parts = (np.array_split(rng.permutation(len(x)), batches) for x in (xp, xu))
-        for p, u in zip(p_parts, u_parts, strict=True):
-            if not len(p) or not len(u):
-                continue
-            bp, bu = xp[p].astype(np.float32), xu[u].astype(np.float32)
-            mp, mu = bp @ theta[:-1] + theta[-1], bu @ theta[:-1] + theta[-1]
-            sp, su = 1 / (1 + np.exp(-np.clip(mp, -30, 30))), 1 / (1 + np.exp(-np.clip(mu, -30, 30)))
-            negative_p, negative_u = -prior * sp / len(p), su / len(u)
-            gp = prior * (sp - 1) / len(p) + negative_p
-            if risk(mp, mu, prior)[1] < 0:
-                gp, gu = -negative_p, -negative_u
-            else:
-                gu = negative_u
-            slope = np.append(gp @ bp + gu @ bu + decay * theta[:-1], gp.sum() + gu.sum())
-            t += 1
-            mean += 0.1 * (slope - mean)
-            square += 0.001 * (slope * slope - square)
-            theta -= rate * (mean / (1 - 0.9 ** t)) / (np.sqrt(square / (1 - 0.999 ** t)) + 1e-8)
+def train_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 150, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """A linear classifier by Adam on the non-negative PU risk over all rows of ``xp`` (confirmed) and ``xu`` (unlabelled): while the
+    negative part is below zero, a step goes up that part alone, so that nothing is gained by memorising unlabelled positives."""
+    xp, xu = xp.astype(np.float32), xu.astype(np.float32)
+    theta, mean, square = (np.zeros(xp.shape[1] + 1) for _ in range(3))
+    for t in range(1, rounds + 1):
+        mp, mu = xp @ theta[:-1] + theta[-1], xu @ theta[:-1] + theta[-1]
+        sp, su = 1 / (1 + np.exp(-np.clip(mp, -30, 30))), 1 / (1 + np.exp(-np.clip(mu, -30, 30)))
+        negative_p, negative_u = -prior * sp / len(xp), su / len(xu)
+        if risk(mp, mu, prior)[1] < 0:
+            gp, gu = -negative_p, -negative_u
+        else:
+            gp, gu = prior * (sp - 1) / len(xp) + negative_p, negative_u
+        slope = np.append(gp @ xp + gu @ xu + decay * theta[:-1], gp.sum() + gu.sum())
+        mean += 0.1 * (slope - mean)
+        square += 0.001 * (slope * slope - square)
+        theta -= rate * (mean / (1 - 0.9 ** t)) / (np.sqrt(square / (1 - 0.999 ** t)) + 1e-8)
     return theta[:-1], float(theta[-1])
 
 
+def train_classifiers(xp: np.ndarray, xu: np.ndarray, prior: float, classifiers: int = 3, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of classifiers that each learn from another random half of the rows."""
+    rng = np.random.default_rng(seed)
+    halves = [[x[rng.permutation(len(x))[:-(-len(x) // 2)]] for x in (xp, xu)] for _ in range(classifiers)]
+    fits = [train_nnpu(p, u, prior) for p, u in halves]
+    return np.array([w for w, _ in fits]), np.array([b for _, b in fits])
+
+
 def bounded_examples(datasets: DataFrame, most: int) -> DataFrame:
     """``datasets`` (id, notes, toxic) -> (notes, confirmed): at most ``most`` rows that are confirmed (toxic = 1) and twice as many of all
     rows as unlabelled text, those with the lowest hash of the id.
@@ -184,8 +184,7 @@ def fit_toxicity(datasets: DataFrame, prior: float | None = None, most: int = 20
     rows = sorted((r.confirmed, bytes(r.bits)) for r in examples.select("confirmed", bits("notes").alias("bits")).collect())
     table = np.unpackbits(np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1), axis=1, count=len(hashes)).astype(bool)
     confirmed = np.array([r[0] for r in rows])
-    fits = [train_nnpu(table[confirmed], table[~confirmed], prior, seed=7 + i) for i in range(classifiers)]
-    return ToxicityModel(hashes, np.array([w for w, _ in fits]), np.array([b for _, b in fits]))
+    return ToxicityModel(hashes, *train_classifiers(table[confirmed], table[~confirmed], prior, classifiers))
 
 
 def notes_toxicity(datasets: DataFrame, model: ToxicityModel, least: float = 0.7) -> DataFrame:
