@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import gc
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from swathline.session import cut
+from swathline.session import cut, shared_folder
 
 #: The six ASCII white-space characters that end a word.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -35,6 +36,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below the shared folder and read back: a cut of the lineage that takes a fraction of a
+    checkpoint's disk.  An application's steps share one folder, named after it, which can go when the application is done."""
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/steps-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (a long, b long) -> (node, component), component being the smallest node reachable.
 

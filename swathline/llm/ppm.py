@@ -8,10 +8,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from swathline.llm.common import cut
+from swathline.llm.common import cut, stored
 
 #: Bytes that no UTF-8 text has: before a word, and after it.
 START, END = "\xfe", "\xff"
@@ -80,36 +81,72 @@ def longest_contexts(words: DataFrame, order: int, held: int = 200_000) -> DataF
 
 
 def gram_scores(grams: DataFrame) -> DataFrame:
-    """``grams`` (gram, n) -> (gram, score): natural logarithm of the last byte's probability after the others.
+    """``grams`` (gram, n) -> (gram, score): natural logarithm of the last byte's probability after the others (``code_scores``)."""
+    pack = F.conv(F.concat(F.lit("1"), F.hex(F.encode("gram", "iso-8859-1"))), 16, 10).cast("long")
+    coded = cut(grams.select("gram", pack.alias("code"), "n"))
+    longest = coded.agg(F.coalesce(F.max(F.length("gram")), F.lit(1))).first()[0]
+    return code_scores(coded.select("code", "n"), longest - 1).join(coded, "code").select("gram", "score")
+
 
-    The trie is a table of nodes (context and symbol) with counts; lower orders are sums over suffixes.  From the
-    longest context that was seen, a symbol found there has its count's share of all counts plus one for each
+def code_scores(grams: DataFrame, order: int) -> DataFrame:
+    """``grams`` (code, n) -> (code, known, score): natural logarithm of the last byte's probability after the others.
+
+    From the longest context that was seen, a symbol found there has its count's share of all counts plus one for each
     distinct symbol; what those ones leave is the escape (method C).  After an escape, the symbols of the longer
     context are excluded from the counts of the shorter one.  Below order 0 all symbols not yet seen share alike.
+
+    A gram that was seen is found at its first level: it needs the sums of its own context, a window of 255 rows at most.
+    Only grams that were never seen go down the levels, one level at a time.
     """
-    node = F.expr("explode(transform(sequence(1, length(gram)), k -> right(gram, k)))")
-    trie = cut(grams.where("n > 0").select(node.alias("node"), "n").groupBy("node").agg(F.sum("n").alias("n")))
-    context = F.expr("substring(node, 1, length(node) - 1)").alias("context")
-    stats = trie.groupBy(context).agg(F.sum("n").alias("n"), F.count("*").alias("d"))
-    lower = trie.select(F.col("node").alias("parent"), F.col("n").alias("m"))
-    above = trie.where("length(node) > 1").select(context, F.expr("substring(node, 2)").alias("parent")).join(lower, "parent")
-    excluded = above.groupBy("context").agg(F.sum("m").alias("e"))
-    shorter = stats.select(F.col("context").alias("tail"), F.col("n").alias("tail_n"), F.col("d").alias("tail_d"))
-    contexts = cut(stats.join(excluded, "context", "left").withColumn("tail", F.expr("if(context = '', null, substring(context, 2))"))
-                   .join(shorter, "tail", "left").select(
-        "context", F.col("n").alias("all"), "d", (F.col("tail_n") - F.col("e")).alias("next_n"), (F.col("tail_d") - F.col("d")).alias("next_d")))
-    chain = grams.select("gram", F.expr("explode(transform(sequence(0, length(gram) - 1), j -> right(gram, j + 1)))").alias("node"))
-    seen = chain.join(trie, "node", "left").withColumn("context", F.expr("substring(node, 1, length(node) - 1)")).join(contexts, "context", "left")
-    step = F.struct((-F.length("context")).alias("order"), "n", "all", "d", "next_n", "next_d")
-    levels = seen.groupBy("gram").agg(F.array_sort(F.collect_list(step)).alias("levels"))
-    # state: score so far, found or not, counts and distinct symbols that the next level has left (null: nothing excluded)
-    fold = F.expr(f"""aggregate(levels, named_struct('s', 0D, 'done', false, 'n', cast(null AS bigint), 'd', cast(null AS bigint)),
-        (a, x) -> if(a.done OR x.all IS NULL, a, named_struct(
-            's', a.s + CASE WHEN x.n IS NOT NULL THEN ln(x.n / (coalesce(a.n, x.all) + coalesce(a.d, x.d)))
-                            WHEN coalesce(a.d, x.d) > 0 THEN ln(coalesce(a.d, x.d) / (coalesce(a.n, x.all) + coalesce(a.d, x.d))) ELSE 0D END,
-            'done', x.n IS NOT NULL, 'n', x.next_n, 'd', x.next_d)),
-        a -> if(a.done, a.s, a.s - ln(cast({SYMBOLS} - coalesce(element_at(levels, -1).d, 0) AS double))))""")
-    return levels.select("gram", fold.alias("score"))
+    whole = W.partitionBy(F.shiftright("code", 8))
+    seen = grams.where("n > 0").select("code", F.col("n").alias("known"), F.log(F.col("n") / (F.sum("n").over(whole) + F.count("*").over(whole))).alias("score"))
+    return seen.unionByName(unseen_scores(grams, order).withColumn("known", F.lit(0).cast("long")))
+
+
+def of_length(column: str, k: int) -> Column:
+    return F.col(column).between(1 << 8 * k, (2 << 8 * k) - 1)
+
+
+def tail(column: str, k: int) -> Column:
+    """A gram of ``k`` bytes without its first."""
+    return F.col(column).bitwiseAND((1 << 8 * (k - 1)) - 1).bitwiseOR(F.lit(1 << 8 * (k - 1)))
+
+
+def unseen_scores(grams: DataFrame, order: int) -> DataFrame:
+    """(code, score) of the ``grams`` (code, n) with n = 0.
+
+    The trie's nodes of k bytes are those of k + 1 bytes without their first, and the grams of k bytes.  A level looks only at
+    the nodes of contexts that are asked for.  Nodes of one and two bytes and contexts of up to two bytes number 65,536 at most and go to
+    all tasks, so the few contexts that everything ends in are no hot keys.
+    """
+    trie = {order + 1: grams.where((F.col("n") > 0) & of_length("code", order + 1))}
+    for k in range(order, 0, -1):
+        longer = trie[k + 1].select(tail("code", k + 1).alias("code"), "n")
+        trie[k] = stored(longer.union(grams.where((F.col("n") > 0) & of_length("code", k)).select("code", "n")).groupBy("code").agg(F.sum("n").alias("n")))
+    spark, done, pending = grams.sparkSession, [], None
+    for k in range(order + 1, 0, -1):
+        new = grams.where((F.col("n") == 0) & of_length("code", k)).select(
+            "code", F.col("code").alias("node"), F.lit(0.0).alias("s"), F.lit(None).cast("long").alias("e"), F.lit(None).cast("long").alias("gone"))
+        pending = (new if pending is None else new.union(pending)).withColumn("context", F.shiftright("node", 8))
+        nodes = trie[k].select(F.shiftright("code", 8).alias("context"), F.col("code").alias("node"), "n")
+        asked = nodes if k <= 2 else nodes.join(pending.select("context").distinct(), "context", "left_semi")
+        if k > 1:
+            below = trie[k - 1].select(F.col("code").alias("parent"), F.col("n").alias("m"))
+            asked = asked.withColumn("parent", tail("node", k)).join(F.broadcast(below) if k <= 3 else below, "parent")
+        else:
+            asked = asked.withColumn("m", F.lit(0).cast("long"))
+        sums = asked.groupBy("context").agg(F.sum("n").alias("all"), F.count("*").alias("d"), F.sum("m").alias("next_e"))
+        own = nodes.select("node", "n")
+        met = pending.join(F.broadcast(sums) if k <= 3 else sums, "context", "left").join(F.broadcast(own) if k <= 2 else own, "node", "left")
+        total, kinds = F.col("all") - F.coalesce("e", F.lit(0)), F.col("d") - F.coalesce("gone", F.lit(0))
+        share = F.when(F.col("n").isNotNull(), F.log(F.col("n") / (total + kinds))).when(kinds > 0, F.log(kinds / (total + kinds))).otherwise(0.0)
+        now = cut(met.select("code", "node", (F.col("s") + share).alias("s"), F.col("n").isNotNull().alias("found"), F.col("next_e").alias("e"), F.col("d").alias("gone")))
+        done.append(now.where("found").select("code", F.col("s").alias("score")))
+        pending = now.where("NOT found").select("code", tail("node", k).alias("node") if k > 1 else "node", "s", "e", "gone")
+    last = pending.select("code", (F.col("s") - F.log(F.lit(float(SYMBOLS)) - F.coalesce("gone", F.lit(0)))).alias("score"))
+    for part in done:
+        last = last.union(part)
+    return last
 
 
 def packed_gram(gram: str) -> int:
@@ -203,7 +240,7 @@ def gram_codes(raws: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_counts(datasets: DataFrame, order: int, across: bool, held: int = 1_000_000) -> DataFrame:
-    """``datasets`` (notes, trained) -> (gram, n): every gram of all notes and its number in the trained ones.
+    """``datasets`` (notes, trained) -> (code, n): every gram of all notes (``packed_gram``) and its number in the trained ones.
 
     A task adds up as it reads and hands on whenever it holds ``held`` grams.
     """
@@ -227,18 +264,15 @@ def gram_counts(datasets: DataFrame, order: int, across: bool, held: int = 1_000
                     keys = sums = np.zeros(0, np.int64)
         yield pd.DataFrame({"code": keys, "n": sums})
 
-    found = datasets.select("notes", "trained").mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    gram = F.decode(F.unhex(F.substring(F.hex("code"), 2, 14)), "iso-8859-1")
-    return found.select(gram.alias("gram"), "n")
+    return datasets.select("notes", "trained").mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def spelling_scores(rows: DataFrame, grams: DataFrame, order: int, across: bool, head: int) -> DataFrame:
-    """``rows`` (id, tie, notes) and ``grams`` (gram, n) -> (id, tie, score), in parts to be added up for each (id, tie).
+    """``rows`` (id, tie, notes) and ``grams`` (code, n) -> (id, tie, score), in parts to be added up for each (id, tie).
 
     The most frequent grams (``head`` at most, however large the corpus) go to the tasks; a note's others are counted and meet their scores in a join.
     """
-    pack = F.conv(F.concat(F.lit("1"), F.hex(F.encode("gram", "iso-8859-1"))), 16, 10).cast("long")
-    scored = cut(gram_scores(grams).join(grams, "gram").select(pack.alias("code"), "score", F.col("n").alias("known")))
+    scored = stored(code_scores(grams, order))
     common = frequent_words(scored, head).select("code", "score").toArrow()  # ``head`` pairs of numbers at most
     keys = common["code"].to_numpy().astype(np.int64)
     rank = np.argsort(keys)
@@ -283,10 +317,12 @@ def score_notes(datasets: DataFrame, order: int = 5, head: int = 100_000, across
     Untrained corpora give every symbol the same share.  Repeated rows come out as often as they go in; an
     empty table gives no rows.  Other columns are not looked at.  ``order`` is 6 at most.
     """
-    words = cut(token_counts(datasets))
+    if not 0 <= order <= 6:
+        raise ValueError("order must be 0 to 6: a gram is packed into 64 bits")
+    words = stored(token_counts(datasets))
     totals = words.agg(F.sum("known").alias("n"), F.count_if(F.col("known") > 0).alias("v")).first()
     n, v = totals["n"] or 0, totals["v"] or 0
-    grams = cut(gram_counts(datasets, order, across))
+    grams = stored(gram_counts(datasets, order, across))
     floor = 0.1 * (v + 1) + n
     common = frequent_words(words, head).collect()
     known = {r["word"].encode("latin-1"): (math.log10((r["known"] + 0.1) / floor), r["known"] > 0) for r in common}
