@@ -180,23 +180,32 @@ def similar_notes(sketches: DataFrame, texts: DataFrame, bands: Bands, words: in
     ``row`` tells rows apart (rows that are equal may share one), ``class`` is the hash of a note's words; a class is in
     the result only if it is linked with another.  A similarity of 0.8 makes two SimHashes differ in about 15 of 100 bits,
     far beyond the radius of one ball over 64 bits.  So bands of the SimHash are dealt to their balls of radius 1 (see
-    ``plan_bands``).  At a place of ``few`` notes or fewer all are compared.  At a crowded one a note is compared with the one before it
-    (in the order of 64 bits, so that like stands by like) and with the first, and what that does not link is found exactly by
-    ``crowded_links`` over the notes of all crowded places.  Pairs whose SimHashes are farther apart than
-    similar notes ever are, are let go.  The others are kept once and checked by their shingle sets.
+    ``plan_bands``).
+
+    First notes with an equal band are linked, each with the one before it and the first there: that gathers groups of near copies
+    with a few links for each note.  Then the balls meet, and only notes of different groups are compared.  At a place of ``few`` notes or
+    fewer all are; at a crowded one a note is compared with the one before it (in the order of 64 bits, so that like stands by like)
+    and with the first, and what that does not link is found exactly by ``crowded_links`` over the notes of all places that are crowded
+    by more than one group.  Pairs whose SimHashes are farther apart than similar notes ever are, are let go.  The others are kept once
+    and checked by their shingle sets.
     """
     spark = sketches.sparkSession
     classes = cut(sketches.groupBy("class").agg(F.min("row").alias("row"), F.first("bands").alias("bands"), F.first("rest").alias("rest")))
-    places = classes.select("class", "rest", F.posexplode("bands").alias("band", "value")).select("class", "rest", F.explode(
-        ball(F.shiftleft(F.col("band").cast("long"), bands.bits).bitwiseOR(F.col("value")), bands.bits)).alias("place"))
+    alike = same_band_links(classes, texts, bands, words, similarity)
+    first = cut(connected_components(alike).select(F.col("node").alias("class"), "component"))
+    release(spark)
     order = W.partitionBy("place").orderBy("rest", "class")
-    me = F.struct("class", "rest")
+    me = F.struct("class", "rest", "group")
+    named = classes.join(first, "class", "left").withColumn("group", F.coalesce("component", "class"))
+    places = named.select("class", "rest", "group", F.posexplode("bands").alias("band", "value")).select("class", "rest", "group", F.explode(
+        ball(band_place(bands), bands.bits)).alias("place"))
+    whole = W.partitionBy("place")
     beside = places.withColumns({
-        "here": F.count("*").over(W.partitionBy("place")), "before": F.lag(me).over(order), "start": F.first(me).over(order),
-        "others": F.collect_list(me).over(order.rowsBetween(1 - few, -1))}).where("here > 1")
+        "here": F.count("*").over(whole), "low": F.min("group").over(whole), "high": F.max("group").over(whole), "before": F.lag(me).over(order),
+        "start": F.first(me).over(order), "others": F.collect_list(me).over(order.rowsBetween(1 - few, -1))}).where("low != high")
     crowd = F.col("here") > few
     partners = F.when(crowd, F.array_distinct(F.filter(F.array("before", "start"), lambda o: o.isNotNull()))).otherwise(F.col("others"))
-    near_by = F.filter(partners, lambda o: (F.col("class") != o["class"]) & (hamming(F.col("rest"), o["rest"]) <= bands.far(64)))
+    near_by = F.filter(partners, lambda o: (F.col("group") != o["group"]) & (hamming(F.col("rest"), o["rest"]) <= bands.far(64)))
     # a note of a crowded place is its own partner there
     met = beside.select("class", F.explode(F.when(crowd, F.concat(near_by, F.array(me))).otherwise(near_by)).alias("o"))
     found = cut(met.select(F.least("class", "o.class").alias("a"), F.greatest("class", "o.class").alias("b")).distinct())
@@ -207,15 +216,9 @@ def similar_notes(sketches: DataFrame, texts: DataFrame, bands: Bands, words: in
         classes.select(F.col("class").alias("b"), F.col("bands").alias("of_b")), "b")
     apart = F.aggregate(F.zip_with("of_a", "of_b", hamming), F.lit(0), lambda s, x: s + x)
     near = cut(wide.where(apart <= bands.far(bands.count * bands.bits)).select("a", "b"))
-    wanted = near.select(F.col("a").alias("class")).union(near.select("b")).union(crowded).distinct()
-    rows = cut(classes.join(wanted, "class", "left_semi").select("row", "class"))
-    known = texts.select("row", "notes").join(rows, "row").dropDuplicates(["class"])
-    sets = cut(known.select("class", shingle_set_udf(words)("notes").alias("shingles")))
+    sets = shingle_sets(classes, texts, near.select(F.col("a").alias("class")).union(near.select("b")).union(crowded).distinct(), words)
     release(spark)
-    both = near.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("of_a")), "a").join(
-        sets.select(F.col("class").alias("b"), F.col("shingles").alias("of_b")), "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    alike = cut(both.where(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b"))
+    alike = cut(alike.union(checked(near, sets, similarity)))
     groups = connected_components(alike).select(F.col("node").alias("class"), "component")
     if crowded.isEmpty():
         return groups
@@ -223,6 +226,37 @@ def similar_notes(sketches: DataFrame, texts: DataFrame, bands: Bands, words: in
     return connected_components(alike.union(more)).select(F.col("node").alias("class"), "component")
 
 
+def band_place(bands: Bands) -> Column:
+    return F.shiftleft(F.col("band").cast("long"), bands.bits).bitwiseOR(F.col("value"))
+
+
+def same_band_links(classes: DataFrame, texts: DataFrame, bands: Bands, words: int, similarity: float) -> DataFrame:
+    """``classes`` (class, row, bands, rest) -> (a, b): similar notes that have a band in common, each with two partners a band at most."""
+    places = classes.select("class", "rest", F.posexplode("bands").alias("band", "value")).select("class", "rest", band_place(bands).alias("place"))
+    order, me = W.partitionBy("place").orderBy("rest", "class"), F.struct("class", "rest")
+    beside = places.withColumns({"before": F.lag(me).over(order), "start": F.first(me).over(order)}).where("before IS NOT NULL")
+    near_by = F.filter(F.array_distinct(F.array("before", "start")), lambda o: hamming(F.col("rest"), o["rest"]) <= bands.far(64))
+    met = beside.select("class", F.explode(near_by).alias("o"))
+    pairs = cut(met.select(F.least("class", "o.class").alias("a"), F.greatest("class", "o.class").alias("b")).distinct())
+    sets = shingle_sets(classes, texts, pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), words)
+    return checked(pairs, sets, similarity)
+
+
+def shingle_sets(classes: DataFrame, texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(class, shingles) of the ``wanted`` (class), each read from one of its rows."""
+    rows = cut(classes.join(wanted, "class", "left_semi").select("row", "class"))
+    known = texts.select("row", "notes").join(rows, "row").dropDuplicates(["class"])
+    return cut(known.select("class", shingle_set_udf(words)("notes").alias("shingles")))
+
+
+def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose ``sets`` (class, shingles) have a Jaccard similarity of ``similarity`` or more."""
+    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("of_a")), "a").join(
+        sets.select(F.col("class").alias("b"), F.col("shingles").alias("of_b")), "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return cut(both.where(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b"))
+
+
 def crowded_links(sets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
     """``sets`` (class, shingles) -> (a, b): every pair of a similarity of ``similarity`` or more whose notes are not in one of
     ``groups`` (class, component) already.
@@ -251,10 +285,7 @@ def crowded_links(sets: DataFrame, groups: DataFrame, similarity: float) -> Data
     met = one.join(live.alias("y"), F.col("x.token") == F.col("y.token")).where(F.col("x.group") != F.col("y.group")).where(fits)
     pairs = cut(met.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct())
     release(sets.sparkSession)
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("of_a")), "a").join(
-        sets.select(F.col("class").alias("b"), F.col("shingles").alias("of_b")), "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return cut(both.where(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b"))
+    return checked(pairs, sets, similarity)
 
 
 def one_of_each(datasets: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
