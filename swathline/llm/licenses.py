@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -109,21 +110,18 @@ def license_scan(images: DataFrame, templates: list[tuple[str, str]] | None = No
     files = df.pop("", 0)
     idf = {w: math.log((1 + files) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
     rarest = math.log(1 + files) + 1
-    weights, needed = [], set()
-    for k, (name, template) in enumerate(known):
+    vectors, needed = [], set()
+    for name, template in known:
         words = re.findall(TERM, template.lower())
         vector = {w: words.count(w) * idf[w] for w in words}
         norm = math.sqrt(sum(x * x for x in vector.values()))
-        weights += [(k, name, w, x / norm) for w, x in sorted(vector.items())]
+        vectors.append((name, [(w, x / norm) for w, x in sorted(vector.items())]))
         rest = 1.0
         for w, x in sorted(vector.items(), key=lambda p: (-p[1], p[0])):
             if rest < least ** 2 - 1e-9:
                 break
             needed.add(w)
             rest -= (x / norm) ** 2
-    spark = images.sparkSession
-    template_weights = spark.createDataFrame(weights, "template int, license string, term string, weight double")
-    term_idf = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
     heavy = "(?i)(?<![a-z0-9])(" + "|".join(sorted(needed) or ["(?!)"]) + ")(?![a-z0-9])"
 
     # equal texts are compared once, under a hash of the text
@@ -131,12 +129,26 @@ def license_scan(images: DataFrame, templates: list[tuple[str, str]] | None = No
     lines, paragraphs = F.split("text", "\n"), F.split("text", r"\n[\x20\t\r]*\n")
     units = F.filter(F.array_distinct(F.concat(F.array("text"), lines, paragraphs)), lambda u: u.rlike(heavy))
     compared = texts.select("key", F.explode(F.transform(units, lambda u: F.struct((u == F.col("text")).alias("whole"), terms_of(u).alias("terms")))).alias("u"))
-    terms = compared.select("key", "u.whole", F.xxhash64("u.terms").alias("unit"), F.col("u.terms").alias("terms")).dropDuplicates(["key", "whole", "unit"])
-    tf = terms.select("key", "whole", "unit", F.explode("terms").alias("term")).groupBy("key", "whole", "unit", "term").count()
-    weighed = tf.join(term_idf, "term", "left").withColumn("w", F.col("count") * F.coalesce("idf", F.lit(rarest)))
-    norms = weighed.groupBy("key", "whole", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(template_weights, "term").groupBy("key", "whole", "unit", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    cosines = dots.join(norms, ["key", "whole", "unit"]).select("key", "whole", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    named = cut(compared.select("key", "u.whole", F.xxhash64("u.terms").alias("unit"), F.col("u.terms").alias("terms")))
+    # each distinct unit is compared once, however many texts hold it, with all templates inside its row
+    distinct = named.select("unit", "terms").dropDuplicates(["unit"])
+    tf = distinct.select("unit", F.explode("terms").alias("term")).groupBy("unit", "term").count()
+    term_idf = images.sparkSession.createDataFrame(sorted(idf.items()), "term string, idf double")
+    weighed = tf.join(F.broadcast(term_idf), "term", "left").withColumn("w", F.col("count") * F.coalesce("idf", F.lit(rarest)))
+    shared = F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w")))  # each template term once, at most
+    units = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), shared.alias("own"))
+    against = F.from_json(F.lit(json.dumps([{"license": name, "vector": dict(v)} for name, v in vectors])), "array<struct<license string, vector map<string, double>>>")
+
+    def cosine(vector: Column) -> Column:
+        dot = F.aggregate("own", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(vector[x["term"]], F.lit(0.0)))
+        return F.round(dot / F.col("norm"), 6)
+
+    scored = units.select("unit", F.explode(F.filter(F.transform(against, lambda t: F.struct(cosine(t["vector"]).alias("score"), t["license"].alias("license"))),
+                                                     lambda c: c["score"] >= least)).alias("c"))
+    unit_best = scored.groupBy("unit").agg(F.min(F.struct((-F.col("c.score")).alias("below"), F.col("c.license").alias("license"))).alias("m"))
+    cosines = named.select("key", "whole", F.concat(F.lit("u"), F.col("unit").cast("string")).alias("unit")).join(
+        unit_best.select(F.concat(F.lit("u"), F.col("unit").cast("string")).alias("unit"), "m"), "unit").select(
+        "key", "whole", F.col("m.license").alias("license"), (-F.col("m.below")).alias("score"))
     best = cosines.where(F.col("score") >= least).groupBy("key").agg(
         F.min(F.struct((-F.col("score")).alias("below"), "license")).alias("b"), F.max("whole").alias("whole_file"))
     found = cut(best.select("key", (-F.col("b.below")).alias("score"), F.col("b.license").alias("own_license"), "whole_file"))

@@ -8,14 +8,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
-#: Bounds of a task's stores: segments already encoded, the longest that is kept, and pairs of pieces already tried.
-SEGMENTS, LONGEST, PAIRS = 150_000, 48, 800_000
+#: Bounds of a task's stores: bytes of segments already encoded (half of them young, half old; a segment counts with what Python
+#: keeps around it), the longest that is kept, and pairs of pieces already tried.
+STORE_BYTES, OVERHEAD, LONGEST, PAIRS = 48_000_000, 200, 48, 400_000
+#: Notes whose ids and text a task holds at once.
+SLICE = 256
 _machines: dict[str, Machine] = {}
 
 
@@ -138,17 +142,18 @@ class Store(dict):
 
     def __init__(self, machine: Machine, before: str):
         super().__init__()
-        self.machine, self.before, self.older = machine, before, {}
+        self.machine, self.before, self.older, self.held = machine, before, {}, 0
 
     def __missing__(self, key: str) -> bytes:
         got = self.older.get(key)
         if got is None:
             got = np.array(self.machine.shortest(self.before + key), "<i4").tobytes()
         if len(key) <= LONGEST:
-            if len(self) >= SEGMENTS:
-                self.older = dict(self)
+            if self.held >= STORE_BYTES // 2:
+                self.older, self.held = dict(self), 0
                 self.clear()
             self[key] = got
+            self.held += len(key) + len(got) + OVERHEAD
         return got
 
 
@@ -187,3 +192,20 @@ def decode_notes(encoded: DataFrame, model: str) -> DataFrame:
             yield pd.Series([own.decode(np.asarray(x)) if x is not None else "" for x in batch], dtype=object)
 
     return encoded.withColumn("decoded", decode("ids"))
+
+
+def round_trip_notes(datasets: DataFrame, model: str) -> DataFrame:
+    """``datasets`` (id, notes) -> (id, notes, ids, decoded): ``encode_notes`` and ``decode_notes`` in one pass of one Python worker
+    for each task, ``SLICE`` notes at a time, so that a task holds one machine and few texts and ids."""
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = machine(model)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids = [np.frombuffer(own.encode(t), "<i4") for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(own.decode, ids), pa.string())],
+                                                 ["id", "notes", "ids", "decoded"])
+
+    kind = datasets.schema["id"].dataType.simpleString()
+    return datasets.select("id", "notes").mapInArrow(both, f"id {kind}, notes string, ids array<int>, decoded string")

@@ -77,7 +77,7 @@ def _(spark, folder):
 def _(spark, folder):
     import public_tokenizers
     model = public_tokenizers.path("piece_bpe_32k.model")
-    done = pieces.decode_notes(pieces.encode_notes(notes(spark, folder), model), model)
+    done = pieces.round_trip_notes(notes(spark, folder), model)
     return done.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"),
                        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("notes", F.lit(""))).alias("round_trip"))
 
