@@ -17,7 +17,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
 #: Bounds of a task's stores: bytes of segments already encoded (half of them young, half old; a segment counts with what Python
 #: keeps around it), the longest that is kept, and pairs of pieces already tried.
-STORE_BYTES, OVERHEAD, LONGEST, PAIRS = 48_000_000, 200, 48, 400_000
+STORE_BYTES, OVERHEAD, LONGEST, PAIRS = 120_000_000, 200, 48, 800_000
 #: Notes whose ids and text a task holds at once.
 SLICE = 256
 _machines: dict[str, Machine] = {}
@@ -88,14 +88,17 @@ class Machine:
         ids, merges = self.ids, self.merges
         # for each place: the cost of reaching it, the piece that ends there (-1: none, or a character's bytes), and where that began
         cost, last, begun = [0.0] + [math.inf] * len(s), [-1] * (len(s) + 1), [0] * (len(s) + 1)
+        pairs, many = self.pairs, len(self.spelled)
         for i in range(1, len(s) + 1):
-            for j in range(max(0, i - self.longest), i):
+            low = max(0, i - self.longest)
+            for j in range(i - 1, low - 1, -1) if merges else range(low, i):
                 piece = ids.get(s[j:i])
                 if piece is None:
                     continue
                 if merges:
-                    # every prefix has one path, so the first piece that may follow is the piece
-                    if self.may_follow(last[j], piece):
+                    # every prefix has one path, so the first piece that may follow is the piece; short ones are tried first
+                    follows = pairs.get(last[j] * many + piece)
+                    if follows or follows is None and self.may_follow(last[j], piece):
                         cost[i], last[i], begun[i] = 0.0, piece, j
                         break
                 elif cost[j] + self.weight[s[j:i]] < cost[i]:
