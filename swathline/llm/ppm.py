@@ -250,18 +250,22 @@ def gram_counts(datasets: DataFrame, order: int, across: bool, held: int = 1_000
         return keys, np.bincount(at, times, len(keys)).astype(np.int64)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys = sums = np.zeros(0, np.int64)
+        parts, waiting = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
         for batch in batches:
             for lo in range(0, len(batch), 200):
                 part = batch.iloc[lo:lo + 200]
                 own = [streams(t, across) for t in part["notes"]]
                 learn = np.repeat([1 if t else 0 for t in part["trained"]], [len(x) for x in own])
                 codes, owner = gram_codes([r for x in own for r in x], order)
-                some, times = merged(codes, learn[owner])
-                keys, sums = merged(np.concatenate([keys, some]), np.concatenate([sums, times]))
-                if len(keys) > held:
-                    yield pd.DataFrame({"code": keys, "n": sums})
-                    keys = sums = np.zeros(0, np.int64)
+                parts.append(merged(codes, learn[owner]))
+                waiting += len(parts[-1][0])
+                if waiting > held:  # parts are merged when so many grams wait, not after each
+                    keys, sums = merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                    if len(keys) > held // 2:
+                        yield pd.DataFrame({"code": keys, "n": sums})
+                        keys = sums = np.zeros(0, np.int64)
+                    parts, waiting = [(keys, sums)], 0
+        keys, sums = merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         yield pd.DataFrame({"code": keys, "n": sums})
 
     return datasets.select("notes", "trained").mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
@@ -304,7 +308,7 @@ def spelling_scores(rows: DataFrame, grams: DataFrame, order: int, across: bool,
     return parts.join(own, "code", "left").select("id", "tie", F.when(F.col("times") == 0, F.col("score")).otherwise(F.col("times") * F.col("of_gram")).alias("score"))
 
 
-def score_notes(datasets: DataFrame, order: int = 5, head: int = 100_000, across: bool = False, head_grams: int = 500_000) -> DataFrame:
+def score_notes(datasets: DataFrame, order: int = 5, head: int = 250_000, across: bool = False, head_grams: int = 500_000) -> DataFrame:
     """``datasets`` (id, notes, trained) -> (id, n_tokens, n_known, train_tokens, base_score, score), one row for each row given.
 
     Learns from the rows with ``trained`` true and scores all.  Tokens are words (A-Z in lower case) and one end.
@@ -325,7 +329,7 @@ def score_notes(datasets: DataFrame, order: int = 5, head: int = 100_000, across
     grams = stored(gram_counts(datasets, order, across))
     floor = 0.1 * (v + 1) + n
     common = frequent_words(words, head).collect()
-    known = {r["word"].encode("latin-1"): (math.log10((r["known"] + 0.1) / floor), r["known"] > 0) for r in common}
+    known = {r["word"].encode("latin-1"): math.log10((r["known"] + 0.1) / floor) for r in common}
     near_words = datasets.sparkSession.sparkContext.broadcast(known)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -333,21 +337,28 @@ def score_notes(datasets: DataFrame, order: int = 5, head: int = 100_000, across
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.iloc[lo:lo + 500]
-                out: list[tuple] = []
-                for key, tie, text in zip(part["id"], part["tie"], part["notes"], strict=True):
+                out: dict[str, list] = {c: [] for c in ("at", "word", "times", "base", "hits")}
+                for at, (tie, text) in enumerate(zip(part["tie"], part["notes"], strict=True)):
                     base = 0.0
                     hits, tokens = 0, words_of(text)
                     tokens.append(b"")
+                    far: list[tuple[str, int]] = []
                     for w, times in Counter(tokens).items():
-                        if w in near:
-                            b, k = near[w]
-                            base += times * b
-                            hits += times * k
+                        b = near.get(w)
+                        if b is None:
+                            far.append((w.decode("latin-1"), times))
                         else:
-                            out.append((key, tie, w.decode("latin-1"), times, 0.0, 0))
+                            base += times * b
+                            hits += times
                     # no word begins with END: such a row meets nothing in the join, and spreads over its partitions
-                    out.append((key, tie, END + str(tie), len(tokens), base, hits))
-                yield pd.DataFrame(out, columns=["id", "tie", "word", "times", "base", "hits"])
+                    far.append((END + str(tie), len(tokens)))
+                    out["at"] += [at] * len(far)
+                    out["word"] += [w for w, _ in far]
+                    out["times"] += [n for _, n in far]
+                    out["base"] += [0.0] * (len(far) - 1) + [base]
+                    out["hits"] += [0] * (len(far) - 1) + [hits]
+                at = np.array(out.pop("at"), np.int64)
+                yield pd.DataFrame({"id": part["id"].iloc[at].array, "tie": part["tie"].to_numpy()[at], **out})
 
     kind = datasets.schema["id"].dataType.simpleString()
     tied = datasets.select("id", F.xxhash64(F.coalesce("notes", F.lit(""))).alias("tie"), "notes")
