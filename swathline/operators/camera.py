@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from swathline.functions import constants as K
 from swathline.functions.scalars import settle
 from swathline.operators.geodesy import Sim3, quat_to_rot, sim3_invert, utm_to_ecef
-from swathline.operators.grid import LINE, Grid
+from swathline.operators.grid import LINE, Grid, clean
 from swathline.session import cut
 
 POSE = [f"r{i}{j}" for i in range(3) for j in range(3)] + ["tx", "ty", "tz"]
@@ -178,9 +178,11 @@ def bilinear_gather(raster: DataFrame, samples: DataFrame, nodata: float | None
     """Add ``value`` sampled at fractional (ub, vb) = (column, row) of raster_id, band.
 
     All four pixels must exist, so the last row and column give nothing.  Each pixel first takes its right
-    and lower neighbours along; a sample then needs one lookup.  ``nodata`` stands in for missing values.
+    and lower neighbours along; a sample then needs one lookup.  A sample that touches nodata gives nothing; with ``nodata``, that number
+    stands in for missing values instead.
     """
-    src = raster if nodata is None else raster.withColumn("value", F.coalesce("value", F.lit(nodata)))
+    src = clean(raster)
+    src = src if nodata is None else src.withColumn("value", F.coalesce("value", F.lit(nodata)))
     at = samples.withColumns({"_x": _whole("ub"), "_y": _whole("vb")})
     hit = at.join(_quads(src), [*LINE, "_y", "_x"])
     fx, fy = F.col("ub") - F.col("_x"), F.col("vb") - F.col("_y")
@@ -192,7 +194,7 @@ def bilinear_gather(raster: DataFrame, samples: DataFrame, nodata: float | None
 def bilinear_zero(raster: DataFrame, targets: DataFrame) -> DataFrame:
     """Raster resampled to ``targets`` (raster_id, band, row, col, ub, vb, moved); pixels outside count as 0.
 
-    One lookup per target.  Just outside the first column or row only the right or lower pixel counts: the
+    Nodata counts as 0 too.  One lookup per target.  Just outside the first column or row only the right or lower pixel counts: the
     lookup then goes to that pixel, which takes the weight.  Targets not ``moved`` keep their pixel as it is.
     """
     at = targets.withColumns({"_x0": _whole("ub"), "_y0": _whole("vb")})
@@ -202,7 +204,7 @@ def bilinear_zero(raster: DataFrame, targets: DataFrame) -> DataFrame:
         "_x": F.when(left, 0).otherwise(F.col("_x0")), "_y": F.when(top, 0).otherwise(F.col("_y0")),
         "_wl": F.when(left, fx).otherwise(1 - fx), "_wr": F.when(left, 0.0).otherwise(fx),
         "_wt": F.when(top, fy).otherwise(1 - fy), "_wb": F.when(top, 0.0).otherwise(fy)})
-    got = at.join(_quads(raster), [*LINE, "_y", "_x"], "left")
+    got = at.join(_quads(clean(raster)), [*LINE, "_y", "_x"], "left")
 
     def part(q: str, a: str, b: str) -> Column:
         return F.coalesce(F.col(q), F.lit(0.0)) * F.col(a) * F.col(b)

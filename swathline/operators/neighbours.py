@@ -8,12 +8,13 @@ anew for every cell.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from swathline.operators.grid import LINE, clean
-from swathline.session import cut
 
 SIDES = ["nw", "n", "ne", "w", "c", "e", "sw", "s", "se"]
 
@@ -110,14 +111,34 @@ def coverage_mask(dsm: DataFrame, unfilled: DataFrame | None = None, passes: tup
     return mask.join(erode(valid(unfilled), passes[1]), ["raster_id", "row", "col"], "left_semi")
 
 
+def nearest_rows(rows: list[int], beside: list[int], wanted: np.ndarray) -> np.ndarray:
+    """Places in ``rows`` (rising) of the cells nearest to each row in ``wanted``: the smallest squared row distance plus ``beside``,
+    ties to the smaller row.  The lower envelope of one parabola a row, in whole numbers."""
+    hull: list[int] = []
+    starts: list[int] = []
+    for j, (r, f) in enumerate(zip(rows, beside, strict=True)):
+        start = -(1 << 62)
+        while hull:
+            i = hull[-1]
+            # the first row at which j is nearer than i
+            start = (f + r * r - beside[i] - rows[i] * rows[i]) // (2 * (r - rows[i])) + 1
+            if start > starts[-1]:
+                break
+            hull.pop()
+            starts.pop()
+            start = -(1 << 62)
+        hull.append(j)
+        starts.append(start)
+    return np.array(hull, np.int64)[np.searchsorted(np.array(starts, np.int64), wanted, "right") - 1]
+
+
 def nearest_valid(raster: DataFrame, max_distance: int | None = None) -> DataFrame:
     """Dense raster -> holes take the value of the nearest valid cell, however far (or up to ``max_distance`` away).
 
-    Ties go to the smaller row, then column.  Along each row every cell learns the closest valid cell on
-    either side.  A hole then needs only rows of its own column that are nearer than the best found so far: it
-    looks at rows up to 3, 7, 15, ... away, and a hole is done when its best is no farther than the rows it has seen, or
-    when there are no rows left.  Each round has fewer holes; the rows looked at are in proportion to the distance that a
-    hole really has.  A raster without a valid cell keeps its holes.
+    Ties go to the smaller row, then column.  An exact distance transform in two line passes: along each row every cell learns the
+    closest valid cell of its row, then along each column the lower envelope of the parabolas that these distances open gives
+    every hole its cell.  No row is multiplied, and a task holds one column of one raster at a time.  A raster without a valid cell
+    keeps its holes; an empty raster gives no rows.
     """
     raster = clean(raster)
     across = W.partitionBy(*LINE, "row").rowsBetween(W.unboundedPreceding, 0)
@@ -125,38 +146,26 @@ def nearest_valid(raster: DataFrame, max_distance: int | None = None) -> DataFra
     sides = raster.withColumns({
         "_l": F.last(here, ignorenulls=True).over(across.orderBy("col")),
         "_r": F.last(here, ignorenulls=True).over(across.orderBy(F.desc("col")))})
-    found = sides.select(*LINE, F.col("row").alias("row2"), "col", "_l", "_r").where("_l IS NOT NULL OR _r IS NOT NULL")
-    seen = found.groupBy(*LINE).agg(F.min("row2").alias("_top"), F.max("row2").alias("_bottom"))
-    none = F.lit(None).cast("struct<d2:bigint,r:int,c:int,v:double>")
-    holes = raster.where(F.col("value").isNull()).join(seen, LINE, "left").select(*LINE, "row", "col", "_top", "_bottom", none.alias("_b"))
-
-    def candidate(side: str) -> Column:
-        dr, dc = (F.col("row") - F.col("row2")).cast("bigint"), (F.col("col") - F.col(f"{side}.col")).cast("bigint")
-        return F.when(F.col(side).isNotNull(), F.struct((dr * dr + dc * dc).alias("d2"), F.col("row2").cast("int").alias("r"),
-                                                        F.col(f"{side}.col").cast("int").alias("c"), F.col(f"{side}.value").cast("double").alias("v")))
-
-    lo, hi, finished, left = 0, 4, None, cut(holes)
-    while True:
-        reach = F.concat(F.sequence(F.lit(-hi + 1), F.lit(-lo)), F.sequence(F.lit(lo), F.lit(hi - 1)))
-        asked = left.withColumn("_dr", F.explode(F.array_distinct(reach))).withColumn("row2", F.col("row") + F.col("_dr"))
-        near = asked.join(found, [*LINE, "row2", "col"], "left").withColumn("_c", F.least(candidate("_l"), candidate("_r")))
-        best = near.groupBy(*LINE, "row", "col").agg(F.min("_c").alias("_c"), F.first("_b").alias("_b"), F.first("_top").alias("_top"), F.first("_bottom").alias("_bottom"))
-        best = best.select(*LINE, "row", "col", "_top", "_bottom", F.least("_b", "_c").alias("_b"))
-        over = F.col("_top").isNull() | ((F.col("row") - hi < F.col("_top")) & (F.col("row") + hi > F.col("_bottom")))
-        if max_distance is not None:
-            over = over | F.lit(hi > max_distance)
-        done = over | F.coalesce(F.col("_b.d2") <= (hi - 1) * (hi - 1), F.lit(False))
-        step = cut(best.withColumn("_done", done))
-        part = step.where("_done").drop("_done", "_top", "_bottom")
-        finished = part if finished is None else finished.unionByName(part)
-        left = step.where("NOT _done").drop("_done")
-        if left.isEmpty():
-            break
-        lo, hi = hi, hi * 2
-    value = F.col("_b.v") if max_distance is None else F.when(F.col("_b.d2") <= max_distance * max_distance, F.col("_b.v"))
-    filled = finished.select(*LINE, "row", "col", value.alias("value"), F.lit(True).alias("was_hole"))
-    kept = raster.where(F.col("value").isNotNull()).select(*LINE, "row", "col", "value", F.lit(False).alias("was_hole"))
-    return kept.unionByName(filled)
+    left = F.col("_r").isNull() | (F.col("col") - F.col("_l.col") <= F.col("_r.col") - F.col("col"))
+    near = F.when(left, F.col("_l")).otherwise(F.col("_r"))
+    rows = sides.select(*LINE, "row", "col", F.col("value").cast("double").alias("value"), near.alias("_n")).select(
+        *LINE, "row", "col", "value", F.coalesce(F.col("_n.col") - F.col("col"), F.lit(0)).cast("long").alias("_beside"), F.col("_n.value").cast("double").alias("_found"))
+
+    def down(column: pd.DataFrame) -> pd.DataFrame:
+        column = column.sort_values("row", ignore_index=True)
+        hole, seen = column["value"].isna().to_numpy(), np.flatnonzero(column["_found"].notna())
+        if hole.any() and len(seen):
+            row, beside = column["row"].to_numpy(np.int64), column["_beside"].to_numpy(np.int64)
+            at = seen[nearest_rows(row[seen].tolist(), (beside[seen] ** 2).tolist(), row[hole])]
+            value = column["_found"].to_numpy(float)[at]
+            if max_distance is not None:
+                value = np.where((row[at] - row[hole]) ** 2 + beside[at] ** 2 <= max_distance * max_distance, value, np.nan)
+            column.loc[hole, "value"] = value
+        return column[[*LINE, "row", "col", "value"]].assign(was_hole=hole)
+
+    kinds = {f.name: f.dataType.simpleString() for f in raster.schema}
+    filled = rows.groupBy(*LINE, "col").applyInPandas(down, ", ".join(f"{c} {kinds[c]}" for c in (*LINE, "row", "col")) + ", value double, was_hole boolean")
+    return filled.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
 
 
 def fill_holes(raster: DataFrame, max_distance: int = 100, smooth: int = 0) -> DataFrame:

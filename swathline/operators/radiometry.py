@@ -1,4 +1,4 @@
-"""Sensor counts to reflectance."""
+"""Sensor counts to reflectance.  Every step cleans what it is given: nodata stays nodata and is never corrected into a count."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from swathline.functions import constants as K
 from swathline.functions.scalars import float_list, lookup, number, positive
 from swathline.operators.camera import bilinear_zero, invert3
-from swathline.operators.grid import LINE
+from swathline.operators.grid import LINE, clean
 
 META = ["sensor_gain", "exposure_time_us", "black_level", "sensor_gain_adjustment", "irradiance",
         "irradiance_exposure", "irradiance_gain", "bit_depth", "centre_x", "centre_y", "vignetting", "dewarp",
@@ -30,7 +30,7 @@ def _vignetting_factor() -> Column:
 def vignetting(raster: DataFrame, meta: DataFrame) -> DataFrame:
     """Multiply by 1 + k0 r + ... + k5 r^6; images with fewer than six coefficients are left alone."""
     m = meta.select(*LINE, "centre_x", "centre_y", "vignetting", "width", "height")
-    return raster.join(m, LINE).select(*LINE, "row", "col", (F.col("value") * _vignetting_factor()).alias("value"))
+    return clean(raster).join(m, LINE).select(*LINE, "row", "col", (F.col("value") * _vignetting_factor()).alias("value"))
 
 
 def undistort(raster: DataFrame, meta: DataFrame, pixels: DataFrame | None = None) -> DataFrame:
@@ -88,7 +88,7 @@ def _reflectance(signal: Column) -> Column:
 def camera_signal(raster: DataFrame, meta: DataFrame) -> DataFrame:
     """Counts per unit of gain and exposure, black level removed."""
     m = meta.select(*LINE, "bit_depth", "black_level", "sensor_gain", "exposure_time_us")
-    return raster.join(m, LINE).select(*LINE, "row", "col", _signal(F.col("value")).alias("value"))
+    return clean(raster).join(m, LINE).select(*LINE, "row", "col", _signal(F.col("value")).alias("value"))
 
 
 def reflectance(raster: DataFrame, meta: DataFrame, clip: bool = True) -> DataFrame:
@@ -96,7 +96,7 @@ def reflectance(raster: DataFrame, meta: DataFrame, clip: bool = True) -> DataFr
     m = meta.select(*LINE, "sensor_gain_adjustment", "irradiance", "irradiance_exposure", "irradiance_gain")
     raw = _reflectance(F.col("value"))
     value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)) if clip else raw
-    return raster.join(m, LINE).select(*LINE, "row", "col", F.when(raw.isNotNull(), value).alias("value"))
+    return clean(raster).join(m, LINE).select(*LINE, "row", "col", F.when(raw.isNotNull(), value).alias("value"))
 
 
 def calibrate(raster: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -105,6 +105,7 @@ def calibrate(raster: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]
     Vignetting, lens and perspective corrections, then signal and reflectance.  RGB passes through unchanged;
     an image without usable metadata is reported as failed and gives no pixels.
     """
+    raster = clean(raster)
     usable = (F.col("sensor_gain") * F.col("exposure_time_us") > 0) & F.col("irradiance").isNotNull()
     known = meta.withColumn("_ok", F.coalesce(usable, F.lit(False)))
     images = raster.select(*LINE).distinct().join(known.select(*LINE, "_ok"), LINE, "left")

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swathline.operators.grid import clean
 from swathline.operators.neighbours import box_mean
 
 
@@ -15,7 +16,7 @@ def surface_fit(raster: DataFrame, degree: int = 1) -> DataFrame:
     The normal equations are sums over cells; only those sums reach the driver for a 3x3 or 6x6 solve.
     Coordinates are centred and scaled first so the sums stay well conditioned.
     """
-    cells = raster.where(F.col("value").isNotNull())
+    cells = clean(raster).where(F.col("value").isNotNull())
     span = cells.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"),
                      F.max("col").alias("c1"), F.avg("value").alias("m")).first()
 

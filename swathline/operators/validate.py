@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swathline.operators.grid import LINE, finite
+from swathline.operators.grid import LINE, clean, finite
 from swathline.operators.neighbours import SIDES, stencil
 from swathline.operators.relations import gcp_match
 from swathline.operators.terrain import laplacian, sobel, sobel_x, sobel_y
@@ -78,8 +78,9 @@ def reproducibility(pixels: DataFrame, threshold: float = 0.99) -> DataFrame:
     correlations of all pairs add up to half of (square of the summed z-scores - sum of squared z-scores),
     so a pixel needs only the sum over its runs.  A pair is cut to its shorter run: for each distinct
     length L, pairs among runs of at least L, less pairs among strictly longer ones.  A constant run
-    scores 1 against an equal constant run and 0 otherwise.
+    scores 1 against an equal constant run and 0 otherwise.  A value that is nodata or not finite counts as the mean of its run.
     """
+    pixels = clean(pixels)
     runs = pixels.groupBy("group_id", "run_id").agg(F.count("*").alias("len"))
     lengths = runs.groupBy("group_id").agg(F.array_sort(F.collect_set("len")).alias("lengths"))
     tagged = (pixels.join(runs, ["group_id", "run_id"]).join(lengths, "group_id")
@@ -89,7 +90,7 @@ def reproducibility(pixels: DataFrame, threshold: float = 0.99) -> DataFrame:
         F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"),
         F.min("value").alias("lo"), F.max("value").alias("hi"))
     z_all = (tagged.join(per_run, ["group_id", "cut", "run_id"])
-             .withColumn("z", F.when(F.col("hi") > F.col("lo"), (F.col("value") - F.col("m")) / F.col("sd")).otherwise(0.0))
+             .withColumn("z", F.when(F.col("hi") > F.col("lo"), F.coalesce((F.col("value") - F.col("m")) / F.col("sd"), F.lit(0.0))).otherwise(0.0))
              .withColumn("zl", F.when(F.col("len") > F.col("cut"), F.col("z")).otherwise(0.0)))
     per_pixel = z_all.groupBy("group_id", "cut", "ordinal").agg(
         F.sum("z").alias("s"), F.sum(F.col("z") * F.col("z")).alias("q"),
@@ -116,7 +117,7 @@ def grey(raster: DataFrame) -> DataFrame:
     def pick(b: str) -> Column:
         return F.max(F.when(F.col("band") == b, F.coalesce("value", F.lit(0.0))))
 
-    px = raster.groupBy("raster_id", "row", "col").agg(
+    px = clean(raster).groupBy("raster_id", "row", "col").agg(
         *[pick(b).alias(b) for b in RGB], F.max(F.coalesce("value", F.lit(0.0))).alias("any"))
     mixed = F.round(0.299 * F.col("red") + 0.587 * F.col("green") + 0.114 * F.col("blue"))
     return px.select("raster_id", F.lit("grey").alias("band"), "row", "col", F.coalesce(mixed, "any").alias("value"))
@@ -145,6 +146,7 @@ def visual_blur(raster: DataFrame) -> DataFrame:
 
 def visual_color(raster: DataFrame) -> DataFrame:
     """Agreement of the four corner blocks; images with fewer than three bands score 1."""
+    raster = clean(raster)
     size = raster.groupBy("raster_id").agg(
         (F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"), F.count_distinct("band").alias("bands"))
     # three band names at most take part in the distinct count's second step
