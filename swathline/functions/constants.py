@@ -5,7 +5,6 @@ from __future__ import annotations
 # --- spectral bands, in stacking order -------------------------------------------------------
 SPECTRAL_BANDS = ["blue", "green", "red", "red_edge", "nir"]
 REFERENCE_BAND_ORDER = ["nir", "red_edge", "red", "green"]
-BAND_FOLDERS = ["rgb", "red", "green", "blue", "nir", "red_edge", "thermal", "panchromatic", "unknown"]
 INDEX_DEFS = {"ndvi": ("nir", "red"), "ndre": ("nir", "red_edge"), "gndvi": ("nir", "green")}
 
 # --- nodata and raster defaults --------------------------------------------------------------
@@ -14,11 +13,6 @@ POSE_NODATA = 0.0
 TILE = 512
 OVERVIEW_LEVELS = (2, 4, 8, 16)
 MULTIRES_FACTORS = (2, 4, 8)
-DSM_RESOLUTION_M = 0.05
-DSM_RADIUS_M = 0.5
-FILL_DISTANCE_PX = 100
-DSM_EROSION_PX = 15
-COVERAGE_EROSION_PX = 12
 FEATHER_FRACTION = 0.30
 METRES_PER_DEGREE = 111320.0
 
@@ -97,8 +91,6 @@ MANUFACTURER_FAMILY = {"dji": "dji_mavic_3m", "micasense": "micasense_rededge",
 DEFAULT_AGL_M = 30.0
 DEFAULT_HFOV_DEG = 65.0
 MODEL_HFOV_DEG = {"M3M": 38.5, "M3T": 82.9, "M30": 79.0, "P4M": 62.7}
-DEFAULT_ALTITUDE_ORTHO = 100.0
-DEFAULT_ALTITUDE_SFM = 0.0
 
 # --- jobs ------------------------------------------------------------------------------------
 STAGE_ORDER = [

@@ -189,7 +189,7 @@ VIEWS: dict[str, str | dict[str, str]] = {
         -(2 * a * b * cx + (1 - 2 * a * a) * cy) AS ty, cz AS tz, 1 - 2 * b * b AS r00, 2 * a * b AS r01,
         1 - 2 * a * a AS r11, cx, cy, cz FROM (SELECT s_suppkey AS image_id, cos(s_suppkey % 31 / 1e1) AS a, sin(s_suppkey % 31 / 1e1) AS b,
         (s_suppkey * 7919 % 197) * 1e0 AS cx, (s_suppkey * 104729 % 199) * 1e0 AS cy, 13e1 + s_suppkey % 20 AS cz FROM {supplier})""",
-    "mark_lines": """SELECT line_no, CASE k WHEN 0 THEN concat(n, ' 454400.746373 [2323] -40,N -15,E 83,V ', la, ',Lat ', lo, ',Lon ', al, ',Ellh')
+    "mark_lines": """SELECT line_no, CASE k WHEN 0 THEN concat(n, ' 381207.125000 [2290] 12,N 7,E -31,V ', la, ',Lat ', lo, ',Lon ', al, ',Ellh')
         WHEN 1 THEN concat(n, ' 2024/07/19 08:43:15 ', la, ' ', lo, ' ', al) WHEN 2 THEN concat('  ', n, ' 2024/07/19T08:43:15  ', la, ' ', lo, ' ', al, ' x')
         WHEN 3 THEN concat('# ', n, ' 1 ', la, ' ', lo, ' ', al) WHEN 4 THEN '   ' WHEN 5 THEN concat(n, ' t ', la, ' bad ', al)
         ELSE concat('; ', la) END AS value, k, n, cast(la AS DOUBLE) AS lat, cast(lo AS DOUBLE) AS lon, cast(al AS DOUBLE) AS alt

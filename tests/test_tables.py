@@ -70,10 +70,10 @@ def test_scan_images(spark, tmp_path):
 
 def test_mark_file(spark, tmp_path):
     (tmp_path / "f.MRK").write_text(
-        "# head\n1 454400.746373 [2323] -40,N -15,E 83,V 41.13015180,Lat 23.42749964,Lon 94.597,Ellh\n"
+        "# head\n1 381207.125000 [2290] 12,N 7,E -31,V 33.50210044,Lat 18.91400210,Lon 212.25,Ellh\n"
         "2 2024/07/19 08:43:15 41.5 23.5 90.25\n\n2 2024/07/19T08:43:16 41.6 23.6 91.5\nx 1 2 3\n")
     got = {r["seq"]: (r["lat"], r["lon"], r["alt"]) for r in tables.mrk_read(spark, str(tmp_path)).collect()}
-    assert got == {"0001": (41.13015180, 23.42749964, 94.597), "0002": (41.6, 23.6, 91.5)}
+    assert got == {"0001": (33.50210044, 18.91400210, 212.25), "0002": (41.6, 23.6, 91.5)}
 
 
 def test_control_and_spectra_files(spark, tmp_path):
