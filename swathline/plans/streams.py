@@ -15,6 +15,7 @@ from swathline.plans.views import Tables
 from swathline.session import shared_folder
 from swathline.streaming import callbacks as C
 from swathline.streaming import retention as T
+from swathline.streaming import sinks
 from swathline.streaming import windows as W
 
 STAGES_SQL = ", ".join(f"'{s}'" for s in K.STAGES)
@@ -56,9 +57,12 @@ def _(t: Tables):
 PERCENT_SQL = "CASE stg WHEN 'radiometric_calibration' THEN 5e0 WHEN 'sfm' THEN 15e0 WHEN 'orthomosaic' THEN 60e0 WHEN 'uploading' THEN 90e0 WHEN 'publishing' THEN 95e0 ELSE 100e0 END"
 
 
-@query("stage_machine", f"""SELECT job_id, coalesce(status, 'pending') AS status, stg AS current_stage, CASE WHEN stg IS NOT NULL THEN {PERCENT_SQL} END AS progress, updated_at FROM (SELECT job_id,
+STATE_SQL = f"""SELECT job_id, coalesce(status, 'pending') AS status, stg AS current_stage, CASE WHEN stg IS NOT NULL THEN {PERCENT_SQL} END AS progress, updated_at FROM (SELECT job_id,
   arg_max(CASE action WHEN 'start' THEN 'running' WHEN 'fail' THEN 'failed' ELSE 'completed' END, {O}) FILTER (action <> 'complete' OR stage = 'publishing') AS status,
-  arg_max(CASE WHEN action = 'start' THEN stage ELSE {NEXT_SQL} END, {O}) FILTER (action <> 'fail') AS stg, max(ts) AS updated_at FROM {{stage_events}} GROUP BY job_id)""")
+  arg_max(CASE WHEN action = 'start' THEN stage ELSE {NEXT_SQL} END, {O}) FILTER (action <> 'fail') AS stg, max(ts) AS updated_at FROM {{stage_events}} GROUP BY job_id)"""
+
+
+@query("stage_machine", STATE_SQL)
 def _(t: Tables):
     return C.stage_machine(t.stage_events)
 
@@ -117,19 +121,22 @@ def _(t: Tables):
     return W.alarm(means, 10.0).select("metric", F.col("start").cast("timestamp_ntz").alias("start"), r6("mean").alias("mean"))
 
 
-@query("dedupe_product", """SELECT dataset_id, job_id, type, count(*) AS versions, nullif(arg_max(coalesce(uri, ''), o), '') AS uri, arg_max(resolution_cm, o) AS resolution_cm, min(created_at) AS created_at FROM (SELECT *, concat(strftime(created_at, '%Y%m%d'), lpad(cast(seq AS STRING), 4, '0'),
-  lpad(cast(revision AS STRING), 9, '0'), '|', coalesce(uri, ''), '|', lpad(cast(cast(round(resolution_cm * 10) AS BIGINT) AS STRING), 6, '0')) AS o FROM {products}) GROUP BY 1, 2, 3""")
+PRODUCT_SQL = """SELECT dataset_id, job_id, type, count(*) AS versions, nullif(arg_max(coalesce(uri, ''), o), '') AS uri, arg_max(resolution_cm, o) AS resolution_cm, min(created_at) AS created_at FROM (SELECT *, concat(strftime(created_at, '%Y%m%d'), lpad(cast(seq AS STRING), 4, '0'),
+  lpad(cast(revision AS STRING), 9, '0'), '|', coalesce(uri, ''), '|', lpad(cast(cast(round(resolution_cm * 10) AS BIGINT) AS STRING), 6, '0')) AS o FROM {products}) GROUP BY 1, 2, 3"""
+
+
+@query("dedupe_product", PRODUCT_SQL)
 def _(t: Tables):
     return C.dedupe_product(t.products)
 
 
 # --- the same folds run as streams until the input is used up ----------------------------------------------------
 
-def streamed(t: Tables) -> Tables:
-    """Tables whose events arrive as a file stream."""
+def streamed(t: Tables, name: str = "events") -> Tables:
+    """Tables of which one arrives as a file stream."""
     live = Tables(t.spark, t.folder)
-    live._known["events"] = (t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet")
-                             .parquet(t.folder))
+    live._known[name] = (t.spark.readStream.schema(getattr(t, name).schema).option("pathGlobFilter", f"{name}.parquet")
+                         .parquet(t.folder))
     return live
 
 
@@ -170,7 +177,7 @@ def _(t: Tables):
 @query("stream_alarm", ALARM_SQL)
 def _(t: Tables):
     live = streamed(t).events.select(F.col("event_type").alias("metric"), "ts", "value")
-    out = run_to_end(W.alarm_stream(live, 10.0), "complete")
+    out = run_to_end(W.alarm_states(live, 10.0), "update", ("metric", "start")).where("fires")
     return out.select("metric", F.col("start").cast("timestamp_ntz").alias("start"), r6("mean").alias("mean"))
 
 
@@ -189,3 +196,30 @@ def _(t: Tables):
 @query("stream_throughput_window", THROUGHPUT_SQL)
 def _(t: Tables):
     return spans(run_to_end(W.throughput_window(streamed(t).callbacks.select("ts", "type")), "update", ("start", "end")))
+
+
+@query("stream_callback_state", FOLD_SQL)
+def _(t: Tables):
+    out = run_to_end(C.callback_fold_stream(streamed(t).callbacks), "update", ("job_id",))
+    return out.select(*C.callback_fold(t.callbacks).columns)
+
+
+@query("stream_stage_state", STATE_SQL)
+def _(t: Tables):
+    return run_to_end(C.stage_state_stream(streamed(t).stage_events), "update", ("job_id",)).drop("expired")
+
+
+@query("stream_stage_moves", DURATION_SQL)
+def _(t: Tables):
+    out = run_to_end(C.stage_machine_stream(streamed(t).stage_events, following=True), "append")
+    return out.withColumn("duration_seconds", r6("duration_seconds"))
+
+
+@query("stream_dedupe_product", PRODUCT_SQL)
+def _(t: Tables):
+    parts = C.product_parts(streamed(t, "lineitem").products)
+    base = f"{shared_folder(t.spark)}/streams/{uuid.uuid4().hex}"
+    table = sinks.MergedTable(t.spark, f"{base}/table", parts.schema, C.merge_products)
+    writer = parts.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    writer.foreachBatch(table.write).start().awaitTermination()
+    return C.finish_products(table.read())

@@ -1,14 +1,15 @@
 """Job callbacks and stage events folded into job state.
 
 Each fold is written for batch and streaming input alike where a mergeable aggregate can say it; a job
-with very many events then ships one partial row per task.  ``stage_machine_stream`` keeps keyed state
-with an expiry.
+with very many events then ships one partial row per task.  ``callback_fold_stream``, ``stage_state_stream`` and
+``stage_machine_stream`` keep keyed state that lapses.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,22 +42,25 @@ def callback_fold(events: DataFrame, jobs: DataFrame | None = None) -> DataFrame
     known = events.where(F.col("type").isin(KNOWN_TYPES))
     if jobs is not None:
         known = known.join(jobs.select("job_id").distinct(), "job_id", "left_semi")
+    return known.groupBy("job_id").agg(
+        F.count("*").alias("events"), *[_last(value, cond).alias(name) for name, (value, cond) in _callback_writes().items()])
+
+
+def _callback_writes() -> dict[str, tuple[Column, Column]]:
+    """Field of a job -> what a callback writes to it, and whether it does."""
     kind = F.col("type")
     prog, done, err, bad = kind == "progress", kind == "complete", kind == "error", _bad_upload()
     valid = prog & F.col("current_stage").isin(K.STAGES)
     # a finished stage is recorded even when its name is not a known one
     finished = prog & F.col("current_stage").isNotNull() & (F.col("current_stage") != "") & (F.col("stage_progress") == 100)
     names = F.concat(F.lit("Failed to upload products: "), F.regexp_replace("failed_types", ",", ", "))
-    return known.groupBy("job_id").agg(
-        F.count("*").alias("events"),
-        _last(F.when(done, F.lit(100)).otherwise(F.col("progress")), (prog & F.col("progress").isNotNull()) | done).alias("progress"),
-        _last(F.when(done, "completed").when(prog, F.col("current_stage")).otherwise("failed"),
-              valid | done | err | bad).alias("stage"),
-        _last(F.when(done, "completed").otherwise("failed"), done | err | bad).alias("status"),
-        _last(F.when(err, F.coalesce("error_message", F.lit("Unknown error"))).when(bad, names),
-              done | err | bad).alias("error_message"),
-        _last(F.when(done, "completed").otherwise(F.col("current_stage")), finished | done).alias("last_successful_stage"),
-        _last(F.col("ts"), done | err).alias("completed_at"))
+    return {
+        "progress": (F.when(done, F.lit(100)).otherwise(F.col("progress")), (prog & F.col("progress").isNotNull()) | done),
+        "stage": (F.when(done, "completed").when(prog, F.col("current_stage")).otherwise("failed"), valid | done | err | bad),
+        "status": (F.when(done, "completed").otherwise("failed"), done | err | bad),
+        "error_message": (F.when(err, F.coalesce("error_message", F.lit("Unknown error"))).when(bad, names), done | err | bad),
+        "last_successful_stage": (F.when(done, "completed").otherwise(F.col("current_stage")), finished | done),
+        "completed_at": (F.col("ts"), done | err)}
 
 
 def callback_rejects(events: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
@@ -127,43 +131,130 @@ def stage_machine(events: DataFrame) -> DataFrame:
                       lookup(at, K.STAGE_PROGRESS).alias("progress"), "updated_at")
 
 
-def _advance(ttl_ms: int):
-    """Per job and stage: keep the newest start, emit a row per completion, lapse after the expiry.
+def _newest_writes(fields: list[str], ttl_ms: int):
+    """Per job: the newest write to each field, whatever order the events come in; lapses after the expiry.
+
+    A frame has ts, event_id and for each field its value and, under ``_`` and the field's name, whether it is written.
+    """
+
+    def work(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        lapsed = state.hasTimedOut
+        held = list(state.get) if lapsed or state.exists else [0, None] + [None] * (3 * len(fields))
+        for pdf in () if lapsed else frames:  # one Arrow batch at a time: a job with very many events is never held whole
+            micros = pdf["ts"].astype("datetime64[us]").astype("int64")
+            held[0] += len(pdf)
+            held[1] = int(micros.max()) if held[1] is None else max(held[1], int(micros.max()))
+            for i, name in enumerate(fields):
+                own = np.flatnonzero(pdf[f"_{name}"].to_numpy(dtype=bool))
+                if len(own):
+                    top = own[np.lexsort((pdf["event_id"].to_numpy()[own], micros.to_numpy()[own]))[-1]]
+                    at = (int(micros.iloc[top]), int(pdf["event_id"].iloc[top]))
+                    if held[2 + 3 * i] is None or at >= (held[2 + 3 * i], held[3 + 3 * i]):
+                        value = pdf[name].iloc[top]
+                        held[2 + 3 * i:5 + 3 * i] = [*at, None if pd.isna(value) else str(value)]
+        if lapsed:
+            state.remove()
+        else:
+            state.update(tuple(held))
+            state.setTimeoutTimestamp(max(held[1] // 1000, state.getCurrentWatermarkMs()) + ttl_ms)
+        yield pd.DataFrame({"job_id": [key[0]], "events": [held[0]], "updated": [held[1]], "expired": [lapsed],
+                            **{name: pd.Series([held[4 + 3 * i]], dtype=object) for i, name in enumerate(fields)}})
+
+    return work
+
+
+def _held_state(events: DataFrame, writes: dict[str, tuple[Column, Column]], ttl_hours: int, delay: str) -> DataFrame:
+    """(job_id, events, updated_at, expired, each field of ``writes`` as text), a row for each job that a batch touches or that lapses."""
+    values = [c for name, (value, cond) in writes.items() for c in (
+        value.cast("string").alias(name), F.coalesce(cond, F.lit(False)).alias(f"_{name}"))]
+    kind, clock = events.schema["job_id"].dataType.simpleString(), events.schema["ts"].dataType
+    timed = events.select("job_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("event_id"), *values)
+    state = ", ".join(f"at_{i} long, id_{i} long, value_{i} string" for i in range(len(writes)))
+    held = timed.withWatermark("ts", delay).groupBy("job_id").applyInPandasWithState(
+        _newest_writes([*writes], ttl_hours * 3600 * 1000),
+        f"job_id {kind}, events long, updated long, expired boolean, " + ", ".join(f"{name} string" for name in writes),
+        f"events long, updated long, {state}", "update", GroupStateTimeout.EventTimeTimeout)
+    return held.withColumn("updated", F.timestamp_micros("updated").cast(clock)).withColumnRenamed("updated", "updated_at")
+
+
+def callback_fold_stream(events: DataFrame, ttl_hours: int = K.STATE_TTL_HOURS, delay: str = "1 hour") -> DataFrame:
+    """Streaming twin of ``callback_fold`` whose state goes: update mode, one row for each job that a batch touches.
+
+    A job's state lapses ``ttl_hours`` of event time after its last callback: its fields come out once more with ``expired``
+    true, and callbacks that come afterwards start anew.  Events later than ``delay`` are dropped.
+    """
+    known = events.where(F.col("type").isin(KNOWN_TYPES))
+    held = _held_state(known, _callback_writes(), ttl_hours, delay)
+    return held.withColumns({"progress": F.col("progress").cast(events.schema["progress"].dataType),
+                             "completed_at": F.col("completed_at").cast(events.schema["ts"].dataType)})
+
+
+def stage_state_stream(events: DataFrame, ttl_hours: int = K.STATE_TTL_HOURS, delay: str = "1 hour") -> DataFrame:
+    """Streaming twin of ``stage_machine`` (update mode): job_id, status, current_stage, progress, updated_at, expired.
+
+    State lapses as in ``callback_fold_stream``.  Stages in an array column ``skipped`` are passed over.
+    """
+    held = _held_state(events, _stage_writes(events), ttl_hours, delay)
+    return held.select("job_id", F.coalesce("status", F.lit("pending")).alias("status"), "current_stage",
+                       lookup(F.col("current_stage"), K.STAGE_PROGRESS).alias("progress"), "updated_at", "expired")
+
+
+def _stage_writes(events: DataFrame) -> dict[str, tuple[Column, Column]]:
+    action, after = F.col("action"), _following(events)
+    status = F.when(action == "fail", "failed").when(action == "start", "running").when(action == "complete", "completed").otherwise("pending")
+    return {"status": (status, (action != "complete") | (after == "completed")),
+            "current_stage": (F.when(action == "start", F.col("stage")).otherwise(after), action != "fail")}
+
+
+def _advance(ttl_ms: int, every: bool = False, following: bool = False):
+    """Per job and stage: keep starts, emit a row per completion, lapse after the expiry.
 
     An event may come late: a completion counts from the newest start that isn't after it, and an older start
-    never replaces a newer one.
+    never replaces a newer one.  ``every``: all starts are kept that an event still to come can count from (the newest before the
+    watermark and those after it), else the newest alone.
     """
 
     def work(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        began = state.get[0] if state.exists else None
+        began = np.array(state.get[0] if state.exists else [], np.int64)
         # one micro-batch of one stage of one job; the source's rate limit bounds it
         pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        micros = pdf["ts"].astype("datetime64[us]").astype("int64")
-        starts = micros.where(pdf["action"] == "start").ffill()
-        if began is not None:
-            earlier = pd.Series(began, index=starts.index, dtype="float64").where(micros >= began)
-            starts = starts.combine(earlier, lambda a, b: b if pd.isna(a) else a if pd.isna(b) else max(a, b))
-        done = pdf["action"] == "complete"
-        out = pd.DataFrame({"event_id": pdf["event_id"][done], "job_id": key[0], "stage": key[1],
+        micros = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+        is_start = (pdf["action"] == "start").to_numpy()
+        starts = pd.Series(np.where(is_start, micros, np.nan)).ffill().to_numpy()
+        if len(began):
+            at = np.searchsorted(began, micros, side="right") - 1
+            starts = np.fmax(starts, np.where(at >= 0, began[np.maximum(at, 0)], np.nan))
+        done = (pdf["action"] == "complete").to_numpy()
+        out = pd.DataFrame({"event_id": pdf["event_id"].to_numpy()[done], "job_id": key[0], "stage": key[1],
                             "duration_seconds": (micros[done] - starts[done]) / 1e6})
-        newest = max([x for x in (began, starts.max()) if pd.notna(x)], default=None)
-        if newest is not None:
-            state.update((int(newest),))
-            state.setTimeoutTimestamp(max(int(micros.iloc[-1]) // 1000, state.getCurrentWatermarkMs()) + ttl_ms)
+        if following:
+            out["next_stage"] = pdf["next_stage"].to_numpy()[done]
+        known = np.unique(np.concatenate([began, micros[is_start]]))
+        if len(known):
+            mark = state.getCurrentWatermarkMs()
+            first = max(int(np.searchsorted(known, mark * 1000, side="right")) - 1, 0) if every else len(known) - 1
+            state.update(([int(x) for x in known[first:]],))
+            state.setTimeoutTimestamp(max(int(max(micros[-1], known[-1])) // 1000, mark) + ttl_ms)
         yield out
 
     return work
 
 
-def stage_machine_stream(events: DataFrame, ttl_hours: int = K.STATE_TTL_HOURS, delay: str = "1 hour") -> DataFrame:
-    """Streaming twin of ``stage_durations``; state lapses ``ttl_hours`` of event time after the last write."""
-    timed = events.select("event_id", "job_id", F.col("ts").cast("timestamp").alias("ts"), "stage", "action")
+def stage_machine_stream(events: DataFrame, ttl_hours: int = K.STATE_TTL_HOURS, delay: str = "1 hour", following: bool = False) -> DataFrame:
+    """Streaming twin of ``stage_durations``; state lapses ``ttl_hours`` of event time after the last write.
+
+    With ``following`` the rows have ``next_stage`` too, passing over stages in an array column ``skipped``.  A start and a completion
+    that both come after a newer start still pair up, as long as they are not later than ``delay``.
+    """
+    after = [_following(events).alias("next_stage")] if following else []
+    timed = events.select("event_id", "job_id", F.col("ts").cast("timestamp").alias("ts"), "stage", "action", *after)
     return timed.withWatermark("ts", delay).groupBy("job_id", "stage").applyInPandasWithState(
-        _advance(ttl_hours * 3600 * 1000), "event_id long, job_id long, stage string, duration_seconds double",
-        "started long", "append", GroupStateTimeout.EventTimeTimeout)
+        _advance(ttl_hours * 3600 * 1000, every=True, following=following),
+        "event_id long, job_id long, stage string, duration_seconds double" + (", next_stage string" if following else ""),
+        "started array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def dedupe_product(uploads: DataFrame) -> DataFrame:
@@ -179,3 +270,25 @@ def dedupe_product(uploads: DataFrame) -> DataFrame:
     return uploads.groupBy("dataset_id", "job_id", "type").agg(
         F.count("*").alias("versions"), F.max_by("uri", order).alias("uri"), newest("resolution_cm"),
         F.min("created_at").alias("created_at"))
+
+
+PRODUCT_KEYS = ("dataset_id", "job_id", "type")
+
+
+def product_parts(uploads: DataFrame) -> DataFrame:
+    """``uploads`` (as in ``dedupe_product``) -> mergeable parts, one row for each upload."""
+    order = F.struct("created_at", "seq", "revision", F.coalesce("uri", F.lit("")).alias("place"), F.col("resolution_cm").alias("size"))
+    sized = F.when(F.col("resolution_cm").isNotNull(), F.struct(order.alias("at"), "resolution_cm"))
+    return uploads.select(*PRODUCT_KEYS, F.lit(1).cast("long").alias("versions"), F.struct(order.alias("at"), "uri").alias("newest"),
+                          sized.alias("sized"), "created_at")
+
+
+def merge_products(parts: DataFrame) -> DataFrame:
+    """Parts of the same product made one; merging in any order and grouping gives the same."""
+    return parts.groupBy(*PRODUCT_KEYS).agg(F.sum("versions").alias("versions"), F.max("newest").alias("newest"),
+                                            F.max("sized").alias("sized"), F.min("created_at").alias("created_at"))
+
+
+def finish_products(parts: DataFrame) -> DataFrame:
+    """Merged parts -> the columns of ``dedupe_product``."""
+    return parts.select(*PRODUCT_KEYS, "versions", F.col("newest.uri").alias("uri"), F.col("sized.resolution_cm").alias("resolution_cm"), "created_at")
