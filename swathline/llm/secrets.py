@@ -20,12 +20,14 @@ VALUE = r"""(?i:^(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["
 #: length is part of these two patterns.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-#: What the Markov models judge: runs of identifier characters with a letter and a digit.
+#: What the Markov models judge: runs of identifier characters with a letter.
 RUN = "[A-Za-z0-9_+/=-]"
-WORD = f"(?<!{RUN})(?={RUN}*?[0-9])(?={RUN}*?[A-Za-z]){RUN}{{12,}}"
+WORD = f"(?<!{RUN})(?={RUN}*?[A-Za-z]){RUN}{{12,}}"
 KINDS = ("assign", "access", "hex", "random")
 FOUND = "cast(array() AS array<struct<start:int,kind:int,end:int,found:string>>)"
 ALPHABET = 128
+#: Matches of a text that are put in place together.
+BLOCK = 200
 
 
 def spans_of(text: Column, pattern: str, kind: int) -> Column:
@@ -36,7 +38,7 @@ def spans_of(text: Column, pattern: str, kind: int) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sizes = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    state = F.struct(F.lit(0).alias("at"), F.expr(FOUND).alias("out"))
+    none = F.expr(FOUND)
 
     def step(s: Column, pair: Column) -> Column:
         start = s["at"] + pair["gap"]
@@ -44,9 +46,19 @@ def spans_of(text: Column, pattern: str, kind: int) -> Column:
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["found"].alias("found"))
         return F.struct(end.alias("at"), F.concat(s["out"], F.array(span)).alias("out"))
 
+    def block(s: Column, pairs: Column) -> Column:
+        done = F.aggregate(pairs, F.struct(s["at"].alias("at"), none.alias("out")), step)
+        return F.struct(done["at"].alias("at"), F.concat(s["out"], F.array(done["out"])).alias("out"))
+
     pairs = F.zip_with(found, F.slice(sizes, 1, F.size(found)), lambda f, g: F.struct(g.alias("gap"), f.alias("found")))
-    none = F.expr(FOUND)
-    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pairs, state, step, lambda s: s["out"]))
+
+    def placed(pairs: Column) -> Column:
+        """Arrays grow inside blocks of ``BLOCK`` matches, so a text with very many costs little more for each."""
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pairs), F.lit(1)), F.lit(BLOCK)), lambda i: F.slice(pairs, i, F.lit(BLOCK)))
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array(none).alias("out")), block, lambda s: F.flatten(s["out"]))
+
+    # an array of one, so that the pairs are worked out once
+    return F.transform(F.array(pairs), placed)[0]
 
 
 def passes(span: Column) -> Column:
@@ -65,7 +77,7 @@ def labelled_samples(jobs: DataFrame, notes: int = 4000) -> DataFrame:
     """``jobs`` (id, error_message) -> (sample, random): strings to train on, labelled by rule.
 
     Random: values that a pattern finds (a key's value, an access key, a hexadecimal run).  Ordinary: words of letters,
-    hyphens and underscores of four or more characters.  Both come from the ``notes`` messages with the lowest hash that
+    hyphens and underscores of four or more characters, and the names that a platform makes of them (``names_of``).  Both come from the ``notes`` messages with the lowest hash that
     have a pattern's match, and as many of the others: that bounds the sample.
     """
     text = F.coalesce("error_message", F.lit(""))
@@ -77,8 +89,28 @@ def labelled_samples(jobs: DataFrame, notes: int = 4000) -> DataFrame:
     hits = texts.where("_hit").select(F.explode(base_spans(F.col("text"))).alias("s"))
     value = F.when(F.col("s.kind") == 0, F.regexp_extract("s.found", VALUE, 1)).otherwise(F.col("s.found"))
     random = hits.select(value.alias("sample"), F.lit(True).alias("random"))
-    plain = texts.select(F.explode(F.split("text", r"[^A-Za-z_-]+")).alias("sample"), F.lit(False).alias("random"))
-    return random.union(plain.where(F.length("sample") >= 4))
+    words = F.filter(F.split("text", r"[^A-Za-z_-]+"), lambda w: F.length(w) >= 4)
+    plain = texts.select(F.explode(F.concat(words, F.transform(words, names_of))).alias("sample"), F.lit(False).alias("random"))
+    return random.union(plain)
+
+
+def names_of(word: Column, place: Column) -> Column:
+    """An ordinary name with digits made of ``word``, the kind dealt by its hash: a counted file, a dated run, a size and a
+    version, a capture in capitals, a time, a joined name.  Numbers come from the hash of the word and its place."""
+    drawn = F.xxhash64(word, place)
+
+    def number(digits: int, shift: int) -> Column:
+        return F.lpad(F.pmod(F.shiftrightunsigned(drawn, shift), F.lit(10 ** digits)).cast("string"), digits, "0")
+
+    date = F.concat(F.lit("20"), number(2, 3), F.lpad((F.pmod(F.shiftrightunsigned(drawn, 7), F.lit(12)) + 1).cast("string"), 2, "0"),
+                    F.lpad((F.pmod(F.shiftrightunsigned(drawn, 11), F.lit(28)) + 1).cast("string"), 2, "0"))
+    parted = F.concat_ws("-", F.substring(date, 1, 4), F.substring(date, 5, 2), F.substring(date, 7, 2))
+    clock = F.concat(F.lit("T"), number(2, 17), F.lit("-"), number(2, 23), F.lit("-"), number(2, 29), F.lit("Z"))
+    kinds = [F.concat(word, F.lit("_"), number(4, 5), F.lit("_"), word), F.concat(word, F.lit("-"), parted),
+             F.concat(word, F.lit("_"), number(1, 5), F.lit("cm_v"), number(2, 9)),
+             F.concat(F.upper(word), F.lit("_"), date, F.lit("_"), F.upper(word)), F.concat(parted, clock),
+             F.concat(F.initcap(word), F.initcap(word), number(2, 5)), F.concat_ws("_", word, F.substring(date, 1, 4), number(3, 13))]
+    return F.get(F.array(*kinds), F.pmod(F.shiftrightunsigned(drawn, 40), F.lit(len(kinds))).cast("int"))
 
 
 def character_model(samples: DataFrame, smooth: float = 4.0) -> list[float]:
@@ -118,6 +150,24 @@ def random_spans(text: Column, model: list[float], per_pair: float = 0.6) -> Col
     return F.filter(spans_of(text, WORD, 3), lambda s: likelihood_ratio(s["found"], model) > per_pair * (F.length(s["found"]) - 1))
 
 
+def apart(added: Column, base: Column) -> Column:
+    """The ``added`` spans that no ``base`` span has a part of.  Base spans are looked at in blocks by start, so a text with very many costs little more for each."""
+    ordered = F.array_sort(base)
+
+    def summed(items: Column) -> Column:
+        return F.struct(F.get(items, 0)["start"].alias("low"), F.array_max(F.transform(items, lambda s: s["end"])).alias("high"), items.alias("items"))
+
+    def meets(one: Column, start: Column, end: Column) -> Column:
+        return F.coalesce((start < one["end"]) & (one["start"] < end), F.lit(False))
+
+    def touches(blocks: Column, one: Column) -> Column:
+        return F.exists(blocks, lambda k: meets(one, k["low"], k["high"]) & F.exists(k["items"], lambda s: meets(one, s["start"], s["end"])))
+
+    blocks = F.transform(F.array(ordered), lambda all_: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), F.lit(BLOCK)), lambda i: F.transform(F.array(F.slice(all_, i, F.lit(BLOCK))), summed)[0]))[0]
+    return F.transform(F.array(F.struct(added.alias("a"), blocks.alias("k"))), lambda x: F.filter(x["a"], lambda one: ~touches(x["k"], one)))[0]
+
+
 def spans_column(text: Column, model: list[float]) -> Column:
     """All spans of a text as structs (start, kind number, end), by start, then kind; none for a null text.
 
@@ -128,8 +178,7 @@ def spans_column(text: Column, model: list[float]) -> Column:
     base = F.when(likely, base_spans(whole)).otherwise(F.expr(FOUND))
     added = F.when(whole.rlike(WORD), random_spans(whole, model)).otherwise(
         F.expr(FOUND))
-    both = F.transform(F.array(F.struct(base.alias("b"), added.alias("a"))), lambda x: F.concat(
-        x["b"], F.filter(x["a"], lambda s: ~F.exists(x["b"], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))))[0]
+    both = F.transform(F.array(F.struct(base.alias("b"), added.alias("a"))), lambda x: F.concat(x["b"], apart(x["a"], x["b"])))[0]
     return F.array_sort(F.transform(both, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
 
 

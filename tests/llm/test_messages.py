@@ -89,6 +89,50 @@ def test_redaction(spark, model):
     assert got.count() == len(MESSAGES)
 
 
+def test_a_text_with_very_many_matches(spark, model):
+    text = " ".join(f"token=abcdefgh{i:06d} Zk3jQ9xWv7LpT2mBc8Rd{i % 10}" for i in range(10_000))
+    got = secrets.secret_spans(spark.createDataFrame([(1, text)], "id long, error_message string"), model).first().spans
+    assert [tuple(s) for s in got if s["kind"] < 3] == base_spans(text)
+    added = [(s["start"], s["end"]) for s in got if s["kind"] == 3]
+    assert added == [(m.start(), m.end()) for m in re.finditer(r"Zk3jQ9xWv7LpT2mBc8Rd\d", text)]
+
+
+def test_character_model_against_brute_force(spark):
+    rnd = random.Random(8)
+    samples = [("".join(rnd.choices("ab1_", k=rnd.randrange(2, 9))), rnd.random() < 0.5) for _ in range(60)]
+    got = secrets.character_model(spark.createDataFrame(samples, "sample string, random boolean"), smooth=4.0)
+    logs = {}
+    for kind in (True, False):
+        pairs = Counter(w[i:i + 2] for w, random_ in samples if random_ == kind for i in range(len(w) - 1))
+        second, first = Counter(), Counter()
+        for p, n in pairs.items():
+            first[p[0]] += n
+            second[p[1]] += n
+        total = sum(second.values()) + 0.5 * 128
+        logs[kind] = [math.log((pairs[chr(a) + chr(b)] + 4.0 * (second[chr(b)] + 0.5) / total) / (first[chr(a)] + 4.0)) for a in range(128) for b in range(128)]
+    assert got == pytest.approx([p - q for p, q in zip(logs[True], logs[False], strict=True)])
+
+
+def test_names_with_digits_stay_and_random_strings_go(spark):
+    """Trained by ``labelled_samples`` on messages, judged on names and random strings that are in none of them."""
+    rnd = random.Random(2)
+    words = ("the image of field was processed and reflectance calibration failed for dataset orthomosaic elevation surface model after upload because "
+             "sensor band red edge near infrared capture job processing stage final northern boundary points cloud export release firmware").split()
+    every = string.ascii_letters + string.digits
+    messages = [" ".join(rnd.choices(words, k=40)) for _ in range(1500)]
+    messages += [" ".join(rnd.choices(words, k=20)) + " token=" + "".join(rnd.choices(every, k=24)) for _ in range(600)]
+    messages += [" ".join(rnd.choices(words, k=20)) + " " + "".join(rnd.choices("0123456789abcdef", k=40)) for _ in range(600)]
+    jobs = spark.createDataFrame(list(enumerate(messages)), "id long, error_message string")
+    learned = secrets.character_model(secrets.labelled_samples(jobs))
+    names = ("image_0001_reflectance processing_job_2024 DJI_20240115_MS_NIR 2024-01-15T10-30-00Z orthomosaic_5cm_v10 field_12_north_2023 "
+             "dataset-2024-03-07-final release-candidate-17 radiometricCalibration2 elevation_surface_model job-000123-attempt-2 PointCloudExport").split()
+    secret = ["".join(rnd.choices(every, k=20)) for _ in range(100)] + ["".join(rnd.choices(string.ascii_letters, k=20)) for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate([*names, *secret])), "id long, error_message string")
+    marked = {r.id for r in secrets.secret_spans(df, learned).collect() if any(s["kind"] == 3 for s in r.spans)}
+    assert sum(i in marked for i in range(len(names))) <= 1
+    assert sum(i in marked for i in range(len(names), len(names) + 200)) >= 180
+
+
 def test_labelled_samples_are_bounded(spark):
     df = spark.createDataFrame([(i, f"words number of message token=abcdefgh{i:04d}" if i % 2 else f"other text {i}") for i in range(3000)], "id long, error_message string")
     got = secrets.labelled_samples(df, notes=128)
