@@ -212,8 +212,11 @@ def _(t: Tables):
     return g.select("dataset_id", "total_images", "n_errors", text.alias("band_counts"), "is_multispectral", "manufacturer", "drone_model")
 
 
-@query("manifest_rebuild", """SELECT dataset_id, count(*) AS total_images, string_agg(DISTINCT band, ',' ORDER BY band) AS bands, coalesce(arg_max(manufacturer, concat(lpad(cast(folder_no AS STRING), 9, '0'), file_path)) FILTER (manufacturer <> 'unknown'),
-  'unknown') AS manufacturer, arg_max(drone_model, concat(lpad(cast(folder_no AS STRING), 9, '0'), file_path)) FILTER (drone_model IS NOT NULL) AS drone_model, bool_or(band <> 'rgb') AS is_multispectral FROM {classified} GROUP BY 1""")
+REBUILD_SQL = """SELECT dataset_id, count(*) AS total_images, string_agg(DISTINCT band, ',' ORDER BY band) AS bands, coalesce(arg_max(manufacturer, concat(lpad(cast(folder_no AS STRING), 9, '0'), file_path)) FILTER (manufacturer <> 'unknown'),
+  'unknown') AS manufacturer, arg_max(drone_model, concat(lpad(cast(folder_no AS STRING), 9, '0'), file_path)) FILTER (drone_model IS NOT NULL) AS drone_model, bool_or(band <> 'rgb') AS is_multispectral FROM {classified} GROUP BY 1"""
+
+
+@query("manifest_rebuild", REBUILD_SQL)
 def _(t: Tables):
     return SS.manifest_rebuild(t.classified).withColumn("bands", F.array_join("bands", ","))
 
@@ -270,6 +273,14 @@ def _(t: Tables):
     return SS.manifest_read(t.spark, path).select("band", "dataset_id", "file_path", "manufacturer")
 
 
+@query("manifest_datasets", REBUILD_SQL)
+def _(t: Tables):
+    path = kept(t, "manifest")
+    SS.manifest_write(t.classified, path)
+    kind = t.classified.schema["dataset_id"].dataType.simpleString()
+    return SS.manifest_datasets(t.spark, path, kind).withColumn("bands", F.array_join("bands", ","))
+
+
 @query("report_write", """SELECT stage, count(*) AS total_runs, count(*) FILTER (success) AS successful_runs, round(count(*) FILTER (success) / count(*), 6) AS success_rate FROM {runs} GROUP BY stage""")
 def _(t: Tables):
     path = kept(t, "report")

@@ -12,15 +12,28 @@ from swathline.operators.grid import LINE, tile_of
 
 
 def manifest_write(images: DataFrame, path: str) -> None:
-    """Images under one folder per band, one JSON line each; beside them ``_manifest``, a JSON line per band with its number of images."""
+    """Images under one folder per band, one JSON line each (the manifest's file list); beside them ``_manifest``, a JSON line
+    per band with its number of images, and ``_datasets``, a JSON line per dataset with its number of images, bands, manufacturer,
+    model and whether it is multispectral (``manifest_rebuild``; only where ``images`` has the columns that it needs).
+
+    A column that has no value at all is not in the lines; ``manifest_datasets`` gives NULL there.
+    """
     images.write.mode("overwrite").partitionBy("band").json(path)
     images.groupBy("band").agg(F.count("*").alias("images")).write.mode("overwrite").json(f"{path}/_manifest")
+    if {"dataset_id", "folder_no", "file_path", "manufacturer", "drone_model"} <= set(images.columns):
+        manifest_rebuild(images).write.mode("overwrite").json(f"{path}/_datasets")
 
 
 def manifest_read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path)
 
 
+def manifest_datasets(spark: SparkSession, path: str, dataset_id: str = "string") -> DataFrame:
+    """One row per dataset of a written manifest; ``dataset_id`` is the type of that column."""
+    return spark.read.schema(f"dataset_id {dataset_id}, total_images long, bands array<string>, manufacturer string, drone_model string, "
+                             "is_multispectral boolean").json(f"{path}/_datasets")
+
+
 def manifest_rebuild(parts: DataFrame) -> DataFrame:
     """Merge per-folder partial manifests (dataset_id, folder_no, band, file_path, manufacturer, drone_model).
 

@@ -106,6 +106,12 @@ def test_tiles_and_manifests_on_disk(spark, make_raster, tmp_path):
     stores.manifest_write(m, str(tmp_path / "m"))
     back = stores.manifest_rebuild(stores.manifest_read(spark, str(tmp_path / "m"))).first()
     assert back["manufacturer"] == "dji" and back["drone_model"] == "M3M" and back["is_multispectral"]
+    whole = stores.manifest_datasets(spark, str(tmp_path / "m")).collect()
+    assert [tuple(r) for r in whole] == [("d", 2, ["red", "unknown"], "dji", "M3M", True)]
+    stores.manifest_write(m.where("folder_no > 5"), str(tmp_path / "none"))
+    assert stores.manifest_datasets(spark, str(tmp_path / "none")).collect() == []
+    stores.manifest_write(m.drop("manufacturer"), str(tmp_path / "few"))
+    assert stores.manifest_read(spark, str(tmp_path / "few")).count() == 2 and not os.path.exists(tmp_path / "few" / "_datasets")
     stores.report_write(m, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).count() == 2
 
