@@ -69,11 +69,34 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: What headers call a license.
+LABELS = [
+    ("AGPL-3.0", "AGPL version 3"), ("AGPL-3.0", "AGPL v3"), ("AGPL-3.0", "AGPLv3 license"), ("AGPL-3.0", "GNU Affero General Public License v3.0"),
+    ("Apache-2.0", "Apache 2.0"), ("Apache-2.0", "Apache License 2.0"), ("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "Apache Software License 2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause"), ("BSD-2-Clause", "2-Clause BSD License"), ("BSD-2-Clause", "Simplified BSD License"),
+    ("BSD-3-Clause", "BSD 3-Clause"), ("BSD-3-Clause", "3-Clause BSD License"), ("BSD-3-Clause", "New BSD License"), ("BSD-3-Clause", "BSD-style license"),
+    ("CC-BY-4.0", "CC BY 4.0"), ("CC-BY-NC-4.0", "CC BY-NC 4.0"), ("CC-BY-NC-ND-4.0", "CC BY-NC-ND 4.0"), ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0"),
+    ("CC-BY-ND-4.0", "CC BY-ND 4.0"), ("CC-BY-SA-4.0", "CC BY-SA 4.0"), ("CC0-1.0", "CC0 1.0"),
+    ("GPL-2.0", "GPL version 2"), ("GPL-2.0", "GPL v2"), ("GPL-2.0", "GPLv2 license"), ("GPL-2.0", "GNU General Public License v2.0"), ("GPL-2.0", "GNU General Public License, version 2"),
+    ("GPL-3.0", "GPL version 3"), ("GPL-3.0", "GPL v3"), ("GPL-3.0", "GPLv3 license"), ("GPL-3.0", "GNU General Public License v3.0"), ("GPL-3.0", "GNU General Public License, version 3"),
+    ("ISC", "ISC License"),
+    ("LGPL-3.0", "LGPL version 3"), ("LGPL-3.0", "LGPL v3"), ("LGPL-3.0", "LGPLv3 license"), ("LGPL-3.0", "GNU Lesser General Public License v3.0"), ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
+    ("MIT", "MIT License"), ("MIT", "MIT/X11 License"),
+    ("MPL-2.0", "MPL 2.0"), ("MPL-2.0", "Mozilla Public License 2.0"), ("MPL-2.0", "Mozilla Public License, Version 2.0"), ("MPL-2.0", "Mozilla Public License, v. 2.0"),
+]
 #: Names of licence files, with any extension.
 NAMES = r"(?i)^(licen[sc]e|copying|notice)(\.[^.]*)?$"
 TERM = "[a-z0-9]+"
 
 
+def header_phrases() -> list[tuple[str, str]]:
+    """Short phrases of headers, which are looked for inside lines: identifiers, and what a file is "under"."""
+    names = sorted({n for n, _ in TEMPLATES} - {"Proprietary"})
+    said = [(n, f"{before} {label}") for n, label in LABELS for before in ("under", "under the", "under the terms of the")]
+    tags = [(n, f"{tag} {n}") for n in names for tag in ("SPDX-License-Identifier:", "License:")]
+    return said + tags + [(n, label) for n, label in LABELS if len(re.findall(TERM, label.lower())) >= 5]
+
+
 def terms_of(text: Column) -> Column:
     low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.regexp_extract_all(low, F.lit(f"({TERM})"), F.lit(1))
@@ -84,7 +107,7 @@ def directory(path: Column) -> Column:
     return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
 
 
-def license_scan(images: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = 0.7) -> DataFrame:
+def license_scan(images: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = 0.7, phrases: list[tuple[str, str]] | None = None) -> DataFrame:
     """``images`` (id, s3_key, exif) -> (id, s3_key, own_license, score, license, inherited_from), one row for each row given.
 
     ``exif`` is the text of an uploaded file.  Compared with the templates are its lines, its paragraphs and the whole
@@ -94,15 +117,24 @@ def license_scan(images: DataFrame, templates: list[tuple[str, str]] | None = No
     the name that sorts first).  A file without an own license gets that of the nearest directory above it (its own
     directory first) that has one: ``inherited_from`` is that directory (empty: the top), null if nothing is inherited.
 
+    So that words beside a notice do not hide it, templates and ``phrases`` of three or more terms are compared with windows of their own
+    length too.  A window may lack one in ten of its template's distinct terms (none of fewer than ten); it is laid so that one of the
+    template's rarest terms, one more of them than may be lacking, stands at one of its places in the template.  A window is compared with its own template only.
+    ``phrases`` (``header_phrases``; none if ``templates`` are given) are compared with windows only.
+
     A term weighs its count times log((1 + files) / (1 + files with the term)) + 1, files counted over all rows; a word that no
-    template has weighs as one that no file has.  Only units that hold one of a template's heaviest terms are
+    template or phrase has weighs as one that no file has.  Only units that hold one of a template's heaviest terms are
     compared: what the other terms weigh together is too little for ``least``, so no match is lost.
 
     A null or empty text has no license of its own; a null ``s3_key`` is in no directory.  Repeated rows come out as often as they go in;
-    an empty table gives no rows.  Other columns are not looked at.  ``templates`` is a list for its size is small and known.
+    an empty table gives no rows.  Other columns are not looked at.  ``templates`` and ``phrases`` are lists for their size is small and known.
     """
-    known = sorted({(n, t) for n, t in (TEMPLATES if templates is None else templates) if re.findall(TERM, t.lower())})
-    vocabulary = sorted({w for _, t in known for w in re.findall(TERM, t.lower())})
+    if phrases is None:
+        phrases = header_phrases() if templates is None else []
+    known = [(n, re.findall(TERM, t.lower()), True) for n, t in sorted(set(TEMPLATES if templates is None else templates))]
+    known += [(n, re.findall(TERM, t.lower()), False) for n, t in sorted(set(phrases))]
+    known = [k for k in known if k[1]]
+    vocabulary = sorted({w for _, words, _ in known for w in words})
     text = F.coalesce("exif", F.lit(""))
     in_templates = F.array_intersect(terms_of(F.coalesce("exif", F.lit(""))), F.lit(vocabulary).cast("array<string>"))
     counts = images.select(F.explode(F.concat(in_templates, F.array(F.lit("")))).alias("term")).groupBy("term").count().collect()
@@ -110,40 +142,61 @@ def license_scan(images: DataFrame, templates: list[tuple[str, str]] | None = No
     files = df.pop("", 0)
     idf = {w: math.log((1 + files) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
     rarest = math.log(1 + files) + 1
-    vectors, needed = [], set()
-    for name, template in known:
-        words = re.findall(TERM, template.lower())
+    rules, needed, places = [], set(), {}
+    for at, (name, words, whole_units) in enumerate(known):
         vector = {w: words.count(w) * idf[w] for w in words}
         norm = math.sqrt(sum(x * x for x in vector.values()))
-        vectors.append((name, [(w, x / norm) for w, x in sorted(vector.items())]))
+        rules.append({"license": name, "units": whole_units, "vector": {w: x / norm for w, x in sorted(vector.items())}})
         rest = 1.0
         for w, x in sorted(vector.items(), key=lambda p: (-p[1], p[0])):
-            if rest < least ** 2 - 1e-9:
+            if not whole_units or rest < least ** 2 - 1e-9:
                 break
             needed.add(w)
             rest -= (x / norm) ** 2
-    heavy = "(?i)(?<![a-z0-9])(" + "|".join(sorted(needed) or ["(?!)"]) + ")(?![a-z0-9])"
+        may_lack = len(vector) // 10
+        for w in sorted(vector, key=lambda w: (df.get(w, 0), w))[:may_lack + 1] if len(words) >= 3 else []:
+            places.setdefault(w, []).extend({"rule": at, "before": i, "size": len(words), "has": len(vector) - may_lack, "words": sorted(vector)}
+                                            for i, v in enumerate(words) if v == w)
+
+    def holds(terms: set[str]) -> str:
+        return "(?i)(?<![a-z0-9])(" + "|".join(sorted(terms) or ["(?!)"]) + ")(?![a-z0-9])"
+
+    placed = F.from_json(F.lit(json.dumps(places)), "map<string, array<struct<rule int, before int, size int, has int, words array<string>>>>")
+
+    def windows(terms: Column) -> Column:
+        anchors = F.filter(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("at"))), lambda a: a["term"].isin(sorted(places)))
+
+        def laid(a: Column) -> Column:
+            def window(p: Column) -> Column:
+                return F.slice(terms, a["at"] - p["before"] + 1, p["size"])
+            fits = F.filter(placed[a["term"]], lambda p: (a["at"] >= p["before"]) & (a["at"] - p["before"] + p["size"] <= F.size(terms))
+                            & (F.size(F.array_intersect(window(p), p["words"])) >= p["has"]))
+            return F.transform(fits, lambda p: F.struct(F.lit(False).alias("whole"), p["rule"].alias("rule"), window(p).alias("terms")))
+        return F.array_distinct(F.flatten(F.transform(anchors, laid)))
 
     # equal texts are compared once, under a hash of the text
-    texts = images.select(F.xxhash64(text).alias("key"), text.alias("text")).where(F.col("text").rlike(heavy))
+    texts = images.select(F.xxhash64(text).alias("key"), text.alias("text")).where(F.col("text").rlike(holds(needed | set(places))))
     lines, paragraphs = F.split("text", "\n"), F.split("text", r"\n[\x20\t\r]*\n")
-    units = F.filter(F.array_distinct(F.concat(F.array("text"), lines, paragraphs)), lambda u: u.rlike(heavy))
-    compared = texts.select("key", F.explode(F.transform(units, lambda u: F.struct((u == F.col("text")).alias("whole"), terms_of(u).alias("terms")))).alias("u"))
-    named = cut(compared.select("key", "u.whole", F.xxhash64("u.terms").alias("unit"), F.col("u.terms").alias("terms")))
+    units = F.filter(F.array_distinct(F.concat(F.array("text"), lines, paragraphs)), lambda u: u.rlike(holds(needed)))
+    of_units = F.transform(units, lambda u: F.struct((u == F.col("text")).alias("whole"), F.lit(-1).alias("rule"), terms_of(u).alias("terms")))
+    in_windows = F.transform(F.array(terms_of(F.col("text"))), windows)[0] if places else F.slice(of_units, 1, 0)  # the terms are found once
+    compared = texts.select("key", F.explode(F.concat(of_units, in_windows)).alias("u"))
+    named = cut(compared.select("key", "u.whole", F.xxhash64("u.rule", "u.terms").alias("unit"), "u.rule", F.col("u.terms").alias("terms")))
     # each distinct unit is compared once, however many texts hold it, with all templates inside its row
-    distinct = named.select("unit", "terms").dropDuplicates(["unit"])
-    tf = distinct.select("unit", F.explode("terms").alias("term")).groupBy("unit", "term").count()
+    distinct = named.select("unit", "rule", "terms").dropDuplicates(["unit"])
+    tf = distinct.select("unit", "rule", F.explode("terms").alias("term")).groupBy("unit", "rule", "term").count()
     term_idf = images.sparkSession.createDataFrame(sorted(idf.items()), "term string, idf double")
     weighed = tf.join(F.broadcast(term_idf), "term", "left").withColumn("w", F.col("count") * F.coalesce("idf", F.lit(rarest)))
     shared = F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w")))  # each template term once, at most
-    units = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), shared.alias("own"))
-    against = F.from_json(F.lit(json.dumps([{"license": name, "vector": dict(v)} for name, v in vectors])), "array<struct<license string, vector map<string, double>>>")
+    units = weighed.groupBy("unit", "rule").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), shared.alias("own"))
+    against = F.from_json(F.lit(json.dumps(rules)), "array<struct<license string, units boolean, vector map<string, double>>>")
+    of_rule = F.when(F.col("rule") >= 0, F.slice(against, F.col("rule") + 1, 1)).otherwise(F.filter(against, lambda t: t["units"]))
 
     def cosine(vector: Column) -> Column:
         dot = F.aggregate("own", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(vector[x["term"]], F.lit(0.0)))
         return F.round(dot / F.col("norm"), 6)
 
-    scored = units.select("unit", F.explode(F.filter(F.transform(against, lambda t: F.struct(cosine(t["vector"]).alias("score"), t["license"].alias("license"))),
+    scored = units.select("unit", F.explode(F.filter(F.transform(of_rule, lambda t: F.struct(cosine(t["vector"]).alias("score"), t["license"].alias("license"))),
                                                      lambda c: c["score"] >= least)).alias("c"))
     unit_best = scored.groupBy("unit").agg(F.min(F.struct((-F.col("c.score")).alias("below"), F.col("c.license").alias("license"))).alias("m"))
     cosines = named.select("key", "whole", F.concat(F.lit("u"), F.col("unit").cast("string")).alias("unit")).join(

@@ -34,25 +34,38 @@ def notes(spark: SparkSession, folder: str) -> DataFrame:
 # --- 1 ------------------------------------------------------------------------------------------------------------
 
 
-def _values(rows: list[tuple[str, str]]) -> str:
-    return ", ".join("('{}', '{}')".format(*[v.replace("'", "''") for v in r]) for r in rows)
+def _values(rows: list[tuple[str, str]], units: str) -> str:
+    return ", ".join("('{}', '{}', {})".format(*[v.replace("'", "''") for v in r], units) for r in rows)
 
 
 TERMS_SQL = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')"
 LICENSE_SQL = f"""WITH f AS (SELECT doc_id, coalesce(text, '') AS t, concat(coalesce(source, 'none'), '/', coalesce(lang, 'none'), '/', doc_id // 100) AS folder,
   CASE WHEN doc_id % 100 = 0 THEN 'NOTICE' ELSE doc_id || '.txt' END AS name FROM documents),
-tp(license, body) AS (VALUES {_values(licenses.TEMPLATES)}),
-tt AS (SELECT license, body, w, count(*) AS c FROM (SELECT license, body, unnest({TERMS_SQL.format("body")}) AS w FROM tp) GROUP BY ALL),
+tp(license, body, units) AS (VALUES {_values(licenses.TEMPLATES, "true")}, {_values(licenses.header_phrases(), "false")}),
+tw AS (SELECT license, body, units, {TERMS_SQL.format("body")} AS ws FROM (SELECT DISTINCT * FROM tp)),
+tt AS (SELECT license, body, units, w, count(*) AS c FROM (SELECT license, body, units, unnest(ws) AS w FROM tw) GROUP BY ALL),
 df AS (SELECT w, count(*) AS d FROM (SELECT doc_id, unnest(list_distinct({TERMS_SQL.format("t")})) AS w FROM f) WHERE w IN (SELECT w FROM tt) GROUP BY w),
 n AS (SELECT count(*) AS n FROM f),
 idf AS (SELECT w, ln((1 + n) / (1 + coalesce(d, 0))) + 1 AS idf FROM (SELECT DISTINCT w FROM tt) LEFT JOIN df USING (w), n),
-tv AS (SELECT license, body, w, c * idf AS x, sqrt(sum((c * idf) ** 2) OVER (PARTITION BY body)) AS norm FROM tt JOIN idf USING (w)),
+tv AS (SELECT license, body, units, w, c * idf AS x, sqrt(sum((c * idf) ** 2) OVER (PARTITION BY license, body, units)) AS norm FROM tt JOIN idf USING (w)),
 u AS (SELECT doc_id, unit, unit = t AS whole FROM (SELECT doc_id, t, unnest(list_distinct([t] || string_split(t, chr(10)) || regexp_split_to_array(t, '\\n[ \\t\\r]*\\n'))) AS unit FROM f)),
 uw AS (SELECT doc_id, unit, whole, w, count(*) AS c FROM (SELECT *, unnest({TERMS_SQL.format("unit")}) AS w FROM u) GROUP BY ALL),
 ux AS (SELECT doc_id, unit, whole, w, c * coalesce(idf, ln(1 + n) + 1) AS x FROM uw LEFT JOIN idf USING (w), n),
 un AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY doc_id, unit)) AS unorm FROM ux),
+an AS (SELECT license, body, units, w FROM (SELECT license, body, units, w, row_number() OVER (PARTITION BY license, body, units ORDER BY coalesce(d, 0), w) AS k,
+  count(*) OVER (PARTITION BY license, body, units) AS words FROM tt LEFT JOIN df USING (w)) WHERE k <= words // 10 + 1),
+pl AS (SELECT license, body, units, w, i, ws FROM (SELECT license, body, units, ws, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM tw WHERE len(ws) >= 3) JOIN an USING (license, body, units, w)),
+dw AS (SELECT doc_id, ws, p, ws[p] AS w FROM (SELECT doc_id, ws, unnest(list_filter(range(1, len(ws) + 1), lambda p: list_contains(aw, ws[p]))) AS p
+  FROM (SELECT doc_id, {TERMS_SQL.format("t")} AS ws FROM f), (SELECT list(DISTINCT w) AS aw FROM an))),
+wi AS (SELECT DISTINCT doc_id, license, body, units, dw.ws[p - i + 1:p - i + len(pl.ws)] AS win FROM dw JOIN pl USING (w) WHERE p >= i AND p - i + len(pl.ws) <= len(dw.ws)
+  AND len(list_intersect(dw.ws[p - i + 1:p - i + len(pl.ws)], pl.ws)) >= len(list_distinct(pl.ws)) - len(list_distinct(pl.ws)) // 10),
+ww AS (SELECT doc_id, license, body, units, win, w, count(*) AS c FROM (SELECT *, unnest(win) AS w FROM wi) GROUP BY ALL),
+wn AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY doc_id, license, body, units, win)) AS wnorm FROM
+  (SELECT doc_id, license, body, units, win, w, c * coalesce(idf, ln(1 + n) + 1) AS x FROM ww LEFT JOIN idf USING (w), n)),
 cs AS (SELECT doc_id, whole, license, round(score, 6) AS score FROM (SELECT doc_id, unit, whole, license, sum(un.x * tv.x / norm) / any_value(unorm) AS score
-  FROM un JOIN tv USING (w) GROUP BY doc_id, unit, whole, license, body) WHERE round(score, 6) >= 0.7),
+  FROM un JOIN tv USING (w) WHERE units GROUP BY doc_id, unit, whole, license, body UNION ALL
+  SELECT doc_id, NULL, false, license, sum(wn.x * tv.x / norm) / any_value(wnorm) FROM wn JOIN tv USING (license, body, units, w) GROUP BY doc_id, win, license, body, units)
+  WHERE round(score, 6) >= 0.7),
 own AS (SELECT doc_id, min(struct_pack(below := -score, license := license)) AS b, bool_or(whole) AS whole FROM cs GROUP BY doc_id),
 held AS (SELECT folder AS above, min(b).license AS license FROM f JOIN own USING (doc_id) WHERE whole OR name = 'NOTICE' GROUP BY folder),
 up AS (SELECT folder, k, array_to_string(string_split(folder, '/')[1:k], '/') AS above FROM (SELECT DISTINCT folder FROM f), range(0, 20) AS r(k) WHERE k <= len(string_split(folder, '/'))),
