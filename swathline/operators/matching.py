@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from swathline.functions import constants as K
 from swathline.functions.ranking import bucketed_row_number, top_per_group
-from swathline.operators.grid import LINE
+from swathline.operators.grid import LINE, clean
+from swathline.session import cut
 
 
 def image_pairs(images: DataFrame, mode: str = "sequential", overlap: int = 25, quadratic: bool = True,
@@ -154,6 +155,57 @@ def _phase(max_shift: int):
     return work
 
 
+SUMS = ["n", "x", "y", "xx", "yy", "xy"]
+
+
+def _tile_sums(most: int):
+    def work(lines: pd.DataFrame) -> pd.DataFrame:
+        """Sums over the pixels of one tile that meet the reference, for every shift at once: six correlations of small planes."""
+        row = np.repeat(lines["row"].to_numpy(), lines["cols"].str.len())
+        ref = np.repeat(lines["is_ref"].to_numpy(), lines["cols"].str.len())
+        col, v = (np.concatenate(lines[c].to_numpy()) for c in ("cols", "values"))
+        if ref.all() or not ref.any():
+            return pd.DataFrame(columns=[*LINE, "dy", "dx", *SUMS])
+        top, left = row[~ref].min() - most, col[~ref].min() - most
+        shape = row[~ref].max() - top + most + 1, col[~ref].max() - left + most + 1
+        inside = (row >= top) & (row < top + shape[0]) & (col >= left) & (col < left + shape[1])
+        planes = np.zeros((6, *shape))  # presence, value and square: of the moving band from the origin on, of the reference ``most`` further in
+        for first, take, off in ((0, ~ref, most), (3, ref & inside, 0)):
+            at = row[take] - top - off, col[take] - left - off
+            for k in range(3):
+                planes[(first + k, *at)] = v[take] ** k
+        mov, fixed = np.split(np.fft.rfft2(planes), 2)
+        side = 2 * most + 1
+        met = [np.fft.irfft2(fixed[b] * mov[a].conj(), s=shape)[:side, :side].ravel() for a, b in ((0, 0), (1, 0), (0, 1), (2, 0), (0, 2), (1, 1))]
+        dy, dx = (x.ravel() - most for x in np.indices((side, side)))
+        out = pd.DataFrame({"raster_id": lines["raster_id"].iloc[0], "band": lines["band"].iloc[0], "dy": dy, "dx": dx, **dict(zip(SUMS, met, strict=True))})
+        out["n"] = out["n"].round()
+        return out[out["n"] > 0]
+    return work
+
+
+def shift_sums(both: DataFrame, most: int, tile: int) -> DataFrame:
+    """(raster_id, band, dy, dx, n, x, y, xx, yy, xy) for every shift of at most ``most`` pixels each way that lets pixels meet.
+
+    A band is cut into tiles of ``tile`` x ``tile`` pixels; a tile gets the reference's pixels within ``most`` of it, so a reference pixel goes to
+    a few tiles and no task holds an image.  The tiles' sums add up to the band's.
+    """
+    mov = both.where("value IS NOT NULL").select(*LINE, F.lit(False).alias("is_ref"), F.floor(F.col("row") / tile).alias("tr"), F.floor(F.col("col") / tile).alias("tc"),
+                                                 "row", "col", F.col("value").alias("v"))
+
+    def tiles(c: str):
+        return F.explode(F.sequence(F.floor((F.col(c) - most) / tile), F.floor((F.col(c) + most) / tile)))
+
+    near = both.where("ref IS NOT NULL").withColumn("tr", tiles("row")).withColumn("tc", tiles("col")).select(
+        *LINE, F.lit(True).alias("is_ref"), "tr", "tc", "row", "col", F.col("ref").alias("v"))
+    px = F.collect_list(F.struct("col", "v"))
+    lines = mov.unionByName(near).groupBy(*LINE, "tr", "tc", "is_ref", "row").agg(px.alias("px")).select(
+        *LINE, "tr", "tc", "is_ref", "row", F.col("px.col").alias("cols"), F.col("px.v").alias("values"))
+    schema = ", ".join(["raster_id string", "band string", "dy int", "dx int", *[f"{c} double" for c in SUMS]])
+    done = lines.groupBy(*LINE, "tr", "tc").applyInPandas(_tile_sums(most), schema)
+    return done.groupBy(*LINE, "dy", "dx").agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
 def with_reference(raster: DataFrame, order: list[str] = K.REFERENCE_BAND_ORDER) -> DataFrame:
     """Pair each pixel of every other band with the pixel of its capture's reference band."""
     rank = F.array_position(F.array(*[F.lit(b) for b in order]), F.col("band"))
@@ -164,13 +216,14 @@ def with_reference(raster: DataFrame, order: list[str] = K.REFERENCE_BAND_ORDER)
         *LINE, "row", "col", "value", "ref")
 
 
-def band_register(raster: DataFrame, max_shift: int = 40, method: str = "phase", min_overlap: float = 0.5) -> DataFrame:
+def band_register(raster: DataFrame, max_shift: int = 40, method: str = "phase", min_overlap: float = 0.5, tile: int = 256) -> DataFrame:
     """Whole-pixel shift (dy, dx) that lays each band on its capture's reference band.
 
     phase: one band of a capture at a time goes through a Fourier transform (a group is one image of the sensor).
-    search: every shift is scored by correlation in plain columns; at least ``min_overlap`` of the pixels must meet.
+    search: every shift is scored by correlation, from sums over tiles (``shift_sums``); at least ``min_overlap`` of the pixels must meet.
+    Pixels that meet and vary by less than 1e-5 of the band's own deviation count as constant and score nothing.
     """
-    both = with_reference(raster)
+    both = with_reference(clean(raster))
     if method == "phase":
         # pixels travel to Python as one row per image line, not with their keys on every pixel
         px = F.collect_list(F.struct("col", F.coalesce("value", F.lit(float("nan"))).alias("value"),
@@ -178,15 +231,16 @@ def band_register(raster: DataFrame, max_shift: int = 40, method: str = "phase",
         lines = both.groupBy(*LINE, "row").agg(px.alias("px")).select(
             *LINE, "row", F.col("px.col").alias("cols"), F.col("px.value").alias("values"), F.col("px.ref").alias("refs"))
         return lines.groupBy(*LINE).applyInPandas(_phase(max_shift), "raster_id string, band string, dy int, dx int")
-    span = F.sequence(F.lit(-max_shift), F.lit(max_shift))
-    size = both.groupBy(*LINE).agg(F.count("*").alias("_size"))
-    mov = both.select(*LINE, "row", "col", "value").where("value IS NOT NULL")
-    mov = mov.withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span))
-    mov = mov.withColumns({"row": F.col("row") + F.col("dy"), "col": F.col("col") + F.col("dx")})
-    scored = (mov.join(both.where("ref IS NOT NULL").select(*LINE, "row", "col", "ref"), [*LINE, "row", "col"])
-              .groupBy(*LINE, "dy", "dx").agg(F.count("*").alias("_n"), F.corr("value", "ref").alias("_c")))
-    usable = scored.join(size, LINE).where((F.col("_n") >= F.col("_size") * min_overlap) & F.col("_c").isNotNull()
-                                           & ~F.isnan("_c"))
+    size = cut(both.groupBy(*LINE).agg(F.count("*").alias("_size"), F.avg("value").alias("_mx"), F.avg("ref").alias("_my"),
+                                       F.stddev_pop("value").alias("_sx"), F.stddev_pop("ref").alias("_sy")))
+    # in deviations from the mean, so that sums of squares lose no digits
+    level = both.join(size, LINE).where("_sx > 0 AND _sy > 0").withColumns({
+        "value": (F.col("value") - F.col("_mx")) / F.col("_sx"), "ref": (F.col("ref") - F.col("_my")) / F.col("_sy")})
+    n = F.col("n")
+    vx, vy = n * F.col("xx") - F.col("x") * F.col("x"), n * F.col("yy") - F.col("y") * F.col("y")
+    varies = (vx > 1e-10 * n * n) & (vy > 1e-10 * n * n)
+    score = (n * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(vx * vy)
+    usable = shift_sums(level, max_shift, tile).join(size, LINE).where((n >= F.col("_size") * min_overlap) & varies).withColumn("_c", score)
     best = F.max_by(F.struct("dy", "dx"), F.struct(F.round("_c", 9).alias("c"), (-F.abs("dy") - F.abs("dx")).alias("s"), "dy", "dx"))
     return usable.groupBy(*LINE).agg(best.alias("b")).select(*LINE, "b.dy", "b.dx")
 
