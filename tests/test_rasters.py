@@ -174,33 +174,6 @@ def test_phase_shift(make_raster, shift, limit, want):
     assert (got["dy"], got["dx"]) == want
 
 
-@pytest.mark.parametrize("tile", [5, 9, 256])
-def test_shift_sums_against_plain_loops(make_raster, tile):
-    """Tiles of any size add up to the sums over the whole band, nodata and places off the origin included."""
-    rng = np.random.default_rng(3)
-    ref, mov = rng.random((17, 13)), rng.random((17, 13))
-    ref[rng.random(ref.shape) < 0.2] = np.nan
-    mov[rng.random(mov.shape) < 0.2] = np.nan
-    both = matching.with_reference(make_raster({"nir": ref, "red": mov})).withColumns({"row": F.col("row") - 7, "col": F.col("col") + 100})
-    got = {(r.dy, r.dx): tuple(r)[4:] for r in matching.shift_sums(both, 4, tile).collect()}
-    for dy in range(-4, 5):
-        for dx in range(-4, 5):
-            pairs = [(mov[r, c], ref[r + dy, c + dx]) for r in range(17) for c in range(13) if 0 <= r + dy < 17 and 0 <= c + dx < 13]
-            x, y = np.array([p for p in pairs if not np.isnan(p).any()]).T
-            assert np.allclose(got[dy, dx], [len(x), x.sum(), y.sum(), x @ x, y @ y, x @ y], atol=1e-9)
-    assert len(got) == 81
-
-
-def test_search_over_every_shift_of_a_wide_range(make_raster):
-    """The full range of 81 x 81 shifts, with nodata values in both bands, over several tiles."""
-    ref = np.random.default_rng(4).random((150, 140))
-    mov = np.roll(ref, (31, -22), axis=(0, 1))
-    mov[40:50, 60:80], ref[100, :40] = -9999, np.nan
-    flat = make_raster({"nir": np.ones((9, 9)), "red": np.random.default_rng(5).random((9, 9))}, "flat")
-    both = make_raster({"nir": ref, "red": mov}).unionByName(flat)
-    assert [tuple(r) for r in matching.band_register(both, method="search", tile=64).collect()] == [("r", "red", -31, 22)]
-
-
 def test_search_finds_the_same_shift(make_raster):
     ref = np.random.default_rng(1).random((24, 24))
     r = make_raster({"nir": ref, "red": np.roll(ref, (2, -1), axis=(0, 1))})
