@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from swathline.functions import constants as K
 from swathline.functions.ranking import bucketed_row_number, top_per_group
-from swathline.operators.grid import LINE
+from swathline.operators.grid import LINE, clean
 
 
 def image_pairs(images: DataFrame, mode: str = "sequential", overlap: int = 25, quadratic: bool = True,
@@ -169,8 +169,9 @@ def band_register(raster: DataFrame, max_shift: int = 40, method: str = "phase",
 
     phase: one band of a capture at a time goes through a Fourier transform (a group is one image of the sensor).
     search: every shift is scored by correlation in plain columns; at least ``min_overlap`` of the pixels must meet.
+    Nodata and values that are not finite take no part.
     """
-    both = with_reference(raster)
+    both = with_reference(clean(raster))
     if method == "phase":
         # pixels travel to Python as one row per image line, not with their keys on every pixel
         px = F.collect_list(F.struct("col", F.coalesce("value", F.lit(float("nan"))).alias("value"),

@@ -174,6 +174,15 @@ def test_phase_shift(make_raster, shift, limit, want):
     assert (got["dy"], got["dx"]) == want
 
 
+@pytest.mark.parametrize("method", ["phase", "search"])
+def test_registration_leaves_out_nodata(make_raster, method):
+    ref = np.random.default_rng(4).random((24, 24))
+    mov = np.roll(ref, (2, -1), axis=(0, 1))
+    mov[4:6, 6:9], ref[15, :5] = -9999, np.inf
+    got = matching.band_register(make_raster({"nir": ref, "red": mov}), max_shift=3, method=method).first()
+    assert (got["dy"], got["dx"]) == (-2, 1)
+
+
 def test_search_finds_the_same_shift(make_raster):
     ref = np.random.default_rng(1).random((24, 24))
     r = make_raster({"nir": ref, "red": np.roll(ref, (2, -1), axis=(0, 1))})
